@@ -211,3 +211,32 @@ def arrow_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
         _, offsets = text_view(batch.column(batch.schema.get_field_index(column)))
         for i, j in row_blocks(offsets, limit):
             yield batch.slice(i, j - i)
+
+
+FILTER_BITS = 1 << 26
+
+
+def maybe_in(df: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``df`` whose long column ``key`` may be among those of ``wanted``: all that are, and as
+    few others as a bitmap of fixed size allows. It keeps rows out of a shuffle; a join must follow."""
+    from pyspark.sql import functions as F
+
+    slot = F.pmod(F.col("key"), F.lit(bits))
+    got = wanted.select(slot.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
+    size = 32768 // 8  # bytes of one of Spark's bitmaps; positions above zero start in bucket 1
+    bitmap = np.zeros(bits // 8 + 2 * size, np.uint8)
+    for r in got:
+        bitmap[r["b"] * size : (r["b"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    shipped = df.sparkSession.sparkContext.broadcast(bitmap)
+    at = df.columns.index("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(at).to_numpy(zero_copy_only=False) % bits
+            bucket = np.where(h > 0, 1 + (h - 1) // 32768, 0)
+            place = np.where(h > 0, (h - 1) % 32768, 0)
+            hit = np.flatnonzero((shipped.value[bucket * size + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1)
+            if len(hit):
+                yield batch.take(pa.array(hit))
+
+    return df.mapInArrow(run, df.schema)

@@ -30,17 +30,16 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import U64, arrow_slices, cut, drop_cut, hash_runs, hash_words, mix, row_blocks, signed, text_view, texts
+from chronoweft.llm import packed_index
+from chronoweft.llm.common import U64, arrow_slices, cut, drop_cut, hash_runs, hash_words, maybe_in, mix, row_blocks, signed, text_view, texts
 from chronoweft.llm.components import components
 
 SHINGLE = 5
 SLICE_BYTES = 32 << 20
-SLICE_DOCS = 1 << 14
 BLOCK_HASHES = 1 << 20
 LEAST_BLOCKS = 64
 CHANCE_COST = 20.0
@@ -48,7 +47,6 @@ SLACK = 0.1
 EXTRA_HUBS = 2
 SMALL_SIDE = 200_000
 """A side of at most so many rows, counted first, may be broadcast."""
-FILTER_BITS = 1 << 26
 
 OWN, NEXT, FIXED = 0, 1, 2
 """Flags of a hash: of the set's own band or the next; FIXED where it can't be ignored."""
@@ -166,22 +164,17 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def pack_hashes(docs: DataFrame, blocks: int) -> DataFrame:
-    """The index as blocks: (p, kind, high, low, who, nodes, many). Kind 0 holds a delegate for each hash
-    that goes to block p, kind 1 the other local members with their delegate, in any block."""
+    """The packed index of all documents' segment hashes."""
     rows = texts(docs).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
         for batch in arrow_slices(batches, "text", SLICE_BYTES):
-            for start in range(0, batch.num_rows, SLICE_DOCS):
+            for start in range(0, batch.num_rows, packed_index.SLICE_NODES):
                 turn += 1
-                made = _pack_slice(batch.slice(start, SLICE_DOCS), blocks, turn)
-                if made:
-                    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
-                    for i in range(0, len(made), 64):
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made[i : i + 64], strict=True), kinds, strict=True)], ["p", "kind", "high", "low", "who", "nodes", "many"])
+                yield from packed_index.batches_of(_pack_slice(batch.slice(start, packed_index.SLICE_NODES), blocks, turn))
 
-    return rows.mapInArrow(run, "p int, kind int, high binary, low binary, who binary, nodes binary, many binary")
+    return rows.mapInArrow(run, packed_index.SCHEMA)
 
 
 def _pack_slice(batch: pa.RecordBatch, blocks: int, turn: int) -> list[tuple]:
@@ -199,83 +192,7 @@ def _pack_slice(batch: pa.RecordBatch, blocks: int, turn: int) -> list[tuple]:
             found, fixed, _ = deal(own, k)
             hashes.append(found)
             who.append((nodes[node] | (flag << 14) | (fixed.astype(np.int64) << 15)).astype(np.uint16))
-    table = np.fromiter(nodes, np.uint64, len(nodes))
-    flat, flags = np.concatenate(hashes), np.concatenate(who)
-    if not len(flat):
-        return []
-    block = flat % U64(blocks)
-    rest = (flat // U64(blocks)) & U64((1 << 48) - 1)
-    order = np.lexsort((table[flags & 0x3FFF], rest, block))
-    block, rest, flags = block[order], rest[order], flags[order]
-    new = np.ones(len(rest), bool)
-    new[1:] = (rest[1:] != rest[:-1]) | (block[1:] != block[:-1])
-    first = np.flatnonzero(new)
-    many = np.diff(np.append(first, len(rest)))
-    out = []
-    edges = np.searchsorted(block[first], np.arange(blocks + 1, dtype=np.uint64))
-    parts = lambda x: ((x >> U64(32)).astype(np.uint16).tobytes(), x.astype(np.uint32).tobytes())
-
-    def add(p: int, kind: int, at: np.ndarray, extra: bytes) -> None:
-        own = flags[at]
-        used, index = np.unique(own & 0x3FFF, return_inverse=True)
-        out.append((p, kind, *parts(rest[at]), (index.astype(np.uint16) | (own & 0xC000)).tobytes(), table[used].tobytes(), extra))
-
-    for p in range(blocks):
-        a, b = int(edges[p]), int(edges[p + 1])
-        if a == b:
-            continue
-        add(p, 0, first[a:b], np.minimum(many[a:b], 65535).astype(np.uint16).tobytes())
-        shared = np.flatnonzero(many[a:b] > 1) + a
-        if len(shared):
-            n = many[shared] - 1
-            at = np.repeat(first[shared] + 1, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            delegate = table[flags[np.repeat(first[shared], n)] & 0x3FFF]
-            # kind 1 keeps its own block number in the first entry of `many`, so it may travel to any block
-            extra = np.array([p], np.uint64).tobytes() + delegate.tobytes() + np.repeat(many[shared], n).astype(np.uint32).tobytes()
-            add((p + turn) % blocks, 1, at, extra)
-    return out
-
-
-MEMBERS = "hash long, node long, hub long, flag int, df long"
-
-
-def unpack(pdf: pd.DataFrame, blocks: int) -> pd.DataFrame:
-    """The members of the hashes of one block that more than one node has."""
-    out = []
-    sigs, nodes, flags, many = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    p = int(pdf["p"].iloc[0])
-    for kind, high, low, who, table, extra in zip(*(pdf[c] for c in ("kind", "high", "low", "who", "nodes", "many")), strict=True):
-        rest = (np.frombuffer(high, np.uint16).astype(np.uint64) << U64(32)) | np.frombuffer(low, np.uint32)
-        own = np.frombuffer(who, np.uint16).astype(np.int64)
-        node = np.frombuffer(table, np.uint64)[own & 0x3FFF]
-        if kind == 0:
-            sigs.append(rest)
-            nodes.append(node)
-            flags.append(own >> 14)
-            many.append(np.frombuffer(extra, np.uint16).astype(np.int64))
-        else:
-            n = len(rest)
-            home = np.frombuffer(extra, np.uint64, 1)[0]
-            out.append((rest * U64(blocks) + home, node, np.frombuffer(extra, np.uint64, n, 8), own >> 14, np.frombuffer(extra, np.uint32, n, 8 + 8 * n).astype(np.int64)))
-    sig, node, flag, times = np.concatenate(sigs), np.concatenate(nodes), np.concatenate(flags), np.concatenate(many)
-    if len(sig):
-        order = np.lexsort((node, sig))
-        sig, node, flag, times = sig[order], node[order], flag[order], times[order]
-        new = np.ones(len(sig), bool)
-        new[1:] = sig[1:] != sig[:-1]
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(sig)))
-        again = np.zeros(len(sig), bool)
-        again[1:] = ~new[1:] & (node[1:] == node[:-1])
-        distinct = np.add.reduceat((~again).astype(np.int64), first)
-        df = np.add.reduceat(times, first)
-        more = np.maximum.reduceat(times, first)
-        keep = np.repeat((distinct > 1) | (more > 1), size) & ~again
-        out.append((sig[keep] * U64(blocks) + U64(p), node[keep], np.repeat(node[first], size)[keep], flag[keep], np.repeat(df, size)[keep]))
-    if not out:
-        return pd.DataFrame({"hash": [], "node": [], "hub": [], "flag": [], "df": []}).astype({"flag": "int32"})
-    columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-    return pd.DataFrame({"hash": signed(columns[0]), "node": signed(columns[1]), "hub": signed(columns[2]), "flag": columns[3].astype(np.int32), "df": columns[4]})
+    return packed_index.pack(np.concatenate(hashes), np.concatenate(who), np.fromiter(nodes, np.uint64, len(nodes)), blocks, turn)
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -290,34 +207,19 @@ class Verifier:
         self.docs, self.classes, self.percent = docs, classes, percent
 
     def texts_of(self, pairs: DataFrame) -> DataFrame:
-        """(node, text) of the nodes in ``pairs``. A bitmap of fixed size, by a hash of doc_id, keeps most
-        other documents' texts out of the shuffle; it passes more of them as it fills."""
+        """(node, text) of the nodes in ``pairs``."""
         asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
         wanted = cut(asked.join(self.classes, "node").select("node", "doc_id"), "wanted")
-        slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-        bits = wanted.select(slot("doc_id").alias("h")).groupBy(F.bitmap_bucket_number("h").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
-        size = 32768 // 8
-        bitmap = np.zeros(FILTER_BITS // 8 + size, np.uint8)
-        for r in bits:
-            start = (r["b"] - 1) * size
-            bitmap[start : start + size] = np.frombuffer(r["bits"], np.uint8)
-        shipped = pairs.sparkSession.sparkContext.broadcast(bitmap)
-        shift = 1  # bitmap_bucket_number starts buckets at 1 for positions 1..32768
+        rows = texts(self.docs).where(F.col("doc_id").isNotNull())
+        some = maybe_in(rows.withColumn("key", F.xxhash64("doc_id")), wanted.select(F.xxhash64("doc_id").alias("key"))).drop("key")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                h = batch.column(2).to_numpy(zero_copy_only=False)
-                at = (_bucket(h) - shift) * (size * 8) + _position(h)
-                hit = np.flatnonzero((shipped.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-                if not len(hit):
-                    continue
-                part = batch.take(pa.array(hit))
-                data, offsets = text_view(part.column(1))
+                data, offsets = text_view(batch.column(1))
                 nodes = np.array([int(signed(node_of(own)[None])[0]) for own in shingle_sets(data, offsets)], np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes), part.column(1)], ["doc_id", "node", "text"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), batch.column(1)], ["doc_id", "node", "text"])
 
-        rows = texts(self.docs).where(F.col("doc_id").isNotNull()).select("doc_id", "text", slot("doc_id").alias("h"))
-        found = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, node long, text string")
+        found = some.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, node long, text string")
         return found.join(wanted, ["doc_id", "node"]).dropDuplicates(["doc_id", "node"]).select("node", "text")
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -348,16 +250,6 @@ class Verifier:
         return cut(joined.mapInArrow(run, "u long, v long"), "links")
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    """As Spark's bitmap_bucket_number, for positive values and zero."""
-    return np.where(h > 0, 1 + (h - 1) // 32768, h // 32768)
-
-
-def _position(h: np.ndarray) -> np.ndarray:
-    """As Spark's bitmap_bit_position."""
-    return np.where(h > 0, (h - 1) % 32768, (-h) % 32768)
-
-
 def similar_classes(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, node) of every document, and (node, root) of the nodes that have links."""
     if percent != 80:
@@ -367,7 +259,7 @@ def similar_classes(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, Data
     total = classes.agg(F.sum("n").alias("n")).first()["n"] or 0
     blocks = max(LEAST_BLOCKS, total // (2 * BLOCK_HASHES))
     packed = pack_hashes(docs, blocks)
-    members = cut(packed.groupBy("p").applyInPandas(lambda pdf: unpack(pdf, blocks), MEMBERS), "members")
+    members = cut(packed.groupBy("p").applyInPandas(lambda pdf: packed_index.unpack(pdf, blocks), packed_index.MEMBERS), "members")
     verifier = Verifier(docs, classes, percent)
     tried = cut(members.where("hub <> node").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
     links = verifier.links(tried)

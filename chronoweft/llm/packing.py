@@ -41,7 +41,7 @@ FEW_SIZES = 64
 #: Characters for which the pre-tokeniser's classes are plain: ASCII, and Latin-1's letters.
 PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 #: The pre-tokeniser's pattern, over those characters in lower case.
-WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+WORD = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^\sa-z0-9ß-öø-ÿ]+")
 
 
 def vocabulary() -> str:
@@ -50,6 +50,18 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Numbers(dict):
+    """Words by number; a word asked for the first time gets the next one."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class Encoder:
     """Token ids of texts. Words of plain texts are encoded once and kept; all other texts, and those with
     what may be a special token, go through the tokeniser whole. Both give the tokeniser's own ids."""
@@ -61,6 +73,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary_ = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary_.values()) + 1, bool)
+        self.is_end[[i for t, i in vocabulary_.items() if t.endswith("</w>")]] = True
         self.clear()
 
     @classmethod
@@ -70,38 +85,46 @@ class Encoder:
         return cls._own[path]
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.flat = np.zeros(0, np.uint32)
         self.at = np.zeros(1, np.int64)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def _learn(self) -> None:
+        """Encode the words numbered since the last time, as one text: a word's last token says so."""
+        new, self.number.new = self.number.new, []
+        if not new:
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.is_end[ids]) + 1
+        if len(ends) != len(new):
+            apart = [self.whole(w) for w in new]
+            ids, ends = np.concatenate(apart), np.cumsum([len(x) for x in apart])
+        self.at = np.concatenate([self.at, self.at[-1] + ends])
+        self.flat = np.concatenate([self.flat, ids])
+
     def encode(self, texts_: list[str]) -> list[np.ndarray]:
         """Ids of each text, the end token not included."""
         if len(self.number) > CACHE_WORDS:
             self.clear()
-        number = self.number
-        out: list[np.ndarray | None] = []
-        words: list[list[str] | None] = []
+        get, find = self.number.__getitem__, WORD.findall
+        index: list[np.ndarray | None] = []
         for t in texts_:
-            plain = "<|" not in t and PLAIN.fullmatch(t) is not None
-            words.append(WORD.findall(t.lower()) if plain else None)
-        new = sorted({w for own in words if own for w in own} - number.keys())
-        if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            start = len(number)
-            number.update(zip(new, range(start, start + len(new)), strict=True))
-            self.flat = np.concatenate([self.flat, np.fromiter((x for own in ids for x in own), np.uint32)])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in ids])])
-        get = number.__getitem__
-        for t, own in zip(texts_, words, strict=True):
+            if "<|" in t or not PLAIN.fullmatch(t):
+                index.append(None)
+                continue
+            words = find(t.lower())
+            index.append(np.fromiter(map(get, words), np.int64, len(words)))
+        self._learn()
+        out = []
+        for t, own in zip(texts_, index, strict=True):
             if own is None:
                 out.append(self.whole(t))
                 continue
-            index = np.fromiter(map(get, own), np.int64, len(own))
-            first = self.at[index]
-            n = self.at[index + 1] - first
+            first = self.at[own]
+            n = self.at[own + 1] - first
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(ends) else 0
             out.append(self.flat[np.repeat(first - ends + n, n) + np.arange(total)])
