@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweft.llm import decontaminate, language_id, ngram_join, packing, secret_scan, tiff_media, toxicity, url_filter, warc
+from chronoweft.llm import decontaminate, language_id, ngram_join, packing, secret_scan, suffix_dedup, tiff_media, toxicity, url_filter, warc
 from chronoweft.session import table
 
 
@@ -28,6 +28,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,5 +48,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_language_id, op3_ngram_join, op4_warc, op5_best_fit_packing, op7_toxicity, op8_url_filters, op9_media_columns, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_language_id, op3_ngram_join, op4_warc, op5_best_fit_packing, op6_suffix_dedup, op7_toxicity, op8_url_filters, op9_media_columns, op10_decontamination)}
 ORACLE_SQL = {"op4_warc": warc.ORACLE_SQL, "op8_url_filters": url_filter.ORACLE_SQL}
