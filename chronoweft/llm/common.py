@@ -218,7 +218,8 @@ FILTER_BITS = 1 << 26
 
 def maybe_in(df: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """The rows of ``df`` whose long column ``key`` may be among those of ``wanted``: all that are, and as
-    few others as a bitmap of fixed size allows. It keeps rows out of a shuffle; a join must follow."""
+    few others as a bitmap of fixed size allows. It keeps rows out of a shuffle; a join must follow. Their
+    ``text`` comes back squeezed."""
     from pyspark.sql import functions as F
 
     slot = F.pmod(F.col("key"), F.lit(bits))
@@ -228,7 +229,7 @@ def maybe_in(df: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataF
     for r in got:
         bitmap[r["b"] * size : (r["b"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
     shipped = df.sparkSession.sparkContext.broadcast(bitmap)
-    at = df.columns.index("key")
+    at, text = df.columns.index("key"), df.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,6 +238,27 @@ def maybe_in(df: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataF
             place = np.where(h > 0, (h - 1) % 32768, 0)
             hit = np.flatnonzero((shipped.value[bucket * size + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1)
             if len(hit):
-                yield batch.take(pa.array(hit))
+                for part in arrow_slices(iter([batch.take(pa.array(hit))])):
+                    arrays = list(part.columns)
+                    arrays[text] = squeeze(arrays[text])
+                    yield pa.RecordBatch.from_arrays(arrays, batch.schema.names)
+
+    return df.mapInArrow(run, ", ".join(f"{n} {'binary' if n == 'text' else k}" for n, k in df.dtypes))
+
+
+def squeeze(column: pa.Array) -> pa.Array:
+    """Texts as zstd frames, for a shuffle."""
+    import zstandard
+
+    data, offsets = text_view(column)
+    raw, pack = memoryview(data.tobytes()), zstandard.ZstdCompressor(level=1, write_content_size=True).compress
+    return pa.array([pack(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())
+
+
+def expand(column: pa.Array) -> pa.Array:
+    """The UTF-8 bytes of texts that :func:`squeeze` packed."""
+    import zstandard
+
+    open_ = zstandard.ZstdDecompressor().decompress
+    return pa.array([open_(x.as_buffer()) for x in column], pa.large_binary())
 
-    return df.mapInArrow(run, df.schema)

@@ -31,11 +31,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweft.llm import packed_index
-from chronoweft.llm.common import U64, arrow_slices, cut, drop_cut, hash_runs, hash_words, maybe_in, mix, row_blocks, signed, text_view, texts
+from chronoweft.llm.common import U64, arrow_slices, cut, expand, hash_runs, hash_words, maybe_in, mix, row_blocks, signed, text_view, texts
 from chronoweft.llm.components import components
 
 SHINGLE = 5
@@ -44,7 +44,11 @@ BLOCK_HASHES = 1 << 20
 LEAST_BLOCKS = 64
 CHANCE_COST = 20.0
 SLACK = 0.1
-EXTRA_HUBS = 2
+AT_ONCE = 256
+"""Squeezed texts opened at a time."""
+LIKELY_SHARED = 2
+SMALL_SET = 40
+MANY_PAIRS = 200
 SMALL_SIDE = 200_000
 """A side of at most so many rows, counted first, may be broadcast."""
 
@@ -146,25 +150,23 @@ def deal(own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (null without a set), and its allowance in its own and the next band."""
+    """doc_id, n_shingles and node (null without a set) of each document."""
     rows = texts(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_slices(batches):
             data, offsets = text_view(batch.column(1))
-            size, node, spare = [], [], []
+            size, node = [], []
             for own in shingle_sets(data, offsets):
                 size.append(len(own))
                 node.append(int(signed(node_of(own)[None])[0]) if len(own) else None)
-                allowed = {flag: deal(own, k)[2] for flag, k in bands_of(len(own))} if len(own) else {}
-                spare.append((allowed.get(OWN, 0), allowed.get(NEXT, 0)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array([s[0] for s in spare], pa.int32()), pa.array([s[1] for s in spare], pa.int32())], ["doc_id", "n_shingles", "node", "spare_own", "spare_next"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64())], ["doc_id", "n_shingles", "node"])
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_shingles long, node long, spare_own int, spare_next int")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_shingles long, node long")
 
 
 def pack_hashes(docs: DataFrame, blocks: int) -> DataFrame:
-    """The packed index of all documents' segment hashes."""
+    """The packed index of all documents' segment hashes, and each node's allowances."""
     rows = texts(docs).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,6 +183,7 @@ def _pack_slice(batch: pa.RecordBatch, blocks: int, turn: int) -> list[tuple]:
     data, offsets = text_view(batch.column(0))
     nodes: dict[int, int] = {}
     hashes, who = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)]
+    spare: list[tuple[int, int]] = []
     for own in shingle_sets(data, offsets):
         if not len(own) or not (bands := bands_of(len(own))):
             continue
@@ -188,11 +191,17 @@ def _pack_slice(batch: pa.RecordBatch, blocks: int, turn: int) -> list[tuple]:
         if node in nodes:
             continue
         nodes[node] = len(nodes)
+        allowed = [0, 0]
         for flag, k in bands:
-            found, fixed, _ = deal(own, k)
+            found, fixed, allowed[flag] = deal(own, k)
             hashes.append(found)
             who.append((nodes[node] | (flag << 14) | (fixed.astype(np.int64) << 15)).astype(np.uint16))
-    return packed_index.pack(np.concatenate(hashes), np.concatenate(who), np.fromiter(nodes, np.uint64, len(nodes)), blocks, turn)
+        spare.append(tuple(allowed))
+    if not nodes:
+        return []
+    table = np.fromiter(nodes, np.uint64, len(nodes))
+    own, after = np.array(spare).T
+    return [*packed_index.pack(np.concatenate(hashes), np.concatenate(who), table, blocks, turn), packed_index.notes(table, own, after, turn % blocks)]
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -207,7 +216,7 @@ class Verifier:
         self.docs, self.classes, self.percent = docs, classes, percent
 
     def texts_of(self, pairs: DataFrame) -> DataFrame:
-        """(node, text) of the nodes in ``pairs``."""
+        """(node, text) of the nodes in ``pairs``; the texts are squeezed."""
         asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
         wanted = cut(asked.join(self.classes, "node").select("node", "doc_id"), "wanted")
         rows = texts(self.docs).where(F.col("doc_id").isNotNull())
@@ -215,11 +224,10 @@ class Verifier:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                data, offsets = text_view(batch.column(1))
-                nodes = np.array([int(signed(node_of(own)[None])[0]) for own in shingle_sets(data, offsets)], np.int64)
+                nodes = np.array([int(signed(node_of(own)[None])[0]) for i in range(0, batch.num_rows, AT_ONCE) for own in shingle_sets(*text_view(expand(batch.column(1).slice(i, AT_ONCE))))], np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), batch.column(1)], ["doc_id", "node", "text"])
 
-        found = some.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, node long, text string")
+        found = some.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, node long, text binary")
         return found.join(wanted, ["doc_id", "node"]).dropDuplicates(["doc_id", "node"]).select("node", "text")
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -232,12 +240,12 @@ class Verifier:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last, hub = None, None
             for batch in batches:
-                for part in arrow_slices(iter([batch]), "text_v"):
-                    data, offsets = text_view(part.column(3))
+                for start in range(0, batch.num_rows, AT_ONCE):
+                    part = batch.slice(start, AT_ONCE)
                     keep = []
-                    for i, (u, own) in enumerate(zip(part.column(0).to_pylist(), shingle_sets(data, offsets), strict=True)):
+                    for i, (u, own) in enumerate(zip(part.column(0).to_pylist(), shingle_sets(*text_view(expand(part.column(3)))), strict=True)):
                         if u != last:
-                            hub = next(shingle_sets(*text_view(part.column(2).slice(i, 1))))
+                            hub = next(shingle_sets(*text_view(expand(part.column(2).slice(i, 1)))))
                             last = u
                         a, b = len(hub), len(own)
                         if 100 * min(a, b) < percent * max(a, b):
@@ -250,64 +258,97 @@ class Verifier:
         return cut(joined.mapInArrow(run, "u long, v long"), "links")
 
 
+def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``pairs`` with root_u and root_v; a node without links is its own root."""
+    of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+    return pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").withColumns({f"root_{x}": F.coalesce(f"root_{x}", x) for x in "uv"})
+
+
+def _crossing(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` of (hash, node, ...) with ``root`` and ``main``, the root that most of a hash's members have,
+    where a hash spans roots; and how many pairs of different roots they could make."""
+    known = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    by_root = known.groupBy("hash", "root").agg(F.count("*").alias("k"))
+    mains = by_root.groupBy("hash").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("members"), F.max("k").alias("most_k")).where("most_k < members")
+    crossing = cut(known.join(mains, "hash"), "crossing")
+    pairs = crossing.agg(F.sum(F.when(F.col("root") != F.col("main"), F.col("members"))).alias("n")).first()["n"] or 0
+    return crossing, pairs
+
+
 def similar_classes(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, node) of every document, and (node, root) of the nodes that have links."""
     if percent != 80:
         raise ValueError("bands and allocations are made for a similarity of 0.8")
     measured = cut(measure(docs), "sets")
-    classes = cut(measured.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("spare_own").alias("spare_own"), F.first("spare_next").alias("spare_next")), "classes")
+    classes = cut(measured.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")), "classes")
     total = classes.agg(F.sum("n").alias("n")).first()["n"] or 0
     blocks = max(LEAST_BLOCKS, total // (2 * BLOCK_HASHES))
     packed = pack_hashes(docs, blocks)
-    members = cut(packed.groupBy("p").applyInPandas(lambda pdf: packed_index.unpack(pdf, blocks), packed_index.MEMBERS), "members")
+    both = cut(packed.groupBy("p").applyInPandas(lambda pdf: packed_index.unpack(pdf, blocks), packed_index.MEMBERS), "members")
+    members = both.where("flag >= 0")
     verifier = Verifier(docs, classes, percent)
-    tried = cut(members.where("hub <> node").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
+
+    # First against each hash's hub, where two sets of like size share enough to make a link likely
+    size = lambda name: classes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"))
+    hubs = members.where("hub <> node").groupBy(F.col("hub").alias("u"), F.col("node").alias("v")).agg(F.count("*").alias("shared"))
+    hubs = cut(hubs.join(size("u"), "u").join(size("v"), "v"), "hubs")
+    like = f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)"
+    tried = cut(hubs.where(like).where(f"shared >= {LIKELY_SHARED} OR least(n_u, n_v) < {SMALL_SET}").select("u", "v"), "pairs")
     links = verifier.links(tried)
     roots = cut(components(links), "roots")
 
-    def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
-        return pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").withColumns({f"root_{x}": F.coalesce(f"root_{x}", x) for x in "uv"})
-
-    broken = cut(rooted(tried, roots).where("root_u <> root_v").select(F.col("u").alias("hub"), F.col("v").alias("node")), "broken")
+    # The hashes that still span components
+    broken = cut(_rooted(hubs, roots).where("root_u <> root_v").select(F.col("u").alias("hub"), F.col("v").alias("node")), "broken")
     if broken.isEmpty():
         return measured, roots
-    # Hashes that still span components, and their members
     hashes = cut(members.join(_sized(broken), ["hub", "node"]).select("hash").distinct(), "hashes")
-    open_members = cut(members.join(_sized(hashes), "hash").select("hash", "node", "flag", "df").distinct(), "open")
-    # What a document may ignore goes to its most frequent hashes
-    per_hash = open_members.groupBy("hash").agg(F.max("df").alias("most"))
-    band = F.col("flag").bitwiseAND(1)
-    from pyspark.sql import Window
+    open_members = cut(members.join(_sized(hashes), "hash").groupBy("hash", "node").agg(F.max("flag").alias("flag"), F.max("df").alias("df")), "open")
 
-    order = Window.partitionBy("node", "band", "fixed").orderBy(F.desc("most"), "hash")
+    # What a set may ignore goes to its most frequent hashes; a hash that all its members ignore is done
+    allowed = both.where("flag = -1").groupBy("node").agg(F.first("hub").alias("spare_own"), F.first("df").alias("spare_next"))
+    per_hash = open_members.groupBy("hash").agg(F.max("df").alias("most"))
+    order = Window.partitionBy("node", "flag").orderBy(F.desc("most"), "hash")
     spared = (
         open_members.join(per_hash, "hash")
-        .withColumns({"band": band, "fixed": F.col("flag") >= FIXED})
         .withColumn("nth", F.row_number().over(order))
-        .join(classes.select("node", "n", "spare_own", "spare_next"), "node")
-        .withColumn("spare", F.when(F.col("fixed"), 0).when(F.col("band") == OWN, F.col("spare_own")).otherwise(F.col("spare_next")))
-        .withColumn("active", F.col("nth") > F.col("spare"))
-        .select("hash", "node", "n", "active")
+        .join(allowed, "node")
+        .withColumn("spare", F.when(F.col("flag") >= FIXED, 0).when(F.col("flag") == OWN, F.col("spare_own")).otherwise(F.col("spare_next")).cast("int"))
+        .select("hash", "node", "flag", "spare", (F.col("nth") > F.col("spare")).alias("active"))
     )
     spared = cut(spared, "spared")
     live = cut(spared.groupBy("hash").agg(F.max("active").alias("any"), F.count("*").alias("members")).where("any AND members > 1").select("hash"), "live")
     if live.isEmpty():
         return measured, roots
-    active = cut(spared.join(_sized(live), "hash"), "active")
-    for turn in range(EXTRA_HUBS):  # other hubs join most of what the first one didn't
-        hub = active.groupBy("hash").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("u"))
-        pairs = active.join(hub, "hash").select("u", F.col("node").alias("v"), "n").where("u <> v").select("u", "v").distinct()
-        open_pairs = cut(rooted(pairs, roots).where("root_u <> root_v").select("u", "v").join(tried, ["u", "v"], "left_anti"), "pairs")
-        if open_pairs.isEmpty():
-            continue
-        tried = cut(tried.unionByName(open_pairs), "tried")
-        links = links.unionByName(verifier.links(open_pairs))
+    rows = cut(spared.join(live.withColumn("is_live", F.lit(True)), "hash", "left"), "rows")
+    ignored = rows.where("is_live IS NULL").groupBy("node", "flag").agg(F.count("*").alias("ignored"))
+    active = cut(
+        rows.where("is_live").select("hash", "node", "flag", "spare").join(ignored, ["node", "flag"], "left").join(classes.select("node", "n"), "node")
+        # a partner shares at least this many of the set's live hashes
+        .select("hash", "node", "flag", "n", F.greatest(F.col("spare") + 1 - F.coalesce("ignored", F.lit(0)), F.lit(1)).alias("least_shared")),
+        "active",
+    )
+    crossing, pairs = _crossing(active, roots)
+    if pairs > MANY_PAIRS * max(active.select("node").distinct().count(), 1):  # other hubs join most of what the first didn't
+        hub = crossing.groupBy("hash").agg(F.min_by("node", F.xxhash64("node")).alias("u"))
+        more = crossing.join(hub, "hash").select("u", F.col("node").alias("v")).where("u <> v").distinct()
+        more = cut(_rooted(more, roots).where("root_u <> root_v").select("u", "v").join(tried, ["u", "v"], "left_anti"), "pairs")
+        tried = cut(tried.unionByName(more), "tried")
+        links = cut(links.unionByName(verifier.links(more)), "links")
         roots = cut(components(links), "roots")
-    left = active.where("active").select("hash", F.col("node").alias("u"), F.col("n").alias("n_u"))
-    right = active.select("hash", F.col("node").alias("v"), F.col("n").alias("n_v"))
-    rest = left.join(right, "hash").where("u <> v AND 100 * least(n_u, n_v) >= 80 * greatest(n_u, n_v)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    rest = cut(rooted(rest, roots).where("root_u <> root_v").select("u", "v").join(tried, ["u", "v"], "left_anti"), "pairs")
+        crossing, pairs = _crossing(active, roots)
+
+    # What is left, pair by pair: each pair of members of different components, counted once a hash
+    side = lambda x: crossing.select("hash", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "flag", "n", "least_shared", "root")), *(["main"] if x == "u" else []))
+    met = side("u").where("root_u <> main").join(side("v"), "hash").where(f"root_u <> root_v AND (root_v = main OR node_u < node_v) AND {like}")
+    swap = F.col("node_u") > F.col("node_v")
+    first, second = (lambda c: F.when(swap, F.col(f"{c}_v")).otherwise(F.col(f"{c}_u"))), (lambda c: F.when(swap, F.col(f"{c}_u")).otherwise(F.col(f"{c}_v")))
+    counted = (
+        met.select(first("node").alias("u"), second("node").alias("v"), first("flag").alias("f"), second("flag").alias("g"), F.greatest("least_shared_u", "least_shared_v").alias("need"))
+        .groupBy("u", "v", "f", "g")
+        .agg(F.count("*").alias("shared"), F.max("need").alias("need"))
+    )
+    rest = counted.where("shared >= need").select("u", "v").distinct()
+    rest = cut(rest.join(tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"), "pairs")
     if not rest.isEmpty():
         links = links.unionByName(verifier.links(rest))
         roots = cut(components(links), "roots")
@@ -326,9 +367,17 @@ def join_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def keep_one_each(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows and columns of ``docs`` that lead their component: its smallest doc_id. Of repeated rows
-    with that doc_id one stays; rows without a set all stay."""
+    """The rows and columns of ``docs`` that lead their component: its smallest doc_id, and of repeated rows
+    with that doc_id one. Rows without a set, or without a doc_id, all stay."""
     names = docs.columns
-    joined = join_documents(docs, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    kept = docs.join(joined, F.col("doc_id") == F.col("_copy"), "left_anti").select(*names)
-    return kept
+    joined = join_documents(docs, percent)
+    led = joined.where("n_shingles > 0").groupBy("doc_id").agg(F.min(F.col("doc_id") == F.col("component_id")).alias("leads"), F.count("*").alias("rows"))
+    judged = cut(led.where("NOT leads OR rows > 1"), "judged")
+    of = lambda where, name: judged.where(where).select(F.col("doc_id").alias(name))
+    kept = docs.join(of("NOT leads", "__followed"), docs["doc_id"] == F.col("__followed"), "left_anti")
+    if judged.where("leads").isEmpty():
+        return kept.select(*names)
+    again = of("leads", "__repeated")
+    return kept.join(again, kept["doc_id"] == F.col("__repeated"), "left_anti").select(*names).unionByName(
+        kept.join(again, kept["doc_id"] == F.col("__repeated"), "left_semi").dropDuplicates(["doc_id", "text"]).select(*names)
+    )

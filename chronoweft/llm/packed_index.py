@@ -3,7 +3,7 @@
 A task packs a slice of its nodes at a time. Of the nodes of a slice with the same hash, the least is its
 delegate: only that one goes to the hash's block (kind 0, with the number of nodes it stands for); the
 others go, with their delegate, to any block (kind 1). So a hash that a third of all nodes have costs its
-block one entry a slice. A block's entries are then sorted in numpy: 10 bytes a hash, and no row a hash.
+block one entry a slice. Kind 2 carries two numbers of each node. A block's entries are then sorted in numpy: 10 bytes a hash, and no row a hash.
 """
 
 from __future__ import annotations
@@ -70,12 +70,21 @@ def pack(flat: np.ndarray, flags: np.ndarray, table: np.ndarray, blocks: int, tu
     return out
 
 
+def notes(table: np.ndarray, one: np.ndarray, two: np.ndarray, p: int) -> tuple:
+    """A row of SCHEMA with two numbers of each node; they come back as ``hub`` and ``df`` with flag -1."""
+    return (p, 2, b"", b"", one.astype(np.int32).tobytes(), table.tobytes(), two.astype(np.int32).tobytes())
+
+
 def unpack(pdf: pd.DataFrame, blocks: int) -> pd.DataFrame:
     """The members of the hashes of one block that more than one node has."""
     out = []
     sigs, nodes, flags, many = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     p = int(pdf["p"].iloc[0])
     for kind, high, low, who, table, extra in zip(*(pdf[c] for c in ("kind", "high", "low", "who", "nodes", "many")), strict=True):
+        if kind == 2:
+            one, two = (np.frombuffer(x, np.int32).astype(np.int64) for x in (who, extra))
+            out.append((np.zeros(len(one), np.uint64), np.frombuffer(table, np.uint64), one.view(np.uint64), np.full(len(one), -1), two))
+            continue
         rest = (np.frombuffer(high, np.uint16).astype(np.uint64) << U64(32)) | np.frombuffer(low, np.uint32)
         own = np.frombuffer(who, np.uint16).astype(np.int64)
         node = np.frombuffer(table, np.uint64)[own & 0x3FFF]

@@ -320,7 +320,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train_docs: int) -> tu
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(max_train_docs / total * (1 << 30)))
     rows = known.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).limit(2 * max_train_docs)
     fold = (F.crc32(F.col("doc_id").cast("string")) % 4 == 3).cast("int").alias("fold")
-    found = docs.where(~held_out()).join(F.broadcast(rows), F.col("doc_id") == F.col("label_id"))
+    found = docs.where(~held_out()).select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("label_id"))
     return found.select(F.coalesce("text", F.lit("")).alias("text"), "toxic", fold), total
 
 
