@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 """Texts go through the numpy kernels in blocks of about this many bytes."""
 
 U64 = np.uint64
@@ -196,11 +197,39 @@ def drop_cut(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers are kept between tasks, and so would be their heaps."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _libc = None
+
+
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session set to send Python at most BATCH_BYTES at a time: by rows alone, batches of long
+    texts would be as large as an executor."""
+    conf = df.sparkSession.conf
+    now = str(conf.get(_BATCH_SETTING, str(1 << 30))).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and the columns named, null texts as empty ones; other columns don't matter."""
     from pyspark.sql import functions as F
 
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+    return bounded_batches(docs).select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
 def arrow_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 * BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

@@ -1,11 +1,12 @@
 """Exact substring deduplication: bytes of strings that also start in a document with a smaller doc_id.
 
 1. Anchors. Every string of ``least`` bytes holds one minimiser, the position of the least hash of its
-   20-byte strings, and equal strings hold the same one. Anchors that only one document has are gone after
-   one pass through a packed index, so only what may repeat goes on.
-2. Contexts. Each remaining anchor's context is the span of the strings that hold it as their minimiser. In a
-   task, and again in a block, the least document of equal contexts stands for them: all the others
-   are repeats from end to end.
+   20-byte strings, and equal strings hold the same one. An anchor's context is the span of the strings that
+   hold it. A packed index of (anchor, fingerprint of its context) brings equal anchors together; what only
+   one document has ends there.
+2. Equal contexts. In a task, and again in a block of the index, the least document of equal contexts (by
+   over 90 bits of hash) stands for them: all the others are repeats from end to end. Of what is left, anchors
+   with different contexts go on, as bytes.
 3. Intervals. The distinct contexts of a block make a text with a Burrows-Wheeler transform. Its interval
    of all suffixes is extended backwards, breadth first: at each step the intervals that ended at the step
    before are extended by every symbol before them, which sets the common prefixes of the next length. After
@@ -13,7 +14,7 @@
    such interval keeps its string.
 4. Removal. The spans of each document are merged and cut out of its bytes.
 
-An anchor of very many documents is dealt to blocks by document; what such a block can't decide by itself
+An anchor of very many different contexts is dealt to blocks by document, already by the index; what such a block can't decide by itself
 goes on as fingerprints of its strings, of which the least document is found by an aggregate.
 
 Matches never cross documents, and strings are judged on the input.
@@ -35,40 +36,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweft.llm import packed_index
-from chronoweft.llm.common import BLOCK_BYTES, BYTE_VALUES, U64, arrow_slices, cut, maybe_in, mix, powers, row_blocks, signed, text_view, texts
+from chronoweft.llm.common import BLOCK_BYTES, BYTE_VALUES, U64, arrow_slices, cut, expand, maybe_in, mix, powers, release, row_blocks, signed, text_view, texts
 
 LEAST = 50
 ANCHOR = 20
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 48 << 20
 SHARD_BYTES = 1 << 20
-HOT_DOCS = 5000
-LEAST_BLOCKS = 64
+SLICE_ROWS = 1 << 15
+LOCAL_VARIANTS = 256
+HOT_VARIANTS = 5000
+AT_ONCE = 1024
+LEAST_BLOCKS = 48
 BLOCK_ANCHORS = 1 << 20
+KEPT_BITS, CONTEXT_BITS = 40, 48
 BLOCK_CONTEXTS = 100_000
 POSITION_BITS = 22
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each row's minimisers: place in ``data``, hash, and the first and last strings that hold it."""
-    out = []
-    span = least - ANCHOR + 1
-    for i, j in row_blocks(offsets):
-        a, b = int(offsets[i]), int(offsets[j])
-        step = 2 * BLOCK_BYTES
-        for start in range(a, max(b - least + 1, a), step):  # a long row goes through in overlapping parts
-            part = data[start : min(start + step + least - 1, b)]
-            if len(part) < least:
-                continue
-            got = _anchors(part, offsets[i : j + 1] - start, least, span)
-            out.append(tuple(x + start if k != 1 else x for k, x in enumerate(got)))
-    if not out:
-        none = np.zeros(0, np.int64)
-        return none, np.zeros(0, np.uint64), none, none
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+class Anchors:
+    """The minimisers of rows of text: ``row``, hash ``h``, 48-bit fingerprint ``c`` of the context, and the
+    context's ``start`` in its row and ``size``."""
 
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, least: int):
+        out = []
+        span = least - ANCHOR + 1
+        for i, j in row_blocks(offsets):
+            a, b = int(offsets[i]), int(offsets[j])
+            step = 2 * BLOCK_BYTES
+            for start in range(a, max(b - least + 1, a), step):  # a long row goes through in overlapping parts
+                part = data[start : min(start + step + least - 1, b)]
+                if len(part) >= least and (got := _anchors(part, offsets[i : j + 1] - start, least, span)):
+                    h, c, first, last = got
+                    out.append((h, c, first + start, last + start))
+        if out:
+            self.h, self.c, self.first, last = (np.concatenate(x) for x in zip(*out, strict=True))
+        else:
+            self.h = self.c = np.zeros(0, np.uint64)
+            self.first = last = np.zeros(0, np.int64)
+        self.row = np.searchsorted(offsets, self.first, side="right") - 1
+        self.start = self.first - offsets[self.row]
+        self.size = last - self.first + least
 
-def _anchors(data: np.ndarray, offsets: np.ndarray, least: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def keys(self, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Block, kept part of the anchor's hash, and the key by which the index names anchor and context."""
+        block, rest = self.h % U64(blocks), (self.h // U64(blocks)) & U64((1 << KEPT_BITS) - 1)
+        return block, rest, key_of(block, rest, self.c, blocks)
+
+
+def key_of(block: np.ndarray, rest: np.ndarray, c: np.ndarray, blocks: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(rest * U64(blocks) + block ^ mix(c))
+
+
+def _anchors(data: np.ndarray, offsets: np.ndarray, least: int, span: int) -> tuple[np.ndarray, ...] | None:
     n = len(data)
     up, down = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
@@ -85,133 +105,215 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, least: int, span: int) -> tu
     ahead = np.minimum.accumulate(pieces, axis=1).ravel()
     behind = np.minimum.accumulate(pieces[:, ::-1], axis=1)[:, ::-1].ravel()
     windows = n - least + 1
-    place = (np.minimum(behind[:windows], ahead[span - 1 : span - 1 + windows]) & U64((1 << POSITION_BITS) - 1)).astype(np.int64)
-    row = np.zeros(n + 1, np.int64)
-    inner = offsets[(offsets > 0) & (offsets < n)]
-    np.add.at(row, inner, 1)
-    row = np.cumsum(row)
-    inside = row[:windows] == row[least - 1 : least - 1 + windows]
-    at = np.flatnonzero(inside)
-    if not len(at):
-        none = np.zeros(0, np.int64)
-        return none, np.zeros(0, np.uint64), none, none
-    own = place[at]
-    new = np.ones(len(at), bool)
-    new[1:] = (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
-    return own[first], hashes[own[first]], at[first], at[last]
+    place = (np.minimum(behind[:windows], ahead[span - 1 : span - 1 + windows]) & U64((1 << POSITION_BITS) - 1)).astype(np.int32)
+    # strings that cross the end of a row don't count
+    inside = np.ones(windows, bool)
+    for end in offsets[(offsets > 0) & (offsets < n)].tolist():
+        inside[max(end - least + 1, 0) : end] = False
+    new = np.ones(windows, bool)
+    new[1:] = (place[1:] != place[:-1]) | ~inside[:-1]
+    first = np.flatnonzero(new & inside)
+    if not len(first):
+        return None
+    stop = np.flatnonzero(np.append(inside[:-1] & (new[1:] | ~inside[1:]), inside[-1]))
+    own = place[first].astype(np.int64)
+    ends = stop + least
+    with np.errstate(over="ignore"):
+        c = mix(mix((sums[ends] - sums[first]) * down[first]) + (ends - first).astype(np.uint64) * U64(1 << 20) + (own - first).astype(np.uint64))
+    return hashes[own], c & U64((1 << CONTEXT_BITS) - 1), first, stop
+
+
+INDEX = "p int, kind int, entries binary, who binary, docs binary"
+_INDEX_KINDS = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+ENTRY = np.dtype([("rest", "<u4"), ("rest_high", "u1"), ("c", "<u4"), ("c_high", "<u2")])
+HOME, AWAY, LOCAL = 0, 1, 2
+FOUND = "doc long, key long, status int, rid long, start int, stop int"
+REPEAT, VARIANT, HOT = 0, 1, 2
 
 
 def index_anchors(rows: DataFrame, blocks: int, least: int) -> DataFrame:
-    """The packed index of the anchors of ``rows`` (rid, text)."""
+    """The index of the anchors of ``rows`` (rid, doc, text) in packed blocks.
+
+    HOME entries go to their anchor's block; AWAY entries, the further contexts of an anchor that has very
+    many in one slice, to any; LOCAL rows are spans that a slice decides by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
         for batch in arrow_slices(batches, "text", SLICE_BYTES):
-            for start in range(0, batch.num_rows, packed_index.SLICE_NODES):
+            for start in range(0, batch.num_rows, SLICE_ROWS):
                 turn += 1
-                part = batch.slice(start, packed_index.SLICE_NODES)
-                table = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                data, offsets = text_view(part.column(1))
-                place, hashes, _, _ = anchors(data, offsets, least)
-                who = np.searchsorted(offsets, place, side="right") - 1
-                order = np.lexsort((hashes, who))
-                who, hashes = who[order], hashes[order]
-                once = np.ones(len(who), bool)
-                once[1:] = (who[1:] != who[:-1]) | (hashes[1:] != hashes[:-1])
-                ids, own = np.unique(table, return_inverse=True)  # repeated rows are one node
-                who, hashes = own[who[once]], hashes[once]
-                if len(ids) < len(table):
-                    order = np.lexsort((hashes, who))
-                    who, hashes = who[order], hashes[order]
-                    once = np.ones(len(who), bool)
-                    once[1:] = (who[1:] != who[:-1]) | (hashes[1:] != hashes[:-1])
-                    who, hashes = who[once], hashes[once]
-                yield from packed_index.batches_of(packed_index.pack(hashes, who.astype(np.uint16), ids, blocks, turn))
-
-    return rows.mapInArrow(run, packed_index.SCHEMA)
+                made = _index_slice(batch.slice(start, SLICE_ROWS), blocks, turn, least)
+                for i in range(0, len(made), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made[i : i + 64], strict=True), _INDEX_KINDS, strict=True)], [x.split()[0] for x in INDEX.split(", ")])
+                release()
+
+    return rows.mapInArrow(run, INDEX)
+
+
+def _index_slice(batch: pa.RecordBatch, blocks: int, turn: int, least: int) -> list[tuple]:
+    rids, docs = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    found = Anchors(*text_view(batch.column(2)), least)
+    if not len(found.h):
+        return []
+    block, rest, _ = found.keys(blocks)
+    doc = docs[found.row]
+    order = np.lexsort((doc, found.c, rest, block))
+    block, rest, c, doc, row = block[order], rest[order], found.c[order], doc[order], found.row[order]
+    new_anchor = np.ones(len(order), bool)
+    new_anchor[1:] = (rest[1:] != rest[:-1]) | (block[1:] != block[:-1])
+    new = new_anchor.copy()
+    new[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(new)
+    lowest = np.repeat(doc[first], np.diff(np.append(first, len(order))))
+    gone = order[doc > lowest]
+    out = []
+    if len(gone):
+        spans = merge_arrays(rids[found.row[gone]], found.start[gone], found.start[gone] + found.size[gone])
+        out.append((turn % blocks, LOCAL, spans[0].tobytes(), spans[1].astype(np.int32).tobytes(), spans[2].astype(np.int32).tobytes()))
+    # the contexts of each anchor, and anchors that have very many
+    number = np.cumsum(new_anchor[first]) - 1
+    head = np.flatnonzero(new_anchor[first])
+    many = np.diff(np.append(head, len(first)))
+    hot = many[number] > LOCAL_VARIANTS
+    away = hot.copy()
+    away[head] = False
+    edges = np.searchsorted(block[first], np.arange(blocks + 1, dtype=np.uint64))
+    for p in range(blocks):
+        a, b = int(edges[p]), int(edges[p + 1])
+        for kind, chosen in ((HOME, np.flatnonzero(~away[a:b]) + a), (AWAY, np.flatnonzero(away[a:b]) + a)):
+            if not len(chosen):
+                continue
+            at = first[chosen]
+            entries = np.empty(len(at), ENTRY)
+            entries["rest"], entries["rest_high"] = rest[at].astype(np.uint32), rest[at] >> U64(32)
+            entries["c"], entries["c_high"] = c[at].astype(np.uint32), c[at] >> U64(32)
+            used, index = np.unique(row[at], return_inverse=True)
+            who = index.astype(np.uint16) | (hot[chosen].astype(np.uint16) << np.uint16(15))
+            body = np.concatenate([np.array([p], "<u4").view(np.uint8), entries.view(np.uint8)]).tobytes()
+            out.append((p if kind == HOME else (p + turn) % blocks, kind, body, who.tobytes(), docs[used].tobytes()))
+    return out
+
+
+def resolve_index(pdf: pd.DataFrame, blocks: int) -> pd.DataFrame:
+    """What each document has to know: which of its contexts are REPEATs, and which are VARIANTs of anchors
+    with several contexts, HOT where those are very many."""
+    parts: list[tuple[np.ndarray, ...]] = []
+    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    spans = []
+    for kind, entries, who, docs in zip(pdf["kind"], pdf["entries"], pdf["who"], pdf["docs"], strict=True):
+        if kind == LOCAL:
+            spans.append((np.frombuffer(entries, np.int64), np.frombuffer(who, np.int32), np.frombuffer(docs, np.int32)))
+            continue
+        p = np.frombuffer(entries, "<u4", 1)[0]
+        e = np.frombuffer(entries, ENTRY, offset=4)
+        rest = e["rest"].astype(np.uint64) | (e["rest_high"].astype(np.uint64) << U64(32))
+        c = e["c"].astype(np.uint64) | (e["c_high"].astype(np.uint64) << U64(32))
+        own = np.frombuffer(who, np.uint16)
+        doc = np.frombuffer(docs, np.int64)[own & 0x7FFF]
+        block = np.full(len(rest), p, np.uint64)
+        if kind == AWAY:
+            done.append((doc, key_of(block, rest, c, blocks), np.full(len(doc), HOT)))
+        else:
+            parts.append((block, rest, c, doc, own >> 15))
+    if parts:
+        block, rest, c, doc, hot = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((doc, c, rest))
+        block, rest, c, doc, hot = block[order], rest[order], c[order], doc[order], hot[order]
+        new_anchor = np.ones(len(rest), bool)
+        new_anchor[1:] = rest[1:] != rest[:-1]
+        new = new_anchor.copy()
+        new[1:] |= c[1:] != c[:-1]
+        first, head = np.flatnonzero(new), np.flatnonzero(new_anchor)
+        lowest = np.repeat(doc[first], np.diff(np.append(first, len(doc))))
+        of_anchor = np.cumsum(new_anchor) - 1
+        variants = np.add.reduceat(new.astype(np.int64), head)[of_anchor]
+        is_hot = (np.maximum.reduceat(hot, head)[of_anchor] > 0) | (variants > HOT_VARIANTS)
+        status = np.where(doc > lowest, REPEAT, np.where(is_hot, HOT, VARIANT))
+        keep = (doc > lowest) | (new & ((variants > 1) | is_hot))
+        done.append((doc[keep], key_of(block[keep], rest[keep], c[keep], blocks), status[keep]))
+    doc, key, status = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    rid, start, stop = (np.concatenate(x) for x in zip(*spans, strict=True)) if spans else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))
+    none = lambda n: pd.array([None] * n, dtype="Int64")
+    a = pd.DataFrame({"doc": pd.array(doc, dtype="Int64"), "key": pd.array(signed(key), dtype="Int64"), "status": pd.array(status, dtype="Int64"), "rid": none(len(doc)), "start": none(len(doc)), "stop": none(len(doc))})
+    b = pd.DataFrame({"doc": none(len(rid)), "key": none(len(rid)), "status": none(len(rid)), "rid": pd.array(rid, dtype="Int64"), "start": pd.array(start, dtype="Int64"), "stop": pd.array(stop, dtype="Int64")})
+    return pd.concat([x for x in (a, b) if len(x)] or [a])
+
+
+def merge_arrays(rid: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping and touching spans of each row together."""
+    order = np.lexsort((start, rid))
+    rid, start, stop = rid[order], start[order], stop[order]
+    row = np.ones(len(rid), bool)
+    row[1:] = rid[1:] != rid[:-1]
+    number = np.cumsum(row)
+    reach = np.maximum.accumulate(stop + number * (1 << 40)) - number * (1 << 40)  # the furthest stop so far in the row
+    new = row.copy()
+    new[1:] |= start[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    return rid[first], start[first], reach[np.append(first[1:], len(rid)) - 1]
 
 
 SPANS = "rid long, start int, stop int, print1 long, print2 long, doc long"
-_SPAN_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 BLOB = "p int, kind int, hashes binary, docs binary, rids binary, starts binary, sizes binary, hot binary, bytes binary"
 _BLOB_KINDS = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
 CONTEXTS, DECIDED = 0, 1
 
 
 def pack_contexts(asked: DataFrame, index_blocks: int, blocks: int, least: int) -> DataFrame:
-    """Blocks of contexts by anchor, and spans that a task can decide by itself, from (rid, doc, text,
-    hashes, hots): the repeated anchors of each document."""
+    """Blocks of the variants' contexts by anchor, and the repeats' spans, from (rid, doc, text, keys,
+    statuses), the texts squeezed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
-        for batch in arrow_slices(batches, "text", SLICE_BYTES // 4):
-            turn += 1
-            rids = batch.column(0).to_numpy(zero_copy_only=False)
-            docs = batch.column(1).to_numpy(zero_copy_only=False)
-            data, offsets = text_view(batch.column(2))
-            place, hashes, first, last = anchors(data, offsets, least)
-            hashes = packed_index.kept_hash(hashes, index_blocks)
-            who = np.searchsorted(offsets, place, side="right") - 1
-            # which of them are asked for: (row, hash) pairs, through one sorted list
-            lists = batch.column(3)
-            wanted = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            hot = batch.column(4).flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            key = mix(wanted ^ mix(owner.astype(np.uint64)))
-            order = np.argsort(key)
-            key, hot = key[order], hot[order]
-            mine = mix(hashes ^ mix(who.astype(np.uint64)))
-            at = np.minimum(np.searchsorted(key, mine), max(len(key) - 1, 0))
-            keep = np.flatnonzero(key[at] == mine) if len(key) else np.zeros(0, np.int64)
-            if not len(keep):
-                continue
-            raw = data.tobytes()
-            # of equal contexts in this slice the least document stands for the others
-            best: dict[tuple[int, bytes], int] = {}
-            stays: dict[tuple[int, bytes], list[int]] = {}
-            decided: list[tuple[int, int, int]] = []
-            starts = (first - offsets[who]).tolist()
-            span = (last - first + least).tolist()
-            hash_list, who_list, first_list = hashes.tolist(), who.tolist(), first.tolist()
-            doc_list, rid_list = docs.tolist(), rids.tolist()
-            gone = lambda i: (rid_list[who_list[i]], starts[i], starts[i] + span[i])
-            for i in keep.tolist():
-                own = (hash_list[i], raw[first_list[i] : first_list[i] + span[i]])
-                doc = doc_list[who_list[i]]
-                least_doc = best.get(own)
-                if least_doc is None or doc < least_doc:
-                    if least_doc is not None:
-                        decided += map(gone, stays[own])
-                    best[own], stays[own] = doc, [i]
-                elif doc == least_doc:
-                    stays[own].append(i)
-                else:
-                    decided.append(gone(i))
-            chosen = np.array(sorted(i for own in stays.values() for i in own), np.int64)
-            is_hot = hot[at[chosen]]
-            block = (hashes[chosen] % U64(blocks)).astype(np.int64)
-            block = np.where(is_hot, (block + docs[who[chosen]]) % blocks, block)
-            order = np.argsort(block, kind="stable")
-            chosen, is_hot, block = chosen[order], is_hot[order], block[order]
-            cuts = np.searchsorted(block, np.arange(blocks + 1))
-            rows = []
-            for p in range(blocks):
-                a, b = int(cuts[p]), int(cuts[p + 1])
-                if a == b:
-                    continue
-                own = chosen[a:b]
-                rows.append((p, CONTEXTS, hashes[own].tobytes(), docs[who[own]].tobytes(), rids[who[own]].tobytes(), np.array([starts[i] for i in own], np.int32).tobytes(), np.array([span[i] for i in own], np.int32).tobytes(), is_hot[a:b].astype(np.uint8).tobytes(), b"".join(raw[first_list[i] : first_list[i] + span[i]] for i in own.tolist())))
-            if decided:
-                d = np.array(merged(decided), np.int64).reshape(-1, 3)
-                rows.append((turn % blocks, DECIDED, b"", b"", d[:, 0].copy().tobytes(), d[:, 1].astype(np.int32).tobytes(), d[:, 2].astype(np.int32).tobytes(), b"", b""))
-            for i in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 64], strict=True), _BLOB_KINDS, strict=True)], [x.split()[0] for x in BLOB.split(", ")])
+        for batch in batches:
+            for start in range(0, batch.num_rows, AT_ONCE):
+                turn += 1
+                rows = _pack_contexts(batch.slice(start, AT_ONCE), index_blocks, blocks, turn, least)
+                for i in range(0, len(rows), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 64], strict=True), _BLOB_KINDS, strict=True)], [x.split()[0] for x in BLOB.split(", ")])
+                release()
 
     return asked.mapInArrow(run, BLOB)
 
 
+def _pack_contexts(batch: pa.RecordBatch, index_blocks: int, blocks: int, turn: int, least: int) -> list[tuple]:
+    rids, docs = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    data, offsets = text_view(expand(batch.column(2)))
+    found = Anchors(data, offsets, least)
+    block, rest, key = found.keys(index_blocks)
+    # which of them are asked for: (row, key) pairs, through one sorted list
+    lists = batch.column(3)
+    wanted = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    status = batch.column(4).flatten().to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+    asked = mix(wanted ^ mix(owner.astype(np.uint64)))
+    order = np.argsort(asked)
+    asked, status = asked[order], status[order]
+    mine = mix(key ^ mix(found.row.astype(np.uint64)))
+    at = np.minimum(np.searchsorted(asked, mine), max(len(asked) - 1, 0))
+    hit = asked[at] == mine if len(asked) else np.zeros(len(mine), bool)
+    gone = np.flatnonzero(hit & (status[at] == REPEAT))
+    rows = []
+    if len(gone):
+        spans = merge_arrays(rids[found.row[gone]], found.start[gone], found.start[gone] + found.size[gone])
+        rows.append((turn % blocks, DECIDED, b"", b"", spans[0].tobytes(), spans[1].astype(np.int32).tobytes(), spans[2].astype(np.int32).tobytes(), b"", b""))
+    chosen = np.flatnonzero(hit & (status[at] != REPEAT))
+    is_hot = status[at[chosen]] == HOT
+    anchor = rest[chosen] * U64(index_blocks) + block[chosen]
+    target = (mix(anchor) % U64(blocks)).astype(np.int64)
+    target = np.where(is_hot, (target + docs[found.row[chosen]]) % blocks, target)
+    order = np.argsort(target, kind="stable")
+    chosen, is_hot, target, anchor = chosen[order], is_hot[order], target[order], anchor[order]
+    cuts = np.searchsorted(target, np.arange(blocks + 1))
+    raw = data.tobytes()
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
+        a, b = int(cuts[p]), int(cuts[p + 1])
+        own = chosen[a:b]
+        body = b"".join(raw[s : s + n] for s, n in zip(found.first[own].tolist(), found.size[own].tolist(), strict=True))
+        rows.append((p, CONTEXTS, anchor[a:b].tobytes(), docs[found.row[own]].tobytes(), rids[found.row[own]].tobytes(), found.start[own].astype(np.int32).tobytes(), found.size[own].astype(np.int32).tobytes(), is_hot[a:b].astype(np.uint8).tobytes(), body))
+    return rows
+
+
 def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Overlapping and touching spans of each row together."""
     out: list[list[int]] = []
@@ -342,29 +444,30 @@ def resolve(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
                     one, two = int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
                     open_ += [(r, s + k, s + k + least, one, two, doc) for r, s in stays[own]]
         i = j
+        release()
     rows = [(*x, None, None, None) for x in merged(spans)] + open_
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
     return pd.DataFrame({name.split()[0]: pd.array(list(c), dtype="Int64") for name, c in zip(SPANS.split(", "), columns, strict=True)})
 
 
 def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, n_removed, n_spans, kept_sha256) from (rid, text, spans)."""
-    for batch in arrow_slices(batches):
-        data, offsets = text_view(batch.column(1))
-        raw = data.tobytes()
-        out = []
-        for i, spans in enumerate(batch.column(2).to_pylist()):
-            start, stop = int(offsets[i]), int(offsets[i + 1])
-            own = merged([(0, s["start"], s["stop"]) for s in spans])
-            kept, done, removed = hashlib.sha256(), start, 0
-            for _, a, b in own:
-                kept.update(raw[done : start + a])
-                done = start + b
-                removed += b - a
-            kept.update(raw[done:stop])
-            out.append((removed, len(own), kept.hexdigest()))
-        kinds = [pa.int64(), pa.int64(), pa.string()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], ["rid", "n_removed", "n_spans", "kept_sha256"])
+    """(rid, n_removed, n_spans, kept_sha256) from (rid, text, spans), the texts squeezed."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, AT_ONCE):
+            batch = whole.slice(at, AT_ONCE)
+            out = []
+            for text, spans in zip(expand(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                raw = text.as_py()
+                own = merged([(0, s["start"], s["stop"]) for s in spans])
+                kept, done, removed = hashlib.sha256(), 0, 0
+                for _, a, b in own:
+                    kept.update(raw[done:a])
+                    done = b
+                    removed += b - a
+                kept.update(raw[done:])
+                out.append((removed, len(own), kept.hexdigest()))
+            kinds = [pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], ["rid", "n_removed", "n_spans", "kept_sha256"])
 
 
 def removal_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -373,19 +476,20 @@ def removal_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     keyed = rows.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc"), "text").where(F.octet_length("text") >= least)
     total = keyed.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     index_blocks = max(LEAST_BLOCKS, total // (10 * BLOCK_ANCHORS))
-    index = index_anchors(keyed.select("rid", "text"), index_blocks, least)
-    found = index.groupBy("p").applyInPandas(lambda pdf: packed_index.unpack(pdf, index_blocks), packed_index.MEMBERS)
-    members = cut(found.select(F.col("node").alias("rid"), "hash", (F.col("df") > HOT_DOCS).alias("hot")), "anchors")
-    blocks = max(LEAST_BLOCKS, members.count() // BLOCK_CONTEXTS)
-    by_doc = members.groupBy("rid").agg(F.collect_list(F.struct("hash", "hot")).alias("own")).select("rid", F.col("own.hash").alias("hashes"), F.col("own.hot").alias("hots"))
-    some = maybe_in(keyed.withColumnRenamed("rid", "key"), members.select(F.col("rid").alias("key")).distinct()).withColumnRenamed("key", "rid").dropDuplicates(["rid"])
-    asked = some.join(by_doc, "rid").select("rid", "doc", "text", "hashes", "hots")
+    index = index_anchors(keyed, index_blocks, least)
+    found = cut(index.groupBy("p").applyInPandas(lambda pdf: resolve_index(pdf, index_blocks), FOUND), "anchors")
+    asked_for = found.where("key IS NOT NULL")
+    blocks = max(LEAST_BLOCKS, asked_for.where(F.col("status") != REPEAT).count() // BLOCK_CONTEXTS)
+    by_doc = asked_for.groupBy("doc").agg(F.collect_list(F.struct("key", "status")).alias("own")).select("doc", F.col("own.key").alias("keys"), F.col("own.status").alias("statuses"))
+    some = maybe_in(keyed.withColumn("key", F.xxhash64("doc")), asked_for.select("doc").distinct().select(F.xxhash64("doc").alias("key"))).drop("key").dropDuplicates(["rid"])
+    asked = some.join(by_doc, "doc").select("rid", "doc", "text", "keys", "statuses")
     resolved = cut(pack_contexts(asked, index_blocks, blocks, least).groupBy("p").applyInPandas(lambda pdf: resolve(pdf, least), SPANS), "spans")
     decided = resolved.where("doc IS NULL").select("rid", "start", "stop")
+    local = found.where("key IS NULL").select("rid", "start", "stop")
     undecided = resolved.where("doc IS NOT NULL")
     lowest = undecided.groupBy("print1", "print2").agg(F.min("doc").alias("lowest"), F.max("doc").alias("highest")).where("lowest < highest")
     late = undecided.join(lowest, ["print1", "print2"]).where("lowest < doc").select("rid", "start", "stop")
-    return decided.unionByName(late)
+    return decided.unionByName(local).unionByName(late)
 
 
 def deduplicate(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -394,7 +498,7 @@ def deduplicate(docs: DataFrame, least: int = LEAST) -> DataFrame:
     spans = removal_spans(docs, least).groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     spans = cut(spans, "spans-by-document")
     some = maybe_in(rows.where(F.col("doc_id").isNotNull()).select(F.col("rid").alias("key"), "text"), spans.select(F.col("rid").alias("key"))).withColumnRenamed("key", "rid")
-    changed = cut(some.dropDuplicates(["rid"]).join(spans, "rid").select("rid", "text", "spans").mapInArrow(remove, "rid long, n_removed long, n_spans long, kept_sha256 string"), "changed")
+    changed = cut(some.join(spans, "rid").select("rid", "text", "spans").mapInArrow(remove, "rid long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["rid"]), "changed")
     raw = F.col("text").cast("binary")
     whole = rows.select("doc_id", "rid", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("sha"), F.col("doc_id").isNull().alias("alone"))
     joined = whole.join(changed, "rid", "left")
