@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweft.llm import packed_index
-from chronoweft.llm.common import U64, arrow_slices, cut, expand, hash_runs, hash_words, maybe_in, mix, row_blocks, signed, text_view, texts
+from chronoweft.llm.common import U64, arrow_slices, cut, expand, hash_runs, hash_words, maybe_in, mix, release, row_blocks, signed, text_view, texts
 from chronoweft.llm.components import components
 
 SHINGLE = 5
@@ -175,6 +175,7 @@ def pack_hashes(docs: DataFrame, blocks: int) -> DataFrame:
             for start in range(0, batch.num_rows, packed_index.SLICE_NODES):
                 turn += 1
                 yield from packed_index.batches_of(_pack_slice(batch.slice(start, packed_index.SLICE_NODES), blocks, turn))
+                release()
 
     return rows.mapInArrow(run, packed_index.SCHEMA)
 
@@ -254,6 +255,7 @@ class Verifier:
                         if 100 * both >= percent * (a + b - both):
                             keep.append(i)
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), part.column(1).take(pa.array(keep, pa.int64()))], ["u", "v"])
+                release()
 
         return cut(joined.mapInArrow(run, "u long, v long"), "links")
 

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from chronoweft.llm.common import U64, signed
+from chronoweft.llm.common import U64, release, signed
 
 SLICE_NODES = 1 << 14
 KEPT_BITS = 48
@@ -115,4 +115,5 @@ def unpack(pdf: pd.DataFrame, blocks: int) -> pd.DataFrame:
     if not out:
         return pd.DataFrame({"hash": [], "node": [], "hub": [], "flag": [], "df": []}).astype({"flag": "int32"})
     columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+    release()
     return pd.DataFrame({"hash": signed(columns[0]), "node": signed(columns[1]), "hub": signed(columns[2]), "flag": columns[3].astype(np.int32), "df": columns[4]})

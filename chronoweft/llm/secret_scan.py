@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chronoweft.llm.common import row_blocks, text_view, texts
+from chronoweft.llm.common import bounded_batches, row_blocks, text_view, texts
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(rb"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -257,4 +257,4 @@ def mask_secrets(docs: DataFrame, min_log10: float = 10.0, min_length: int = 8)
                 batch = pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import cut, shared_path
+from chronoweft.llm.common import bounded_batches, cut, shared_path
 
 ROLL_BYTES = 64 << 20
 SHARD_BYTES = 128 << 20
@@ -149,7 +149,7 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = 0, roll_b
     rows = pages.select("page_id", F.lit(1).alias("kind"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.lit(None).cast(kind).alias("target")).unionByName(
         revisits.select("page_id", F.lit(0).alias("kind"), F.lit("").alias("url"), F.col("digest").alias("html"), "target")
     )
-    sorted_rows = rows.repartitionByRange(shards, "page_id").sortWithinPartitions("page_id", "kind", "url", "html")
+    sorted_rows = bounded_batches(rows).repartitionByRange(shards, "page_id").sortWithinPartitions("page_id", "kind", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, found = None, []
