@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweft.functions.stats import seconds_between, sql_statistics, statistics
-from chronoweft.operators import relations
-from chronoweft.plans import vql
+from chronoweft.operators import ordering, performance, projection, relations, variants
+from chronoweft.plans import variant_tree, vql
 from chronoweft.sources import logs
 from chronoweft.sources.logs import SQL_VIEWS, VIEWS
 
@@ -161,3 +161,186 @@ def case_duration_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the first start to the last end of each case."""
     log = logs.lineitem_log(spark, sf_dir)
     return log.groupBy("case_id").agg(seconds_between(F.min("start_ts"), F.max("end_ts")).alias("x")).agg(*statistics("x", 3))
+
+
+# Variants
+
+SEQ = "seq AS (SELECT case_id, string_agg(activity, ',' ORDER BY pos) AS variant FROM e GROUP BY case_id)"
+for _view in ("li", "user", "ord", "conv"):
+    query(f"WITH {SQL_VIEWS[_view]}, {SEQ} SELECT variant, count(*) AS n_cases FROM seq GROUP BY variant", f"sequence_variants_{_view}")(lambda spark, sf_dir, v=_view: variants.sequence_variants(VIEWS[v](spark, sf_dir)))
+    query(
+        f"""WITH {SQL_VIEWS[_view]}, m AS (SELECT *, coalesce((lag(activity) OVER w <> activity)::INT, 1) AS fresh FROM e WINDOW w AS (PARTITION BY case_id ORDER BY pos)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY case_id ORDER BY pos) AS run FROM m),
+g AS (SELECT case_id, run, min(activity) || CASE WHEN count(*) > 1 THEN '*' ELSE '' END AS p FROM r GROUP BY case_id, run),
+s AS (SELECT case_id, string_agg(p, ',' ORDER BY run) AS variant FROM g GROUP BY case_id)
+SELECT variant, count(*) AS n_cases FROM s GROUP BY variant""",
+        f"collapsed_variants_{_view}",
+    )(lambda spark, sf_dir, v=_view: variants.collapsed_sequences(VIEWS[v](spark, sf_dir)))
+
+SUB = """numbered AS (SELECT *, activity || '#' || (row_number() OVER (PARTITION BY case_id, activity ORDER BY s, t, pos) - 1) AS name FROM e),
+marks AS (SELECT case_id, s AS ts, name || 's' AS ev FROM numbered UNION ALL SELECT case_id, t, name || 'c' FROM numbered),
+steps AS (SELECT case_id, ts, string_agg(ev, '+' ORDER BY ev) AS step FROM marks GROUP BY case_id, ts),
+whole AS (SELECT case_id, string_agg(step, '|' ORDER BY ts) AS subvariant FROM steps GROUP BY case_id)"""
+for _view in ("li", "ev"):
+    query(f"WITH {SQL_VIEWS[_view]}, {SUB} SELECT subvariant, count(*) AS n_cases FROM whole GROUP BY subvariant", f"detailed_subvariants_{_view}")(lambda spark, sf_dir, v=_view: variants.subvariants(VIEWS[v](spark, sf_dir)))
+
+
+@query()
+def concurrency_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(logs.lineitem_log(spark, sf_dir))
+
+
+@query()
+def concurrency_variants_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(logs.event_log(spark, sf_dir))
+
+
+@query()
+def collapsed_concurrency_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(logs.event_log(spark, sf_dir), change=variant_tree.collapse)
+
+
+# A sequence is a variant without parallels, so its variants are those of the flat query
+@query(f"""WITH {SQL_VIEWS['conv']}, g AS (SELECT case_id, string_agg(activity, ', ' ORDER BY pos) AS v, count(*) AS n FROM e GROUP BY case_id),
+n AS (SELECT case_id, CASE WHEN n = 1 THEN v ELSE '→(' || v || ')' END AS variant FROM g)
+SELECT variant, count(*) AS n_cases FROM n GROUP BY variant""")
+def concurrency_variants_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(logs.conversation_log(spark, sf_dir)).select("variant", "n_cases")
+
+
+@query()
+def sequentialisations_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.with_sequentialisations(variants.variants(logs.conversation_log(spark, sf_dir)))
+
+
+@query(f"WITH {SQL_VIEWS['ev']}, b AS (SELECT case_id, min(s) AS s, max(t) AS t, max(pos) AS n FROM e GROUP BY case_id) SELECT case_id, pos + 1 AS pos, activity, s AS start_ts, t AS end_ts FROM e UNION ALL SELECT case_id, 1, '▶', s, s FROM b UNION ALL SELECT case_id, n + 2, '■', t, t FROM b")
+def artificial_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.add_borders(logs.event_log(spark, sf_dir))
+
+
+# Performance
+
+MERGED = """m AS (SELECT *, coalesce((s > max(t) OVER (PARTITION BY case_id ORDER BY s, t, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INT, 1) AS fresh FROM e),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY case_id ORDER BY s, t, pos) AS span FROM m),
+merged AS (SELECT case_id, min(s) AS start_ts, max(t) AS end_ts FROM r GROUP BY case_id, span)"""
+query(f"WITH {SQL_VIEWS['li']}, {MERGED} SELECT * FROM merged", "merged_service_times")(lambda spark, sf_dir: performance.merged_service(logs.lineitem_log(spark, sf_dir)))
+query(f"WITH {SQL_VIEWS['li']}, {MERGED}, g AS (SELECT case_id, end_ts AS start_ts, lead(start_ts) OVER (PARTITION BY case_id ORDER BY start_ts) AS end_ts FROM merged) SELECT * FROM g WHERE end_ts IS NOT NULL", "idle_times")(
+    lambda spark, sf_dir: performance.idle_times(logs.lineitem_log(spark, sf_dir))
+)
+query(f"WITH {SQL_VIEWS['li']}, {MERGED}, c AS (SELECT case_id, epoch(max(end_ts) - min(start_ts)) AS cycle, sum(epoch(end_ts - start_ts)) AS service FROM merged GROUP BY case_id) SELECT *, cycle - service AS idle FROM c", "cycle_times")(
+    lambda spark, sf_dir: performance.cycle_times(logs.lineitem_log(spark, sf_dir))
+)
+
+
+@query()
+def node_service_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return performance.service_times(performance.node_times(logs.lineitem_log(spark, sf_dir)), 3)
+
+
+@query(f"WITH {SQL_VIEWS['conv']}, w AS (SELECT case_id, pos, s - lag(t) OVER (PARTITION BY case_id ORDER BY pos) AS wait FROM e) SELECT case_id, pos AS node, wait::DOUBLE AS wait FROM w WHERE wait IS NOT NULL")
+def sequence_waits_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return performance.sequence_waits(performance.node_times(logs.conversation_log(spark, sf_dir))).select("case_id", "node", "wait")
+
+
+@query()
+def sequence_waits_li(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return performance.sequence_waits(performance.node_times(logs.lineitem_log(spark, sf_dir)))
+
+
+@query()
+def parallel_waits_li(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return performance.parallel_waits(performance.node_times(logs.lineitem_log(spark, sf_dir)))
+
+
+@query(f"""WITH {SQL_VIEWS['li']}, numbered AS (SELECT *, activity || '#' || (row_number() OVER (PARTITION BY case_id, activity ORDER BY s, t, pos) - 1) AS name FROM e),
+marks AS (SELECT case_id, s AS ts, name, 's' AS k FROM numbered UNION ALL SELECT case_id, t, name, 'c' FROM numbered),
+steps AS (SELECT case_id, ts, list(name ORDER BY name) FILTER (k = 's') AS starts, list(name ORDER BY name) FILTER (k = 'c') AS ends FROM marks GROUP BY case_id, ts),
+w AS (SELECT case_id, row_number() OVER o AS step, ts, starts, lag(ts) OVER o AS was, lag(ends) OVER o AS ended FROM steps WINDOW o AS (PARTITION BY case_id ORDER BY ts)),
+u AS (SELECT case_id, step, epoch(ts - was) AS wait, CASE WHEN len(starts) >= len(ended) THEN list_transform(starts, lambda x: {{'f': ended[1], 't': x}}) ELSE list_transform(ended, lambda x: {{'f': x, 't': starts[1]}}) END AS p
+  FROM w WHERE len(starts) > 0 AND len(ended) > 0), x AS (SELECT case_id, step, wait, unnest(p) AS q FROM u)
+SELECT case_id, step, q.f AS from_name, q.t AS to_name, wait FROM x""")
+def subvariant_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return performance.subvariant_waits(logs.lineitem_log(spark, sf_dir))
+
+
+# Projection and local measures
+
+KEPT = ["AF", "RO"]
+IN = "('AF', 'RO')"
+query(f"WITH {SQL_VIEWS['li']} SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY pos) AS pos, activity, pos AS orig_pos FROM e WHERE activity IN {IN}", "projected_log")(
+    lambda spark, sf_dir: projection.project(logs.lineitem_log(spark, sf_dir), KEPT).select("case_id", "pos", "activity", "orig_pos")
+)
+query(
+    f"""WITH {SQL_VIEWS['li']}, k AS (SELECT case_id, pos, activity, lag(pos) OVER (PARTITION BY case_id ORDER BY pos) AS before FROM e WHERE activity IN {IN}),
+f AS (SELECT case_id, pos, 1 AS k, activity FROM k UNION ALL SELECT case_id, pos, 0, '...' FROM k WHERE pos > before + 1)
+SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY pos, k) AS pos, activity FROM f""",
+    "projected_log_with_skips",
+)(lambda spark, sf_dir: projection.project_with_skips(logs.lineitem_log(spark, sf_dir), KEPT))
+query(f"WITH {SQL_VIEWS['li']} SELECT sum((activity IN {IN})::INT) / count(*) AS coverage FROM e", "coverage")(lambda spark, sf_dir: projection.coverage(logs.lineitem_log(spark, sf_dir), KEPT))
+query(f"WITH {SQL_VIEWS['li']}, r AS (SELECT case_id, max(pos) - min(pos) AS r FROM e WHERE activity IN {IN} GROUP BY case_id) SELECT avg(r) AS mean_range, min(r) AS min_range, max(r) AS max_range FROM r", "fragment_range")(
+    lambda spark, sf_dir: projection.fragment_range(logs.lineitem_log(spark, sf_dir), KEPT)
+)
+FRAGMENTS = f"""{SQL_VIEWS['li']}, two AS (SELECT case_id, activity AS a, lead(activity) OVER (PARTITION BY case_id ORDER BY pos) AS b FROM e),
+fragments AS (SELECT case_id, sum((a = 'AF' AND coalesce(b, '') = 'RO')::INT) AS ordered, least(sum((a = 'AF')::INT), sum((a = 'RO')::INT)) AS unordered FROM two GROUP BY case_id)"""
+query(f"WITH {FRAGMENTS} SELECT * FROM fragments", "fragment_counts")(lambda spark, sf_dir: projection.fragment_counts(logs.lineitem_log(spark, sf_dir), KEPT))
+query(f"WITH {FRAGMENTS} SELECT sum(ordered) / (sum(ordered) + 1) AS support_tax, sum((ordered > 0)::INT) / count(*) AS support_trans, least(sum(ordered) / count(*), 1.0) AS support_occ FROM fragments", "lpm_support")(
+    lambda spark, sf_dir: projection.support_measures(projection.fragment_counts(logs.lineitem_log(spark, sf_dir), KEPT).withColumnRenamed("ordered", "occurrences"))
+)
+query(
+    f"""WITH {SQL_VIEWS['li']}, n AS (SELECT activity, count(*) AS n FROM e WHERE activity IN {IN} GROUP BY activity),
+two AS (SELECT activity AS a, lead(activity) OVER (PARTITION BY case_id ORDER BY pos) AS b FROM e), k AS (SELECT count(*) AS k FROM two WHERE a = 'AF' AND b = 'RO')
+SELECT round(count(*) / sum(1 / greatest(k / n, 0.001)), 9) AS confidence FROM n, k""",
+    "lpm_confidence",
+)(
+    lambda spark, sf_dir: projection.confidence(
+        logs.lineitem_log(spark, sf_dir),
+        projection.fragment_counts(logs.lineitem_log(spark, sf_dir), KEPT).select(F.explode(F.flatten(F.array_repeat(F.array(*map(F.lit, KEPT)), F.col("ordered")))).alias("activity")),
+        KEPT,
+    ).select(F.round("confidence", 9).alias("confidence"))
+)
+query(f"WITH {SQL_VIEWS['li']} SELECT case_id, activity, count(*) AS n FROM e GROUP BY case_id, activity", "label_vectors")(lambda spark, sf_dir: projection.label_vectors(logs.lineitem_log(spark, sf_dir)))
+query(f"WITH {SQL_VIEWS['user']}, x AS (SELECT case_id, activity, pos AS first_pos, lead(pos) OVER (PARTITION BY case_id, activity ORDER BY pos) AS next_pos FROM e) SELECT * FROM x WHERE next_pos IS NOT NULL", "repetition_pairs")(
+    lambda spark, sf_dir: projection.repetition_pairs(logs.user_log(spark, sf_dir))
+)
+for _k in (2, 3):
+    for _occ in (True, False):
+        _parts = ", ".join(f"lead(activity, {i}) OVER w AS a{i}" for i in range(_k))
+        query(
+            f"WITH {SQL_VIEWS['user']}, x AS (SELECT case_id, {_parts} FROM e WINDOW w AS (PARTITION BY case_id ORDER BY pos)), p AS (SELECT case_id, {' || chr(44) || '.join(f'a{i}' for i in range(_k))} AS pattern FROM x WHERE a{_k - 1} IS NOT NULL) SELECT pattern, count({'*' if _occ else 'DISTINCT case_id'}) AS support FROM p GROUP BY pattern HAVING count({'*' if _occ else 'DISTINCT case_id'}) >= 20",
+            f"frequent_sublists_k{_k}_{'occurrence' if _occ else 'transaction'}",
+        )(lambda spark, sf_dir, k=_k, o=_occ: projection.frequent_sublists(logs.user_log(spark, sf_dir), k, 20, o))
+
+# Ordering
+
+CODED = f"""{SQL_VIEWS['conv']}, {SEQ}, v AS (SELECT variant, count(*) AS n_cases FROM seq GROUP BY variant),
+labels AS (SELECT label, chr(CAST(dense_rank() OVER (ORDER BY label) + 47 AS INTEGER)) AS c FROM (SELECT DISTINCT unnest(string_split(variant, ',')) AS label FROM v)),
+coded AS (SELECT variant, n_cases, (SELECT string_agg(l.c, '' ORDER BY i) FROM (SELECT unnest(string_split(variant, ',')) AS label, generate_subscripts(string_split(variant, ','), 1) AS i) u JOIN labels l USING (label)) AS code FROM v),
+lev AS (SELECT a.variant AS candidate, sum(levenshtein(a.code, b.code) * b.n_cases)::DOUBLE AS score FROM coded a, coded b GROUP BY a.variant),
+missing AS (SELECT variant AS candidate, (SELECT count(DISTINCT x) FROM unnest(string_split(variant, ',')) u(x) WHERE x NOT IN ('user'))::DOUBLE AS score FROM v),
+lev_ranks AS (SELECT *, row_number() OVER (ORDER BY score, candidate) AS rank FROM lev), missing_ranks AS (SELECT *, row_number() OVER (ORDER BY score, candidate) AS rank FROM missing),
+fused AS (SELECT candidate, (l.rank * 0.7 + m.rank * 0.3)::DOUBLE AS score FROM lev_ranks l JOIN missing_ranks m USING (candidate))"""
+
+
+def _conv_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.sequence_variants(logs.conversation_log(spark, sf_dir))
+
+
+@query(f"WITH {CODED} SELECT * FROM lev_ranks")
+def levenshtein_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.ranked(ordering.levenshtein_scores(_conv_variants(spark, sf_dir)))
+
+
+@query(f"WITH {CODED} SELECT * FROM missing_ranks")
+def missing_activity_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.ranked(ordering.missing_activity_scores(_conv_variants(spark, sf_dir), ["user"]))
+
+
+@query(f"WITH {CODED} SELECT candidate, round(score, 6) AS score FROM fused")
+def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = [levenshtein_order(spark, sf_dir), missing_activity_order(spark, sf_dir)]
+    return ordering.fused(ranks, [0.7, 0.3]).select("candidate", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {CODED} SELECT * FROM lev_ranks WHERE rank <= greatest(1, ceil(0.1 * (SELECT count(*) FROM lev_ranks)))")
+def rate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.rate_filter(levenshtein_order(spark, sf_dir), 0.1)
