@@ -281,7 +281,7 @@ query(f"WITH {SQL_VIEWS['li']}, r AS (SELECT case_id, max(pos) - min(pos) AS r F
     lambda spark, sf_dir: projection.fragment_range(logs.lineitem_log(spark, sf_dir), KEPT)
 )
 FRAGMENTS = f"""{SQL_VIEWS['li']}, two AS (SELECT case_id, activity AS a, lead(activity) OVER (PARTITION BY case_id ORDER BY pos) AS b FROM e),
-fragments AS (SELECT case_id, sum((a = 'AF' AND coalesce(b, '') = 'RO')::INT) AS ordered, least(sum((a = 'AF')::INT), sum((a = 'RO')::INT)) AS unordered FROM two GROUP BY case_id)"""
+fragments AS (SELECT case_id, sum((a = 'AF' AND coalesce(b, '') = 'RO')::INT)::INT AS ordered, least(sum((a = 'AF')::INT), sum((a = 'RO')::INT))::INT AS unordered FROM two GROUP BY case_id)"""
 query(f"WITH {FRAGMENTS} SELECT * FROM fragments", "fragment_counts")(lambda spark, sf_dir: projection.fragment_counts(logs.lineitem_log(spark, sf_dir), KEPT))
 query(f"WITH {FRAGMENTS} SELECT sum(ordered) / (sum(ordered) + 1) AS support_tax, sum((ordered > 0)::INT) / count(*) AS support_trans, least(sum(ordered) / count(*), 1.0) AS support_occ FROM fragments", "lpm_support")(
     lambda spark, sf_dir: projection.support_measures(projection.fragment_counts(logs.lineitem_log(spark, sf_dir), KEPT).withColumnRenamed("ordered", "occurrences"))
