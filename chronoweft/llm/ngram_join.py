@@ -231,10 +231,11 @@ class Verifier:
         found = some.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, node long, text binary")
         return found.join(wanted, ["doc_id", "node"]).dropDuplicates(["doc_id", "node"]).select("node", "text")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) whose sets are similar enough."""
+    def links(self, pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """The pairs (u, v) whose sets are similar enough; ``known``: (node, text) of their nodes, squeezed."""
         percent = self.percent
-        known = cut(self.texts_of(pairs), "node-texts")
+        if known is None:
+            known = cut(self.texts_of(pairs), "node-texts")
         of = lambda name: known.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
         joined = pairs.select("u", "v").join(of("v"), "v").join(of("u"), "u").select("u", "v", "text_u", "text_v")
 
@@ -260,6 +261,26 @@ class Verifier:
         return cut(joined.mapInArrow(run, "u long, v long"), "links")
 
 
+def shareable(known: DataFrame, blocks: int) -> DataFrame:
+    """(node, shareable): how many of a node's shingles some other node of ``known`` has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, AT_ONCE):
+                turn += 1
+                part = batch.slice(start, AT_ONCE)
+                sets = list(shingle_sets(*text_view(expand(part.column(1)))))
+                who = np.repeat(np.arange(len(sets)), [len(x) for x in sets]).astype(np.uint16)
+                table = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                yield from packed_index.batches_of(packed_index.pack(np.concatenate([*sets, np.zeros(0, np.uint64)]), who, table, blocks, turn))
+                release()
+
+    packed = known.select("node", "text").mapInArrow(run, packed_index.SCHEMA)
+    counted = packed.groupBy("p").applyInPandas(lambda pdf: packed_index.count_shared(pdf), "node long, shared long")
+    return counted.groupBy("node").agg(F.sum("shared").alias("shareable"))
+
+
 def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """``pairs`` with root_u and root_v; a node without links is its own root."""
     of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
@@ -329,19 +350,25 @@ def similar_classes(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, Data
         .select("hash", "node", "flag", "n", F.greatest(F.col("spare") + 1 - F.coalesce("ignored", F.lit(0)), F.lit(1)).alias("least_shared")),
         "active",
     )
+    # A link takes 4/9 of both sets' sizes in common, and shingles that no other such set has are in none
+    asked = active.select("node").distinct()
+    known = cut(verifier.texts_of(asked.select(F.col("node").alias("u"), F.col("node").alias("v"))), "node-texts")
+    held = asked.join(classes.select("node", "n"), "node").agg(F.sum("n").alias("n")).first()["n"] or 0
+    common = shareable(known, max(LEAST_BLOCKS, held // (2 * BLOCK_HASHES)))
+    active = cut(active.join(common, "node").where(f"100 * shareable >= {percent} * n"), "active")
     crossing, pairs = _crossing(active, roots)
     if pairs > MANY_PAIRS * max(active.select("node").distinct().count(), 1):  # other hubs join most of what the first didn't
         hub = crossing.groupBy("hash").agg(F.min_by("node", F.xxhash64("node")).alias("u"))
         more = crossing.join(hub, "hash").select("u", F.col("node").alias("v")).where("u <> v").distinct()
         more = cut(_rooted(more, roots).where("root_u <> root_v").select("u", "v").join(tried, ["u", "v"], "left_anti"), "pairs")
         tried = cut(tried.unionByName(more), "tried")
-        links = cut(links.unionByName(verifier.links(more)), "links")
+        links = cut(links.unionByName(verifier.links(more, known)), "links")
         roots = cut(components(links), "roots")
         crossing, pairs = _crossing(active, roots)
 
     # What is left, pair by pair: each pair of members of different components, counted once a hash
-    side = lambda x: crossing.select("hash", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "flag", "n", "least_shared", "root")), *(["main"] if x == "u" else []))
-    met = side("u").where("root_u <> main").join(side("v"), "hash").where(f"root_u <> root_v AND (root_v = main OR node_u < node_v) AND {like}")
+    side = lambda x: crossing.select("hash", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "flag", "n", "least_shared", "shareable", "root")), *(["main"] if x == "u" else []))
+    met = side("u").where("root_u <> main").join(side("v"), "hash").where(f"root_u <> root_v AND (root_v = main OR node_u < node_v) AND {like} AND 9 * least(shareable_u, shareable_v) >= 4 * (n_u + n_v)")
     swap = F.col("node_u") > F.col("node_v")
     first, second = (lambda c: F.when(swap, F.col(f"{c}_v")).otherwise(F.col(f"{c}_u"))), (lambda c: F.when(swap, F.col(f"{c}_u")).otherwise(F.col(f"{c}_v")))
     counted = (
@@ -352,7 +379,7 @@ def similar_classes(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, Data
     rest = counted.where("shared >= need").select("u", "v").distinct()
     rest = cut(rest.join(tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        links = links.unionByName(verifier.links(rest))
+        links = links.unionByName(verifier.links(rest, known))
         roots = cut(components(links), "roots")
     return measured, roots
 
