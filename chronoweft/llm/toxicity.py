@@ -105,11 +105,12 @@ class Automaton:
         for k in range(self.longest + 1):
             over = n[live] == k
             if over.any():
-                out[live[over]] = self.accepts[state[over]]
+                ended = self.accepts[state[over]]
+                out[live[over]] = np.where(ended >= 0, ended, out[live[over]])
             stays = ~over & (state != 0)
             held = stays & self.open[state]
             if held.any():  # a stem: any ending is accepted
-                out[live[held]] = np.maximum(out[live[held]], self.accepts[state[held]])
+                out[live[held]] = self.accepts[state[held]]
             live, state = live[stays], state[stays]
             if not len(live):
                 break
