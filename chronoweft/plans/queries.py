@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweft.functions.stats import seconds_between, sql_statistics, statistics
-from chronoweft.operators import ordering, performance, projection, relations, variants
-from chronoweft.plans import variant_tree, vql
+from chronoweft.operators import alignment, clustering, discovery, mining, ordering, performance, projection, relations, variants
+from chronoweft.plans import process_tree, sequentializer, variant_tree, vql
 from chronoweft.sources import logs
 from chronoweft.sources.logs import SQL_VIEWS, VIEWS
 
@@ -344,3 +344,89 @@ def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CODED} SELECT * FROM lev_ranks WHERE rank <= greatest(1, ceil(0.1 * (SELECT count(*) FROM lev_ranks)))")
 def rate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.rate_filter(levenshtein_order(spark, sf_dir), 0.1)
+
+
+# Patterns
+
+@query(f"""WITH {SQL_VIEWS['conv']}, x AS (SELECT case_id, activity AS a, lead(activity) OVER (PARTITION BY case_id ORDER BY pos) AS b FROM e)
+SELECT '→(' || a || ', ' || b || ')' AS pattern, count(DISTINCT case_id) AS support FROM x WHERE b IS NOT NULL GROUP BY a, b HAVING count(DISTINCT case_id) >= 5""")
+def frequent_infixes_conv_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = variants.variants(logs.conversation_log(spark, sf_dir))
+    return mining.frequent_patterns(trees, least=5, size=3).where("k = 3").select("pattern", "support")
+
+
+@query()
+def frequent_infixes_li(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.frequent_patterns(variants.variants(logs.lineitem_log(spark, sf_dir)), least=50, size=5)
+
+
+@query(f"""WITH {SQL_VIEWS['conv']}, p AS (SELECT DISTINCT x.case_id, x.activity || '...' || y.activity AS pattern FROM e x JOIN e y ON x.case_id = y.case_id AND y.pos >= x.pos + 2)
+SELECT pattern, count(*) AS support FROM p GROUP BY pattern HAVING count(*) >= 5""")
+def frequent_chains_conv_k2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = variants.variants(logs.conversation_log(spark, sf_dir))
+    return mining.frequent_chains(trees, least=5, size=1, longest=2).where("k = 2").select("pattern", "support")
+
+
+@query()
+def frequent_chains_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = variants.variants(logs.conversation_log(spark, sf_dir))
+    return mining.confidences(mining.frequent_chains(trees, "TraceOccurrence", least=10, size=4, longest=3))
+
+
+@query()
+def closed_and_maximal_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = variants.variants(logs.conversation_log(spark, sf_dir))
+    return mining.closed_and_maximal(mining.frequent_patterns(trees, least=5, size=7))
+
+
+# Models: which conversations fit a model, as wholes, prefixes, infixes and suffixes
+
+MODEL = "->(X('system', tau), *(->('user', 'assistant'), tau))"
+FITTING = {
+    "full": "^(system,)?user,assistant(,user,assistant)*$",
+    "prefix": "^(|system|(system,)?user(,assistant,user)*(,assistant)?)$",
+    "infix": "^(|system|(system,)?user(,assistant,user)*(,assistant)?|assistant(,user,assistant)*(,user)?)$",
+    "suffix": "^(|(system,)?user,assistant(,user,assistant)*|assistant(,user,assistant)*)$",
+}
+for _mode, _regex in FITTING.items():
+    query(f"WITH {SQL_VIEWS['conv']}, {SEQ} SELECT variant, count(*) AS n_cases, regexp_matches(variant, '{_regex}') AS fits FROM seq GROUP BY variant", f"fitting_conversations_{_mode}")(
+        lambda spark, sf_dir, m=_mode: alignment.align_log(logs.conversation_log(spark, sf_dir), process_tree.parse(MODEL), m).select(F.array_join("acts", ",").alias("variant"), "n_cases", alignment.fits().alias("fits"))
+    )
+
+
+@query()
+def alignment_moves_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.node_counts(alignment.align_log(logs.conversation_log(spark, sf_dir), process_tree.parse(MODEL)))
+
+
+@query(f"""WITH {SQL_VIEWS['conv']}, x AS (SELECT case_id, activity AS a, lead(activity) OVER w AS b, pos, lag(activity) OVER w AS before FROM e WINDOW w AS (PARTITION BY case_id ORDER BY pos)),
+p AS (SELECT a, b FROM x UNION ALL SELECT NULL, a FROM x WHERE before IS NULL) SELECT a, b, count(*) AS n FROM p GROUP BY a, b""")
+def directly_follows_graph_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discovery.directly_follows(logs.conversation_log(spark, sf_dir))
+
+
+@query()
+def discovered_model_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inductively mined tree, and one discovered trace by trace, with their F-measures."""
+    log = logs.conversation_log(spark, sf_dir)
+    trees = {"inductive": discovery.discover(log), "incremental": discovery.rebuild(log)}
+    return spark.createDataFrame([(k, process_tree.text(t), alignment.f_measure(log, t)) for k, t in trees.items()], "method string, tree string, f_measure double")
+
+
+# Clusters and rewrites
+
+
+@query()
+def variant_clusters_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_by_distance(variants.variants(logs.conversation_log(spark, sf_dir)), most_distance=2)
+
+
+@query()
+def label_clusters_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_by_labels(variants.variants(logs.event_log(spark, sf_dir)), 4)
+
+
+@query()
+def sequentialised_variants_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simultaneous clicks and views as a click before a view."""
+    return variants.variants(logs.event_log(spark, sf_dir), change=lambda t: sequentializer.apply(t, "+('click', 'view', ...)", "+(->('click', 'view'), ...)"))
