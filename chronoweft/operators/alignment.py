@@ -57,11 +57,12 @@ class Alignment:
 class Aligner:
     """Aligns traces with one tree."""
 
-    def __init__(self, tree: P.Tree, mode: str = "full", most_states: int = MOST_STATES, most_markings: int = MOST_MARKINGS):
+    def __init__(self, tree: P.Tree, mode: str = "full", most_states: int = MOST_STATES, most_markings: int = MOST_MARKINGS, log_cost: int = DEVIATION, model_cost: int = DEVIATION):
         if mode not in MODES:
             raise ValueError(f"unknown mode {mode}")
         self.net: Net = net_of(tree)
         self.mode, self.most_states = mode, most_states
+        self.log_cost, self.model_cost = log_cost, model_cost
         self.labels = set(P.labels(tree))
         self.starts = [self.net.initial] if mode in ("full", "prefix") else self.net.reachable(most_markings)
         self.ends_anywhere = mode in ("prefix", "infix")
@@ -73,7 +74,7 @@ class Aligner:
         # what remains of the trace needs a deviation for each label that the model doesn't have
         rest = [0] * (n + 1)
         for i in range(n - 1, -1, -1):
-            rest[i] = rest[i + 1] + (DEVIATION if trace[i] not in self.labels else 0)
+            rest[i] = rest[i + 1] + (self.log_cost if trace[i] not in self.labels else 0)
         queue: list[tuple] = []
         best: dict[tuple, int] = {}
         back: dict[tuple, tuple] = {}
@@ -100,9 +101,9 @@ class Aligner:
                     continue
                 if i < n and t.label == trace[i]:
                     steps.append((0, (i + 1, to), Move(SYNC, t.label, t.node, t.phase)))
-                steps.append((DEVIATION, (i, to), Move(MODEL, t.label, t.node, t.phase)))
+                steps.append((self.model_cost, (i, to), Move(MODEL, t.label, t.node, t.phase)))
             if i < n:
-                steps.append((DEVIATION, (i + 1, m), Move(LOG, trace[i], -1, "")))
+                steps.append((self.log_cost, (i + 1, m), Move(LOG, trace[i], -1, "")))
             for extra, new, move in steps:
                 total = cost + extra
                 if new not in closed and total < best.get(new, total + 1):

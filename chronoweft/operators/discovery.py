@@ -195,7 +195,7 @@ def add_trace(tree: P.Tree, added: list[tuple[str, ...]], trace: tuple[str, ...]
         own = aligner.align(trace)
         if own.fits:
             return tree
-        number = _around_deviation(tree, own)
+        number = around_deviation(tree, own)
         new = tree
         while True:
             sub = _sub_log(tree, added, number)
@@ -209,7 +209,7 @@ def add_trace(tree: P.Tree, added: list[tuple[str, ...]], trace: tuple[str, ...]
     return mine(Counter(added + [trace]))
 
 
-def _around_deviation(tree: P.Tree, own) -> int:
+def around_deviation(tree: P.Tree, own) -> int:
     at = own.first_deviation()
     left = next((m.node for m in reversed(own.moves[:at]) if m.kind == SYNC), None)
     right = next((m.node for m in own.moves[at:] if m.kind == SYNC), None)
@@ -282,3 +282,47 @@ def rebuild(log: DataFrame, most_variants: int = MOST_VARIANTS) -> P.Tree:
     return tree
 
 
+
+
+# Freezing
+
+
+def _frozen_label(number: int) -> str:
+    return f"⟨frozen {number}⟩"
+
+
+def add_trace_frozen(tree: P.Tree, added: list[tuple[str, ...]], trace: tuple[str, ...], frozen: list[int]) -> P.Tree:
+    """As :func:`add_trace`, with the subtrees at the numbers ``frozen`` (none inside another) left as they are:
+    they and what traces do in them become one activity each, which is replaced again at the end."""
+    subtrees = {n: P.nodes(tree)[n] for n in frozen}
+    plain = tree
+    for n in sorted(frozen, reverse=True):
+        plain = P.replaced(plain, n, P.act(_frozen_label(n)))
+    aligner = Aligner(tree)
+    project = lambda t: _projected(aligner.align(t), tree, frozen)
+    done = add_trace(plain, [project(t) for t in added], project(trace))
+
+    def put_back(t: P.Tree) -> P.Tree:
+        if t[0] == "act":
+            return next((s for n, s in subtrees.items() if t[1] == _frozen_label(n)), t)
+        return (t[0], tuple(map(put_back, t[1]))) if P.children(t) else t
+
+    return put_back(done)
+
+
+def _projected(own, tree: P.Tree, frozen: list[int]) -> tuple[str, ...]:
+    inside = {k: n for n in frozen for k in range(n, n + P.size(P.nodes(tree)[n]))}
+    out = []
+    for i, m in enumerate(own.moves):
+        owner = inside.get(m.node)
+        if owner is None:
+            if m.kind in (SYNC, LOG):
+                out.append(m.activity)
+        elif m.node == owner and m.phase == "active":
+            end = next(k for k, x in enumerate(own.moves) if k > i and x.node == owner and x.phase == "closed")
+            visible = [x.kind for x in own.moves[i:end] if inside.get(x.node) == owner and x.activity is not None]
+            if SYNC in visible or not visible:  # else the trace did nothing here
+                out.append(_frozen_label(owner))
+        elif m.node == owner and m.phase == "leaf" and m.kind == SYNC:
+            out.append(_frozen_label(owner))
+    return tuple(out)

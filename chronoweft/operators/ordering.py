@@ -6,12 +6,17 @@ A candidate table has ``candidate`` and ``score``; the best has rank 1.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweft.operators.alignment import Aligner
+from chronoweft.operators.discovery import around_deviation
+from chronoweft.plans import process_tree as P
+
 
 def levenshtein_scores(variants: DataFrame, added: DataFrame | None = None) -> DataFrame:
     """candidate, score: the sum over variants not yet added of their distance times their frequency.
@@ -75,3 +80,47 @@ def choose(variants: DataFrame, steps: list[tuple[Callable[[DataFrame], DataFram
     if len(rows) != 1:
         raise ValueError("the last step must leave exactly one candidate")
     return rows[0]["variant"]
+
+
+# Scores by a model
+
+
+def _scored(variants: DataFrame, score: Callable[[tuple[str, ...]], float]) -> DataFrame:
+    """candidate, score of (variant), by a function that runs once a variant on the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([float(score(tuple(v.split(",")))) for v in names], pa.float64())], ["candidate", "score"])
+
+    return variants.select(F.col("variant").alias("candidate")).mapInArrow(run, "candidate string, score double")
+
+
+def alignment_scores(variants: DataFrame, tree: P.Tree) -> DataFrame:
+    """The cost of each variant's alignment; infinite where the search is given up."""
+
+    def score(acts: tuple[str, ...]) -> float:
+        found = Aligner(tree).align(acts)
+        return math.inf if found is None else found.cost
+
+    return _scored(variants, score)
+
+
+def deviation_height_scores(variants: DataFrame, tree: P.Tree) -> DataFrame:
+    """The height of the subtree that would be discovered anew for the first deviation; infinite if it fits."""
+
+    def score(acts: tuple[str, ...]) -> float:
+        found = Aligner(tree).align(acts)
+        return math.inf if found.fits else P.height(P.nodes(tree)[around_deviation(tree, found)])
+
+    return _scored(variants, score)
+
+
+def duplicate_scores(variants: DataFrame, tree: P.Tree) -> DataFrame:
+    """How many labels occur more than once in that subtree."""
+
+    def score(acts: tuple[str, ...]) -> float:
+        found = Aligner(tree).align(acts)
+        return 0 if found.fits else len(P.duplicate_labels(P.nodes(tree)[around_deviation(tree, found)]))
+
+    return _scored(variants, score)
