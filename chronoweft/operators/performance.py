@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweft.functions.stats import seconds_between, statistics
-from chronoweft.operators.variants import CACHED, signatures
+from chronoweft.operators.variants import CACHED, case_subvariants, signatures
 from chronoweft.plans import variant_tree as V
 from chronoweft.sources.logs import truncated
 
@@ -138,3 +138,22 @@ def subvariant_waits(log: DataFrame, granularity: str = "ms") -> DataFrame:
     forth = F.transform("ended", lambda x: pair(x, F.get("starts", F.lit(0))))
     chosen = F.when(F.size("starts") >= F.size("ended"), back).otherwise(forth)
     return steps.select("case_id", "step", F.explode(chosen).alias("p"), seconds_between("was", "at").alias("wait")).select("case_id", "step", "p.from_name", "p.to_name", "wait")
+
+
+def subvariant_durations(log: DataFrame, granularity: str = "ms", digits: int | None = None) -> DataFrame:
+    """Statistics of the whole duration of the cases of each sub-variant."""
+    spans = log.groupBy("case_id").agg(seconds_between(F.min("start_ts"), F.max("end_ts")).alias("x"))
+    return spans.join(case_subvariants(log, granularity), "case_id").groupBy("subvariant").agg(*statistics("x", digits))
+
+
+def subvariant_services(log: DataFrame, granularity: str = "ms", digits: int | None = None) -> DataFrame:
+    """Statistics of the duration of each numbered instance in each sub-variant."""
+    number = F.row_number().over(Window.partitionBy("case_id", "activity").orderBy(truncated("start_ts", granularity), truncated("end_ts", granularity), "pos")) - 1
+    named = log.select("case_id", F.concat("activity", F.lit("#"), number).alias("name"), seconds_between("start_ts", "end_ts").alias("x"))
+    return named.join(case_subvariants(log, granularity), "case_id").groupBy("subvariant", "name").agg(*statistics("x", digits))
+
+
+def subvariant_wait_statistics(log: DataFrame, granularity: str = "ms", digits: int | None = None) -> DataFrame:
+    """Statistics of the waits between the steps of each sub-variant."""
+    waits = subvariant_waits(log, granularity).join(case_subvariants(log, granularity), "case_id")
+    return waits.groupBy("subvariant", "step", "from_name", "to_name").agg(*statistics("wait", digits))

@@ -84,8 +84,8 @@ def collapsed_sequences(log: DataFrame) -> DataFrame:
     return seq.groupBy("variant").agg(F.count("*").alias("n_cases"))
 
 
-def subvariants(log: DataFrame, granularity: str = "ms") -> DataFrame:
-    """subvariant and n_cases: starts and completions by equal time, instances numbered by activity.
+def case_subvariants(log: DataFrame, granularity: str = "ms") -> DataFrame:
+    """case_id and subvariant: starts and completions by equal time, instances numbered by activity.
 
     A step joins its events with ``+``, steps are joined with ``|``; an event is activity, number, s or c."""
     e = log.select("case_id", "pos", "activity", truncated("start_ts", granularity).alias("s"), truncated("end_ts", granularity).alias("t"))
@@ -93,8 +93,12 @@ def subvariants(log: DataFrame, granularity: str = "ms") -> DataFrame:
     e = e.withColumn("name", F.concat("activity", F.lit("#"), number))
     both = F.explode(F.array(F.struct(F.col("s").alias("at"), F.concat("name", F.lit("s")).alias("ev")), F.struct(F.col("t").alias("at"), F.concat("name", F.lit("c")).alias("ev"))))
     steps = e.select("case_id", both.alias("x")).groupBy("case_id", "x.at").agg(F.array_join(F.array_sort(F.collect_list("x.ev")), "+").alias("step"))
-    whole = steps.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "step"))), lambda x: x["step"]), "|").alias("subvariant"))
-    return whole.groupBy("subvariant").agg(F.count("*").alias("n_cases"))
+    return steps.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "step"))), lambda x: x["step"]), "|").alias("subvariant"))
+
+
+def subvariants(log: DataFrame, granularity: str = "ms") -> DataFrame:
+    """subvariant and n_cases."""
+    return case_subvariants(log, granularity).groupBy("subvariant").agg(F.count("*").alias("n_cases"))
 
 
 def with_sequentialisations(trees: DataFrame, most: int = V.MOST_SEQUENTIALISATIONS) -> DataFrame:

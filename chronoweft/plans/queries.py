@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweft.functions.stats import seconds_between, sql_statistics, statistics
-from chronoweft.operators import alignment, clustering, discovery, mining, ordering, performance, projection, relations, variants
+from chronoweft.operators import alignment, clustering, discovery, local_models, mining, ordering, performance, projection, relations, tree_performance, variants
 from chronoweft.plans import process_tree, sequentializer, variant_tree, vql
 from chronoweft.sources import logs
 from chronoweft.sources.logs import SQL_VIEWS, VIEWS
@@ -430,3 +430,29 @@ def label_clusters_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sequentialised_variants_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simultaneous clicks and views as a click before a view."""
     return variants.variants(logs.event_log(spark, sf_dir), change=lambda t: sequentializer.apply(t, "+('click', 'view', ...)", "+(->('click', 'view'), ...)"))
+
+
+# Sub-variant performance
+
+query(f"WITH {SQL_VIEWS['li']}, {SUB}, d AS (SELECT case_id, epoch(max(t) - min(s)) AS x FROM e GROUP BY case_id) SELECT subvariant, {sql_statistics('x', 3)} FROM d JOIN whole USING (case_id) GROUP BY subvariant", "subvariant_durations")(
+    lambda spark, sf_dir: performance.subvariant_durations(logs.lineitem_log(spark, sf_dir), digits=3)
+)
+query(f"WITH {SQL_VIEWS['li']}, {SUB}, d AS (SELECT case_id, name, epoch(t - s) AS x FROM numbered) SELECT subvariant, name, {sql_statistics('x', 3)} FROM d JOIN whole USING (case_id) GROUP BY subvariant, name", "subvariant_services")(
+    lambda spark, sf_dir: performance.subvariant_services(logs.lineitem_log(spark, sf_dir), digits=3)
+)
+query(name="subvariant_wait_stats")(lambda spark, sf_dir: performance.subvariant_wait_statistics(logs.lineitem_log(spark, sf_dir), digits=3))
+
+
+@query()
+def tree_intervals_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_performance.node_totals(tree_performance.tree_intervals(logs.conversation_log(spark, sf_dir), process_tree.parse(MODEL)))
+
+
+@query()
+def local_model_measures_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return local_models.measures(logs.conversation_log(spark, sf_dir), process_tree.parse("->('user', 'assistant')"))
+
+
+@query()
+def alignment_order_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.ranked(ordering.alignment_scores(_conv_variants(spark, sf_dir), process_tree.parse(MODEL)))
