@@ -51,9 +51,9 @@ def test_small_corpora(spark, seed):
 def test_families_near_the_threshold(spark):
     rng = random.Random(5)
     texts = []
-    for size in (6, 9, 14, 30, 60, 150):
+    for size in (6, 9, 14, 30, 60, 146):
         base = prose(rng, size).split()
-        for _ in range(14):
+        for _ in range(20):
             w = list(base)
             for _ in range(rng.randrange(max(2, size // 12))):
                 k = rng.randrange(len(w))
@@ -65,6 +65,13 @@ def test_families_near_the_threshold(spark):
     check(spark, texts)
 
 
+def test_families_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(N, "PAIRED_MEMBERS", 2)
+    monkeypatch.setattr(N, "CHUNK_SETS", 7)
+    monkeypatch.setattr(N, "PRODUCT_COLUMNS", 16)
+    test_families_near_the_threshold(spark)
+
+
 def test_repeated_rows_and_one_id_with_two_texts(spark):
     rows = [(1, "a b c d e f", "", "", 0), (1, "a b c d e f", "", "", 0), (2, "a b c d e f", "", "", 0), (2, "q r s t u v", "", "", 0), (3, None, "", "", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
