@@ -12,8 +12,9 @@ of its larger set, so a set is dealt for its own band and, where a partner may b
   have thus meets in at most one entry a block; the other members stay with their delegate.
 * Verification. Members of a hash are verified against its hub (its least node), as shingle sets of whole
   texts. Links join components. Where a hash still spans components, the documents ignore the most
-  frequent of such hashes as far as their allowance goes, and what is left is tried against other hubs and
-  at last pair by pair, so that no link between different texts is lost.
+  frequent of such hashes as far as their allowance goes. The sets that this leaves, families of texts that
+  are nearly similar enough, meet once more by their rarest shingles and are verified pair by pair, so that
+  no link between different texts is lost.
 
 Equal sets are one node from the start and are never paired. Shingles and nodes are 64-bit hashes.
 
@@ -26,10 +27,12 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +49,9 @@ CHANCE_COST = 20.0
 SLACK = 0.1
 AT_ONCE = 256
 """Squeezed texts opened at a time."""
+CELLS, CELL_SLICES = 1 << 20, 64
+PAIRED_MEMBERS = 96
+CHUNK_SETS, CHUNK_SHINGLES, PRODUCT_COLUMNS = 512, 150_000, 4096
 LIKELY_SHARED = 2
 SMALL_SET = 40
 MANY_PAIRS = 200
@@ -261,24 +267,57 @@ class Verifier:
         return cut(joined.mapInArrow(run, "u long, v long"), "links")
 
 
-def shareable(known: DataFrame, blocks: int) -> DataFrame:
-    """(node, shareable): how many of a node's shingles some other node of ``known`` has too."""
+def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Nodes and shingle sets of (node, squeezed text), some at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, AT_ONCE):
+            part = batch.slice(start, AT_ONCE)
+            yield part.column(0).to_numpy(zero_copy_only=False).view(np.uint64), list(shingle_sets(*text_view(expand(part.column(1)))))
+            release()
+
+
+def shingle_counts(known: DataFrame) -> np.ndarray:
+    """How many of the sets of ``known`` have each shingle, summed over shingles of the same cell: a table of
+    fixed size, whatever the corpus. It only orders shingles, from rare to frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(CELLS, np.int64)
+        for _, sets in _sets_of(batches):
+            sums += np.bincount((np.concatenate(sets) & U64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+        parts = sums.reshape(CELL_SLICES, -1)
+        used = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in used], pa.binary())], ["slice", "counts"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in pdf["counts"])
+        return pd.DataFrame({"slice": pdf["slice"][:1], "counts": [zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)]})
+
+    counted = known.select("node", "text").mapInArrow(run, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, counts binary")
+    out = np.zeros((CELL_SLICES, CELLS // CELL_SLICES), np.int32)
+    for r in counted.collect():
+        out[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int32)
+    return out.ravel()
+
+
+def rare_shingles(known: DataFrame, blocks: int, percent: int) -> DataFrame:
+    """Members (hash, node, ...) of the rarest shingles of each set that some other set also has among its
+    own: so many that two similar sets have one of them in common, since a link leaves a set at most
+    100 - percent of its shingles that the other doesn't have."""
+    counts = known.sparkSession.sparkContext.broadcast(shingle_counts(known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
-        for batch in batches:
-            for start in range(0, batch.num_rows, AT_ONCE):
-                turn += 1
-                part = batch.slice(start, AT_ONCE)
-                sets = list(shingle_sets(*text_view(expand(part.column(1)))))
-                who = np.repeat(np.arange(len(sets)), [len(x) for x in sets]).astype(np.uint16)
-                table = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                yield from packed_index.batches_of(packed_index.pack(np.concatenate([*sets, np.zeros(0, np.uint64)]), who, table, blocks, turn))
-                release()
+        for nodes, sets in _sets_of(batches):
+            turn += 1
+            rare = []
+            for own in sets:
+                order = np.lexsort((own, counts.value[(own & U64(CELLS - 1)).astype(np.int64)]))
+                rare.append(own[order[: len(own) - -(-len(own) * percent // 100) + 1]])
+            who = np.repeat(np.arange(len(rare)), [len(x) for x in rare]).astype(np.uint16)
+            yield from packed_index.batches_of(packed_index.pack(np.concatenate([*rare, np.zeros(0, np.uint64)]), who, nodes, blocks, turn))
 
     packed = known.select("node", "text").mapInArrow(run, packed_index.SCHEMA)
-    counted = packed.groupBy("p").applyInPandas(lambda pdf: packed_index.count_shared(pdf), "node long, shared long")
-    return counted.groupBy("node").agg(F.sum("shared").alias("shareable"))
+    return packed.groupBy("p").applyInPandas(lambda pdf: packed_index.unpack(pdf, blocks), packed_index.MEMBERS)
 
 
 def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -336,28 +375,20 @@ def similar_classes(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, Data
         .withColumn("nth", F.row_number().over(order))
         .join(allowed, "node")
         .withColumn("spare", F.when(F.col("flag") >= FIXED, 0).when(F.col("flag") == OWN, F.col("spare_own")).otherwise(F.col("spare_next")).cast("int"))
-        .select("hash", "node", "flag", "spare", (F.col("nth") > F.col("spare")).alias("active"))
+        .select("hash", "node", (F.col("nth") > F.col("spare")).alias("active"))
     )
     spared = cut(spared, "spared")
     live = cut(spared.groupBy("hash").agg(F.max("active").alias("any"), F.count("*").alias("members")).where("any AND members > 1").select("hash"), "live")
     if live.isEmpty():
         return measured, roots
-    rows = cut(spared.join(live.withColumn("is_live", F.lit(True)), "hash", "left"), "rows")
-    ignored = rows.where("is_live IS NULL").groupBy("node", "flag").agg(F.count("*").alias("ignored"))
-    active = cut(
-        rows.where("is_live").select("hash", "node", "flag", "spare").join(ignored, ["node", "flag"], "left").join(classes.select("node", "n"), "node")
-        # a partner shares at least this many of the set's live hashes
-        .select("hash", "node", "flag", "n", F.greatest(F.col("spare") + 1 - F.coalesce("ignored", F.lit(0)), F.lit(1)).alias("least_shared")),
-        "active",
-    )
-    # A link takes 4/9 of both sets' sizes in common, and shingles that no other such set has are in none
-    asked = active.select("node").distinct()
-    known = cut(verifier.texts_of(asked.select(F.col("node").alias("u"), F.col("node").alias("v"))), "node-texts")
-    held = asked.join(classes.select("node", "n"), "node").agg(F.sum("n").alias("n")).first()["n"] or 0
-    common = shareable(known, max(LEAST_BLOCKS, held // (2 * BLOCK_HASHES)))
-    active = cut(active.join(common, "node").where(f"100 * shareable >= {percent} * n"), "active")
+    # The sets that are left meet by their rarest shingles, which families of texts don't share
+    left = cut(spared.join(_sized(live), "hash").select("node").distinct(), "left")
+    known = cut(verifier.texts_of(left.select(F.col("node").alias("u"), F.col("node").alias("v"))), "node-texts")
+    held = left.join(classes.select("node", "n"), "node").agg(F.sum("n").alias("n")).first()["n"] or 0
+    rare = rare_shingles(known, max(LEAST_BLOCKS, held // (10 * BLOCK_HASHES)), percent)
+    active = cut(rare.select("hash", "node").distinct().join(classes.select("node", "n"), "node"), "rare")
     crossing, pairs = _crossing(active, roots)
-    if pairs > MANY_PAIRS * max(active.select("node").distinct().count(), 1):  # other hubs join most of what the first didn't
+    if pairs > MANY_PAIRS * max(left.count(), 1):  # other hubs join most of what the first didn't
         hub = crossing.groupBy("hash").agg(F.min_by("node", F.xxhash64("node")).alias("u"))
         more = crossing.join(hub, "hash").select("u", F.col("node").alias("v")).where("u <> v").distinct()
         more = cut(_rooted(more, roots).where("root_u <> root_v").select("u", "v").join(tried, ["u", "v"], "left_anti"), "pairs")
@@ -366,24 +397,60 @@ def similar_classes(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, Data
         roots = cut(components(links), "roots")
         crossing, pairs = _crossing(active, roots)
 
-    # What is left, pair by pair: each pair of members of different components, counted once a hash
-    side = lambda x: crossing.select("hash", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "flag", "n", "least_shared", "shareable", "root")), *(["main"] if x == "u" else []))
-    met = side("u").where("root_u <> main").join(side("v"), "hash").where(f"root_u <> root_v AND (root_v = main OR node_u < node_v) AND {like} AND 9 * least(shareable_u, shareable_v) >= 4 * (n_u + n_v)")
-    swap = F.col("node_u") > F.col("node_v")
-    first, second = (lambda c: F.when(swap, F.col(f"{c}_v")).otherwise(F.col(f"{c}_u"))), (lambda c: F.when(swap, F.col(f"{c}_u")).otherwise(F.col(f"{c}_v")))
-    counted = (
-        met.select(first("node").alias("u"), second("node").alias("v"), first("flag").alias("f"), second("flag").alias("g"), F.greatest("least_shared_u", "least_shared_v").alias("need"))
-        .groupBy("u", "v", "f", "g")
-        .agg(F.count("*").alias("shared"), F.max("need").alias("need"))
-    )
-    rest = counted.where("shared >= need").select("u", "v").distinct()
+    # What is left: members of different components, pair by pair, and in blocks where a hash has many
+    few, many = crossing.where(F.col("members") <= PAIRED_MEMBERS), crossing.where(F.col("members") > PAIRED_MEMBERS)
+    side = lambda x: few.select("hash", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "root")), *(["main"] if x == "u" else []))
+    met = side("u").where("root_u <> main").join(side("v"), "hash").where(f"root_u <> root_v AND (root_v = main OR node_u < node_v) AND {like}")
+    rest = met.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct()
     rest = cut(rest.join(tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        links = links.unionByName(verifier.links(rest, known))
+    found = [] if rest.isEmpty() else [verifier.links(rest, known)]
+    if not many.isEmpty():
+        found.append(cut(block_links(many, known, percent), "links"))
+    if found:
+        for x in found:
+            links = links.unionByName(x)
         roots = cut(components(links), "roots")
     return measured, roots
 
 
+def block_links(crossing: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The links (u, v) between different components among the members of each hash of ``crossing`` (hash,
+    node, n, root): members are dealt into chunks of bounded size, and each two chunks are compared at once,
+    by a product of their incidence matrices. Only links come out."""
+    sizes = crossing.groupBy("hash").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    dealt = crossing.select("hash", "node", "root").join(sizes, "hash").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    spread = dealt.select("hash", "node", "root", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    keyed = spread.select("hash", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "root", "chunk")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = [own for t in pdf["text"] for own in shingle_sets(*text_view(expand(pa.array([t], pa.binary()))))]
+        size = np.array([len(x) for x in sets])
+        who = np.repeat(np.arange(len(sets)), size)
+        _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = times[token] > 1
+        order = np.cumsum(times > 1) - 1
+        token, who = order[token[shared]], who[shared]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        by = np.argsort(token, kind="stable")
+        token, who = token[by], who[by]
+        for start in range(0, int((times > 1).sum()), PRODUCT_COLUMNS):
+            a, b = np.searchsorted(token, [start, start + PRODUCT_COLUMNS])
+            part = np.zeros((len(sets), PRODUCT_COLUMNS), np.float32)
+            part[who[a:b], token[a:b] - start] = 1
+            both += part @ part.T
+        root, chunk = pdf["root"].to_numpy(), pdf["chunk"].to_numpy()
+        linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        linked &= root[:, None] != root[None, :]
+        if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
+            linked &= chunk[:, None] != chunk[None, :]
+        u, v = np.nonzero(np.triu(linked, 1))
+        node = pdf["node"].to_numpy()
+        release()
+        return pd.DataFrame({"u": node[u], "v": node[v]})
+
+    return keyed.join(known, "node").groupBy("hash", "i", "j").applyInPandas(compare, "u long, v long").distinct()
+
+
 def join_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every document: the smallest doc_id reachable by links."""
     measured, roots = similar_classes(docs, percent)
@@ -410,3 +477,19 @@ def keep_one_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     return kept.join(again, kept["doc_id"] == F.col("__repeated"), "left_anti").select(*names).unionByName(
         kept.join(again, kept["doc_id"] == F.col("__repeated"), "left_semi").dropDuplicates(["doc_id", "text"]).select(*names)
     )
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM words),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS n, count(*) AS k FROM flat a JOIN flat b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM pairs WHERE 100 * k >= 80 * (n - k)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM sets UNION SELECT e.b, r.root FROM reach r JOIN edges e ON r.node = e.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(root) FROM reach WHERE node = doc_id) AS component_id FROM sets
+"""

@@ -117,28 +117,3 @@ def unpack(pdf: pd.DataFrame, blocks: int) -> pd.DataFrame:
     columns = [np.concatenate(c) for c in zip(*out, strict=True)]
     release()
     return pd.DataFrame({"hash": signed(columns[0]), "node": signed(columns[1]), "hub": signed(columns[2]), "flag": columns[3].astype(np.int32), "df": columns[4]})
-
-
-def count_shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(node, shared) of one block: how many of each node's hashes in it some other node has."""
-    sigs, nodes, many, out = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for kind, high, low, who, table, extra in zip(*(pdf[c] for c in ("kind", "high", "low", "who", "nodes", "many")), strict=True):
-        node = np.frombuffer(table, np.uint64)[np.frombuffer(who, np.uint16) & 0x3FFF]
-        if kind == 0:
-            sigs.append((np.frombuffer(high, np.uint16).astype(np.uint64) << U64(32)) | np.frombuffer(low, np.uint32))
-            nodes.append(node)
-            many.append(np.frombuffer(extra, np.uint16).astype(np.int64))
-        else:
-            out.append(node)
-    sig, node, times = np.concatenate(sigs), np.concatenate(nodes), np.concatenate(many)
-    if len(sig):
-        order = np.argsort(sig)
-        sig, node, times = sig[order], node[order], times[order]
-        new = np.ones(len(sig), bool)
-        new[1:] = sig[1:] != sig[:-1]
-        first = np.flatnonzero(new)
-        total = np.repeat(np.add.reduceat(times, first), np.diff(np.append(first, len(sig))))
-        out.append(node[total > 1])
-    node, shared = np.unique(np.concatenate(out), return_counts=True)
-    release()
-    return pd.DataFrame({"node": signed(node), "shared": shared.astype(np.int64)})
