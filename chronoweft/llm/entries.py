@@ -49,4 +49,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_language_id, op3_ngram_join, op4_warc, op5_best_fit_packing, op6_suffix_dedup, op7_toxicity, op8_url_filters, op9_media_columns, op10_decontamination)}
-ORACLE_SQL = {"op4_warc": warc.ORACLE_SQL, "op8_url_filters": url_filter.ORACLE_SQL}
+ORACLE_SQL = {"op3_ngram_join": ngram_join.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL, "op6_suffix_dedup": suffix_dedup.ORACLE_SQL, "op8_url_filters": url_filter.ORACLE_SQL}

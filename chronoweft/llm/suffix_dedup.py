@@ -504,3 +504,22 @@ def deduplicate(docs: DataFrame, least: int = LEAST) -> DataFrame:
     joined = whole.join(changed, "rid", "left")
     pick = lambda c, other: F.when(F.col("alone"), other).otherwise(F.coalesce(c, other))
     return joined.select("doc_id", "n_bytes", pick("n_removed", F.lit(0).cast("long")).alias("n_removed"), pick("n_spans", F.lit(0).cast("long")).alias("n_spans"), pick("kept_sha256", F.col("sha")).alias("kept_sha256"))
+
+
+ORACLE_SQL = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, sha256(encode(coalesce(text, ''))) AS whole FROM documents),
+w AS (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS p FROM b),
+k AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM w),
+firsts AS (SELECT s, min(doc_id) AS least FROM k GROUP BY s),
+gone AS (SELECT k.doc_id, k.p FROM k JOIN firsts USING (s) WHERE least < k.doc_id),
+marked AS (SELECT doc_id, p, coalesce((p > lag(p) OVER o + 50)::INT, 1) AS fresh FROM gone WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+runs AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked),
+spans AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS z FROM runs GROUP BY doc_id, run),
+parts AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans),
+sums AS (
+  SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept
+  FROM parts JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  CASE WHEN kept IS NULL THEN whole ELSE sha256(unhex(kept)) END AS kept_sha256
+FROM b LEFT JOIN sums USING (doc_id)
+"""
