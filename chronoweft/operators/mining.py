@@ -298,3 +298,44 @@ def _covers(outer: Occurrence, inner: Occurrence) -> bool:
         return True
     at = inner[0][len(path) :]
     return i <= at[0] <= j if at else i <= inner[1] and inner[2] <= j
+
+
+def matched_nodes(tree: V.Tree, pattern: V.Tree) -> list[set[int]]:
+    """For each match of a pattern, depth-first numbers of the nodes that it matches (the first way in which
+    it does)."""
+    number = {p: i for i, p in enumerate(V.paths(tree))}
+    out = []
+
+    def pick(t: V.Tree, p: V.Tree, path: tuple[int, ...], start: int) -> set[int]:
+        own = {number[path]}
+        if t[0] == "leaf":
+            return own
+        if start >= 0:
+            for k, c in enumerate(p[1]):
+                inner = [o for o in occurrences(t[1][start + k], c) if o[0] == ()]
+                own |= pick(t[1][start + k], c, (*path, start + k), inner[0][1] if inner else -1)
+            return own
+        k = 0
+        for c in p[1]:
+            while not (inner := [o for o in occurrences(t[1][k], c) if o[0] == ()]):
+                k += 1
+            own |= pick(t[1][k], c, (*path, k), inner[0][1])
+            k += 1
+        return own
+
+    for path, start, _ in occurrences(tree, pattern):
+        t = tree
+        for k in path:
+            t = t[1][k]
+        out.append(pick(t, pattern, path, start))
+    return out
+
+
+def growth_confidences(patterns: DataFrame) -> DataFrame:
+    """``patterns`` (k, pattern, support) with parent (the pattern without its last label, if that is one of
+    them) and confidence: support as a share of the parent's, to two places."""
+    cutter = F.regexp_replace("pattern", r", [^,()]+\)$", ")")
+    with_parent = patterns.withColumn("parent", F.when(cutter != F.col("pattern"), cutter))
+    parents = patterns.select(F.col("pattern").alias("parent"), F.col("support").alias("parent_support"))
+    joined = with_parent.join(parents, "parent", "left")
+    return joined.select("k", "pattern", "support", F.when(F.col("parent_support").isNotNull(), F.col("parent")).alias("parent"), F.round(F.col("support") / F.col("parent_support"), 2).alias("confidence"))

@@ -126,3 +126,18 @@ def add_borders(log: DataFrame, start: str = "▶", end: str = "■") -> DataFra
 def remove_borders(log: DataFrame, start: str = "▶", end: str = "■") -> DataFrame:
     kept = log.where(~F.col("activity").isin(start, end))
     return kept.withColumn("pos", F.row_number().over(Window.partitionBy("case_id").orderBy("pos")))
+
+
+def as_log(trees: DataFrame) -> DataFrame:
+    """An interval log with one case for each row of ``trees`` (variant_json), named by it: queries and
+    relations then apply to variants that no case has, such as rewritten ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(raw, k, *e) for raw in b.column(0).to_pylist() for k, e in enumerate(V.intervals(V.from_json(raw)), 1)]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()], strict=True)], ["case_id", "pos", "activity", "s", "t"])
+
+    flat = trees.select("variant_json").mapInArrow(run, "case_id string, pos int, activity string, s long, t long")
+    at = lambda c: F.timestamp_seconds(c).cast("timestamp_ntz")
+    return flat.select("case_id", "pos", "activity", at("s").alias("start_ts"), at("t").alias("end_ts"))

@@ -98,3 +98,15 @@ def test_chains_by_brute_force():
     for (x, y), own in pairs.items():
         want[x, y] = min(len({p for p, _ in own}), len({q for _, q in own}))
     assert {tuple(c[1][0] for c in chain): n for chain, n in got.items() if len(chain) == 2} == dict(want)
+
+
+def test_matched_nodes():
+    tree = V.parse("→(c, a, d, a, c, d)")
+    assert {0, 5, 6} in M.matched_nodes(tree, V.parse("→(c, d)")) and len(M.matched_nodes(tree, V.parse("→(c, d)"))) == 1
+    assert M.matched_nodes(V.parse("→(x, ∧(a, b, c))"), V.parse("∧(a, c)")) == [{2, 3, 5}]
+
+
+def test_growth_confidences(spark):
+    rows = spark.createDataFrame([(3, "→(a, b)", 8), (4, "→(a, b, c)", 4), (1, "a", 9)], "k int, pattern string, support long")
+    got = {r.pattern: (r.parent, r.confidence) for r in M.growth_confidences(rows).collect()}
+    assert got == {"→(a, b)": (None, None), "→(a, b, c)": ("→(a, b)", 0.5), "a": (None, None)}

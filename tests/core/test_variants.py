@@ -86,3 +86,23 @@ def test_node_times(spark):
     assert {(r.label, r.end_ts.hour - r.start_ts.hour) for r in nodes.collect()} == {("→", 9), ("A", 2), ("∧", 6), ("B", 3), ("C", 5)}
     assert [r.wait for r in performance.sequence_waits(nodes).collect()] == [3600.0]
     assert {(r.wait_start, r.wait_end) for r in performance.parallel_waits(nodes).collect()} == {(0.0, 3 * 3600.0), (3600.0, 0.0)}
+
+
+def test_synthetic_intervals_give_the_variant_again():
+    for raw in ("→(A, ∧(B, C))", "∧(I, →(A, ∧(B, C)))", "→(H, ∧(G, →(B, C)), K)", "A", "∧(A, B, C)"):
+        tree = V.canonical(V.parse(raw))
+        rows = V.intervals(tree)
+        assert V.variant_of([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]) == tree
+
+
+def test_queries_on_variants(spark):
+    from chronoweft.plans import vql
+
+    trees = variants.variants(log_of(spark, CASES))
+    got = {r.case_id for r in vql.query_cases(variants.as_log(trees), "'G' isP ALL {'B','C'};").collect()}
+    assert {V.text(V.from_json(x)) for x in got} == {"→(H, ∧(G, →(B, C)))", "→(H, ∧(G, →(B, C)), K)"}
+
+
+def test_folded_runs():
+    assert V.text(V.fold_runs(V.parse("→(a, a, a, b, a, a)"), 2)) == "→(a_LOOP, b, a_LOOP)"
+    assert V.text(V.fold_runs(V.parse("→(a, a, b)"), 3)) == "→(a, a, b)"
