@@ -45,6 +45,8 @@ class Alignment:
     visited: int
     fitness: float
     bwc: int
+    start: frozenset = frozenset()
+    end: frozenset = frozenset()
 
     @property
     def fits(self) -> bool:
@@ -114,7 +116,7 @@ class Aligner:
         return None
 
     def _made(self, trace, cost: int, state: tuple, back: dict, visited: int) -> Alignment:
-        moves = []
+        moves, end = [], state[1]
         while state in back:
             state, move = back[state]
             moves.append(move)
@@ -122,7 +124,7 @@ class Aligner:
         bwc = len(trace) * DEVIATION + empty
         deviations = cost // DEVIATION
         whole = bwc // DEVIATION
-        return Alignment(cost, tuple(moves[::-1]), visited, 1 - deviations / whole if whole else float(not deviations), bwc)
+        return Alignment(cost, tuple(moves[::-1]), visited, 1 - deviations / whole if whole else float(not deviations), bwc, state[1], end)
 
     def _empty_cost(self) -> int:
         if self._least_empty is None:
@@ -132,6 +134,37 @@ class Aligner:
         return self._least_empty
 
 
+def shortest_run(net: Net, start: frozenset, end: frozenset) -> tuple[str, ...] | None:
+    """The labels of a shortest run from one marking to another."""
+    queue: list[tuple] = [(0, 0, start, ())]
+    seen, pushed = set(), 0
+    while queue:
+        cost, _, m, done = heapq.heappop(queue)
+        if m == end:
+            return done
+        if m in seen:
+            continue
+        seen.add(m)
+        for t in net.enabled(m):
+            pushed += 1
+            heapq.heappush(queue, (cost + (SILENT if t.label is None else DEVIATION), pushed, (m - t.pre) | t.post, done if t.label is None else (*done, t.label)))
+    return None
+
+
+def completed(aligner: Aligner, fragment: tuple[str, ...]) -> tuple[str, ...] | None:
+    """A whole trace of the model around a fragment: its best alignment with shortest runs before and after."""
+    found = aligner.align(fragment)
+    if found is None:
+        return None
+    before, after = shortest_run(aligner.net, aligner.net.initial, found.start), shortest_run(aligner.net, found.end, aligner.net.final)
+    if before is None or after is None:
+        return None
+    return (*before, *(m.activity for m in found.moves if m.kind in (SYNC, MODEL)), *after)
+
+
+# Tags of trace fragments, and the mode that each is aligned in.
+FRAGMENT_MODES = {"NOT_AN_INFIX": "full", "PREFIX": "prefix", "PROPER_INFIX": "infix", "POSTFIX": "suffix"}
+
 MOVE = "struct<kind: string, activity: string, node: int, phase: string>"
 COLUMNS = f"cost long, fitness double, bwc long, visited long, moves array<{MOVE}>"
 _KINDS = [pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("kind", pa.string()), ("activity", pa.string()), ("node", pa.int32()), ("phase", pa.string())]))]
@@ -163,6 +196,15 @@ def align_sequences(rows: DataFrame, tree: P.Tree, mode: str = "full", most_stat
     return rows.mapInArrow(run, ", ".join([*types, COLUMNS]))
 
 
+def align_typed(rows: DataFrame, tree: P.Tree, most_states: int = MOST_STATES) -> DataFrame:
+    """As :func:`align_sequences`, each row in the mode of its ``infix_type``."""
+    out = None
+    for tag, mode in FRAGMENT_MODES.items():
+        part = align_sequences(rows.where(F.col("infix_type") == tag), tree, mode, most_states)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def align_log(log: DataFrame, tree: P.Tree, mode: str = "full", most_states: int = MOST_STATES) -> DataFrame:
     """acts, n_cases and the alignment of each distinct sequence of a log."""
     counted = sequences(log).groupBy("acts").agg(F.count("*").alias("n_cases"))

@@ -26,6 +26,21 @@ def project_with_skips(log: DataFrame, labels: list[str]) -> DataFrame:
     return flat.select("case_id", F.row_number().over(Window.partitionBy("case_id").orderBy("orig", "k")).alias("pos"), "activity")
 
 
+def project_with_time_skips(log: DataFrame, labels: list[str]) -> DataFrame:
+    """As :func:`project_with_skips`, but a skip stands only where a dropped event lies strictly between, in
+    time, the kept ones on both sides."""
+    case = Window.partitionBy("case_id").orderBy("pos")
+    e = log.select("case_id", "pos", "activity", "start_ts", "end_ts", F.col("activity").isin(labels).alias("kept"))
+    last_kept = F.last(F.when(F.col("kept"), F.col("end_ts")), ignorenulls=True).over(case.rowsBetween(Window.unboundedPreceding, -1))
+    next_kept = F.first(F.when(F.col("kept"), F.col("start_ts")), ignorenulls=True).over(case.rowsBetween(1, Window.unboundedFollowing))
+    e = e.withColumn("between", ~F.col("kept") & (F.col("start_ts") > last_kept) & (F.col("end_ts") < next_kept))
+    e = e.withColumn("group", F.sum(F.col("kept").cast("int")).over(case))
+    gap = e.groupBy("case_id", "group").agg(F.max(F.coalesce("between", F.lit(False))).alias("skip"), F.first(F.when(F.col("kept"), F.col("activity")), ignorenulls=True).alias("activity")).where("activity IS NOT NULL")
+    after = F.coalesce(F.col("skip"), F.lit(False)) & F.lead("group").over(Window.partitionBy("case_id").orderBy("group")).isNotNull()
+    parts = gap.withColumn("after", after).select("case_id", "group", F.posexplode(F.array_compact(F.array(F.col("activity"), F.when(F.col("after"), F.lit(SKIP))))).alias("k", "activity"))
+    return parts.select("case_id", F.row_number().over(Window.partitionBy("case_id").orderBy("group", "k")).alias("pos"), "activity")
+
+
 def coverage(log: DataFrame, labels: list[str]) -> DataFrame:
     """One row: the share of events that have these labels."""
     return log.agg((F.sum(F.col("activity").isin(labels).cast("int")) / F.count("*")).alias("coverage"))
