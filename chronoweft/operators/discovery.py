@@ -326,3 +326,73 @@ def _projected(own, tree: P.Tree, frozen: list[int]) -> tuple[str, ...]:
         elif m.node == owner and m.phase == "leaf" and m.kind == SYNC:
             out.append(_frozen_label(owner))
     return tuple(out)
+
+
+# Repair by sub-processes
+
+
+def sub_traces(tree: P.Tree, log: Log) -> dict[int, Log]:
+    """What the log alone does, by the number of the node before it (-1: at the start)."""
+    aligner = Aligner(tree)
+    out: dict[int, Log] = defaultdict(Counter)
+    for trace, n in log.items():
+        place, now = -1, []
+        for m in [*aligner.align(trace).moves, None]:
+            if m is not None and m.kind == LOG:
+                now.append(m.activity)
+                continue
+            if m is None or m.kind in (SYNC, MODEL):
+                if now:
+                    out[place][tuple(now)] += n
+                    now = []
+                if m is not None:
+                    place = m.node
+    return out
+
+
+def similar_groups(traces: Log, least: float = 0.5) -> list[Log]:
+    """Sub-traces whose labels overlap by at least this share with some other of their group."""
+    groups: list[Log] = []
+    for t, n in sorted(traces.items(), key=lambda x: (-x[1], x[0])):
+        near = [g for g in groups if any(len(set(t) & set(u)) >= least * len(set(t) | set(u)) for u in g)]
+        merged = Counter({t: n})
+        for g in near:
+            merged += g
+            groups.remove(g)
+        groups.append(merged)
+    return groups
+
+
+def repair(tree: P.Tree, log: Log, drop_at_most: int = 0, least: float = 0.5) -> P.Tree:
+    """The tree with what the log does besides as optional sub-processes where it happens, with activities that
+    some cases leave out made optional, and without those that at most ``drop_at_most`` cases do. Without
+    dropping, every sequence of the log fits."""
+    aligner = Aligner(tree)
+    done, left_out = Counter(), set()
+    for trace, n in log.items():
+        for m in aligner.align(trace).moves:
+            if m.kind == SYNC:
+                done[m.node] += n
+            elif m.kind == MODEL:
+                left_out.add(m.node)
+    extra = {at: [mine(g) for g in similar_groups(x, least)] for at, x in sub_traces(tree, log).items()}
+    dropped = {i for i, t in enumerate(P.nodes(tree)) if t[0] == "act" and done[i] <= drop_at_most} if drop_at_most else set()
+    count = -1
+
+    def optional(at: int) -> list[P.Tree]:
+        return [P.op("xor", P.TAU, *extra[at])] if at in extra else []
+
+    def run(t: P.Tree) -> P.Tree:
+        nonlocal count
+        count += 1
+        me = count
+        if P.children(t):
+            return (t[0], tuple(run(c) for c in t[1]))
+        new = P.TAU if me in dropped else P.op("xor", t, P.TAU) if me in left_out and t != P.TAU else t
+        return P.op("seq", new, *optional(me)) if me in extra else new
+
+    return P.reduced(P.op("seq", *optional(-1), run(tree)))
+
+
+def repair_log(tree: P.Tree, log: DataFrame, drop_at_most: int = 0, most_variants: int = MOST_VARIANTS) -> P.Tree:
+    return repair(tree, counted(log, most_variants), drop_at_most)

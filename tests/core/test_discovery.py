@@ -57,3 +57,19 @@ def test_from_a_table(spark):
     log = log_of(spark, {0: [("a", 0, 0), ("b", 1, 1), ("c", 2, 2)], 1: [("a", 0, 0), ("c", 1, 1), ("b", 2, 2)]})
     assert P.canonical(D.discover(log)) == P.parse("->('a', +('b', 'c'))")
     assert {(r.a, r.b, r.n) for r in D.directly_follows(log).collect()} == {(None, "a", 2), ("a", "b", 1), ("a", "c", 1), ("b", "c", 1), ("c", "b", 1), ("b", None, 1), ("c", None, 1)}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_repaired_trees_fit(seed):
+    tree = P.parse("->('a', X('b', 'c'), +('d', 'e'))")
+    log = Counter(random_traces(40 + seed, 8))
+    repaired = Aligner(D.repair(tree, log))
+    assert all(repaired.align(t).fits for t in log)
+
+
+def test_repair_groups_and_drops():
+    groups = D.similar_groups(Counter({tuple(t): 1 for t in ("ab", "cdef", "cd", "dc", "ghf", "ghi")}))
+    assert {frozenset("".join(t) for t in g) for g in groups} == {frozenset(["ab"]), frozenset(["cdef", "cd", "dc"]), frozenset(["ghf", "ghi"])}
+    tree = P.parse("->('a', X('b', 'c'), 'd')")
+    small = D.repair(tree, Counter({tuple("abd"): 9, tuple("acd"): 1}), drop_at_most=1)
+    assert "c" not in P.labels(small) and Aligner(small).align("abd").fits
