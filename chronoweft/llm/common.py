@@ -197,6 +197,18 @@ def drop_cut(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task function that gives its freed memory back when it ends."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def release() -> None:
     """Give freed memory back to the system: workers are kept between tasks, and so would be their heaps."""
     pa.default_memory_pool().release_unused()
@@ -272,7 +284,7 @@ def maybe_in(df: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataF
                     arrays[text] = squeeze(arrays[text])
                     yield pa.RecordBatch.from_arrays(arrays, batch.schema.names)
 
-    return df.mapInArrow(run, ", ".join(f"{n} {'binary' if n == 'text' else k}" for n, k in df.dtypes))
+    return df.mapInArrow(tidy(run), ", ".join(f"{n} {'binary' if n == 'text' else k}" for n, k in df.dtypes))
 
 
 def squeeze(column: pa.Array) -> pa.Array:

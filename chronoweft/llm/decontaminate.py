@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import U64, bounded_batches, hash_runs, hash_words, text_view, texts, word_table
+from chronoweft.llm.common import U64, bounded_batches, hash_runs, hash_words, text_view, texts, tidy, word_table
 
 WORDS = word_table(bytes(c for c in range(33, 127) if not chr(c).isalnum()))
 FILTER_BITS = 20
@@ -195,7 +195,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, thre
                     kinds = [ids.type, pa.infer_type([x[1] for x in found]), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
 
-        part = rows.mapInArrow(run, schema)
+        part = rows.mapInArrow(tidy(run), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -212,5 +212,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5,
                 keep[[i for i, _ in judge_rows(shipped.value, batch.column(at), threshold)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = bounded_batches(docs).mapInArrow(run, docs.schema)
+        docs = bounded_batches(docs).mapInArrow(tidy(run), docs.schema)
     return docs

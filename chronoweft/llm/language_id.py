@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import BLOCK_BYTES, U64, bounded_batches, row_blocks, text_view, texts
+from chronoweft.llm.common import BLOCK_BYTES, U64, bounded_batches, row_blocks, text_view, texts, tidy
 
 BUCKETS = 1 << 16
 SIZES = (1, 2, 3)
@@ -100,7 +100,7 @@ def learn(docs: DataFrame, trained: Column, buckets: int = BUCKETS, max_train_do
         total = sum(np.frombuffer(x, np.int64) for x in pdf["counts"])
         return pd.DataFrame({"slice": pdf["slice"][:1], "counts": [total.tobytes()]})
 
-    counted = bounded_batches(known).select(F.coalesce("text", F.lit("")).alias("text"), "lang").mapInArrow(count, "slice long, counts binary")
+    counted = bounded_batches(known).select(F.coalesce("text", F.lit("")).alias("text"), "lang").mapInArrow(tidy(count), "slice long, counts binary")
     got = {r["slice"]: r["counts"] for r in counted.groupBy("slice").applyInPandas(add, "slice long, counts binary").collect()}
     sums = np.zeros((len(langs) * SLICES, width), np.int64)
     for k, v in got.items():
@@ -152,7 +152,7 @@ def identify(docs: DataFrame, buckets: int = BUCKETS, max_train_docs: int = MAX_
                 scores.append(p)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(np.concatenate(scores))], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5, **how) -> DataFrame:
@@ -172,4 +172,4 @@ def keep_identified(docs: DataFrame, min_score: float = 0.5, **how) -> DataFrame
                 kept = (np.array(names) != "und") & (p >= min_score)
                 yield part.filter(pa.array(kept))
 
-    return bounded_batches(docs).mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(tidy(run), docs.schema)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweft.llm import packed_index
-from chronoweft.llm.common import U64, arrow_slices, cut, expand, hash_runs, hash_words, maybe_in, mix, release, row_blocks, signed, text_view, texts
+from chronoweft.llm.common import U64, arrow_slices, cut, expand, hash_runs, hash_words, maybe_in, mix, release, row_blocks, signed, text_view, texts, tidy
 from chronoweft.llm.components import components
 
 SHINGLE = 5
@@ -168,7 +168,7 @@ def measure(docs: DataFrame) -> DataFrame:
                 node.append(int(signed(node_of(own)[None])[0]) if len(own) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64())], ["doc_id", "n_shingles", "node"])
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_shingles long, node long")
+    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, n_shingles long, node long")
 
 
 def pack_hashes(docs: DataFrame, blocks: int) -> DataFrame:
@@ -183,7 +183,7 @@ def pack_hashes(docs: DataFrame, blocks: int) -> DataFrame:
                 yield from packed_index.batches_of(_pack_slice(batch.slice(start, packed_index.SLICE_NODES), blocks, turn))
                 release()
 
-    return rows.mapInArrow(run, packed_index.SCHEMA)
+    return rows.mapInArrow(tidy(run), packed_index.SCHEMA)
 
 
 def _pack_slice(batch: pa.RecordBatch, blocks: int, turn: int) -> list[tuple]:
@@ -234,7 +234,7 @@ class Verifier:
                 nodes = np.array([int(signed(node_of(own)[None])[0]) for i in range(0, batch.num_rows, AT_ONCE) for own in shingle_sets(*text_view(expand(batch.column(1).slice(i, AT_ONCE))))], np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), batch.column(1)], ["doc_id", "node", "text"])
 
-        found = some.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, node long, text binary")
+        found = some.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, node long, text binary")
         return found.join(wanted, ["doc_id", "node"]).dropDuplicates(["doc_id", "node"]).select("node", "text")
 
     def links(self, pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -264,7 +264,7 @@ class Verifier:
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), part.column(1).take(pa.array(keep, pa.int64()))], ["u", "v"])
                 release()
 
-        return cut(joined.mapInArrow(run, "u long, v long"), "links")
+        return cut(joined.mapInArrow(tidy(run), "u long, v long"), "links")
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -292,7 +292,7 @@ def shingle_counts(known: DataFrame) -> np.ndarray:
         total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in pdf["counts"])
         return pd.DataFrame({"slice": pdf["slice"][:1], "counts": [zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)]})
 
-    counted = known.select("node", "text").mapInArrow(run, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, counts binary")
+    counted = known.select("node", "text").mapInArrow(tidy(run), "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, counts binary")
     out = np.zeros((CELL_SLICES, CELLS // CELL_SLICES), np.int32)
     for r in counted.collect():
         out[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int32)
@@ -316,7 +316,7 @@ def rare_shingles(known: DataFrame, blocks: int, percent: int) -> DataFrame:
             who = np.repeat(np.arange(len(rare)), [len(x) for x in rare]).astype(np.uint16)
             yield from packed_index.batches_of(packed_index.pack(np.concatenate([*rare, np.zeros(0, np.uint64)]), who, nodes, blocks, turn))
 
-    packed = known.select("node", "text").mapInArrow(run, packed_index.SCHEMA)
+    packed = known.select("node", "text").mapInArrow(tidy(run), packed_index.SCHEMA)
     return packed.groupBy("p").applyInPandas(lambda pdf: packed_index.unpack(pdf, blocks), packed_index.MEMBERS)
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import arrow_slices, cut, texts
+from chronoweft.llm.common import arrow_slices, cut, texts, tidy
 
 CAPACITY = 4096
 END_ID = 1
@@ -150,7 +150,7 @@ def to_pieces(docs: DataFrame, vocabulary_path: str | None = None, capacity: int
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names)
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
 
 
 Bin = tuple[tuple[int, int], ...]
@@ -288,7 +288,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             offset = t["offset"][at] + nth % t["each"][at] * length
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return ranked.select(*names, "rank").mapInArrow(run, f"doc_id {dict(pieces.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select(*names, "rank").mapInArrow(tidy(run), f"doc_id {dict(pieces.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, vocabulary_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chronoweft.llm.common import bounded_batches, row_blocks, text_view, texts
+from chronoweft.llm.common import bounded_batches, row_blocks, text_view, texts, tidy
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(rb"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -200,7 +200,7 @@ def scan_secrets(docs: DataFrame, min_log10: float = 10.0, min_length: int = 8)
             kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, {SCHEMA}")
+    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, {SCHEMA}")
 
 
 def summary(text: bytes, min_log10: float, min_length: int, keyed: bool = True) -> tuple:
@@ -257,4 +257,4 @@ def mask_secrets(docs: DataFrame, min_log10: float = 10.0, min_length: int = 8)
                 batch = pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
             yield batch
 
-    return bounded_batches(docs).mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(tidy(run), docs.schema)

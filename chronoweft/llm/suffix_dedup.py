@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import BLOCK_BYTES, BYTE_VALUES, U64, arrow_slices, cut, expand, maybe_in, mix, powers, release, row_blocks, signed, text_view, texts
+from chronoweft.llm.common import BLOCK_BYTES, BYTE_VALUES, U64, arrow_slices, cut, expand, maybe_in, mix, powers, release, row_blocks, signed, text_view, texts, tidy
 
 LEAST = 50
 ANCHOR = 20
@@ -147,7 +147,7 @@ def index_anchors(rows: DataFrame, blocks: int, least: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made[i : i + 64], strict=True), _INDEX_KINDS, strict=True)], [x.split()[0] for x in INDEX.split(", ")])
                 release()
 
-    return rows.mapInArrow(run, INDEX)
+    return rows.mapInArrow(tidy(run), INDEX)
 
 
 def _index_slice(batch: pa.RecordBatch, blocks: int, turn: int, least: int) -> list[tuple]:
@@ -273,7 +273,7 @@ def pack_contexts(asked: DataFrame, index_blocks: int, blocks: int, least: int)
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 64], strict=True), _BLOB_KINDS, strict=True)], [x.split()[0] for x in BLOB.split(", ")])
                 release()
 
-    return asked.mapInArrow(run, BLOB)
+    return asked.mapInArrow(tidy(run), BLOB)
 
 
 def _pack_contexts(batch: pa.RecordBatch, index_blocks: int, blocks: int, turn: int, least: int) -> list[tuple]:
@@ -498,7 +498,7 @@ def deduplicate(docs: DataFrame, least: int = LEAST) -> DataFrame:
     spans = removal_spans(docs, least).groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     spans = cut(spans, "spans-by-document")
     some = maybe_in(rows.where(F.col("doc_id").isNotNull()).select(F.col("rid").alias("key"), "text"), spans.select(F.col("rid").alias("key"))).withColumnRenamed("key", "rid")
-    changed = cut(some.join(spans, "rid").select("rid", "text", "spans").mapInArrow(remove, "rid long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["rid"]), "changed")
+    changed = cut(some.join(spans, "rid").select("rid", "text", "spans").mapInArrow(tidy(remove), "rid long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["rid"]), "changed")
     raw = F.col("text").cast("binary")
     whole = rows.select("doc_id", "rid", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("sha"), F.col("doc_id").isNull().alias("alone"))
     joined = whole.join(changed, "rid", "left")

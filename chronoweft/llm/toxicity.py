@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import BLOCK_BYTES, row_blocks, text_view, texts
+from chronoweft.llm.common import BLOCK_BYTES, row_blocks, text_view, texts, tidy
 from chronoweft.llm.language_id import held_out
 
 MAX_TRAIN_DOCS = 40_000
@@ -342,7 +342,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DO
                 keys, n = zip(*sums.items(), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([int(k[1] == 1) * v for k, v in zip(keys, n, strict=True)], pa.int64()), pa.array([int(k[1] != 1) * v for k, v in zip(keys, n, strict=True)], pa.int64())], ["term", "toxic", "clean"])
 
-    counted = sample.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = sample.mapInArrow(tidy(count), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     docs_by = F.broadcast(counted.where("term = ''").select(F.col("toxic").alias("all_toxic"), F.col("clean").alias("all_clean")))
     odds = F.log((F.col("toxic") + 0.5) / (F.col("all_toxic") + 1)) - F.log((F.col("clean") + 0.5) / (F.col("all_clean") + 1))
     scored = counted.where((F.col("term") != "") & (F.col("toxic") >= LEAST_DOCS)).join(docs_by).withColumn("odds", odds).where(F.col("odds") >= LEAST_LOG_ODDS)
@@ -357,7 +357,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DO
                 rows = shipped.value.features(batch.column(0).slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(list(rows), pa.list_(pa.float64()))], ["toxic", "x"])
 
-    got = sample.where("fold = 1").select("text", "toxic").mapInArrow(describe, "toxic int, x array<double>").collect()
+    got = sample.where("fold = 1").select("text", "toxic").mapInArrow(tidy(describe), "toxic int, x array<double>").collect()
     y = np.array([r["toxic"] == 1 for r in got], float)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
@@ -384,4 +384,4 @@ def score(docs: DataFrame, labels: DataFrame | None = None, model: tuple[Lexicon
             p = np.concatenate(parts)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double, predicted int")

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoweft.llm.common import tidy
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL_PATTERN = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -106,7 +108,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule] | DataFrame, default: str =
             names, verdicts = judge_batch(b.column(1).to_pylist(), b.column(2).to_pylist(), kept, default)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(names, pa.string()), pa.array(verdicts, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
-    return parts.mapInArrow(run, f"page_id {dict(parts.dtypes)['page_id']}, host string, path string, rule string, verdict string")
+    return parts.mapInArrow(tidy(run), f"page_id {dict(parts.dtypes)['page_id']}, host string, path string, rule string, verdict string")
 
 
 def _joined(parts: DataFrame, rules: DataFrame, default: str) -> DataFrame:

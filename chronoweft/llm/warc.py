@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import bounded_batches, cut, shared_path
+from chronoweft.llm.common import bounded_batches, cut, shared_path, tidy
 
 ROLL_BYTES = 64 << 20
 SHARD_BYTES = 128 << 20
@@ -180,7 +180,7 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = 0, roll_b
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], [x.split()[0] for x in MANIFEST.split(", ")])
 
-    sorted_rows.mapInArrow(run, MANIFEST).write.mode("overwrite").json(f"{folder}/manifest")
+    sorted_rows.mapInArrow(tidy(run), MANIFEST).write.mode("overwrite").json(f"{folder}/manifest")
     return read_manifest(spark, folder)
 
 
@@ -254,7 +254,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
 
     spread = manifest.select("file").repartition(max(1, files))
-    return spread.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    return spread.mapInArrow(tidy(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 def archive_round_trip(pages: DataFrame, **how) -> DataFrame:
