@@ -332,7 +332,8 @@ def _crossing(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
     known = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = known.groupBy("hash", "root").agg(F.count("*").alias("k"))
     mains = by_root.groupBy("hash").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("members"), F.max("k").alias("most_k")).where("most_k < members")
-    crossing = cut(known.join(mains, "hash"), "crossing")
+    mains = cut(mains, "mains")  # of its own, so that Spark can split the join of a hash with very many members
+    crossing = cut(known.join(_sized(mains), "hash"), "crossing")
     pairs = crossing.agg(F.sum(F.when(F.col("root") != F.col("main"), F.col("members"))).alias("n")).first()["n"] or 0
     return crossing, pairs
 
@@ -417,8 +418,8 @@ def block_links(crossing: DataFrame, known: DataFrame, percent: int) -> DataFram
     """The links (u, v) between different components among the members of each hash of ``crossing`` (hash,
     node, n, root): members are dealt into chunks of bounded size, and each two chunks are compared at once,
     by a product of their incidence matrices. Only links come out."""
-    sizes = crossing.groupBy("hash").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    dealt = crossing.select("hash", "node", "root").join(sizes, "hash").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    sizes = cut(crossing.groupBy("hash").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks")), "chunks")
+    dealt = crossing.select("hash", "node", "root").join(_sized(sizes), "hash").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     spread = dealt.select("hash", "node", "root", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     keyed = spread.select("hash", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "root", "chunk")
 
