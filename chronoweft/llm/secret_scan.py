@@ -32,9 +32,9 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]+")
 HEX_LEAST, ACCESS_LEAST, ASSIGN_LEAST = 24, 20, 6
 
-#: A key that names a credential, a separator, and the value up to a blank, quote, comma or bracket.
-CONTEXT = re.compile(rb"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|(?:api|access|private|secret)[_-]?key)["']?[\x20\t]*(?::|=>?|(?<=[\x20\t])is(?=[\x20\t]))[\x20\t]*["']?([!-~]+)""")
-VALUE_END = re.compile(rb"""["'<>,;()\[\]{}]""")
+#: A key that names a credential and a separator; the value follows, up to a blank, quote, comma, semicolon or bracket.
+CONTEXT = re.compile(rb"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|(?:api|access|private|secret)[_-]?key)["']?[\x20\t]*(?::|=>?|(?<=[\x20\t])is(?=[\x20\t]))[\x20\t]*["']?""")
+VALUE = re.compile(rb"""[^\x00-\x20\x7f-\xff"'<>,;()\[\]{}]+""")
 #: Lower-case parts, one of which every credential key has.
 KEY_PARTS = (b"pass", b"pwd", b"secret", b"token", b"credential", b"auth", b"key")
 
@@ -142,15 +142,17 @@ def base_spans(text: bytes) -> list[tuple[int, int, int]]:
 
 
 def guess_spans(text: bytes, min_log10: float, min_length: int) -> list[tuple[int, int, int, float]]:
-    """(start, kind, end, cost) of the values in credential contexts that cost enough."""
+    """(start, kind, end, cost) of the values in credential contexts that cost enough. A key inside a value
+    counts only if its own value starts after that one."""
     out = []
+    done = 0
     for m in CONTEXT.finditer(text):
-        value = m[1]
-        if end := VALUE_END.search(value):
-            value = value[: end.start()]
-        value = value.rstrip(b".:!?")
+        if m.end() < done or not (found := VALUE.match(text, m.end())):
+            continue
+        done = found.end()
+        value = found[0].rstrip(b".:!?")
         if len(value) >= min_length and (cost := guess_cost(value.decode())) >= min_log10:
-            out.append((m.start(1), 3, m.start(1) + len(value), cost))
+            out.append((m.end(), 3, m.end() + len(value), cost))
     return out
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import random
 import re
 
 import pytest
@@ -73,3 +74,59 @@ def test_mask(spark):
             assert "[secret]" in r.text and r.n_chars == len(r.text) and not by_hand(r.text)[2]
         elif "pwd" not in (before[k].text or ""):
             assert r == before[k]
+
+
+STRONG = "Zq8#vL2!pRw9x@K"
+KEYS = ("password", "passwd", "passphrase", "passcode", "pass", "pwd", "secret", "token", "credentials", "credential", "auth", *(f"{a}{b}key" for a in ("api", "access", "private", "secret") for b in ("", "_", "-")))
+
+
+def values_by_hand(text):
+    """(start, end) of the value of each key, read character by character; keys within a value are part of it."""
+    low, out, done = text.lower(), [], 0
+    for i in range(len(text)):
+        for key in KEYS:
+            at = i + len(key)
+            if not low.startswith(key, i):
+                continue
+            at += text[at : at + 1] in ("'", '"')
+            while text[at : at + 1] in (" ", "\t"):
+                at += 1
+            if text[at : at + 1] == ":":
+                at += 1
+            elif text[at : at + 1] == "=":
+                at += 2 if text[at + 1 : at + 2] == ">" else 1
+            elif text[at - 1] in " \t" and text[at : at + 2] == "is" and text[at + 2 : at + 3] in (" ", "\t"):
+                at += 2
+            else:
+                continue
+            while text[at : at + 1] in (" ", "\t"):
+                at += 1
+            at += text[at : at + 1] in ("'", '"')
+            end = at
+            while end < len(text) and "!" <= text[end] <= "~" and text[end] not in "\"'<>,;()[]{}":
+                end += 1
+            if at >= done and end > at:
+                done = end
+                out.append((at, at + len(text[at:end].rstrip(".:!?"))))
+            break
+    return [x for x in out if x[0] < x[1]]
+
+
+@pytest.mark.parametrize("text, n", [
+    (f'{{"auth":"none","pwd":"{STRONG}"}}', 1), (f"auth=none;pwd={STRONG}", 1), (f"pwd={STRONG};private_key={STRONG},auth:{STRONG}", 3),
+    (f'{{"pwd":"","auth":"{STRONG}"}}', 1), (f"auth:token='{STRONG}'", 1), (f"auth:token: {STRONG}", 1),
+])
+def test_every_credential_of_a_run_is_tried(text, n):
+    found = S.guess_spans(text.encode(), 10.0, 8)
+    assert [text[a:b] for a, _, b, _ in found] == [STRONG] * n
+    assert STRONG.encode() not in S.masked(text.encode(), 10.0, 8)
+
+
+def test_values_by_brute_force():
+    rng = random.Random(3)
+    parts = [*KEYS, "none", STRONG, "x1", "is", *"\"\"'':::===>;;,,{}()[]<&.!? \t"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 16)))
+        if rng.random() < 0.5:
+            text = rng.choice([",", ";", "&"]).join(f"{q}{rng.choice(KEYS)}{q}{rng.choice(':=')}{q}{rng.choice(parts)}{q}" for q in rng.choices(["", '"', "'"], k=4))
+        assert [(a, b) for a, _, b, _ in S.guess_spans(text.encode(), 0.0, 1)] == values_by_hand(text), text
