@@ -2,10 +2,11 @@
 
 1. Lexicon. Over a bounded sample of labelled documents, words and word stems are counted by label; those
    whose log odds of standing in a toxic document are high become terms.
-2. Automata. The terms make a trie. For the strongest whole words, the Levenshtein automaton of each term
-   is intersected with the trie: states are sets of (trie node, edits so far), made deterministic once on
-   the driver, so one table look-up a character finds every term within its distance. All terms also
-   run exactly, stems accepting any ending.
+2. Automata. The whole words make tries, each of so many terms that lie together in the alphabet. The
+   Levenshtein automaton of each term is intersected with its trie: states are sets of (trie node, edits so
+   far), made deterministic once on the driver, so one table look-up a character and trie finds every term
+   within its distance; the nearest counts, then the strongest. All terms also run exactly, stems accepting
+   any ending.
 3. Context. A hit counts less where the window of words around it has quotation marks on both sides or a
    word of reporting, and no word that addresses the reader.
 4. Score. A logistic model over the sums of hits, fitted on labelled documents that the lexicon hasn't seen.
@@ -22,6 +23,7 @@ empty result; other columns are ignored, and labels, lang, source and doc_id nev
 
 from __future__ import annotations
 
+import copy
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -36,7 +38,7 @@ from chronoweft.llm.language_id import held_out
 
 MAX_TRAIN_DOCS = 40_000
 MAX_TERMS = 800
-MAX_FUZZY_TERMS = 64
+FUZZY_TERMS_A_TRIE = 32
 LEAST_DOCS = 3
 LEAST_LOG_ODDS = 3.0
 STRONG_LOG_ODDS = 4.5
@@ -81,6 +83,27 @@ class Words:
     def text(self, i: int) -> str:
         return "".join(map(chr, self.points[self.starts[i] : self.ends[i]].tolist()))
 
+    def distinct(self, longest: int) -> tuple[Words, np.ndarray, np.ndarray]:
+        """Each of the words of at most ``longest`` characters once, the numbers of all these words, and
+        which of the distinct ones each is."""
+        n = self.ends - self.starts
+        short = np.flatnonzero(n <= longest)
+        width = -(-max(longest, 1) // 4) * 4
+        chars = np.zeros((len(short), width), np.uint16)
+        for k in range(longest):
+            has = np.flatnonzero(n[short] > k)
+            chars[has, k] = self.points[self.starts[short[has]] + k]
+        key = np.zeros(len(short), np.uint64)
+        for part in chars.view(np.uint64).T:
+            key = (key ^ part) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        if not np.array_equal(chars[first][which], chars):  # two words of one hash
+            first = which = np.arange(len(short))
+        out = copy.copy(self)
+        out.starts, out.ends, out.row = (x[short[first]] for x in (self.starts, self.ends, self.row))
+        return out, short, which
+
 
 class Automaton:
     """A deterministic automaton over character classes; state 0 is dead, 1 the start."""
@@ -93,11 +116,17 @@ class Automaton:
         self.width = int(self.classes.max()) + 1
         self.step = np.zeros((2, self.width), np.int32)
         self.accepts = np.full(2, -1, np.int32)
+        self.costs = np.zeros(2, np.int32)
         self.open = np.zeros(2, bool)
         self.longest = 0
 
     def run(self, words: Words) -> np.ndarray:
         """The term that each word ends in, -1 for none."""
+        return self.nearest(words)[0]
+
+    def nearest(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """The term that each word ends in, -1 for none, and its edits."""
+        cost = np.zeros(len(words.starts), np.int32)
         out = np.full(len(words.starts), -1, np.int32)
         n = words.ends - words.starts
         live = np.arange(len(n))
@@ -107,6 +136,7 @@ class Automaton:
             if over.any():
                 ended = self.accepts[state[over]]
                 out[live[over]] = np.where(ended >= 0, ended, out[live[over]])
+                cost[live[over]] = self.costs[state[over]]
             stays = ~over & (state != 0)
             held = stays & self.open[state]
             if held.any():  # a stem: any ending is accepted
@@ -115,7 +145,7 @@ class Automaton:
             if not len(live):
                 break
             state = self.step[state, self.classes[words.points[words.starts[live] + k]]]
-        return out
+        return out, cost
 
 
 def exact_automaton(terms: list[str]) -> Automaton:
@@ -138,6 +168,7 @@ def exact_automaton(terms: list[str]) -> Automaton:
             accepts[at] = i
     made.step = np.zeros((len(nodes), made.width), np.int32)
     made.accepts = np.full(len(nodes), -1, np.int32)
+    made.costs = np.zeros(len(nodes), np.int32)
     made.open = np.zeros(len(nodes), bool)
     for at, own in enumerate(nodes):
         for k, to in own.items():
@@ -190,34 +221,39 @@ def fuzzy_automaton(terms: list[str]) -> Automaton:
 
     start = closed({0: 0})
     number, states = {frozenset(): 0, start: 1}, [frozenset(), start]
+
+    def after(state: frozenset, k: int) -> int:
+        to: dict[int, int] = {}
+        for node, cost in state:
+            if k in children[node]:
+                child = children[node][k]
+                to[child] = min(to.get(child, 99), cost)
+            if cost < budget[node]:
+                to[node] = min(to.get(node, 99), cost + 1)  # a character too many
+                for child in children[node].values():
+                    if cost < budget[child]:
+                        to[child] = min(to.get(child, 99), cost + 1)  # another character
+        key = closed(to)
+        if key not in number:
+            number[key] = len(states)
+            states.append(key)
+        return number[key]
+
     step: list[list[int]] = [[0] * made.width]
     at = 1
     while at < len(states):
-        row = []
-        for k in range(made.width):
-            to: dict[int, int] = {}
-            for node, cost in states[at]:
-                if k in children[node]:
-                    child = children[node][k]
-                    to[child] = min(to.get(child, 99), cost)
-                if cost < budget[node]:
-                    to[node] = min(to.get(node, 99), cost + 1)  # a character too many
-                    for child in children[node].values():
-                        if cost < budget[child]:
-                            to[child] = min(to.get(child, 99), cost + 1)  # another character
-            key = closed(to)
-            if key not in number:
-                number[key] = len(states)
-                states.append(key)
-            row.append(number[key])
+        row = [after(states[at], 0)] * made.width  # class 0 continues no node
+        for k in {k for node, _ in states[at] for k in children[node]} - {0}:
+            row[k] = after(states[at], k)
         step.append(row)
         at += 1
     made.step = np.array(step, np.int32)
     made.accepts = np.full(len(states), -1, np.int32)
+    made.costs = np.zeros(len(states), np.int32)
     for i, own in enumerate(states):
         hits = [(cost, ends[node]) for node, cost in own if node in ends and cost <= allowed_edits(terms[ends[node]])]
         if hits:
-            made.accepts[i] = min(hits)[1]
+            made.costs[i], made.accepts[i] = min(hits)
     made.open = np.zeros(len(states), bool)
     made.longest = max((len(t) + allowed_edits(t) for t in terms), default=0)
     return made
@@ -233,19 +269,32 @@ class Lexicon:
         self.terms = [t for t, _ in terms]
         self.weights = np.array([w for _, w in terms] or [0.0])
         self.exact = exact_automaton(self.terms)
-        whole = [t for t, _ in terms if not t.endswith("*") and allowed_edits(t)]
-        self.fuzzy_terms = whole[:MAX_FUZZY_TERMS]
-        self.fuzzy = fuzzy_automaton(self.fuzzy_terms)
-        self.fuzzy_ids = np.array([self.terms.index(t) for t in self.fuzzy_terms] or [0])
+        whole = sorted((t, i) for i, t in enumerate(self.terms) if not t.endswith("*") and allowed_edits(t))
+        self.fuzzy: list[tuple[Automaton, np.ndarray]] = []
+        for k in range(0, len(whole), FUZZY_TERMS_A_TRIE):
+            ids = sorted(i for _, i in whole[k : k + FUZZY_TERMS_A_TRIE])
+            self.fuzzy.append((fuzzy_automaton([self.terms[i] for i in ids]), np.array(ids)))
         cues = [*REPORTING, *ADDRESSING]
         self.cues = exact_automaton(cues)
         self.reporting = len(REPORTING)
 
+    def misspelled(self, words: Words) -> np.ndarray:
+        """The nearest whole-word term within its distance of each word, the strongest of these; -1 for none."""
+        out = np.full(len(words.starts), -1)
+        once, at, which = words.distinct(max((a.longest for a, _ in self.fuzzy), default=0))
+        none = 99 * len(self.terms)
+        best = np.full(len(once.starts), none)
+        for automaton, ids in self.fuzzy:
+            term, cost = automaton.nearest(once)
+            best = np.minimum(best, np.where(term >= 0, cost * len(self.terms) + ids[term], none))
+        if self.fuzzy:
+            out[at] = np.where(best < none, best % len(self.terms), -1)[which]
+        return out
+
     def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Word numbers, terms, whether each is misspelled, and its share after its context."""
         exact = self.exact.run(words)
-        fuzzy = self.fuzzy.run(words)
-        found = np.where(exact >= 0, exact, np.where(fuzzy >= 0, self.fuzzy_ids[fuzzy], -1))
+        found = np.where(exact >= 0, exact, self.misspelled(words))
         at = np.flatnonzero(found >= 0)
         if not len(at):
             return at, at, at.astype(bool), at.astype(float)

@@ -94,3 +94,15 @@ def test_fit_separates():
 def test_words(text):
     w = X.Words([text, text])
     assert set(w.row.tolist()) <= {0, 1}
+
+
+def test_every_whole_word_is_matched_misspelled():
+    rng = random.Random(2)
+    terms = list({"".join(rng.choices("abcdefghij", k=rng.randrange(5, 12))) for _ in range(150)})
+    lexicon = X.Lexicon([(t, 9 - i / 50) for i, t in enumerate(terms)])
+    words = [t[:k] + "z" + t[k + 1 :] for t in terms for k in (0, 2, len(t) - 1)]
+    words += ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 13))) for _ in range(300)]
+    near = [min(((distance(w, t), i) for i, t in enumerate(terms) if distance(w, t) <= X.allowed_edits(t)), default=(0, -1))[1] for w in words]
+    assert lexicon.misspelled(X.Words([" ".join(words)])).tolist() == near
+    at, _, misspelled, _ = lexicon.hits(X.Words([" ".join(words[: 3 * len(terms)])]))
+    assert len(at) == 3 * len(terms) and misspelled.any()
