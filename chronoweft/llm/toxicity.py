@@ -109,8 +109,8 @@ class Automaton:
     """A deterministic automaton over character classes; state 0 is dead, 1 the start."""
 
     def __init__(self, alphabet: str):
-        self.classes = np.zeros(1 << 16, np.uint8)
-        for k, c in enumerate(sorted(set(alphabet))[:250], 1):
+        self.classes = np.zeros(1 << 16, np.uint16)
+        for k, c in enumerate(sorted(set(alphabet)), 1):
             if ord(c) < 1 << 16:
                 self.classes[ord(c)] = k
         self.width = int(self.classes.max()) + 1

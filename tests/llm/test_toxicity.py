@@ -106,3 +106,17 @@ def test_every_whole_word_is_matched_misspelled():
     assert lexicon.misspelled(X.Words([" ".join(words)])).tolist() == near
     at, _, misspelled, _ = lexicon.hits(X.Words([" ".join(words[: 3 * len(terms)])]))
     assert len(at) == 3 * len(terms) and misspelled.any()
+
+
+def test_a_lexicon_of_many_characters():
+    rng = random.Random(4)
+    signs = [chr(c) for c in range(0xAC00, 0xAC00 + 600)]
+    rng.shuffle(signs)
+    terms = ["".join(signs[i : i + 6]) for i in range(0, 600, 6)]
+    lexicon = X.Lexicon([(t, 6.0) for t in terms] + [(signs[3] + signs[9] + signs[20] + signs[31] + "*", 4.0)])
+    words = [*terms, signs[3] + signs[9] + signs[20] + signs[31] + "x"]
+    assert lexicon.exact.run(X.Words([" ".join(words)])).tolist() == list(range(len(words)))
+    changed = [t[:2] + "x" + t[3:] for t in terms] + [t[:2] + "x" + signs[0] + t[4:] for t in terms]
+    assert lexicon.misspelled(X.Words([" ".join(changed)])).tolist() == [*range(len(terms)), *[-1] * len(terms)]
+    made = X.fuzzy_automaton(terms[:45])
+    assert made.width == 271 and made.run(X.Words([" ".join(changed)])).tolist() == [*range(45), *[-1] * (2 * len(terms) - 45)]
