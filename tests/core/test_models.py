@@ -1,5 +1,7 @@
 import datetime
 
+import pytest
+
 from chronoweft.operators import discovery as D
 from chronoweft.operators import local_models as L
 from chronoweft.operators import ordering as O
@@ -69,3 +71,10 @@ def test_scores_by_a_model(spark):
     assert {r.candidate: r.score for r in O.deviation_height_scores(v, tree).collect()}["a,b"] == float("inf")
     assert {r.score for r in O.duplicate_scores(v, tree).collect()} == {0.0}
     assert O.choose(v, [(lambda x: O.alignment_scores(x, tree), 0.5), (lambda x: O.missing_activity_scores(x, ["a"]), None)]) == "a"
+
+
+def test_patterns_of_too_many_sequences_raise():
+    assert len(L.pattern_sequences("∧(a, b, c)...∧(d, e)", 12)) == 12
+    for pattern in ("∧(a, b, c)...∧(d, e)", "∧(a, b, c, d)"):
+        with pytest.raises(ValueError, match="more than 11 sequences"):
+            L.pattern_sequences(pattern, 11)
