@@ -36,9 +36,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from chronoweft.llm import packed_index
-from chronoweft.llm.common import U64, arrow_slices, cut, expand, hash_runs, hash_words, maybe_in, mix, release, row_blocks, signed, text_view, texts, tidy
+from chronoweft.llm.common import U64, arrow_slices, bounded_batches, cut, expand, hash_runs, hash_words, maybe_in, mix, release, row_blocks, signed, text_view, texts, tidy
 from chronoweft.llm.components import components
 
 SHINGLE = 5
@@ -464,20 +465,40 @@ def join_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def keep_one_each(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows and columns of ``docs`` that lead their component: its smallest doc_id, and of repeated rows
-    with that doc_id one. Rows without a set, or without a doc_id, all stay."""
+    """The rows and columns of ``docs`` of which one stays of each component: a row with its smallest doc_id
+    and, where several rows have that doc_id, the least by node, text and the other columns. Rows of one doc_id
+    are judged each by its own text. Rows without a set, or without a doc_id, all stay."""
     names = docs.columns
-    joined = join_documents(docs, percent)
-    led = joined.where("n_shingles > 0").groupBy("doc_id").agg(F.min(F.col("doc_id") == F.col("component_id")).alias("leads"), F.count("*").alias("rows"))
-    judged = cut(led.where("NOT leads OR rows > 1"), "judged")
-    of = lambda where, name: judged.where(where).select(F.col("doc_id").alias(name))
-    kept = docs.join(of("NOT leads", "__followed"), docs["doc_id"] == F.col("__followed"), "left_anti")
-    if judged.where("leads").isEmpty():
-        return kept.select(*names)
-    again = of("leads", "__repeated")
-    return kept.join(again, kept["doc_id"] == F.col("__repeated"), "left_anti").select(*names).unionByName(
-        kept.join(again, kept["doc_id"] == F.col("__repeated"), "left_semi").dropDuplicates(["doc_id", "text"]).select(*names)
-    )
+    measured, roots = similar_classes(docs, percent)
+    own = measured.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id", "node").agg(F.count("*").alias("rows"))
+    own = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = own.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("first"))
+    judged = own.join(least, "root").withColumn("leads", F.struct("doc_id", "node") == F.col("first"))
+    by_id = judged.groupBy("doc_id").agg(F.max("leads").alias("leads"), F.sum("rows").alias("rows"))
+    # doc_ids whose only row leads need nothing; those without a leading row go; the others are judged by row
+    judged = cut(by_id.where("NOT leads OR rows > 1").select(F.col("doc_id").alias("__judged"), "leads"), "judged")
+    plain = docs.join(judged.select("__judged"), docs["doc_id"] == F.col("__judged"), "left_anti").select(*names)
+    mixed = cut(judged.where("leads").select("__judged"), "mixed")
+    if mixed.isEmpty():
+        return plain
+    leaders = least.select(F.col("first.doc_id").alias("__id"), F.col("first.node").alias("__node"))
+    rows = _with_node(docs.join(mixed, docs["doc_id"] == F.col("__judged"), "left_semi"))
+    led = rows.join(leaders, (F.col("doc_id") == F.col("__id")) & (rows["__node"] == leaders["__node"]), "left_semi")
+    order = Window.partitionBy("doc_id", "__node").orderBy("text", F.to_json(F.struct(*(F.col(f"`{n}`") for n in names))))
+    one = led.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(*names)
+    return plain.unionByName(rows.where("__node IS NULL").select(*names)).unionByName(one)
+
+
+def _with_node(docs: DataFrame) -> DataFrame:
+    """``docs`` with the node of each text as ``__node``, null without a set."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_slices(batches):
+            node = [int(signed(node_of(own)[None])[0]) if len(own) else None for own in shingle_sets(*text_view(batch.column(at)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64())], [*batch.schema.names, "__node"])
+
+    return bounded_batches(docs).mapInArrow(tidy(run), StructType([*docs.schema.fields, StructField("__node", LongType())]))
 
 
 ORACLE_SQL = r"""
