@@ -36,7 +36,6 @@ END_ID = 1
 BUCKET_PIECES = 4096
 LEAST_BUCKETS = 256
 CACHE_WORDS = 400_000
-FEW_SIZES = 64
 
 #: Characters for which the pre-tokeniser's classes are plain: ASCII, and Latin-1's letters.
 PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
@@ -157,58 +156,84 @@ Bin = tuple[tuple[int, int], ...]
 """(length, pieces of that length) of one sequence, in their order."""
 
 
+class Sizes:
+    """The sizes of which pieces are left, as bits of one number and of its mirror image: a shift and an AND
+    tell whether any two of them sum to a value."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.counts, self.capacity = counts, capacity
+        self.bits = self.mirror = 0
+        for s, n in counts.items():
+            if n:
+                self.bits |= 1 << s
+                self.mirror |= 1 << (capacity - s)
+
+    def take(self, size: int, n: int) -> None:
+        self.counts[size] -= n
+        if not self.counts[size]:
+            self.bits ^= 1 << size
+            self.mirror ^= 1 << (self.capacity - size)
+
+
 def reduce(counts: dict[int, int], capacity: int) -> list[tuple[Bin, int]]:
     """Take from ``counts`` the sets that dominate all alternatives; (set, how many of it)."""
     fixed: list[tuple[Bin, int]] = []
-    sizes = sorted(s for s, n in counts.items() if n)
+    sizes = Sizes(counts, capacity)
     changed = True
     while changed:
         changed = False
-        for size in reversed(list(sizes)):
+        for size in sorted((s for s, n in counts.items() if n), reverse=True):
             while counts.get(size, 0):
-                took = _dominant(size, counts, sizes, capacity)
+                took = _dominant(size, sizes)
                 if took is None:
                     break
                 fixed.append(took)
                 for own, k in took[0]:
-                    counts[own] -= k * took[1]
-                    if not counts[own]:
-                        sizes.pop(bisect.bisect_left(sizes, own))
+                    sizes.take(own, k * took[1])
                 changed = True
     return fixed
 
 
-def _dominant(size: int, counts: dict[int, int], sizes: list[int], capacity: int) -> tuple[Bin, int] | None:
-    """The dominating set that holds a piece of ``size``, if one is known to be."""
-    rest = capacity - size
+def _dominant(size: int, sizes: Sizes) -> tuple[Bin, int] | None:
+    """The dominating set that holds a piece of ``size``, if one is known to be, and how often: what makes it
+    dominate, that no others fill its room better, stays true while pieces of its sizes are left."""
+    counts, rest = sizes.counts, sizes.capacity - size
     have = counts[size]
-    others = lambda s: counts[s] - (s == size)
     if rest == 0:
         return ((size, 1),), have
     if counts.get(rest, 0) and (rest != size or have > 1):
         return (((size, 2),), have // 2) if rest == size else (((size, 1), (rest, 1)), min(have, counts[rest]))
-    fitting = [s for s in sizes[: bisect.bisect_right(sizes, rest)] if others(s) > 0]
+    others = sizes.bits if have > 1 else sizes.bits & ~(1 << size)
+    fitting = others & ((1 << (rest + 1)) - 1)
     if not fitting:
         return ((size, 1),), 1 if size <= rest else have
-    best = fitting[-1]
-    if len(fitting) > 1 or others(fitting[0]) > 1:
-        first = fitting[0]
-        second = first if others(first) > 1 else fitting[1]
-        if first + second <= rest:  # two others fit together: do they ever fill more than the best alone?
-            if len(fitting) > FEW_SIZES or _sums_between(fitting, counts, others, best, rest):
-                return None
-    return (((size, 2),), 1) if best == size else (((size, 1), (best, 1)), 1 if size < best else min(have, counts[best]))
-
-
-def _sums_between(fitting: list[int], counts: dict[int, int], others, low: int, high: int) -> bool:
-    """Whether two or more pieces have a sum above ``low`` and at most ``high``."""
-    mask = (1 << (high + 1)) - 1
+    best = fitting.bit_length() - 1
+    if _filled_better(size, sizes, fitting, best, rest):
+        return None
+    return (((size, 2),), have // 2) if best == size else (((size, 1), (best, 1)), min(have, counts[best]))
+
+
+def _filled_better(size: int, sizes: Sizes, fitting: int, best: int, rest: int) -> bool:
+    """Whether two or more pieces beside one of ``size`` have a sum above ``best`` and at most ``rest``."""
+    others = lambda s: sizes.counts[s] - (s == size)
+    mirror = sizes.mirror if others(size) else sizes.mirror & ~(1 << (sizes.capacity - size))
+    for total in range(best + 1, min(rest, 2 * best) + 1):  # two pieces: nearly always enough where sizes are many
+        two = fitting & (mirror >> (sizes.capacity - total))
+        if total % 2 == 0 and sizes.counts.get(total // 2) and others(total // 2) < 2:
+            two &= ~(1 << (total // 2))
+        if two:
+            return True
+    mask = (1 << (rest + 1)) - 1
     one = many = 0  # bit s: some single piece, some set of two or more, sums to s
-    for s in fitting:
-        for _ in range(min(others(s), high // s)):
+    while fitting:
+        s = (fitting & -fitting).bit_length() - 1
+        fitting &= fitting - 1
+        for _ in range(min(others(s), rest // s)):
             many |= ((many | one) << s) & mask
             one |= 1 << s
-    return bool(many >> (low + 1))
+            if many >> (best + 1):
+                return True
+    return False
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Bin, int]]:

@@ -95,6 +95,44 @@ def test_reduction_keeps_an_optimum(seed):
     assert sum(t for _, t in fixed) + (least_bins(rest, 20) if rest else 0) == least_bins(items, 20)
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_better_fillings_by_enumeration(seed):
+    """Whether some two or more pieces beside one fill its room better than the largest alone."""
+    rng = random.Random(100 + seed)
+    capacity = 60
+    counts = dict(Counter(rng.randrange(1, 40) for _ in range(rng.randrange(2, 9))))
+    for size in counts:
+        rest = capacity - size
+        others = [s for s, n in counts.items() for _ in range(n - (s == size))]
+        fitting = [s for s in others if s <= rest]
+        if not fitting or rest in fitting:
+            continue
+        sums = {sum(s for k, s in enumerate(others) if pick >> k & 1) for pick in range(1 << len(others)) if pick.bit_count() > 1}
+        want = any(max(fitting) < x <= rest for x in sums)
+        took = K._dominant(size, K.Sizes(dict(counts), capacity))
+        assert (took is None) == want
+        if took:
+            assert sum(s * k for s, k in took[0]) == size + max(fitting)
+
+
+def test_many_lengths():
+    """2,000 lengths, and the same in very large numbers: all pieces are placed, in little more than the volume."""
+    rng = np.random.default_rng(6)
+    lengths = rng.choice(np.arange(20, 4000), 2000, replace=False)
+    for times in (1, 10**9):
+        histogram = {int(s): int(n) * times for s, n in zip(lengths, rng.integers(1, 4, 2000), strict=True)}
+        counts = dict(histogram)
+        fixed = K.reduce(counts, 4096)
+        placed = Counter(counts)
+        for own, n in fixed:
+            assert sum(s * k for s, k in own) <= 4096
+            for s, k in own:
+                placed[s] += k * n
+        assert placed == Counter(histogram) and len(fixed) < 4000
+        _, sequences = K.plan(histogram)
+        assert sequences <= 1.01 * sum(s * n for s, n in histogram.items()) / 4096 + 1
+
+
 @pytest.mark.parametrize("seed", range(10))
 def test_plan_covers_every_rank(seed):
     rng = random.Random(seed)
