@@ -8,8 +8,8 @@ better), until none is left; the remainder goes best-fit decreasing, whole class
 time. The plan is a table of (length, first rank, pieces a sequence, first sequence, offset); the pieces
 get ranks within their length by bucketed windows and look themselves up.
 
-Buckets hold a bounded number of pieces, so a length that a third of the pieces share is as many tasks'
-work as any other.
+Each length has as many buckets as its number of pieces asks for, so a length that a third of the pieces
+share is as many tasks' work as any other, and the counts by bucket are few next to the pieces.
 
 Defined cases: null and empty texts are one piece of length 1 (the end token); repeated rows are packed as
 rows of their own; an empty table gives an empty result; other columns are ignored.
@@ -34,7 +34,6 @@ from chronoweft.llm.common import arrow_slices, cut, texts, tidy
 CAPACITY = 4096
 END_ID = 1
 BUCKET_PIECES = 4096
-LEAST_BUCKETS = 256
 CACHE_WORDS = 400_000
 
 #: Characters for which the pre-tokeniser's classes are plain: ASCII, and Latin-1's letters.
@@ -293,9 +292,11 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if histogram and not 0 < min(histogram) <= max(histogram) <= capacity:
         raise ValueError("a piece is empty or longer than a sequence")
-    shipped = pieces.sparkSession.sparkContext.broadcast(plan(histogram, capacity)[0])
-    buckets = max(LEAST_BUCKETS, sum(histogram.values()) // BUCKET_PIECES)
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    spark = pieces.sparkSession
+    shipped = spark.sparkContext.broadcast(plan(histogram, capacity)[0])
+    # buckets of BUCKET_PIECES pieces within each length; this table has at most ``capacity`` rows
+    many = spark.createDataFrame([(s, -(-n // BUCKET_PIECES)) for s, n in histogram.items()], "length long, buckets long")
+    keyed = pieces.join(F.broadcast(many), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets")))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
