@@ -30,8 +30,6 @@ PAGE_ROWS = 1024
 STRIP_ROWS = 64
 TILE_WIDTH, TILE_ROWS = 64, 16
 PAD = b"\xff"
-LZW_MOST = 4 * WIDTH
-"""Pages of at most this many bytes may be LZW, which has no fast library here."""
 
 # Fixed values of the TIFF 6.0 specification.
 NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
@@ -195,7 +193,7 @@ def page_form(samples: bytes) -> tuple[int, int, bool]:
         return PACKBITS, 1, False
     if k == 2:
         return DEFLATE, 1, True
-    return (LZW, 2, False) if len(samples) <= LZW_MOST else (DEFLATE, 1, False)
+    return LZW, 2, False
 
 
 def encode(payload: bytes) -> bytes:

@@ -35,6 +35,20 @@ def test_one_row_a_page(spark):
     assert [(p.doc_id, p.page, p.pages, p.width, p.height) for p in pages] == [(0, 0, 2, 576, 1024), (0, 1, 2, 576, 1), (1, 0, 1, 576, 1)]
 
 
+def test_every_form_at_every_size():
+    """Pages from one row to full ones come in all four forms and give their payload back."""
+    rng = np.random.default_rng(3)
+    for rows in (1, 4, 5, 64, 65, 1024):
+        seen = set()
+        for k in range(40):
+            payload = rng.integers(97, 100 + k % 20, 576 * rows).astype(np.uint8).tobytes() if rows < 1024 or k < 12 else b""
+            form = T.page_form(payload)
+            if payload and form not in seen:
+                seen.add(form)
+                assert b"".join(p.image().tobytes() for p in T.walk(T.encode(payload))) == payload
+        assert seen == {(T.DEFLATE, 2, False), (T.PACKBITS, 1, False), (T.DEFLATE, 1, True), (T.LZW, 2, False)}
+
+
 def test_empty_table(spark):
     assert T.media_digest(docs_of(spark, [])).count() == 0
 
