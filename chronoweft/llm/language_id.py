@@ -7,7 +7,8 @@ corpus. The matrix of log probabilities then goes to the tasks, and each block o
 gathering the rows of its n-grams and summing them by text.
 
 The classifier is fitted on at most ``max_train_docs`` labelled documents in expectation, chosen by a hash
-of doc_id; all documents where there are no more.
+of doc_id; all documents where there are no more. Of more than ``max_languages`` values of lang, the sample
+has those with the most documents (ties by name): the model's size is languages x buckets.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; without any labelled row all
 texts are ``und``; documents with a null lang are predicted but not learned from; repeated rows each give
@@ -67,13 +68,14 @@ def grams(texts_: list[str], buckets: int) -> tuple[Iterator[tuple[np.ndarray, n
     return sizes(), starts
 
 
-def learn(docs: DataFrame, trained: Column, buckets: int = BUCKETS, max_train_docs: int = MAX_TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, trained: Column, buckets: int = BUCKETS, max_train_docs: int = MAX_TRAIN_DOCS, max_languages: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray]:
     """Languages, and log probabilities with a row per bucket; a last row holds the log priors."""
     known = docs.where(trained & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    most = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages + 1).collect()
+    sizes = {r["lang"]: r["n"] for r in most[:max_languages]}
     langs = sorted(sizes)
+    if len(most) > max_languages:
+        known = known.where(F.col("lang").isin(langs))
     if not langs:
         return [], np.zeros((buckets + 1, 0), np.float32)
     total = sum(sizes.values())
@@ -133,11 +135,11 @@ def score_block(texts_: list[str], langs: list[str], logs: np.ndarray) -> tuple[
     return names, np.where(lettered, p[np.arange(len(p)), best], 0.0)
 
 
-def identify(docs: DataFrame, buckets: int = BUCKETS, max_train_docs: int = MAX_TRAIN_DOCS, model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None, **how) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each document; the model is learned from the rows of
     ``docs`` that aren't held out, unless one is given."""
     spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast(model or learn(docs, ~held_out(), buckets, max_train_docs))
+    shipped = spark.sparkContext.broadcast(model or learn(docs, ~held_out(), **how))
     rows = texts(docs, held_out().alias("held_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

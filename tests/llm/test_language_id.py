@@ -41,6 +41,16 @@ def test_held_out_labels_and_ids_dont_matter(spark):
     assert one == two
 
 
+def test_more_languages_than_the_model_may_have(spark):
+    """A noisy lang column: the most frequent languages are learned, the others' rows aren't."""
+    texts, langs, truth = corpus()
+    noisy = [f"x{i}" if i % 11 == 5 else x for i, x in enumerate(langs)]
+    got = {r.doc_id: r for r in L.identify(docs_of(spark, texts, langs=noisy), max_languages=2).collect()}
+    assert all(got[i].lang_pred == t for i, t in enumerate(truth)) and len(got) == len(texts)
+    names, _ = L.learn(docs_of(spark, texts, langs=noisy), ~L.held_out(), max_languages=3)
+    assert names[:2] == ["de", "en"] and len(names) == 3
+
+
 def test_no_labels_and_no_rows(spark):
     got = L.identify(docs_of(spark, ["some text", None], langs=[None, None])).collect()
     assert {r.lang_pred for r in got} == {"und"}
