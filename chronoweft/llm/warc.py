@@ -188,6 +188,19 @@ def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(MANIFEST).json(f"{folder}/manifest")
 
 
+class Counted:
+    """A stream that keeps the size and digest of what was read."""
+
+    def __init__(self, stream):
+        self.stream, self.size, self.sha = stream, 0, hashlib.sha256()
+
+    def read(self, n: int) -> bytes:
+        data = self.stream.read(n)
+        self.size += len(data)
+        self.sha.update(data)
+        return data
+
+
 def members(stream) -> Iterator[bytes]:
     """The decompressed gzip members of a stream, one at a time."""
     inflate, parts, data = zlib.decompressobj(31), [], b""
@@ -221,14 +234,17 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """One row per page record of the files in the manifest: page_id, payload_bytes, payload_digest,
-    record_type, refers_to and url, digests checked against the stored bytes."""
+    record_type, refers_to and url. Payload and block digests are checked against the stored bytes, and each
+    file's size, records and digest against the manifest."""
     files = manifest.count()
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
 
-    def rows(name: str) -> Iterator[tuple]:
+    def rows(name: str, want: tuple[int, int, str]) -> Iterator[tuple]:
         system, path = open_fs(f"{folder}/{name}")
-        with system.open_input_stream(path, compression=None) as stream:
+        records = 0
+        with system.open_input_stream(path, compression=None) as file:
+            stream = Counted(file)
             for raw in members(stream):
                 headers, block = parse(raw)
                 if headers["WARC-Type"] == "warcinfo":
@@ -239,13 +255,17 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 if headers["WARC-Type"] == "response" and (len(payload) != n or base32_sha1(payload) != digest):
                     raise ValueError(f"{headers['WARC-Record-ID']}: wrong payload")
                 to = headers.get("WARC-Refers-To")
+                records += 1
                 yield page_of(headers["WARC-Record-ID"]), n, digest, headers["WARC-Type"], page_of(to) if to else None, headers["WARC-Target-URI"]
 
+        if (stream.size, records, stream.sha.hexdigest()) != want:
+            raise ValueError(f"{name}: not the file that its manifest lists")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name, *want in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = []
-                for row in rows(name):
+                for row in rows(name, tuple(want)):
                     found.append(row)
                     if len(found) == 4096:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
@@ -253,17 +273,24 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
 
-    spread = manifest.select("file").repartition(max(1, files))
+    spread = manifest.select("file", "bytes", "records", "sha256").repartition(max(1, files))
     return spread.mapInArrow(tidy(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 def archive_round_trip(pages: DataFrame, **how) -> DataFrame:
-    """Write ``pages`` to new archives in the shared folder and read them back."""
+    """Write ``pages`` to new archives in the shared folder and read them back. The result is read from the
+    archives whenever it is computed, so they stay; :func:`delete_archives` removes a folder of them."""
     folder = shared_path(pages.sparkSession, "warc")
     manifest = write_archives(pages, folder, **how)
     return read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def delete_archives(folder: str) -> None:
+    """Remove a folder that :func:`write_archives` filled, when nothing reads it any more."""
+    system, path = open_fs(folder)
+    system.delete_dir(path)
+
+
 # The revisit target of a repeated row is its own page_id; SQL has no such rows to tell apart here.
 ORACLE_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),

@@ -1,9 +1,11 @@
 import gzip
+import io
 import os
 
 import pytest
 
 from chronoweft.llm import warc as W
+from tests.llm.helpers import with_clashes
 
 PAGES = "page_id long, url string, html string, doc string"
 
@@ -60,6 +62,28 @@ def test_empty_table(spark):
     assert W.archive_round_trip(pages_of(spark, [])).count() == 0
 
 
+def test_a_file_without_its_last_records_is_noticed(spark, tmp_path):
+    """Whole members are missing, so nothing but the manifest tells."""
+    folder = f"file://{tmp_path}/x"
+    manifest = W.write_archives(pages_of(spark, rows_of()), folder, shards=1)
+    path = tmp_path / "x" / manifest.first().file
+    whole = path.read_bytes()
+    path.write_bytes(b"".join(W.member(m) for m in list(W.members(io.BytesIO(whole)))[:-2]))
+    with pytest.raises(Exception, match="manifest"):
+        W.read_archives(manifest, folder).collect()
+    path.write_bytes(whole)
+    assert W.read_archives(manifest, folder).count() == 64
+    W.delete_archives(folder)
+    assert not path.exists()
+
+
+def test_clashing_columns(spark):
+    pages = with_clashes(pages_of(spark, rows_of()))
+    for name in ("digest", "size", "target", "n", "file", "bytes", "records", "sha256"):
+        pages = pages.withColumn(name, pages["doc"])
+    assert sorted(map(tuple, W.archive_round_trip(pages).collect())) == want(rows_of())
+
+
 def test_damage_is_noticed(spark, tmp_path):
     folder = f"file://{tmp_path}/x"
     manifest = W.write_archives(pages_of(spark, rows_of()), folder, shards=1)
