@@ -10,8 +10,8 @@ and sweeps its own urls: no shuffle, so no host is hot. Beyond that bound, the r
 distinct (host, path) pairs are joined to it by each of the host's ancestors.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and no rule; repeated rows
-each give a row; of equally long rules, the one with the longer host wins, then the smaller string; an
-empty table gives an empty result; columns other than page_id and url are ignored.
+each give a row; of equally long rules, the one with the longer host wins, then the smaller string, then the
+smaller verdict; an empty table gives an empty result; columns other than page_id and url are ignored.
 """
 
 from __future__ import annotations
@@ -42,17 +42,26 @@ def host_key(host: str) -> str:
     return "".join(f"{label}." for label in reversed(host.split(".")))
 
 
+Keyed = tuple[str, list[tuple[int, int, str, str, str]]]
+"""A key and its rules: lengths (less is longer), the rule's text, path and verdict, best first."""
+
+
+def sorted_rules(rules: Iterable[Rule]) -> list[Keyed]:
+    """The rules in the order of their keys; made once, for all tasks."""
+    by_key: dict[str, list[tuple[int, int, str, str, str]]] = {}
+    for host, path, verdict in set(rules):
+        by_key.setdefault(host_key(host), []).append((-len(host) - len(path), -len(host), host + path, path, verdict))
+    return sorted((key, sorted(own)) for key, own in by_key.items())
+
+
 class Sweep:
     """Rules in key order, and the stack of those whose interval holds the key last asked for.
     Keys must come in ascending order."""
 
-    def __init__(self, rules: Iterable[Rule]):
-        by_key: dict[str, list[tuple[int, int, str, str, str]]] = {}
-        for host, path, verdict in set(rules):
-            by_key.setdefault(host_key(host), []).append((-len(host) - len(path), -len(host), host + path, path, verdict))
-        self.rules = sorted((key, sorted(own)) for key, own in by_key.items())
+    def __init__(self, rules: list[Keyed]):
+        self.rules = rules
         self.next = 0
-        self.stack: list[tuple[str, list[tuple[int, int, str, str, str]]]] = []
+        self.stack: list[Keyed] = []
 
     def move_to(self, key: str) -> None:
         while self.next < len(self.rules) and self.rules[self.next][0] <= key:
@@ -75,7 +84,7 @@ class Sweep:
         return (found[2], found[4]) if found else None
 
 
-def judge_batch(hosts: list[str], paths: list[str], rules: list[Rule], default: str) -> tuple[list[str | None], list[str]]:
+def judge_batch(hosts: list[str], paths: list[str], rules: list[Keyed], default: str) -> tuple[list[str | None], list[str]]:
     """Rule and verdict of each (host, path), by one sorted sweep."""
     names: list[str | None] = [None] * len(hosts)
     verdicts = [default] * len(hosts)
@@ -101,11 +110,11 @@ def filter_urls(pages: DataFrame, rules: list[Rule] | DataFrame, default: str =
         rules = some
     elif len(rules) > max_swept_rules:
         return _joined(parts, pages.sparkSession.createDataFrame(rules, "host string, path string, verdict string"), default)
-    kept = list(rules)
+    shipped = pages.sparkSession.sparkContext.broadcast(sorted_rules(rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, verdicts = judge_batch(b.column(1).to_pylist(), b.column(2).to_pylist(), kept, default)
+            names, verdicts = judge_batch(b.column(1).to_pylist(), b.column(2).to_pylist(), shipped.value, default)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(names, pa.string()), pa.array(verdicts, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
     return parts.mapInArrow(tidy(run), f"page_id {dict(parts.dtypes)['page_id']}, host string, path string, rule string, verdict string")
@@ -118,12 +127,13 @@ def _joined(parts: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     ancestors = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     r = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict")).distinct()
     asked = parts.select("host", "path").distinct().select("host", "path", F.explode(ancestors).alias("rule_host"))
-    rank = F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("h"))
+    # longer first, then the smaller text and verdict, as in the sweep
+    rank = F.struct((-F.length("rule_host") - F.length("rule_path")).alias("n"), (-F.length("rule_host")).alias("h"), F.concat("rule_host", "rule_path").alias("text"), F.col("rule_verdict").alias("v"))
     best = (
         asked.join(r, "rule_host")
         .where(F.startswith(F.col("path"), F.col("rule_path")))
         .groupBy("host", "path")
-        .agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict")), rank).alias("best"))
+        .agg(F.min_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict")), rank).alias("best"))
     )
     return parts.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 

@@ -35,7 +35,8 @@ def test_production_rules(spark):
 
 def test_nested_rules_swept_and_joined(spark):
     rng = random.Random(3)
-    rules = list({r[:2]: r for r in random_rules(rng, 40)}.values())
+    rules = random_rules(rng, 40)  # some have the same host and path, and both verdicts
+    rules += [(h, p, "block" if v == "allow" else "allow") for h, p, v in rules[:9]]
     urls = ["http://" + ".".join(rng.choice(["a", "b", "com", "net", "x", "xa"]) for _ in range(rng.randrange(1, 5))) + rng.choice(["", "/", "/a/b/c", "/a/", "/b"]) for _ in range(300)]
     want = {i: plain(u, rules) for i, u in enumerate(urls)}
     for bound in (100, 5):
