@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -161,9 +162,12 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all executors share; a local one where it is unset."""
+    """The folder in ``spark.checkpoint.dir``, which all executors share. Only where the whole of Spark runs
+    on this machine, as in tests, may it be unset: a folder of this machine's is taken then."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_dirs:
             _own_dirs[app] = f"file://{tempfile.mkdtemp(prefix='chronoweft-shared-')}"
