@@ -6,8 +6,13 @@ segment's guesses, plus log10(2) for each segment after the first. A value that
 and costs at least ``min_log10`` is a secret that its owner didn't choose from habit, and becomes a span of
 kind ``guess``.
 
+The dictionary ranks the ``max_words`` most frequent words of the corpus itself, counted over all rows but not
+inside the values under test, so that a secret doesn't make itself a word; the whole words of a public
+tokeniser's vocabulary, in its order; and a short list of words that guessing begins with. A word's rank is
+its best of the three. It has a fixed bound and is broadcast.
+
 Texts are scanned as UTF-8 bytes (all patterns are ASCII); positions are given in code points. Each row is
-scanned by itself, so there is no shuffle and nothing to skew.
+scanned by itself; only the counts of words, summed in the tasks first, are shuffled.
 
 Defined cases: null and empty texts have no spans (the digest is that of the empty string); repeated rows
 each give a row; an empty table gives an empty result; columns other than doc_id and text are ignored.
@@ -16,15 +21,19 @@ each give a row; an empty table gives an empty result; columns other than doc_id
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from chronoweft.llm.common import bounded_batches, row_blocks, text_view, texts, tidy
+from chronoweft.llm.common import arrow_slices, bounded_batches, row_blocks, text_view, texts, tidy
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(rb"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -55,8 +64,77 @@ KEY_ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
 
 SEGMENT = math.log10(2)
-WORD_RANK = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
-LONGEST_WORD = max(map(len, COMMON_WORDS))
+LEAST_WORD, LONGEST_WORD = 3, 16
+MAX_WORDS = 20_000
+COUNTER_WORDS = 200_000
+WORD_BYTES = bytes(c if chr(c).isalnum() and c < 128 or c == 95 or c >= 128 else 32 for c in range(256))
+
+
+@cache
+def listed_words(vocabulary: str | None = None) -> dict[str, int]:
+    """Ranks of the short list and of a vocabulary's whole words; None: the public word tokeniser's."""
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    with open(vocabulary, encoding="utf-8") as f:
+        ids = json.load(f)["model"]["vocab"]
+    whole = [t.removesuffix("</w>") for t, _ in sorted(ids.items(), key=lambda x: x[1]) if t.endswith("</w>")]
+    return ranked(list(COMMON_WORDS), [w for w in whole if w.isascii() and w.isalpha() and LEAST_WORD <= len(w) <= LONGEST_WORD])
+
+
+def ranked(*lists: list[str]) -> dict[str, int]:
+    """Each word's best place in the lists, from 1."""
+    out: dict[str, int] = {}
+    for words in lists:
+        for i, w in enumerate(words, 1):
+            out[w] = min(i, out.get(w, i))
+    return out
+
+
+def learn_words(docs: DataFrame, max_words: int = MAX_WORDS, vocabulary: str | None = None) -> dict[str, int]:
+    """The dictionary: the most frequent words of ``docs`` (ties by word) merged with the listed ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: Counter[bytes] = Counter()
+
+        def give() -> pa.RecordBatch:
+            own = [(w.decode(), n) for w, n in sums.items() if LEAST_WORD <= len(w) <= LONGEST_WORD and w.isalpha() and w.isascii()]
+            sums.clear()
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in own], pa.string()), pa.array([n for _, n in own], pa.int64())], ["word", "n"])
+
+        for batch in arrow_slices(batches):
+            data, offsets = text_view(batch.column(0))
+            raw = data.tobytes().lower()
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                own = raw[a:b]
+                if any(raw.find(k, a, b) >= 0 for k in KEY_PARTS):
+                    own = without_values(own)
+                sums.update(own.translate(WORD_BYTES).split())
+                if len(sums) > COUNTER_WORDS:
+                    yield give()
+        yield give()
+
+    counted = texts(docs).select("text").mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    own = [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(max_words).collect()]
+    return merged_ranks(own, listed_words(vocabulary))
+
+
+def merged_ranks(words: list[str], listed: dict[str, int]) -> dict[str, int]:
+    out = ranked(words)
+    return {**listed, **{w: min(i, listed.get(w, i)) for w, i in out.items()}}
+
+
+def without_values(text: bytes) -> bytes:
+    """The text but for the values in credential contexts."""
+    out, done = [], 0
+    for m in CONTEXT.finditer(text):
+        if m.end() >= done and (found := VALUE.match(text, m.end())):
+            out.append(text[done : m.end()])
+            done = found.end()
+    return b" ".join([*out, text[done:]])
+
+
 UNLEET = str.maketrans("@4301!$57", "aaeoiisst")
 LONGEST_UNIT = 8
 NEIGHBOURS = {(a, b) for row in KEY_ROWS for x, y in zip(row, row[1:], strict=False) for a, b in ((x, y), (y, x))} | {(a, b) for r, s in zip(KEY_ROWS, KEY_ROWS[1:], strict=False) for i in range(len(r)) for j in (i, i - 1) if 0 <= j < len(s) for a, b in ((r[i], s[j]), (s[j], r[i]))}
@@ -67,13 +145,13 @@ def char_cost(ch: str) -> float:
     return 1.0 if ch.isdigit() else math.log10(26) if ch.isascii() and ch.isalpha() else math.log10(33)
 
 
-def word_cost(part: str) -> float | None:
-    """A listed word, its case and its digits-for-letters forms."""
+def word_cost(part: str, ranks: dict[str, int]) -> float | None:
+    """A word of the dictionary, its case and its digits-for-letters forms."""
     low = part.lower()
-    plain = low if low in WORD_RANK else low.translate(UNLEET)
-    if plain not in WORD_RANK:
+    plain = low if low in ranks else low.translate(UNLEET)
+    if plain not in ranks:
         return None
-    cost = math.log10(WORD_RANK[plain] + 1)
+    cost = math.log10(ranks[plain] + 1)
     if plain != low:
         cost += SEGMENT * sum(a != b for a, b in zip(plain, low, strict=True))
     if part != low:
@@ -82,12 +160,12 @@ def word_cost(part: str) -> float | None:
     return cost
 
 
-def segments(value: str) -> Iterator[tuple[int, int, float]]:
+def segments(value: str, ranks: dict[str, int]) -> Iterator[tuple[int, int, float]]:
     """(start, end, cost) of each word, date, repeat and keyboard walk in the value; linear in its length."""
     n = len(value)
     for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            if (cost := word_cost(value[i:j])) is not None:
+        for j in range(i + LEAST_WORD, min(n, i + LONGEST_WORD) + 1):
+            if (cost := word_cost(value[i:j], ranks)) is not None:
                 yield i, j, cost
     for i in range(n):
         if m := DATE.match(value, i):
@@ -115,11 +193,11 @@ def segments(value: str) -> Iterator[tuple[int, int, float]]:
             i = max(i + 1, j - unit + 1)
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, ranks: dict[str, int]) -> float:
     """log10 of the guesses that the cheapest segmentation of ``value`` needs."""
     n = len(value)
     ending: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost in segments(value):
+    for i, j, cost in segments(value, ranks):
         ending.setdefault(j, []).append((i, cost))
     best = [0.0] + [math.inf] * n
     brute = [math.inf] * (n + 1)  # the cheapest that ends in an open brute-force span
@@ -141,7 +219,7 @@ def base_spans(text: bytes) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def guess_spans(text: bytes, min_log10: float, min_length: int) -> list[tuple[int, int, int, float]]:
+def guess_spans(text: bytes, ranks: dict[str, int], min_log10: float, min_length: int) -> list[tuple[int, int, int, float]]:
     """(start, kind, end, cost) of the values in credential contexts that cost enough. A key inside a value
     counts only if its own value starts after that one."""
     out = []
@@ -151,7 +229,7 @@ def guess_spans(text: bytes, min_log10: float, min_length: int) -> list[tuple[in
             continue
         done = found.end()
         value = found[0].rstrip(b".:!?")
-        if len(value) >= min_length and (cost := guess_cost(value.decode())) >= min_log10:
+        if len(value) >= min_length and (cost := guess_cost(value.decode(), ranks)) >= min_log10:
             out.append((m.end(), 3, m.end() + len(value), cost))
     return out
 
@@ -174,10 +252,12 @@ NO_SPANS = hashlib.sha256(b"").hexdigest()
 SCHEMA = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, max_guess_log10 double"
 
 
-def scan_secrets(docs: DataFrame, min_log10: float = 10.0, min_length: int = 8) -> DataFrame:
+def scan_secrets(docs: DataFrame, min_log10: float = 10.0, min_length: int = 8, dictionary: dict[str, int] | None = None, **how) -> DataFrame:
     """One row per document: counts of the base spans, their digest, all spans, and how many values in
-    credential contexts cost at least ``min_log10`` (and the costliest's log10, null without one)."""
+    credential contexts cost at least ``min_log10`` (and the costliest's log10, null without one). The
+    dictionary is learned from ``docs`` unless one is given."""
     rows = texts(docs)
+    shipped = docs.sparkSession.sparkContext.broadcast(learn_words(docs, **how) if dictionary is None else dictionary)
     names = ["doc_id", *(x.split()[0] for x in SCHEMA.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +277,7 @@ def scan_secrets(docs: DataFrame, min_log10: float = 10.0, min_length: int = 8)
                     if not keyed and i not in hexed and raw.find(b"AKIA", s, e) < 0:
                         out.append((0, 0, 0, NO_SPANS, "", 0, None))
                         continue
-                    out.append(summary(raw[s:e], min_log10, min_length, keyed))
+                    out.append(summary(raw[s:e], shipped.value, min_log10, min_length, keyed))
             columns = list(zip(*out, strict=True)) if out else [[] for _ in names[1:]]
             kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
@@ -205,10 +285,10 @@ def scan_secrets(docs: DataFrame, min_log10: float = 10.0, min_length: int = 8)
     return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, {SCHEMA}")
 
 
-def summary(text: bytes, min_log10: float, min_length: int, keyed: bool = True) -> tuple:
+def summary(text: bytes, ranks: dict[str, int], min_log10: float, min_length: int, keyed: bool = True) -> tuple:
     """The result columns of one text."""
     base = base_spans(text)
-    more = guess_spans(text, min_log10, min_length) if keyed else []
+    more = guess_spans(text, ranks, min_log10, min_length) if keyed else []
     spans = sorted([*base, *(x[:3] for x in more)])
     if not text.isascii() and spans:
         ends = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
@@ -223,21 +303,22 @@ def summary(text: bytes, min_log10: float, min_length: int, keyed: bool = True)
 MASK = b"[secret]"
 
 
-def masked(text: bytes, min_log10: float, min_length: int) -> bytes:
+def masked(text: bytes, ranks: dict[str, int], min_log10: float, min_length: int) -> bytes:
     """The text with each span, overlapping ones together, replaced by MASK."""
     out, done = [], 0
-    for s, e in sorted((x[0], x[2]) for x in [*base_spans(text), *guess_spans(text, min_log10, min_length)]):
+    for s, e in sorted((x[0], x[2]) for x in [*base_spans(text), *guess_spans(text, ranks, min_log10, min_length)]):
         if s >= done:
             out += [text[done:s], MASK]
         done = max(done, e)
     return b"".join([*out, text[done:]])
 
 
-def mask_secrets(docs: DataFrame, min_log10: float = 10.0, min_length: int = 8) -> DataFrame:
+def mask_secrets(docs: DataFrame, min_log10: float = 10.0, min_length: int = 8, dictionary: dict[str, int] | None = None, **how) -> DataFrame:
     """The rows and columns of ``docs``, with every span of :func:`scan_secrets` in ``text`` masked and
     ``n_chars``, where there is one, counted again for the rows changed."""
     names = docs.columns
     at = names.index("text")
+    shipped = docs.sparkSession.sparkContext.broadcast(learn_words(docs, **how) if dictionary is None else dictionary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,7 +328,7 @@ def mask_secrets(docs: DataFrame, min_log10: float = 10.0, min_length: int = 8)
                 raw = (text.as_py() or "").encode()
                 low = raw.lower()
                 if any(k in low for k in KEY_PARTS) or b"AKIA" in raw or _has_hex(np.frombuffer(raw, np.uint8))[0].size:
-                    new = masked(raw, min_log10, min_length)
+                    new = masked(raw, shipped.value, min_log10, min_length)
                     if new != raw:
                         changed[i] = new.decode()
             if changed:

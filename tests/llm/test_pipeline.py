@@ -61,7 +61,8 @@ def test_stages_and_run(spark, tmp_path):
                 leaks.add(i)
     third = second - leaks
     assert {r.doc_id for r in kept["decontamination"]} == third and leaks
-    want = {i: secret_scan.masked(texts[i].encode(), 10.0, 8).decode() for i in third}
+    words = secret_scan.learn_words(docs_of(spark, [texts[i] for i in sorted(third)]))
+    want = {i: secret_scan.masked(texts[i].encode(), words, 10.0, 8).decode() for i in third}
     assert {r.doc_id: r.text for r in kept["secret_scans"]} == want and any(want[i] != texts[i] for i in third)
     encoder = Encoder(vocabulary())
     pieces = sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in kept["best_fit_packing"])

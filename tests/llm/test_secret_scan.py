@@ -9,6 +9,7 @@ from chronoweft.llm import secret_scan as S
 from tests.llm.helpers import ODD_TEXTS, docs_of, with_clashes
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+RANKS = S.listed_words()
 TEXTS = [
     *ODD_TEXTS,
     "é password = hunter2hunter and TOKEN: 'abc.def-123' x",
@@ -46,7 +47,7 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("value", ["password1", "qwerty99", "aaa2001", "zzzabcz", "P4ssword", "xk2", "abab12"])
 def test_guess_cost_is_the_least_of_all_segmentations(value):
     parts = {}
-    for i, j, c in S.segments(value):
+    for i, j, c in S.segments(value, RANKS):
         parts[i, j] = min(c, parts.get((i, j), 99))
     best = 99
     n = len(value)
@@ -56,12 +57,12 @@ def test_guess_cost_is_the_least_of_all_segmentations(value):
         for a, b in zip(edges, edges[1:], strict=False):
             total += min(parts.get((a, b), 99), sum(map(S.char_cost, value[a:b])))
         best = min(best, total)
-    assert abs(S.guess_cost(value) - best) < 1e-9
+    assert abs(S.guess_cost(value, RANKS) - best) < 1e-9
 
 
 def test_habits_are_cheaper_than_chance():
     for weak in ("password123", "qwertyuiop", "abcabcabcabc", "summer2019!", "1999-12-31x"):
-        assert S.guess_cost(weak) < 8 < S.guess_cost("v9Q#xT2m$Lw7") - 2
+        assert S.guess_cost(weak, RANKS) < 8 < S.guess_cost("v9Q#xT2m$Lw7", RANKS) - 2
 
 
 def test_mask(spark):
@@ -117,9 +118,29 @@ def values_by_hand(text):
     (f'{{"pwd":"","auth":"{STRONG}"}}', 1), (f"auth:token='{STRONG}'", 1), (f"auth:token: {STRONG}", 1),
 ])
 def test_every_credential_of_a_run_is_tried(text, n):
-    found = S.guess_spans(text.encode(), 10.0, 8)
+    found = S.guess_spans(text.encode(), RANKS, 10.0, 8)
     assert [text[a:b] for a, _, b, _ in found] == [STRONG] * n
-    assert STRONG.encode() not in S.masked(text.encode(), 10.0, 8)
+    assert STRONG.encode() not in S.masked(text.encode(), RANKS, 10.0, 8)
+
+
+@pytest.mark.parametrize("habit", ["undefined", "disabled", "elephant", "configuration", "notAvailable", "changeme2024", "example_value", "required"])
+def test_words_are_no_secrets(habit):
+    text = f'{{"pwd":"{habit}","auth":"{STRONG}","passphrase":"{habit}"}}'.encode()
+    assert S.guess_cost(habit, RANKS) < 10
+    assert [text[a:b].decode() for a, _, b, _ in S.guess_spans(text, RANKS, 10.0, 8)] == [STRONG]
+
+
+def test_words_of_the_corpus(spark):
+    """Words are ranked by their number over all rows, copies and letters of either case included, and the
+    values under test don't count."""
+    texts = [*ODD_TEXTS, "Zorblatt fnordicle zorblatt", "fnordicle zorblatt ab abc9 x_y", "pwd: qwvxkzjbnm and pwd: qwvxkzjbnm zorblatt", "mülz zork\nzork," + "y" * 17]
+    words = S.learn_words(with_clashes(docs_of(spark, texts)), max_words=1000)
+    assert words["zorblatt"] == 1 and {"fnordicle", "zork", "short"} <= words.keys()
+    assert not {"qwvxkzjbnm", "abc", "ab", "x_y", "lz", "y" * 17, "x" * 70_000} & (words.keys() - RANKS.keys())
+    assert set(S.learn_words(docs_of(spark, texts), max_words=1)) - set(RANKS) == {"zorblatt"}
+    assert S.learn_words(docs_of(spark, [])) == RANKS
+    (row,) = S.scan_secrets(docs_of(spark, ["pwd=zorblattFnordicle auth=xorblqttFmordizle"]), dictionary=words).collect()
+    assert row.spans == "guess:27:44"
 
 
 def test_values_by_brute_force():
@@ -129,4 +150,4 @@ def test_values_by_brute_force():
         text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 16)))
         if rng.random() < 0.5:
             text = rng.choice([",", ";", "&"]).join(f"{q}{rng.choice(KEYS)}{q}{rng.choice(':=')}{q}{rng.choice(parts)}{q}" for q in rng.choices(["", '"', "'"], k=4))
-        assert [(a, b) for a, _, b, _ in S.guess_spans(text.encode(), 0.0, 1)] == values_by_hand(text), text
+        assert [(a, b) for a, _, b, _ in S.guess_spans(text.encode(), RANKS, 0.0, 1)] == values_by_hand(text), text
