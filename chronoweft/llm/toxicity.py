@@ -9,12 +9,12 @@
    any ending.
 3. Context. A hit counts less where the window of words around it has quotation marks on both sides or a
    word of reporting, and no word that addresses the reader.
-4. Score. A logistic model over the sums of hits, fitted on labelled documents that the lexicon hasn't seen.
+4. Score. A logistic model over the sums of hits. Each labelled document is described by a lexicon that was
+   learned without its fold; the lexicon that scores is learned from all.
 
-The sample has at most about ``max_train_docs`` labelled documents (by a hash of doc_id; all where there are
-fewer): its label rows are what is broadcast, its counts are summed in the cluster and only the best
-``max_terms`` terms and one short feature row a document come to the driver. Scoring is row by row, without
-a shuffle.
+The sample has at most ``max_train_docs`` label rows (by a hash of doc_id; all where there are fewer), which
+are broadcast; its counts are summed in the cluster and only the best ``max_terms`` terms and one short
+feature row a document come to the driver. Scoring is row by row, without a shuffle.
 
 Defined cases: null and empty texts score as texts without hits; without labels of both kinds every score
 is the share of toxic rows seen (0 without any); repeated rows each give a row; an empty table gives an
@@ -30,10 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import BLOCK_BYTES, row_blocks, text_view, texts, tidy
+from chronoweft.llm.common import BLOCK_BYTES, arrow_slices, bounded_batches, cut, drop_cut, row_blocks, text_view, texts, tidy
 from chronoweft.llm.language_id import held_out
 
 MAX_TRAIN_DOCS = 40_000
@@ -78,7 +79,8 @@ class Words:
         mark[1:-1] = WORD_POINTS[self.points]
         step = np.diff(mark)
         self.starts, self.ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        self.row = np.searchsorted(np.cumsum(sizes), self.starts, side="right")
+        self.row_ends = np.cumsum(sizes)
+        self.row = np.searchsorted(self.row_ends, self.starts, side="right")
 
     def text(self, i: int) -> str:
         return "".join(map(chr, self.points[self.starts[i] : self.ends[i]].tolist()))
@@ -307,8 +309,10 @@ class Lexicon:
                 a -= 1
             while b + 1 < len(cue) and b - i < WINDOW and words.row[b + 1] == words.row[i]:
                 b += 1
-            left = quotes[words.starts[i]] - quotes[words.ends[a - 1] if a > 0 and words.row[a - 1] == words.row[i] else words.starts[a]]
-            right = quotes[words.starts[b + 1] if b + 1 < len(cue) and words.row[b + 1] == words.row[i] else words.ends[b]] - quotes[words.ends[i]]
+            row = words.row[i]
+            since = words.ends[a - 1] if a > 0 and words.row[a - 1] == row else words.row_ends[row - 1] if row else 0
+            until = words.starts[b + 1] if b + 1 < len(cue) and words.row[b + 1] == row else words.row_ends[row] - 1
+            left, right = quotes[words.starts[i]] - quotes[since], quotes[until] - quotes[words.ends[i]]
             near = cue[a : b + 1]
             reported = ((near >= 0) & (near < self.reporting)).any()
             addressed = (near >= self.reporting).any()
@@ -361,57 +365,78 @@ def terms_of(text: str) -> set[str]:
     return found | {f"{w[:n]}*" for w in found for n in STEM_LENGTHS if len(w) > n}
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_train_docs: int) -> tuple[DataFrame, int]:
-    """text, toxic and fold of the sample, and the number of its label rows. The label rows are broadcast:
-    their number is held near the bound by the hash, and checked."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_train_docs: int) -> DataFrame:
+    """text, toxic and fold (of FOLDS) of the sample's documents, as a table. Its label rows are broadcast: they
+    are those with the least hashes of doc_id, ``max_train_docs`` at most."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    total = known.count()
-    if total > max_train_docs:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(max_train_docs / total * (1 << 30)))
-    rows = known.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).limit(2 * max_train_docs)
-    fold = (F.crc32(F.col("doc_id").cast("string")) % 4 == 3).cast("int").alias("fold")
+    rows = known.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
+    rows = rows.orderBy(F.xxhash64("label_id"), "label_id", "toxic").limit(max_train_docs)
+    rest = F.crc32(F.col("doc_id").cast("string")) % 4  # 0, 1 or 3: the remainder 2 is held out
     found = docs.where(~held_out()).select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("label_id"))
-    return found.select(F.coalesce("text", F.lit("")).alias("text"), "toxic", fold), total
+    return cut(found.select(F.coalesce("text", F.lit("")).alias("text"), "toxic", F.when(rest == 3, 2).otherwise(rest).cast("int").alias("fold")), "labelled")
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, max_terms: int = MAX_TERMS) -> tuple[Lexicon, np.ndarray]:
-    spark = docs.sparkSession
-    sample, total = training_rows(docs, labels, max_train_docs)
-    if not total:
-        return Lexicon([]), np.array([-35.0] + [0.0] * (FEATURES - 1))
+FOLDS = 3
+
+
+def count_terms(sample: DataFrame) -> DataFrame:
+    """term, and its numbers of toxic and clean documents by fold (t0, c0, t1, ...), of the terms that
+    LEAST_DOCS toxic documents have; the term '' counts all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = Counter()
+        for batch in arrow_slices(batches):
+            sums: Counter[tuple[str, int, bool]] = Counter()
             for text, toxic, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = terms_of(text) if not fold else ()
-                sums.update((t, toxic) for t in own)
-                sums["", toxic] += not fold
-            if sums:
-                keys, n = zip(*sums.items(), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([int(k[1] == 1) * v for k, v in zip(keys, n, strict=True)], pa.int64()), pa.array([int(k[1] != 1) * v for k, v in zip(keys, n, strict=True)], pa.int64())], ["term", "toxic", "clean"])
-
-    counted = sample.mapInArrow(tidy(count), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    docs_by = F.broadcast(counted.where("term = ''").select(F.col("toxic").alias("all_toxic"), F.col("clean").alias("all_clean")))
-    odds = F.log((F.col("toxic") + 0.5) / (F.col("all_toxic") + 1)) - F.log((F.col("clean") + 0.5) / (F.col("all_clean") + 1))
-    scored = counted.where((F.col("term") != "") & (F.col("toxic") >= LEAST_DOCS)).join(docs_by).withColumn("odds", odds).where(F.col("odds") >= LEAST_LOG_ODDS)
-    terms = [(r["term"], r["odds"]) for r in scored.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "term").limit(max_terms).collect()]
-    lexicon = Lexicon(terms)
-    shipped = spark.sparkContext.broadcast(lexicon)
+                sums.update((t, fold, toxic == 1) for t in terms_of(text))
+                sums["", fold, toxic == 1] += 1
+            keys = list(sums)
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.bool_()))] + [pa.array(list(sums.values()), pa.int64())], ["term", "fold", "toxic", "n"])
+
+    counted = bounded_batches(sample).mapInArrow(tidy(count), "term string, fold int, toxic boolean, n long")
+    of = lambda k, toxic: F.coalesce(F.sum(F.when((F.col("fold") == k) & (F.col("toxic") == toxic), F.col("n"))), F.lit(0)).alias(f"{'t' if toxic else 'c'}{k}")
+    sums = counted.groupBy("term").agg(*(of(k, toxic) for k in range(FOLDS) for toxic in (True, False)))
+    return cut(sums.where(f"{' + '.join(f't{k}' for k in range(FOLDS))} >= {LEAST_DOCS} OR term = ''"), "terms")
+
+
+def best_terms(counted: DataFrame, folds: list[int], max_terms: int) -> list[tuple[str, float]]:
+    """The terms with the highest log odds over some folds, strongest first."""
+    total = lambda row, x: sum(row[f"{x}{k}"] for k in folds) if row else 0
+    every = counted.where("term = ''").first()
+    toxic, clean = (sum((F.col(f"{x}{k}") for k in folds), F.lit(0)) for x in "tc")
+    odds = F.log((toxic + 0.5) / (total(every, "t") + 1)) - F.log((clean + 0.5) / (total(every, "c") + 1))
+    scored = counted.where(F.col("term") != "").select("term", toxic.alias("toxic"), odds.alias("odds")).where((F.col("toxic") >= LEAST_DOCS) & (F.col("odds") >= LEAST_LOG_ODDS))
+    return [(r["term"], r["odds"]) for r in scored.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "term").limit(max_terms).collect()]
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, max_terms: int = MAX_TERMS) -> tuple[Lexicon, np.ndarray]:
+    """The lexicon and the score's weights. Each document is described for the regression by a lexicon of the
+    other folds, so all of them count for both."""
+    spark = docs.sparkSession
+    sample = training_rows(docs, labels, max_train_docs)
+    counted = count_terms(sample)
+    lexicons = [Lexicon(best_terms(counted, [j for j in range(FOLDS) if j != k], max_terms)) for k in range(FOLDS)]
+    lexicon = Lexicon(best_terms(counted, list(range(FOLDS)), max_terms))
+    shipped = spark.sparkContext.broadcast(lexicons)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, offsets = text_view(batch.column(0))
-            for a, b in row_blocks(offsets, BLOCK_BYTES // 2):
-                rows = shipped.value.features(batch.column(0).slice(a, b - a).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(list(rows), pa.list_(pa.float64()))], ["toxic", "x"])
-
-    got = sample.where("fold = 1").select("text", "toxic").mapInArrow(tidy(describe), "toxic int, x array<double>").collect()
+            for k in range(FOLDS):
+                own = batch.filter(pc.equal(batch.column(2), k))
+                _, offsets = text_view(own.column(0))
+                for a, b in row_blocks(offsets, BLOCK_BYTES // 2):
+                    rows = shipped.value[k].features(own.column(0).slice(a, b - a).to_pylist())
+                    yield pa.RecordBatch.from_arrays([own.column(1).slice(a, b - a), pa.array(list(rows), pa.list_(pa.float64()))], ["toxic", "x"])
+
+    got = bounded_batches(sample).mapInArrow(tidy(describe), "toxic int, x array<double>").collect()
+    drop_cut(sample)
+    drop_cut(counted)
     y = np.array([r["toxic"] == 1 for r in got], float)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return lexicon, np.array([math.log(max(share, 1e-15) / max(1 - share, 1e-15))] + [0.0] * (FEATURES - 1))
-    return lexicon, fit(np.array([r["x"] for r in got]), y)
+    x = np.array([r["x"] for r in got])
+    order = np.lexsort([*x.T, y])  # the rows come in any order, and sums of floats follow it
+    return lexicon, fit(x[order], y[order])
 
 
 def score(docs: DataFrame, labels: DataFrame | None = None, model: tuple[Lexicon, np.ndarray] | None = None, threshold: float = THRESHOLD, **how) -> DataFrame:

@@ -46,6 +46,77 @@ def test_quotation_counts_less():
     assert abuse[1] > quoted[1] == reported[1] > 0
 
 
+def words_by_hand(text):
+    """(start, end, word) of the runs of letters, digits, @ and $ of the basic plane."""
+    low, out, start = text.lower(), [], None
+    for i, c in enumerate(low + " "):
+        inside = i < len(low) and (ord(c) < 1 << 16 and c.isalnum() or c in "@$")
+        if inside and start is None:
+            start = i
+        if not inside and start is not None:
+            out.append((start, i, low[start:i]))
+            start = None
+    return low, out
+
+
+def features_by_hand(text, terms):
+    low, words = words_by_hand(text)
+    said = [w for _, _, w in words]
+    names = [t for t, _ in terms]
+    sums, distinct, each = [0.0, 0.0, 0.0], set(), 0.0
+    for k, (start, end, w) in enumerate(words):
+        stems = [t for t in names if t.endswith("*") and w.startswith(t[:-1])]
+        near = [(distance(w, t), i) for i, t in enumerate(names) if not t.endswith("*") and X.allowed_edits(t) and distance(w, t) <= X.allowed_edits(t)]
+        misspelled = w not in names and not stems
+        if w in names:
+            i = names.index(w)
+        elif stems:
+            i = names.index(max(stems, key=len))
+        elif near:
+            i = min(near)[1]
+        else:
+            continue
+        a, b = max(0, k - 6), min(len(words) - 1, k + 6)
+        before = low[words[a - 1][1] if a else 0 : start]
+        after = low[end : words[b + 1][0] if b + 1 < len(words) else len(low)]
+        quoted = any(c in X.QUOTES for c in before) and any(c in X.QUOTES for c in after)
+        told = any(x in X.REPORTING for x in said[a : b + 1])
+        weight = terms[i][1] * (0.25 if (quoted or told) and not any(x in X.ADDRESSING for x in said[a : b + 1]) else 1)
+        sums[2 if misspelled else 0 if terms[i][1] >= 4.5 else 1] += weight
+        each += weight
+        if terms[i][1] >= 4.5:
+            distinct.add(i)
+    n = len(words)
+    return [1, *np.log1p(sums), np.log1p(each / max(n, 1) * 100), np.log1p(len(distinct)), np.log1p(n) / 10]
+
+
+TERMS = [("moron", 6.0), ("worthless", 5.0), ("trash", 4.0), ("lowe*", 4.6), ("lower", 4.55), ("pathe*", 3.5), ("scum", 3.2), ("crétin", 5.5), ("morons", 3.1)]
+
+
+def test_scores_by_brute_force(spark):
+    """Words, nearest terms, contexts, sums and the logistic score, computed text by text without automata."""
+    rng = random.Random(9)
+    parts = ["moron", "mor0n", "morons", "mroon", "worthles", "worthlses", "trash", "tresh", "lower", "lowe", "loweing", "pathetic", "scum", "scam", "crétin", "cretin", "CRÉTINS", "you", "du", "said", "wrote", '"', "«", "»", "'", "”", "plain", "words", "here", "é", "中文", "😀", "a@b$", "x" * 40, "\n", "."]
+    texts = [*ODD_TEXTS, '"moron" stands first', 'last stands "moron"', "moron"]
+    for _ in range(400):
+        texts.append(rng.choice([" ", " ", ""]).join(rng.choice(parts) for _ in range(rng.choice([1, 3, 12, 60]))))
+    w = np.array([-2.0, 1.3, 0.7, 0.9, 0.3, 0.4, -0.8])
+    got = {r.doc_id: r for r in X.score(with_clashes(docs_of(spark, texts)), model=(X.Lexicon(TERMS), w)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        want = 1 / (1 + np.exp(-np.dot(features_by_hand(t or "", TERMS), w)))
+        assert abs(got[i].score - want) < 1e-9 and got[i].predicted == (want >= 0.3), t
+
+
+def test_the_sample_is_bounded_and_the_same_again(spark):
+    texts, toxic = corpus()
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    assert X.training_rows(docs, labels, 50).count() == 50
+    one, two = (X.learn(docs.repartition(k), labels.repartition(k), max_train_docs=200) for k in (2, 5))
+    assert one[0].terms == two[0].terms and np.allclose(one[1], two[1], atol=1e-9)
+
+
 def corpus(n=400):
     rng = random.Random(5)
     texts, toxic = [], []
