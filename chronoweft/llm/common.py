@@ -258,15 +258,33 @@ def arrow_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             yield batch.slice(i, j - i)
 
 
-FILTER_BITS = 1 << 26
+FILTER_BITS_A_ROW, LEAST_FILTER_BITS, MOST_FILTER_BITS = 8, 1 << 20, 1 << 29
 
 
-def maybe_in(df: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """The rows of ``df`` whose long column ``key`` may be among those of ``wanted``: all that are, and as
-    few others as a bitmap of fixed size allows. It keeps rows out of a shuffle; a join must follow. Their
-    ``text`` comes back squeezed."""
+def maybe_in(df: DataFrame, wanted: DataFrame, most_bits: int = MOST_FILTER_BITS) -> DataFrame:
+    """The rows of ``df`` whose long column ``key`` may be among those of ``wanted`` (a table that can be read
+    again): all that are, and a few others. It keeps rows out of a shuffle; a join must follow. Their ``text``
+    comes back squeezed.
+
+    The filter is a bitmap of some bits for each wanted row. Where that is more than ``most_bits`` (64 MB), no
+    bitmap that may be broadcast would hold back much, and all rows go on to the join."""
     from pyspark.sql import functions as F
 
+    bits = LEAST_FILTER_BITS
+    rows = wanted.count()
+    while bits < FILTER_BITS_A_ROW * rows:
+        bits *= 2
+    at, text = df.columns.index("key"), df.columns.index("text")
+    schema = ", ".join(f"{n} {'binary' if n == 'text' else k}" for n, k in df.dtypes)
+
+    def squeezed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in arrow_slices(iter([batch])):
+            arrays = list(part.columns)
+            arrays[text] = squeeze(arrays[text])
+            yield pa.RecordBatch.from_arrays(arrays, batch.schema.names)
+
+    if bits > most_bits:
+        return df.mapInArrow(tidy(lambda batches: (x for batch in batches for x in squeezed(batch))), schema)
     slot = F.pmod(F.col("key"), F.lit(bits))
     got = wanted.select(slot.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
     size = 32768 // 8  # bytes of one of Spark's bitmaps; positions above zero start in bucket 1
@@ -274,7 +292,6 @@ def maybe_in(df: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataF
     for r in got:
         bitmap[r["b"] * size : (r["b"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
     shipped = df.sparkSession.sparkContext.broadcast(bitmap)
-    at, text = df.columns.index("key"), df.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,12 +300,9 @@ def maybe_in(df: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataF
             place = np.where(h > 0, (h - 1) % 32768, 0)
             hit = np.flatnonzero((shipped.value[bucket * size + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1)
             if len(hit):
-                for part in arrow_slices(iter([batch.take(pa.array(hit))])):
-                    arrays = list(part.columns)
-                    arrays[text] = squeeze(arrays[text])
-                    yield pa.RecordBatch.from_arrays(arrays, batch.schema.names)
+                yield from squeezed(batch.take(pa.array(hit)))
 
-    return df.mapInArrow(tidy(run), ", ".join(f"{n} {'binary' if n == 'text' else k}" for n, k in df.dtypes))
+    return df.mapInArrow(tidy(run), schema)
 
 
 def squeeze(column: pa.Array) -> pa.Array:

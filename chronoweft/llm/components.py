@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is a minimum per node (combined before its shuffle) and a join of the edges with it, so no
-node's neighbours are ever gathered; Spark splits the join of a node that has very many. Each round is
-written to the shared folder and the round before it deleted.
+Every step is a minimum per node (combined before its shuffle) and a join of the edges with it. The edges of a
+node that has very many don't go through that join: there are at most 2 * HOT_SHARE such nodes, by their
+degree, so their minima are broadcast. Each round is written to the shared folder and the round before it
+deleted.
 """
 
 from __future__ import annotations
@@ -12,33 +13,46 @@ from pyspark.sql import functions as F
 
 from chronoweft.llm.common import cut, drop_cut
 
+HOT_SHARE = 50_000
+"""A node with more than this part of all edges, and more than LEAST_HOT, is hot."""
+LEAST_HOT = 200
 
-def _smallest(edges: DataFrame) -> DataFrame:
-    """(u, m): each node with the least of itself and its neighbours ``v``."""
-    return edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
 
+def _with_least(edges: DataFrame, n: int, itself: bool) -> DataFrame:
+    """(u, v, m) of each edge: m is the least of u's neighbours ``v`` (and of u, if ``itself``)."""
+    least = F.least(F.min("v"), F.col("u")) if itself else F.min("v")
+    of = edges.groupBy("u").agg(least.alias("m"), F.count("*").alias("degree"))
+    hot_degree = max(LEAST_HOT, n // HOT_SHARE)
+    hot = F.broadcast(of.where(F.col("degree") > hot_degree).select(F.col("u").alias("hot"), F.col("m").alias("hot_m")))
+    split = edges.join(hot, edges["u"] == F.col("hot"), "left")
+    others = split.where("hot IS NULL").select("u", "v").join(of.where(F.col("degree") <= hot_degree).select("u", "m"), "u")
+    return others.select("u", "v", "m").unionByName(split.where("hot IS NOT NULL").select("u", "v", F.col("hot_m").alias("m")))
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_smallest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return _with_least(both, n, True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    moved = _with_least(down, n, False).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("v"))
+    return moved.unionByName(least.select("u", "v")).where("u <> v").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node in ``edges`` (u, v: longs); the root is the component's least node."""
     now = cut(edges.where("u <> v").select("u", "v").distinct(), "edges")
-    mark = None
+    mark, n = None, now.count()
     for _ in range(most_rounds):
-        new = cut(_small_star(_large_star(now)), "edges")
+        if not n:
+            break
+        new = cut(_small_star(_large_star(now, n), n), "edges")
         drop_cut(now)
         now = new
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        n = seen["n"]
         if (seen["n"], seen["h"]) == mark:
             break
         mark = (seen["n"], seen["h"])

@@ -16,7 +16,8 @@ of its larger set, so a set is dealt for its own band and, where a partner may b
   are nearly similar enough, meet once more by their rarest shingles and are verified pair by pair, so that
   no link between different texts is lost.
 
-Equal sets are one node from the start and are never paired. Shingles and nodes are 64-bit hashes.
+Equal sets are one node from the start and are never paired. Shingles are 64-bit hashes; sets are equal by 128
+bits, and nodes are named by 64 of these, and by the other 64 where two sets' names clash.
 
 Defined cases: null and empty texts have no set and are linked with nothing (their component is their own
 doc_id); of fewer than five words the whole sequence is the one shingle; repeated rows are copies of one
@@ -39,11 +40,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from chronoweft.llm import packed_index
-from chronoweft.llm.common import U64, arrow_slices, bounded_batches, cut, expand, hash_runs, hash_words, maybe_in, mix, release, row_blocks, signed, text_view, texts, tidy
+from chronoweft.llm.common import BATCH_BYTES, U64, arrow_slices, bounded_batches, cut, expand, hash_runs, hash_words, maybe_in, mix, release, row_blocks, signed, text_view, texts, tidy
 from chronoweft.llm.components import components
 
 SHINGLE = 5
-SLICE_BYTES = 32 << 20
 BLOCK_HASHES = 1 << 20
 LEAST_BLOCKS = 64
 CHANCE_COST = 20.0
@@ -54,6 +54,7 @@ CELLS, CELL_SLICES = 1 << 20, 64
 PAIRED_MEMBERS = 96
 CHUNK_SETS, CHUNK_SHINGLES, PRODUCT_COLUMNS = 512, 150_000, 4096
 LIKELY_SHARED = 2
+MOST_CLASHES = 10_000
 SMALL_SET = 40
 MANY_PAIRS = 200
 SMALL_SIDE = 200_000
@@ -115,9 +116,25 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
             at += n
 
 
-def node_of(own: np.ndarray) -> np.uint64:
-    with np.errstate(over="ignore"):
-        return mix(np.add.reduce(mix(own), dtype=np.uint64, keepdims=True) + U64(len(own)))[0]
+class Nodes:
+    """Names sets by 64-bit hashes. ``clashes`` are names that different sets have, by another hash of 64 bits;
+    these sets are named by that one instead. ``bits``: fewer than 64 in tests, to have clashes."""
+
+    def __init__(self, bits: int = 64, clashes: frozenset[int] = frozenset()):
+        self.mask, self.clashes = U64((1 << bits) - 1), clashes
+
+    def of(self, own: np.ndarray) -> np.uint64:
+        with np.errstate(over="ignore"):
+            name = mix(np.add.reduce(mix(own), dtype=np.uint64, keepdims=True) + U64(len(own)))[0] & self.mask
+        return self.check(own) if self.clashes and int(signed(name[None])[0]) in self.clashes else name
+
+    @staticmethod
+    def check(own: np.ndarray) -> np.uint64:
+        with np.errstate(over="ignore"):
+            return mix(np.add.reduce(mix(own * U64(0xD6E8FEB86659FD93)), dtype=np.uint64, keepdims=True) ^ U64(len(own)))[0]
+
+    def signed_of(self, sets: Iterator[np.ndarray]) -> list[int | None]:
+        return [int(signed(self.of(own)[None])[0]) if len(own) else None for own in sets]
 
 
 def bands_of(size: int) -> list[tuple[int, int]]:
@@ -156,38 +173,53 @@ def deal(own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         return out, np.concatenate([fixed | whole, np.ones(len(gone), bool)]), max(allowance, 0)
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and node (null without a set) of each document."""
+def measure(docs: DataFrame, nodes: Nodes) -> DataFrame:
+    """doc_id, n_shingles, node (null without a set) and check of each document."""
     rows = texts(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_slices(batches):
-            data, offsets = text_view(batch.column(1))
-            size, node = [], []
-            for own in shingle_sets(data, offsets):
-                size.append(len(own))
-                node.append(int(signed(node_of(own)[None])[0]) if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64())], ["doc_id", "n_shingles", "node"])
-
-    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, n_shingles long, node long")
+            sets = list(shingle_sets(*text_view(batch.column(1))))
+            check = [int(signed(nodes.check(own)[None])[0]) for own in sets]
+            columns = [pa.array(map(len, sets), pa.int64()), pa.array(nodes.signed_of(sets), pa.int64()), pa.array(check, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_shingles", "node", "check"])
+
+    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, n_shingles long, node long, check long")
+
+
+def named_sets(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame, Nodes]:
+    """(doc_id, n_shingles, node) of every document; of every node, its least doc_id and its size n; and how
+    nodes are named, so that different sets are different nodes by 128 bits."""
+    nodes = Nodes(bits)
+    measured = cut(measure(docs, nodes), "sets")
+    by_node = lambda: measured.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.min("check").alias("one"), F.max("check").alias("two"))
+    classes = cut(by_node(), "classes")
+    found = classes.where("one <> two").select("node").limit(MOST_CLASHES + 1).collect()
+    if len(found) > MOST_CLASHES:
+        raise RuntimeError("far more equal hashes than chance gives")
+    if found:
+        nodes = Nodes(bits, frozenset(r["node"] for r in found))
+        measured = measured.withColumn("node", F.when(F.col("node").isin(*nodes.clashes), F.col("check")).otherwise(F.col("node")))
+        classes = cut(by_node(), "classes")
+    return measured.select("doc_id", "n_shingles", "node"), classes.select("node", "doc_id", "n"), nodes
 
 
-def pack_hashes(docs: DataFrame, blocks: int) -> DataFrame:
+def pack_hashes(docs: DataFrame, coarse: int, names: Nodes) -> DataFrame:
     """The packed index of all documents' segment hashes, and each node's allowances."""
     rows = texts(docs).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
-        for batch in arrow_slices(batches, "text", SLICE_BYTES):
+        for batch in arrow_slices(batches, "text", BATCH_BYTES):
             for start in range(0, batch.num_rows, packed_index.SLICE_NODES):
                 turn += 1
-                yield from packed_index.batches_of(_pack_slice(batch.slice(start, packed_index.SLICE_NODES), blocks, turn))
+                yield from packed_index.batches_of(_pack_slice(batch.slice(start, packed_index.SLICE_NODES), coarse, turn, names))
                 release()
 
     return rows.mapInArrow(tidy(run), packed_index.SCHEMA)
 
 
-def _pack_slice(batch: pa.RecordBatch, blocks: int, turn: int) -> list[tuple]:
+def _pack_slice(batch: pa.RecordBatch, coarse: int, turn: int, names: Nodes) -> list[tuple]:
     data, offsets = text_view(batch.column(0))
     nodes: dict[int, int] = {}
     hashes, who = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)]
@@ -195,7 +227,7 @@ def _pack_slice(batch: pa.RecordBatch, blocks: int, turn: int) -> list[tuple]:
     for own in shingle_sets(data, offsets):
         if not len(own) or not (bands := bands_of(len(own))):
             continue
-        node = int(node_of(own))
+        node = int(names.of(own))
         if node in nodes:
             continue
         nodes[node] = len(nodes)
@@ -209,7 +241,7 @@ def _pack_slice(batch: pa.RecordBatch, blocks: int, turn: int) -> list[tuple]:
         return []
     table = np.fromiter(nodes, np.uint64, len(nodes))
     own, after = np.array(spare).T
-    return [*packed_index.pack(np.concatenate(hashes), np.concatenate(who), table, blocks, turn), packed_index.notes(table, own, after, turn % blocks)]
+    return [*packed_index.pack(np.concatenate(hashes), np.concatenate(who), table, coarse, turn), packed_index.notes(table, own, after, turn % coarse)]
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -220,8 +252,8 @@ def _sized(df: DataFrame) -> DataFrame:
 class Verifier:
     """Verifies pairs of nodes on the shingle sets of their whole texts."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, percent: int):
-        self.docs, self.classes, self.percent = docs, classes, percent
+    def __init__(self, docs: DataFrame, classes: DataFrame, percent: int, names: Nodes):
+        self.docs, self.classes, self.percent, self.names = docs, classes, percent, names
 
     def texts_of(self, pairs: DataFrame) -> DataFrame:
         """(node, text) of the nodes in ``pairs``; the texts are squeezed."""
@@ -229,11 +261,12 @@ class Verifier:
         wanted = cut(asked.join(self.classes, "node").select("node", "doc_id"), "wanted")
         rows = texts(self.docs).where(F.col("doc_id").isNotNull())
         some = maybe_in(rows.withColumn("key", F.xxhash64("doc_id")), wanted.select(F.xxhash64("doc_id").alias("key"))).drop("key")
+        names = self.names
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                nodes = np.array([int(signed(node_of(own)[None])[0]) for i in range(0, batch.num_rows, AT_ONCE) for own in shingle_sets(*text_view(expand(batch.column(1).slice(i, AT_ONCE))))], np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), batch.column(1)], ["doc_id", "node", "text"])
+                nodes = names.signed_of(own for i in range(0, batch.num_rows, AT_ONCE) for own in shingle_sets(*text_view(expand(batch.column(1).slice(i, AT_ONCE)))))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), batch.column(1)], ["doc_id", "node", "text"])
 
         found = some.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, node long, text binary")
         return found.join(wanted, ["doc_id", "node"]).dropDuplicates(["doc_id", "node"]).select("node", "text")
@@ -305,6 +338,7 @@ def rare_shingles(known: DataFrame, blocks: int, percent: int) -> DataFrame:
     own: so many that two similar sets have one of them in common, since a link leaves a set at most
     100 - percent of its shingles that the other doesn't have."""
     counts = known.sparkSession.sparkContext.broadcast(shingle_counts(known))
+    coarse, fine = packed_index.layout(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
@@ -315,10 +349,9 @@ def rare_shingles(known: DataFrame, blocks: int, percent: int) -> DataFrame:
                 order = np.lexsort((own, counts.value[(own & U64(CELLS - 1)).astype(np.int64)]))
                 rare.append(own[order[: len(own) - -(-len(own) * percent // 100) + 1]])
             who = np.repeat(np.arange(len(rare)), [len(x) for x in rare]).astype(np.uint16)
-            yield from packed_index.batches_of(packed_index.pack(np.concatenate([*rare, np.zeros(0, np.uint64)]), who, nodes, blocks, turn))
+            yield from packed_index.batches_of(packed_index.pack(np.concatenate([*rare, np.zeros(0, np.uint64)]), who, nodes, coarse, turn))
 
-    packed = known.select("node", "text").mapInArrow(tidy(run), packed_index.SCHEMA)
-    return packed.groupBy("p").applyInPandas(lambda pdf: packed_index.unpack(pdf, blocks), packed_index.MEMBERS)
+    return packed_index.members(known.select("node", "text").mapInArrow(tidy(run), packed_index.SCHEMA), coarse, fine)
 
 
 def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -339,18 +372,17 @@ def _crossing(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
     return crossing, pairs
 
 
-def similar_classes(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, node) of every document, and (node, root) of the nodes that have links."""
+def similar_classes(docs: DataFrame, percent: int = 80, bits: int = 64, most_coarse: int = packed_index.MOST_COARSE) -> tuple[DataFrame, DataFrame, Nodes]:
+    """(doc_id, n_shingles, node) of every document, (node, root) of the nodes that have links, and how nodes
+    are named."""
     if percent != 80:
         raise ValueError("bands and allocations are made for a similarity of 0.8")
-    measured = cut(measure(docs), "sets")
-    classes = cut(measured.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")), "classes")
+    measured, classes, names = named_sets(docs, bits)
     total = classes.agg(F.sum("n").alias("n")).first()["n"] or 0
-    blocks = max(LEAST_BLOCKS, total // (2 * BLOCK_HASHES))
-    packed = pack_hashes(docs, blocks)
-    both = cut(packed.groupBy("p").applyInPandas(lambda pdf: packed_index.unpack(pdf, blocks), packed_index.MEMBERS), "members")
+    coarse, fine = packed_index.layout(max(LEAST_BLOCKS, total // (2 * BLOCK_HASHES)), most_coarse)
+    both = cut(packed_index.members(pack_hashes(docs, coarse, names), coarse, fine), "members")
     members = both.where("flag >= 0")
-    verifier = Verifier(docs, classes, percent)
+    verifier = Verifier(docs, classes, percent, names)
 
     # First against each hash's hub, where two sets of like size share enough to make a link likely
     size = lambda name: classes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"))
@@ -364,7 +396,7 @@ def similar_classes(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, Data
     # The hashes that still span components
     broken = cut(_rooted(hubs, roots).where("root_u <> root_v").select(F.col("u").alias("hub"), F.col("v").alias("node")), "broken")
     if broken.isEmpty():
-        return measured, roots
+        return measured, roots, names
     hashes = cut(members.join(_sized(broken), ["hub", "node"]).select("hash").distinct(), "hashes")
     open_members = cut(members.join(_sized(hashes), "hash").groupBy("hash", "node").agg(F.max("flag").alias("flag"), F.max("df").alias("df")), "open")
 
@@ -382,7 +414,7 @@ def similar_classes(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, Data
     spared = cut(spared, "spared")
     live = cut(spared.groupBy("hash").agg(F.max("active").alias("any"), F.count("*").alias("members")).where("any AND members > 1").select("hash"), "live")
     if live.isEmpty():
-        return measured, roots
+        return measured, roots, names
     # The sets that are left meet by their rarest shingles, which families of texts don't share
     left = cut(spared.join(_sized(live), "hash").select("node").distinct(), "left")
     known = cut(verifier.texts_of(left.select(F.col("node").alias("u"), F.col("node").alias("v"))), "node-texts")
@@ -412,13 +444,39 @@ def similar_classes(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, Data
         for x in found:
             links = links.unionByName(x)
         roots = cut(components(links), "roots")
-    return measured, roots
+    return measured, roots, names
+
+
+def spanning_forest(linked: np.ndarray, group: np.ndarray) -> list[tuple[int, int]]:
+    """Of a symmetric matrix of links between members of different groups, links that join all groups which
+    these join, directly or not."""
+    order = np.argsort(group, kind="stable")
+    starts = np.searchsorted(group[order], np.arange(int(group.max()) + 2))
+    members = [order[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    seen = np.zeros(len(members), bool)
+    out = []
+    for first in range(len(members)):
+        if seen[first]:
+            continue
+        seen[first] = True
+        todo = [first]
+        while todo:
+            own = members[todo.pop()]
+            reached = np.flatnonzero(linked[own].any(axis=0))
+            for k, i in zip(*(x.tolist() for x in np.unique(group[reached], return_index=True)), strict=True):
+                if not seen[k]:
+                    seen[k] = True
+                    todo.append(k)
+                    v = int(reached[i])
+                    out.append((int(own[np.argmax(linked[own, v])]), v))
+    return out
 
 
 def block_links(crossing: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """The links (u, v) between different components among the members of each hash of ``crossing`` (hash,
     node, n, root): members are dealt into chunks of bounded size, and each two chunks are compared at once,
-    by a product of their incidence matrices. Only links come out."""
+    by a product of their incidence matrices. What comes out joins the roots that links join: a spanning forest,
+    at most one link fewer than there are roots in the two chunks."""
     sizes = cut(crossing.groupBy("hash").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks")), "chunks")
     dealt = crossing.select("hash", "node", "root").join(_sized(sizes), "hash").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     spread = dealt.select("hash", "node", "root", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
@@ -445,17 +503,17 @@ def block_links(crossing: DataFrame, known: DataFrame, percent: int) -> DataFram
         linked &= root[:, None] != root[None, :]
         if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
             linked &= chunk[:, None] != chunk[None, :]
-        u, v = np.nonzero(np.triu(linked, 1))
         node = pdf["node"].to_numpy()
+        forest = spanning_forest(linked, np.unique(root, return_inverse=True)[1])
         release()
-        return pd.DataFrame({"u": node[u], "v": node[v]})
+        return pd.DataFrame([(node[u], node[v]) for u, v in forest], columns=["u", "v"], dtype=np.int64)
 
     return keyed.join(known, "node").groupBy("hash", "i", "j").applyInPandas(compare, "u long, v long").distinct()
 
 
-def join_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
+def join_documents(docs: DataFrame, percent: int = 80, **how) -> DataFrame:
     """doc_id, n_shingles and component_id of every document: the smallest doc_id reachable by links."""
-    measured, roots = similar_classes(docs, percent)
+    measured, roots, _ = similar_classes(docs, percent, **how)
     nodes = measured.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     own = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = own.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -469,7 +527,7 @@ def keep_one_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     and, where several rows have that doc_id, the least by node, text and the other columns. Rows of one doc_id
     are judged each by its own text. Rows without a set, or without a doc_id, all stay."""
     names = docs.columns
-    measured, roots = similar_classes(docs, percent)
+    measured, roots, nodes = similar_classes(docs, percent)
     own = measured.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id", "node").agg(F.count("*").alias("rows"))
     own = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = own.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("first"))
@@ -482,20 +540,20 @@ def keep_one_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     if mixed.isEmpty():
         return plain
     leaders = least.select(F.col("first.doc_id").alias("__id"), F.col("first.node").alias("__node"))
-    rows = _with_node(docs.join(mixed, docs["doc_id"] == F.col("__judged"), "left_semi"))
+    rows = _with_node(nodes, docs.join(mixed, docs["doc_id"] == F.col("__judged"), "left_semi"))
     led = rows.join(leaders, (F.col("doc_id") == F.col("__id")) & (rows["__node"] == leaders["__node"]), "left_semi")
     order = Window.partitionBy("doc_id", "__node").orderBy("text", F.to_json(F.struct(*(F.col(f"`{n}`") for n in names))))
     one = led.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(*names)
     return plain.unionByName(rows.where("__node IS NULL").select(*names)).unionByName(one)
 
 
-def _with_node(docs: DataFrame) -> DataFrame:
+def _with_node(nodes: Nodes, docs: DataFrame) -> DataFrame:
     """``docs`` with the node of each text as ``__node``, null without a set."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_slices(batches):
-            node = [int(signed(node_of(own)[None])[0]) if len(own) else None for own in shingle_sets(*text_view(batch.column(at)))]
+            node = nodes.signed_of(shingle_sets(*text_view(batch.column(at))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64())], [*batch.schema.names, "__node"])
 
     return bounded_batches(docs).mapInArrow(tidy(run), StructType([*docs.schema.fields, StructField("__node", LongType())]))

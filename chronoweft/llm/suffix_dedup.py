@@ -36,17 +36,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import BLOCK_BYTES, BYTE_VALUES, U64, arrow_slices, cut, expand, maybe_in, mix, powers, release, row_blocks, signed, text_view, texts, tidy
+from chronoweft.llm import packed_index
+from chronoweft.llm.common import BATCH_BYTES, BLOCK_BYTES, BYTE_VALUES, U64, arrow_slices, cut, expand, maybe_in, mix, powers, release, row_blocks, signed, text_view, texts, tidy
 
 LEAST = 50
 ANCHOR = 20
-SLICE_BYTES = 48 << 20
 SHARD_BYTES = 1 << 20
 SLICE_ROWS = 1 << 15
 LOCAL_VARIANTS = 256
 HOT_VARIANTS = 5000
 AT_ONCE = 1024
 LEAST_BLOCKS = 48
+MOST_CLASHES = 10_000
 BLOCK_ANCHORS = 1 << 20
 KEPT_BITS, CONTEXT_BITS = 40, 48
 BLOCK_CONTEXTS = 100_000
@@ -125,13 +126,20 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, least: int, span: int) -> tu
 
 INDEX = "p int, kind int, entries binary, who binary, docs binary"
 _INDEX_KINDS = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def _index_batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 64], strict=True), _INDEX_KINDS, strict=True)], [x.split()[0] for x in INDEX.split(", ")])
+
+
 ENTRY = np.dtype([("rest", "<u4"), ("rest_high", "u1"), ("c", "<u4"), ("c_high", "<u2")])
 HOME, AWAY, LOCAL = 0, 1, 2
 FOUND = "doc long, key long, status int, rid long, start int, stop int"
 REPEAT, VARIANT, HOT = 0, 1, 2
 
 
-def index_anchors(rows: DataFrame, blocks: int, least: int) -> DataFrame:
+def index_anchors(rows: DataFrame, blocks: int, least: int, local_variants: int = LOCAL_VARIANTS) -> DataFrame:
     """The index of the anchors of ``rows`` (rid, doc, text) in packed blocks.
 
     HOME entries go to their anchor's block; AWAY entries, the further contexts of an anchor that has very
@@ -139,18 +147,16 @@ def index_anchors(rows: DataFrame, blocks: int, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
-        for batch in arrow_slices(batches, "text", SLICE_BYTES):
+        for batch in arrow_slices(batches, "text", BATCH_BYTES):
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 turn += 1
-                made = _index_slice(batch.slice(start, SLICE_ROWS), blocks, turn, least)
-                for i in range(0, len(made), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made[i : i + 64], strict=True), _INDEX_KINDS, strict=True)], [x.split()[0] for x in INDEX.split(", ")])
+                yield from _index_batches(_index_slice(batch.slice(start, SLICE_ROWS), blocks, turn, least, local_variants))
                 release()
 
     return rows.mapInArrow(tidy(run), INDEX)
 
 
-def _index_slice(batch: pa.RecordBatch, blocks: int, turn: int, least: int) -> list[tuple]:
+def _index_slice(batch: pa.RecordBatch, blocks: int, turn: int, least: int, local_variants: int) -> list[tuple]:
     rids, docs = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
     found = Anchors(*text_view(batch.column(2)), least)
     if not len(found.h):
@@ -174,7 +180,7 @@ def _index_slice(batch: pa.RecordBatch, blocks: int, turn: int, least: int) -> l
     number = np.cumsum(new_anchor[first]) - 1
     head = np.flatnonzero(new_anchor[first])
     many = np.diff(np.append(head, len(first)))
-    hot = many[number] > LOCAL_VARIANTS
+    hot = many[number] > local_variants
     away = hot.copy()
     away[head] = False
     edges = np.searchsorted(block[first], np.arange(blocks + 1, dtype=np.uint64))
@@ -194,12 +200,39 @@ def _index_slice(batch: pa.RecordBatch, blocks: int, turn: int, least: int) -> l
     return out
 
 
-def resolve_index(pdf: pd.DataFrame, blocks: int) -> pd.DataFrame:
+def _divide(rows: list[dict], coarse: int, fine: int) -> Iterator[tuple]:
+    """Rows of one coarse part of the index, by block. What may be decided anywhere is dealt in turn."""
+    part = rows[0]["p"]
+    for i, r in enumerate(rows):
+        if r["kind"] != HOME:
+            yield tuple({**r, "p": part + coarse * (i % fine)}.values())
+    rows = [r for r in rows if r["kind"] == HOME]
+    if not rows:
+        return
+    entries = np.concatenate([np.frombuffer(r["entries"], ENTRY, offset=4) for r in rows])
+    own = [np.frombuffer(r["who"], np.uint16) for r in rows]
+    doc = np.concatenate([np.frombuffer(r["docs"], np.int64)[w & 0x7FFF] for r, w in zip(rows, own, strict=True)])
+    hot = np.concatenate(own) & 0x8000
+    rest = entries["rest"].astype(np.uint64) | (entries["rest_high"].astype(np.uint64) << U64(32))
+    sub, rest = (rest % U64(fine)).astype(np.int64), rest // U64(fine)
+    entries["rest"], entries["rest_high"] = rest.astype(np.uint32), rest >> U64(32)
+    order = np.argsort(sub, kind="stable")
+    edges = np.searchsorted(sub[order], np.arange(fine + 1))
+    head = np.array([part], "<u4").tobytes()
+    for k in range(fine):
+        for a in range(int(edges[k]), int(edges[k + 1]), packed_index.ROW_ENTRIES):
+            at = order[a : min(a + packed_index.ROW_ENTRIES, int(edges[k + 1]))]
+            used, index = np.unique(doc[at], return_inverse=True)
+            yield part + coarse * k, HOME, head + entries[at].tobytes(), (index.astype(np.uint16) | hot[at]).tobytes(), used.tobytes()
+
+
+def resolve_index(pdf: pd.DataFrame, coarse: int, fine: int = 1, hot_variants: int = HOT_VARIANTS) -> pd.DataFrame:
     """What each document has to know: which of its contexts are REPEATs, and which are VARIANTs of anchors
     with several contexts, HOT where those are very many."""
     parts: list[tuple[np.ndarray, ...]] = []
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     spans = []
+    within = int(pdf["p"].iloc[0]) // coarse
     for kind, entries, who, docs in zip(pdf["kind"], pdf["entries"], pdf["who"], pdf["docs"], strict=True):
         if kind == LOCAL:
             spans.append((np.frombuffer(entries, np.int64), np.frombuffer(who, np.int32), np.frombuffer(docs, np.int32)))
@@ -212,9 +245,9 @@ def resolve_index(pdf: pd.DataFrame, blocks: int) -> pd.DataFrame:
         doc = np.frombuffer(docs, np.int64)[own & 0x7FFF]
         block = np.full(len(rest), p, np.uint64)
         if kind == AWAY:
-            done.append((doc, key_of(block, rest, c, blocks), np.full(len(doc), HOT)))
+            done.append((doc, key_of(block, rest, c, coarse), np.full(len(doc), HOT)))
         else:
-            parts.append((block, rest, c, doc, own >> 15))
+            parts.append((block, rest * U64(fine) + U64(within), c, doc, own >> 15))
     if parts:
         block, rest, c, doc, hot = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((doc, c, rest))
@@ -227,10 +260,10 @@ def resolve_index(pdf: pd.DataFrame, blocks: int) -> pd.DataFrame:
         lowest = np.repeat(doc[first], np.diff(np.append(first, len(doc))))
         of_anchor = np.cumsum(new_anchor) - 1
         variants = np.add.reduceat(new.astype(np.int64), head)[of_anchor]
-        is_hot = (np.maximum.reduceat(hot, head)[of_anchor] > 0) | (variants > HOT_VARIANTS)
+        is_hot = (np.maximum.reduceat(hot, head)[of_anchor] > 0) | (variants > hot_variants)
         status = np.where(doc > lowest, REPEAT, np.where(is_hot, HOT, VARIANT))
         keep = (doc > lowest) | (new & ((variants > 1) | is_hot))
-        done.append((doc[keep], key_of(block[keep], rest[keep], c[keep], blocks), status[keep]))
+        done.append((doc[keep], key_of(block[keep], rest[keep], c[keep], coarse), status[keep]))
     doc, key, status = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     rid, start, stop = (np.concatenate(x) for x in zip(*spans, strict=True)) if spans else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))
     none = lambda n: pd.array([None] * n, dtype="Int64")
@@ -470,20 +503,33 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], ["rid", "n_removed", "n_spans", "kept_sha256"])
 
 
-def removal_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(rid, start, stop): spans of bytes to remove, by a hash of doc_id and text; they may overlap."""
-    rows = texts(docs).where(F.col("doc_id").isNotNull())
-    keyed = rows.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc"), "text").where(F.octet_length("text") >= least)
+def with_ids(docs: DataFrame) -> DataFrame:
+    """doc_id, text and rid of each row, a name for doc_id and text of 64 bits. Where different rows have the
+    same, by 64 other bits, they are named by those."""
+    rows = texts(docs)
+    name, other = F.xxhash64("doc_id", "text"), F.xxhash64("text", F.lit(1), "doc_id")
+    by_name = rows.select(name.alias("rid"), other.alias("other")).groupBy("rid").agg(F.min("other").alias("a"), F.max("other").alias("b"))
+    clashes = [r["rid"] for r in by_name.where("a <> b").limit(MOST_CLASHES + 1).collect()]
+    if len(clashes) > MOST_CLASHES:
+        raise RuntimeError("far more equal hashes than chance gives")
+    return rows.withColumn("rid", F.when(name.isin(*clashes), other).otherwise(name) if clashes else name)
+
+
+def removal_spans(rows: DataFrame, least: int = LEAST, most_coarse: int = packed_index.MOST_COARSE, local_variants: int = LOCAL_VARIANTS, hot_variants: int = HOT_VARIANTS) -> DataFrame:
+    """(rid, start, stop): spans of bytes to remove from the rows of :func:`with_ids`; they may overlap."""
+    keyed = rows.where(F.col("doc_id").isNotNull()).select("rid", F.col("doc_id").cast("long").alias("doc"), "text").where(F.octet_length("text") >= least)
     total = keyed.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    index_blocks = max(LEAST_BLOCKS, total // (10 * BLOCK_ANCHORS))
-    index = index_anchors(keyed, index_blocks, least)
-    found = cut(index.groupBy("p").applyInPandas(lambda pdf: resolve_index(pdf, index_blocks), FOUND), "anchors")
+    coarse, fine = packed_index.layout(max(LEAST_BLOCKS, total // (10 * BLOCK_ANCHORS)), most_coarse)
+    index = index_anchors(keyed, coarse, least, local_variants)
+    if fine > 1:
+        index = packed_index.spread(index, lambda part: _divide(part, coarse, fine), _index_batches)
+    found = cut(index.groupBy("p").applyInPandas(lambda pdf: resolve_index(pdf, coarse, fine, hot_variants), FOUND), "anchors")
     asked_for = found.where("key IS NOT NULL")
     blocks = max(LEAST_BLOCKS, asked_for.where(F.col("status") != REPEAT).count() // BLOCK_CONTEXTS)
     by_doc = asked_for.groupBy("doc").agg(F.collect_list(F.struct("key", "status")).alias("own")).select("doc", F.col("own.key").alias("keys"), F.col("own.status").alias("statuses"))
     some = maybe_in(keyed.withColumn("key", F.xxhash64("doc")), asked_for.select("doc").distinct().select(F.xxhash64("doc").alias("key"))).drop("key").dropDuplicates(["rid"])
     asked = some.join(by_doc, "doc").select("rid", "doc", "text", "keys", "statuses")
-    resolved = cut(pack_contexts(asked, index_blocks, blocks, least).groupBy("p").applyInPandas(lambda pdf: resolve(pdf, least), SPANS), "spans")
+    resolved = cut(pack_contexts(asked, coarse, blocks, least).groupBy("p").applyInPandas(lambda pdf: resolve(pdf, least), SPANS), "spans")
     decided = resolved.where("doc IS NULL").select("rid", "start", "stop")
     local = found.where("key IS NULL").select("rid", "start", "stop")
     undecided = resolved.where("doc IS NOT NULL")
@@ -492,10 +538,10 @@ def removal_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return decided.unionByName(local).unionByName(late)
 
 
-def deduplicate(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def deduplicate(docs: DataFrame, least: int = LEAST, **how) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document."""
-    rows = texts(docs).withColumn("rid", F.xxhash64("doc_id", "text"))
-    spans = removal_spans(docs, least).groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    rows = with_ids(docs)
+    spans = removal_spans(rows, least, **how).groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     spans = cut(spans, "spans-by-document")
     some = maybe_in(rows.where(F.col("doc_id").isNotNull()).select(F.col("rid").alias("key"), "text"), spans.select(F.col("rid").alias("key"))).withColumnRenamed("key", "rid")
     changed = cut(some.join(spans, "rid").select("rid", "text", "spans").mapInArrow(tidy(remove), "rid long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["rid"]), "changed")

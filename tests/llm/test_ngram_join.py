@@ -37,9 +37,9 @@ def brute(texts):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def check(spark, texts):
+def check(spark, texts, **how):
     docs = with_clashes(docs_of(spark, texts))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.join_documents(docs).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.join_documents(docs, **how).collect()}
     assert got == brute(dict(enumerate(texts)))
 
 
@@ -48,6 +48,52 @@ def test_small_corpora(spark, seed):
     check(spark, some_corpus(seed))
 
 
+@pytest.mark.parametrize("how", [{"most_coarse": 5}, {"bits": 4}])
+def test_two_levels_of_blocks_and_clashing_names(spark, how):
+    check(spark, some_corpus(3), **how)
+
+
+def test_spanning_forest():
+    """Few links are left, and they join just what all links join."""
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 9, 40):
+        for share in (0.0, 0.05, 0.5):
+            group = rng.integers(0, max(1, n // 2), n)
+            group = np.unique(group, return_inverse=True)[1]
+            linked = np.triu(rng.random((n, n)) < share, 1)
+            linked = (linked | linked.T) & (group[:, None] != group[None, :])
+            forest = N.spanning_forest(linked, group)
+            assert all(linked[u, v] for u, v in forest)
+
+            def joined(pairs, group=group):
+                root = list(range(group.max() + 1))
+                for u, v in pairs:
+                    a, b = root[group[u]], root[group[v]]
+                    root = [min(a, b) if r in (a, b) else r for r in root]
+                return root
+
+            assert joined(forest) == joined(zip(*np.nonzero(linked), strict=True))
+            assert len(forest) == len(set(range(group.max() + 1))) - len(set(joined(forest)))
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    """A node with most of the edges, chains and rings, against union by hand."""
+    from chronoweft.llm import components as K
+
+    monkeypatch.setattr(K, "LEAST_HOT", 3)
+    monkeypatch.setattr(K, "HOT_SHARE", 20)
+    rng = random.Random(8)
+    edges = [(900, k) for k in range(300)] + [(k, k + 1) for k in range(1000, 1060)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)] + [(5, 5), (-7, 1000)]
+    root = {}
+    for u, v in edges:
+        if u != v:
+            a, b = root.setdefault(u, u), root.setdefault(v, v)
+            root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+    got = K.components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert len(got) == len(root) and {r.node: r.root for r in got} == root
+    assert K.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_families_near_the_threshold(spark):
     rng = random.Random(5)
     texts = []

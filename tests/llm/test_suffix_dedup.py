@@ -24,8 +24,8 @@ def brute(rows, least=50):
     return sorted(out)
 
 
-def check(spark, texts):
-    got = sorted(map(tuple, D.deduplicate(with_clashes(docs_of(spark, texts))).collect()))
+def check(spark, texts, **how):
+    got = sorted(map(tuple, D.deduplicate(with_clashes(docs_of(spark, texts)), **how).collect()))
     assert got == brute([(i, (t or "").encode()) for i, t in enumerate(texts)])
 
 
@@ -41,10 +41,13 @@ def test_against_brute_force(spark):
 
 
 @pytest.mark.parametrize("limit", [1, 3])
-def test_hot_anchors(spark, limit, monkeypatch):
-    monkeypatch.setattr(D, "HOT_VARIANTS", limit)
-    monkeypatch.setattr(D, "LOCAL_VARIANTS", limit)
-    check(spark, corpus())
+def test_hot_anchors(spark, limit):
+    check(spark, corpus(), local_variants=limit, hot_variants=limit)
+
+
+def test_two_levels_of_blocks(spark):
+    check(spark, corpus(), most_coarse=7)
+    check(spark, corpus(), most_coarse=7, local_variants=1, hot_variants=2)
 
 
 def test_repeated_rows_and_null_ids(spark):
