@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from chronoweft.llm import decontaminate as C
 from tests.llm.helpers import ODD_TEXTS, docs_of, prose, with_clashes
 
@@ -76,3 +78,21 @@ def test_empty_tables(spark):
     assert C.contaminated(docs_of(spark, []), benchmark_of(spark, items)).count() == 0
     assert C.contaminated(docs_of(spark, texts), benchmark_of(spark, [])).count() == 0
     assert C.drop_contaminated(docs_of(spark, texts), benchmark_of(spark, [])).count() == len(texts)
+
+
+def test_equal_hashes_of_different_words_are_no_match():
+    items = C.Items([(1, "a b c d e f g h"), (2, "p q r s t u v w")], 5)
+    items.seeds[:] = items.seeds[0]  # as if all seeds had one hash
+    words = items.words[0]
+    at = np.array([0])
+    assert [(i.tolist(), p.tolist()) for i, p, _ in items.pairs(words, at)] == [([0], [0])] or items.seeds[0] != C.hash_runs(words, 5)[0]
+    assert set(C.maximal_matches(items, words, np.arange(4))) <= {0}
+
+
+def test_a_long_repetitive_text(spark):
+    """Thousands of words that repeat an item: one row, covered in full, in bounded time."""
+    item = "the same six words come again"
+    docs = docs_of(spark, [f"{item} " * 700, "nothing of it"])
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    (row,) = C.contaminated(docs, bench).collect()
+    assert (row.doc_id, row.item_id, row.coverage, row.n_tiles) == (0, 7, 1.0, 1)
