@@ -82,11 +82,9 @@ def test_empty_tables(spark):
 
 def test_equal_hashes_of_different_words_are_no_match():
     items = C.Items([(1, "a b c d e f g h"), (2, "p q r s t u v w")], 5)
-    items.seeds[:] = items.seeds[0]  # as if all seeds had one hash
     words = items.words[0]
-    at = np.array([0])
-    assert [(i.tolist(), p.tolist()) for i, p, _ in items.pairs(words, at)] == [([0], [0])] or items.seeds[0] != C.hash_runs(words, 5)[0]
-    assert set(C.maximal_matches(items, words, np.arange(4))) <= {0}
+    items.seeds[:] = C.hash_runs(words, 5)[0]  # as if all seeds had one hash
+    assert [(i.tolist(), p.tolist()) for i, p, _ in items.pairs(words, np.array([0]))] == [([0], [0])]
 
 
 def test_a_long_repetitive_text(spark):
