@@ -12,6 +12,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoweft.operators.variants import label_array
 from chronoweft.plans import variant_tree as V
 
 MOST = 2_000
@@ -78,9 +79,7 @@ def cluster_by_distance(variants: DataFrame, most_distance: float | None = None,
 
 def label_counts(variants: DataFrame) -> DataFrame:
     """variant_json, label, n."""
-    leaves = F.explode(F.regexp_extract_all("variant_json", F.lit(r'"leaf":\[([^\]]*)\]'), 1)).alias("x")
-    label = F.explode(F.split(F.regexp_replace("x", '^"|"$', ""), '","')).alias("label")
-    return variants.select("variant_json", leaves).select("variant_json", label).groupBy("variant_json", "label").agg(F.count("*").alias("n"))
+    return variants.select("variant_json", F.explode(label_array()).alias("label")).groupBy("variant_json", "label").agg(F.count("*").alias("n"))
 
 
 def _vectors(variants: DataFrame, most_labels: int = 10_000) -> DataFrame:
@@ -111,7 +110,7 @@ def mixture_clusters(variants: DataFrame, k: int, least: float = 0.3, seed: int
 
 def cluster_by_start(variants: DataFrame) -> DataFrame:
     """variant_json, cluster: the first label in depth-first order."""
-    return variants.select("variant_json", F.regexp_extract("variant_json", r'"leaf":\["([^"]*)"', 1).alias("cluster"))
+    return variants.select("variant_json", F.get(label_array(), F.lit(0)).alias("cluster"))
 
 
 def largest_clusters(clusters: DataFrame, n: int) -> DataFrame:

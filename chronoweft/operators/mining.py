@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoweft.operators.variants import label_array
 from chronoweft.plans import variant_tree as V
 
 STRATEGIES = ("TraceTransaction", "TraceOccurrence", "VariantTransaction", "VariantOccurrence")
@@ -144,8 +145,7 @@ def _labelled(trees: DataFrame, strategy: str) -> tuple[str, str]:
 def frequent_labels(trees: DataFrame, strategy: str, least: int) -> frozenset[str]:
     """Labels of at least this support; there are as many as activities."""
     weight, times = _labelled(trees, strategy)
-    found = F.explode(F.regexp_extract_all("variant_json", F.lit(r'"leaf":\[([^\]]*)\]'), 1)).alias("x")
-    rows = trees.select("variant_json", F.col("n_cases").alias("n"), found).select("variant_json", "n", F.explode(F.split(F.regexp_replace("x", '^"|"$', ""), '","')).alias("label"))
+    rows = trees.select("variant_json", F.col("n_cases").alias("n"), F.explode(label_array()).alias("label"))
     per = rows.groupBy("variant_json", "label").agg(F.first("n").alias("n"), F.count("*").alias("roots"))
     return frozenset(r["label"] for r in per.groupBy("label").agg(F.sum(F.expr(f"{weight} * {times}")).alias("s")).where(F.col("s") >= least).collect())
 

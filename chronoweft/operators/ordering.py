@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweft.operators.alignment import Aligner
@@ -18,26 +18,39 @@ from chronoweft.operators.discovery import around_deviation
 from chronoweft.plans import process_tree as P
 
 
+MOST_COMPARED = 20_000
+FIRST_CODE = 0x10000
+"""Labels are written as characters from here on: a million of them, without gaps."""
+
+
+def _acts(variants: DataFrame) -> Column:
+    """A variant's activities: ``acts``, or without such a column the text's parts between commas."""
+    return F.col("acts") if "acts" in variants.columns else F.split("variant", ",")
+
+
 def levenshtein_scores(variants: DataFrame, added: DataFrame | None = None) -> DataFrame:
     """candidate, score: the sum over variants not yet added of their distance times their frequency.
 
-    ``variants``: variant (labels joined by commas) and n_cases. Each label becomes one character, so the
-    JVM's own distance applies. All pairs of variants are what the score is defined on; they number far
-    fewer than cases."""
-    labels = variants.select(F.explode(F.split("variant", ",")).alias("label")).distinct()
-    coded = labels.select("label", F.decode(F.encode(F.char(F.dense_rank().over(Window.orderBy("label")) + 47), "UTF-8"), "UTF-8").alias("c"))
-    book = coded.agg(F.map_from_entries(F.collect_list(F.struct("label", "c"))).alias("book"))
-    v = variants.crossJoin(F.broadcast(book)).select("variant", "n_cases", F.array_join(F.transform(F.split("variant", ","), lambda x: F.col("book")[x]), "").alias("code"))
+    ``variants``: variant, acts (array of labels) and n_cases. Each label becomes one character, so the JVM's
+    own distance applies. The score is defined on all pairs of variants, which are few next to cases; more
+    than MOST_COMPARED of them raise an error."""
+    v = variants.select("variant", "n_cases", _acts(variants).alias("acts"))
     rest = v if added is None else v.join(added.select("variant"), "variant", "left_anti")
-    a = rest.select(F.col("variant").alias("candidate"), F.col("code").alias("x"))
-    b = rest.select(F.col("code").alias("y"), "n_cases")
-    return a.crossJoin(b).groupBy("candidate").agg(F.sum(F.levenshtein("x", "y") * F.col("n_cases")).cast("double").alias("score"))
+    if rest.count() > MOST_COMPARED:
+        raise ValueError(f"more than {MOST_COMPARED} variants to compare")
+    code = lambda i: F.decode(F.unhex(F.lpad(F.hex(i + FIRST_CODE), 8, "0")), "UTF-32")
+    names = v.select(F.explode("acts").alias("label")).agg(F.array_sort(F.collect_set("label")).alias("names"))
+    book = names.select(F.map_from_entries(F.transform("names", lambda x, i: F.struct(x, code(i)))).alias("book"))
+    coded = rest.crossJoin(F.broadcast(book)).select("variant", "n_cases", F.array_join(F.transform("acts", lambda x: F.col("book")[x]), "").alias("code"))
+    a = coded.select(F.col("variant").alias("candidate"), F.col("code").alias("x"))
+    b = coded.select(F.col("code").alias("y"), "n_cases")
+    return a.crossJoin(b).groupBy("candidate", "x").agg(F.sum(F.levenshtein("x", "y") * F.col("n_cases")).cast("double").alias("score")).drop("x")
 
 
 def missing_activity_scores(variants: DataFrame, labels: list[str]) -> DataFrame:
     """candidate, score: the number of a variant's activities that a model doesn't have."""
     have = F.array(*map(F.lit, labels)) if labels else F.array().cast("array<string>")
-    return variants.select(F.col("variant").alias("candidate"), F.size(F.array_except(F.array_distinct(F.split("variant", ",")), have)).cast("double").alias("score"))
+    return variants.select(F.col("variant").alias("candidate"), F.size(F.array_except(F.array_distinct(_acts(variants)), have)).cast("double").alias("score"))
 
 
 def random_scores(variants: DataFrame, seed: int = 0) -> DataFrame:
@@ -51,7 +64,8 @@ def adapted(scores: DataFrame, how: Callable = F.avg) -> DataFrame:
 
 
 def ranked(scores: DataFrame, highest_best: bool = False) -> DataFrame:
-    """``scores`` with rank; equal scores in the order of the candidates."""
+    """``scores`` with rank; equal scores in the order of the candidates. One task ranks them all: candidates
+    are variants, not cases."""
     key = F.desc("score") if highest_best else F.asc("score")
     return scores.withColumn("rank", F.row_number().over(Window.orderBy(key, "candidate")))
 
@@ -90,10 +104,9 @@ def _scored(variants: DataFrame, score: Callable[[tuple[str, ...]], float]) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([float(score(tuple(v.split(",")))) for v in names], pa.float64())], ["candidate", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([float(score(tuple(acts))) for acts in b.column(1).to_pylist()], pa.float64())], ["candidate", "score"])
 
-    return variants.select(F.col("variant").alias("candidate")).mapInArrow(run, "candidate string, score double")
+    return variants.select(F.col("variant").alias("candidate"), _acts(variants).alias("acts")).mapInArrow(run, "candidate string, score double")
 
 
 def alignment_scores(variants: DataFrame, tree: P.Tree) -> DataFrame:
@@ -107,20 +120,21 @@ def alignment_scores(variants: DataFrame, tree: P.Tree) -> DataFrame:
 
 
 def deviation_height_scores(variants: DataFrame, tree: P.Tree) -> DataFrame:
-    """The height of the subtree that would be discovered anew for the first deviation; infinite if it fits."""
+    """The height of the subtree that would be discovered anew for the first deviation; infinite if the variant
+    fits, or if its alignment is given up."""
 
     def score(acts: tuple[str, ...]) -> float:
         found = Aligner(tree).align(acts)
-        return math.inf if found.fits else P.height(P.nodes(tree)[around_deviation(tree, found)])
+        return math.inf if found is None or found.fits else P.height(P.nodes(tree)[around_deviation(tree, found)])
 
     return _scored(variants, score)
 
 
 def duplicate_scores(variants: DataFrame, tree: P.Tree) -> DataFrame:
-    """How many labels occur more than once in that subtree."""
+    """How many labels occur more than once in that subtree; infinite if the alignment is given up."""
 
     def score(acts: tuple[str, ...]) -> float:
         found = Aligner(tree).align(acts)
-        return 0 if found.fits else len(P.duplicate_labels(P.nodes(tree)[around_deviation(tree, found)]))
+        return math.inf if found is None else 0 if found.fits else len(P.duplicate_labels(P.nodes(tree)[around_deviation(tree, found)]))
 
     return _scored(variants, score)

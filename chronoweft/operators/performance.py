@@ -143,17 +143,17 @@ def subvariant_waits(log: DataFrame, granularity: str = "ms") -> DataFrame:
 def subvariant_durations(log: DataFrame, granularity: str = "ms", digits: int | None = None) -> DataFrame:
     """Statistics of the whole duration of the cases of each sub-variant."""
     spans = log.groupBy("case_id").agg(seconds_between(F.min("start_ts"), F.max("end_ts")).alias("x"))
-    return spans.join(case_subvariants(log, granularity), "case_id").groupBy("subvariant").agg(*statistics("x", digits))
+    return spans.join(case_subvariants(log, granularity), "case_id").groupBy("steps", "subvariant").agg(*statistics("x", digits)).drop("steps")
 
 
 def subvariant_services(log: DataFrame, granularity: str = "ms", digits: int | None = None) -> DataFrame:
     """Statistics of the duration of each numbered instance in each sub-variant."""
     number = F.row_number().over(Window.partitionBy("case_id", "activity").orderBy(truncated("start_ts", granularity), truncated("end_ts", granularity), "pos")) - 1
     named = log.select("case_id", F.concat("activity", F.lit("#"), number).alias("name"), seconds_between("start_ts", "end_ts").alias("x"))
-    return named.join(case_subvariants(log, granularity), "case_id").groupBy("subvariant", "name").agg(*statistics("x", digits))
+    return named.join(case_subvariants(log, granularity), "case_id").groupBy("steps", "subvariant", "name").agg(*statistics("x", digits)).drop("steps")
 
 
 def subvariant_wait_statistics(log: DataFrame, granularity: str = "ms", digits: int | None = None) -> DataFrame:
     """Statistics of the waits between the steps of each sub-variant."""
     waits = subvariant_waits(log, granularity).join(case_subvariants(log, granularity), "case_id")
-    return waits.groupBy("subvariant", "step", "from_name", "to_name").agg(*statistics("wait", digits))
+    return waits.groupBy("steps", "subvariant", "step", "from_name", "to_name").agg(*statistics("wait", digits)).drop("steps")

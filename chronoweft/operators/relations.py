@@ -2,41 +2,140 @@
 
 With instances in the order of their raw starts and times cut to a granularity: ``a`` is eventually followed
 by a later ``b`` if it ends before ``b`` starts, directly if nothing that ``a`` is followed by ends before
-``b`` starts, and otherwise the two are parallel. Everything is partitioned by case, so all of it takes
-one exchange.
+``b`` starts, and otherwise the two are parallel.
+
+Since places follow starts, the instances that ``a`` is parallel to, directly followed by and eventually followed by are
+ranges of places: those after ``a`` and up to ``low``, from there to ``high``, and from there to the last.
+Both bounds come from running counts over a case's starts and ends in the order of time, so no instance meets
+another to find its relations. Everything up to there is partitioned by case and spills; only pairs that are
+asked for are made, and these are spread by both case and place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from chronoweft.sources.logs import truncated
 
 RELATIONS = ("EF", "DF", "P")
+_START, _END = 1, 2
+"""Order of events at one time: an instance that ends when another starts isn't over by then."""
+
+
+def _instances(log: DataFrame, granularity: str) -> DataFrame:
+    return log.select("case_id", "pos", "activity", truncated("start_ts", granularity).alias("s"), truncated("end_ts", granularity).alias("t"))
+
+
+def _timeline(e: DataFrame, *more: Column) -> DataFrame:
+    """``e`` with each instance twice, as ``k`` = _START and, ``at`` its end, as _END."""
+    both = F.array(F.struct(F.col("s").alias("at"), F.lit(_START).alias("k")), F.struct(F.col("t").alias("at"), F.lit(_END).alias("k")), *more)
+    return e.select("*", F.explode(both).alias("__x")).select(*e.columns, "__x.at", "__x.k")
+
+
+def _counted(condition: Column) -> Column:
+    return F.sum(F.when(condition, 1).otherwise(0))
+
+
+def _case() -> WindowSpec:
+    return Window.partitionBy("case_id")
+
+
+def _up_to() -> WindowSpec:
+    """The events of a case in time, up to this one."""
+    return _case().orderBy(F.col("at").asc_nulls_last(), "k", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _before() -> WindowSpec:
+    return _case().orderBy(F.col("at").asc_nulls_last(), "k", "pos").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _later() -> WindowSpec:
+    """The events after this one, backwards: a frame that ends at the last row would be computed anew for each."""
+    return _case().orderBy(F.desc("at"), F.desc("k"), F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def bounds(log: DataFrame, granularity: str = "ms", direct: bool = True) -> DataFrame:
+    """case_id, pos, activity, s, t, low and last: an instance is followed by those at the places ``low`` + 1
+    to ``last``, directly (with ``direct``) by those up to ``high``."""
+    e = _instances(log, granularity)
+    is_start = F.col("k") == _START
+    found = _timeline(e).withColumn("low", _counted(is_start).over(_up_to()))
+    if direct:
+        found = found.withColumn("first_end", F.min(F.when(is_start, F.col("t"))).over(_later()))
+    found = found.where(~is_start).drop("at", "k")
+    last = F.count("*").over(_case())
+    if not direct:
+        return found.withColumn("last", last)
+    both = F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(_START).alias("k")), F.struct(F.col("first_end").alias("at"), F.lit(_END).alias("k")))).alias("__x")
+    again = found.select("*", both).select(*found.columns, "__x.at", "__x.k")
+    # without a first end nothing follows, and the count is that of all starts
+    return again.withColumn("high", _counted(is_start).over(_up_to())).where("k = 2").withColumn("last", last).drop("at", "k", "first_end")
+
+
+def _partners(log: DataFrame, found: DataFrame, first: Column, last: Column, *others: str) -> DataFrame:
+    """Rows of ``found`` (case_id, pos, activity and ``others``), each with the instances at the places given."""
+    a = found.where(first <= last).select("case_id", F.col("pos").alias("a_pos"), F.col("activity").alias("a"), *others, first.alias("__first"), last.alias("__last"))
+    a = a.select("case_id", "a_pos", "a", *others, F.explode(F.sequence("__first", "__last")).alias("b_pos"))
+    b = log.select("case_id", F.col("pos").cast("long").alias("b_pos"), F.col("activity").alias("b"))
+    return a.join(b, ["case_id", "b_pos"]).withColumn("b_pos", F.col("b_pos").cast("int"))
 
 
 def pairs(log: DataFrame, granularity: str = "ms") -> DataFrame:
     """case_id, a_pos, b_pos, a, b, ef, df: every pair of instances of a case, the earlier one first.
-    Parallel pairs are those that aren't ``ef``."""
-    e = log.select("case_id", "pos", "activity", truncated("start_ts", granularity).alias("s"), truncated("end_ts", granularity).alias("t"))
-    a = e.select("case_id", F.col("pos").alias("a_pos"), F.col("activity").alias("a"), F.col("t").alias("a_end"))
-    b = e.select("case_id", F.col("pos").alias("b_pos"), F.col("activity").alias("b"), F.col("s").alias("b_start"), F.col("t").alias("b_end"))
-    met = a.join(b, "case_id").where("a_pos < b_pos").withColumn("ef", F.col("a_end") < F.col("b_start"))
-    first_end = F.min(F.when(F.col("ef"), F.col("b_end"))).over(Window.partitionBy("case_id", "a_pos"))
-    return met.withColumn("df", F.col("ef") & (F.col("b_start") <= first_end)).select("case_id", "a_pos", "b_pos", "a", "b", "ef", "df")
+    Parallel pairs are those that aren't ``ef``. The result grows with the square of a case's length."""
+    met = _partners(log, bounds(log, granularity), F.col("pos").cast("long") + 1, F.col("last"), "low", "high")
+    ef = F.col("b_pos") > F.col("low")
+    return met.select("case_id", "a_pos", "b_pos", "a", "b", ef.alias("ef"), (ef & (F.col("b_pos") <= F.col("high"))).alias("df"))
 
 
 def related(log: DataFrame, relation: str, granularity: str = "ms") -> DataFrame:
     """case_id, a_pos, b_pos, a, b of one relation. Parallel pairs stand once, activities in order."""
-    p = pairs(log, granularity)
-    if relation in ("EF", "DF"):
-        return p.where(relation.lower()).select("case_id", "a_pos", "b_pos", "a", "b")
-    if relation != "P":
+    if relation not in RELATIONS:
         raise ValueError(f"unknown relation {relation}")
+    found = bounds(log, granularity, relation == "DF")
+    low = F.col("low")
+    if relation != "P":
+        return _partners(log, found, low + 1, F.col("high" if relation == "DF" else "last")).select("case_id", "a_pos", "b_pos", "a", "b")
+    p = _partners(log, found, F.col("pos").cast("long") + 1, low)
     swap = F.col("a") > F.col("b")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    return p.where("NOT ef").select("case_id", pick("a_pos", "b_pos").alias("a_pos"), pick("b_pos", "a_pos").alias("b_pos"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return p.select("case_id", pick("a_pos", "b_pos").alias("a_pos"), pick("b_pos", "a_pos").alias("b_pos"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def follows_some(log: DataFrame, wanted: dict[str, set[str]], granularity: str = "ms") -> DataFrame:
+    """case_id, pos, activity and, for each relation (ef, df, par) and label in ``wanted``, whether the instance is
+    in that relation to some instance with the label: a column ``relation:number``, numbers by the labels'
+    order. Running counts by label take the place of pairs."""
+    e = _instances(log, granularity)
+    names = {x: i for i, x in enumerate(sorted(set().union(*wanted.values())))}
+    ef, df, par = (sorted(wanted.get(r, ())) for r in ("ef", "df", "par"))
+    is_start, is_end = F.col("k") == _START, F.col("k") == _END
+    of = lambda x: F.col("activity") == x
+    out = _timeline(e)
+    for x in sorted({*ef, *df, *par}):  # starts up to this event
+        out = out.withColumn(f"n{names[x]}", _counted(is_start & of(x)).over(_up_to()))
+    for x in ef:
+        out = out.withColumn(f"all{names[x]}", _counted(is_start & of(x)).over(_case()))
+    for x in par:  # at a start: how many are going on
+        out = out.withColumn(f"open{names[x]}", (_counted(is_start & of(x)).over(_before()) - _counted(is_end & of(x)).over(_before())))
+    if df:
+        out = out.withColumn("first_end", F.min(F.when(is_start, F.col("t"))).over(_later()))
+    at_start = lambda c: F.max(F.when(is_start, F.col(c)))
+    at_end = lambda c: F.max(F.when(is_end, F.col(c)))
+    marks = [(at_end(f"all{names[x]}") > at_end(f"n{names[x]}")).alias(f"ef:{names[x]}") for x in ef]
+    marks += [((F.coalesce(at_start(f"open{names[x]}"), F.lit(0)) > 0) | (at_end(f"n{names[x]}") > at_start(f"n{names[x]}"))).alias(f"par:{names[x]}") for x in par]
+    marks += [at_end(f"n{names[x]}").alias(f"__low{names[x]}") for x in df]
+    marks += [at_end("first_end").alias("first_end")] if df else []
+    merged = out.groupBy("case_id", "pos", "activity", "s").agg(*marks) if marks else e
+    if df:
+        both = F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(_START).alias("k")), F.struct(F.col("first_end").alias("at"), F.lit(_END).alias("k")))).alias("__x")
+        again = merged.select("*", both).select(*(f"`{c}`" for c in merged.columns), "__x.at", "__x.k")
+        for x in df:
+            again = again.withColumn(f"df:{names[x]}", F.col("at").isNotNull() & (_counted(is_start & of(x)).over(_up_to()) > F.col(f"__low{names[x]}")))
+        merged = again.where(is_end)
+    return merged.select("case_id", "pos", "activity", *(f"`{r}:{names[x]}`" for r, own in (("ef", ef), ("df", df), ("par", par)) for x in own))
 
 
 def borders(log: DataFrame, granularity: str = "ms", strict_start: bool = False, lone_start: bool = True) -> DataFrame:
@@ -46,9 +145,9 @@ def borders(log: DataFrame, granularity: str = "ms", strict_start: bool = False,
     that of the first instance that something follows, or if it is parallel to such a one;
     ``strict_start``: if it follows nothing. The only instance of a case starts it unless ``lone_start`` is off.
     """
-    e = log.select("case_id", "pos", "activity", truncated("start_ts", granularity).alias("s"), truncated("end_ts", granularity).alias("t"))
+    e = _instances(log, granularity)
     case = Window.partitionBy("case_id")
-    later = case.orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    later = case.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     e = e.withColumn("last_start", F.max("s").over(later))
     e = e.withColumn("is_end", F.coalesce(F.col("t") >= F.col("last_start"), F.lit(True)))
     earlier = case.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -67,11 +166,14 @@ def borders(log: DataFrame, granularity: str = "ms", strict_start: bool = False,
 def relation_counts(log: DataFrame, relation: str, granularity: str = "ms", occurrences: bool = True, weights: DataFrame | None = None) -> DataFrame:
     """a, b, support of a relation's activity pairs: the sum over cases of how often they occur, or of
     whether they do. ``weights`` (case_id, weight): how many cases a case stands for."""
-    per_case = related(log, relation, granularity).groupBy("case_id", "a", "b").agg(F.count("*").alias("n"))
-    n = F.col("n") if occurrences else F.lit(1)
+    rows = related(log, relation, granularity)
     if weights is not None:
-        per_case, n = per_case.join(weights, "case_id"), n * F.col("weight")
-    return per_case.groupBy("a", "b").agg(F.sum(n).cast("long").alias("support"))
+        rows = rows.join(weights, "case_id")
+    weight = F.col("weight") if weights is not None else F.lit(1)
+    if not occurrences:
+        rows = rows.groupBy("case_id", "a", "b").agg(F.first(weight).alias("weight"))
+        weight = F.col("weight")
+    return rows.groupBy("a", "b").agg(F.sum(weight).cast("long").alias("support"))
 
 
 def case_graphs(log: DataFrame, granularity: str = "ms") -> DataFrame:

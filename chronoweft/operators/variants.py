@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweft.plans import variant_tree as V
@@ -62,43 +62,62 @@ def variants(log: DataFrame, granularity: str = "ms", change: Callable[[V.Tree],
     return _cut(counted, ["n"], change).groupBy("variant_json", "variant").agg(F.sum("n").alias("n_cases"), F.count("*").alias("n_graphs"))
 
 
-def treebank(log: DataFrame, granularity: str = "ms") -> DataFrame:
-    """Variants, those with the most cases first."""
-    return variants(log, granularity).orderBy(F.desc("n_cases"), "variant_json")
+def treebank(log: DataFrame, granularity: str = "ms", borders: bool = False, by_case: bool = False) -> DataFrame:
+    """Variants, those with the most cases first; ``borders`` puts artificial activities at their ends, and
+    ``by_case`` gives each case a row of its own, with its case_id and an n_cases of 1."""
+    if by_case:
+        out = _cut(signatures(log, granularity), ["case_id"], V.with_borders if borders else None)
+        return out.withColumn("n_cases", F.lit(1).cast("long")).orderBy("variant_json", "case_id")
+    return variants(log, granularity, V.with_borders if borders else None).orderBy(F.desc("n_cases"), "variant_json")
+
+
+#: The list of a leaf's labels, as JSON strings, in a variant's JSON.
+_LEAF = r'"leaf":\[((?:"(?:[^"\\]++|\\.)*+",?+)*+)\]'
+
+
+def label_array(variant_json: str = "variant_json") -> Column:
+    """All labels of a variant's JSON, in depth-first order."""
+    lists = F.regexp_extract_all(F.col(variant_json), F.lit(_LEAF), 1)
+    return F.flatten(F.transform(lists, lambda x: F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>")))
 
 
 def sequence_variants(log: DataFrame) -> DataFrame:
-    """variant and n_cases, activities in order and overlaps ignored: no Python at all."""
-    seq = log.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "activity"))), lambda x: x["activity"]), ",").alias("variant"))
-    return seq.groupBy("variant").agg(F.count("*").alias("n_cases"))
+    """acts, variant and n_cases, activities in order and overlaps ignored: no Python at all. ``acts`` tells
+    sequences apart, ``variant`` is their text and need not."""
+    acts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "activity"))), lambda x: x["activity"])
+    seq = log.groupBy("case_id").agg(acts.alias("acts"))
+    return seq.groupBy("acts").agg(F.count("*").alias("n_cases")).select("acts", F.array_join("acts", ",").alias("variant"), "n_cases")
 
 
 def collapsed_sequences(log: DataFrame) -> DataFrame:
-    """variant and n_cases, runs of one activity written once with a star."""
+    """runs, variant and n_cases, runs (a, again) of one activity written once, with a star if they are longer."""
     case = Window.partitionBy("case_id").orderBy("pos")
     run = log.withColumn("new", (F.lag("activity").over(case) != F.col("activity")).cast("int"))
     run = run.withColumn("run", F.sum(F.coalesce("new", F.lit(1))).over(case))
-    runs = run.groupBy("case_id", "run").agg(F.first("activity").alias("a"), F.count("*").alias("k"))
-    part = F.concat("a", F.when(F.col("k") > 1, "*").otherwise(""))
-    seq = runs.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", part.alias("p")))), lambda x: x["p"]), ",").alias("variant"))
-    return seq.groupBy("variant").agg(F.count("*").alias("n_cases"))
+    runs = run.groupBy("case_id", "run").agg(F.first("activity").alias("a"), (F.count("*") > 1).alias("again"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("run", "a", "again"))), lambda x: F.struct(x["a"].alias("a"), x["again"].alias("again")))
+    counted = runs.groupBy("case_id").agg(whole.alias("runs")).groupBy("runs").agg(F.count("*").alias("n_cases"))
+    text = F.array_join(F.transform("runs", lambda x: F.concat(x["a"], F.when(x["again"], "*").otherwise(""))), ",")
+    return counted.select("runs", text.alias("variant"), "n_cases")
 
 
 def case_subvariants(log: DataFrame, granularity: str = "ms") -> DataFrame:
-    """case_id and subvariant: starts and completions by equal time, instances numbered by activity.
+    """case_id, steps and subvariant: starts and completions by equal time, instances numbered by activity.
 
-    A step joins its events with ``+``, steps are joined with ``|``; an event is activity, number, s or c."""
+    A step is a list of events; an event is activity, number, s or c. In the text, a step joins its events
+    with ``+``, and steps are joined with ``|``."""
     e = log.select("case_id", "pos", "activity", truncated("start_ts", granularity).alias("s"), truncated("end_ts", granularity).alias("t"))
     number = F.row_number().over(Window.partitionBy("case_id", "activity").orderBy("s", "t", "pos")) - 1
     e = e.withColumn("name", F.concat("activity", F.lit("#"), number))
     both = F.explode(F.array(F.struct(F.col("s").alias("at"), F.concat("name", F.lit("s")).alias("ev")), F.struct(F.col("t").alias("at"), F.concat("name", F.lit("c")).alias("ev"))))
-    steps = e.select("case_id", both.alias("x")).groupBy("case_id", "x.at").agg(F.array_join(F.array_sort(F.collect_list("x.ev")), "+").alias("step"))
-    return steps.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "step"))), lambda x: x["step"]), "|").alias("subvariant"))
+    steps = e.select("case_id", both.alias("x")).groupBy("case_id", "x.at").agg(F.array_sort(F.collect_list("x.ev")).alias("step"))
+    whole = steps.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "step"))), lambda x: x["step"]).alias("steps"))
+    return whole.select("case_id", "steps", F.array_join(F.transform("steps", lambda x: F.array_join(x, "+")), "|").alias("subvariant"))
 
 
 def subvariants(log: DataFrame, granularity: str = "ms") -> DataFrame:
-    """subvariant and n_cases."""
-    return case_subvariants(log, granularity).groupBy("subvariant").agg(F.count("*").alias("n_cases"))
+    """steps, subvariant and n_cases."""
+    return case_subvariants(log, granularity).groupBy("steps", "subvariant").agg(F.count("*").alias("n_cases"))
 
 
 def with_sequentialisations(trees: DataFrame, most: int = V.MOST_SEQUENTIALISATIONS) -> DataFrame:

@@ -167,7 +167,7 @@ def case_duration_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SEQ = "seq AS (SELECT case_id, string_agg(activity, ',' ORDER BY pos) AS variant FROM e GROUP BY case_id)"
 for _view in ("li", "user", "ord", "conv"):
-    query(f"WITH {SQL_VIEWS[_view]}, {SEQ} SELECT variant, count(*) AS n_cases FROM seq GROUP BY variant", f"sequence_variants_{_view}")(lambda spark, sf_dir, v=_view: variants.sequence_variants(VIEWS[v](spark, sf_dir)))
+    query(f"WITH {SQL_VIEWS[_view]}, {SEQ} SELECT variant, count(*) AS n_cases FROM seq GROUP BY variant", f"sequence_variants_{_view}")(lambda spark, sf_dir, v=_view: variants.sequence_variants(VIEWS[v](spark, sf_dir)).select("variant", "n_cases"))
     query(
         f"""WITH {SQL_VIEWS[_view]}, m AS (SELECT *, coalesce((lag(activity) OVER w <> activity)::INT, 1) AS fresh FROM e WINDOW w AS (PARTITION BY case_id ORDER BY pos)),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY case_id ORDER BY pos) AS run FROM m),
@@ -175,14 +175,14 @@ g AS (SELECT case_id, run, min(activity) || CASE WHEN count(*) > 1 THEN '*' ELSE
 s AS (SELECT case_id, string_agg(p, ',' ORDER BY run) AS variant FROM g GROUP BY case_id)
 SELECT variant, count(*) AS n_cases FROM s GROUP BY variant""",
         f"collapsed_variants_{_view}",
-    )(lambda spark, sf_dir, v=_view: variants.collapsed_sequences(VIEWS[v](spark, sf_dir)))
+    )(lambda spark, sf_dir, v=_view: variants.collapsed_sequences(VIEWS[v](spark, sf_dir)).select("variant", "n_cases"))
 
 SUB = """numbered AS (SELECT *, activity || '#' || (row_number() OVER (PARTITION BY case_id, activity ORDER BY s, t, pos) - 1) AS name FROM e),
 marks AS (SELECT case_id, s AS ts, name || 's' AS ev FROM numbered UNION ALL SELECT case_id, t, name || 'c' FROM numbered),
 steps AS (SELECT case_id, ts, string_agg(ev, '+' ORDER BY ev) AS step FROM marks GROUP BY case_id, ts),
 whole AS (SELECT case_id, string_agg(step, '|' ORDER BY ts) AS subvariant FROM steps GROUP BY case_id)"""
 for _view in ("li", "ev"):
-    query(f"WITH {SQL_VIEWS[_view]}, {SUB} SELECT subvariant, count(*) AS n_cases FROM whole GROUP BY subvariant", f"detailed_subvariants_{_view}")(lambda spark, sf_dir, v=_view: variants.subvariants(VIEWS[v](spark, sf_dir)))
+    query(f"WITH {SQL_VIEWS[_view]}, {SUB} SELECT subvariant, count(*) AS n_cases FROM whole GROUP BY subvariant", f"detailed_subvariants_{_view}")(lambda spark, sf_dir, v=_view: variants.subvariants(VIEWS[v](spark, sf_dir)).select("subvariant", "n_cases"))
 
 
 @query()

@@ -1,5 +1,6 @@
 """A query language on cases: activities contained, at the start or end, directly or eventually followed, or
-parallel. A query is parsed on the driver and becomes one boolean Column over :func:`case_graphs`.
+parallel. A query is parsed on the driver and becomes one boolean Column over numbers of instances, which
+:func:`query_cases` counts for it alone, or :func:`case_graphs` keeps for any query.
 
     query    := expr ';'
     expr     := negated (AND negated)* | negated (OR negated)* | negated '->' negated
@@ -13,6 +14,7 @@ A mix of AND and OR needs parentheses.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -191,42 +193,52 @@ def _all(parts: list[Column]) -> Column:
     return reduce(lambda x, y: x & y, parts) if parts else F.lit(True)
 
 
-def _places(column: str, key: str) -> Column:
-    return F.coalesce(F.try_element_at(F.col(column), F.lit(key)), F.array().cast("array<int>"))
-
-
 def _compare(count: Column, op: str, n: int) -> Column:
     return {"=": count == n, "<": count < n, ">": count > n}[op]
 
 
-def compile_query(tree, universe: frozenset[str] | None = None) -> Column:
-    """A boolean Column over the columns of ``case_graphs``."""
+Count = Callable[[str, tuple[str, ...], tuple[str, ...], bool], Column]
+"""(relation, (a,), (b, ...), every): a case's number of ``a`` that are in the relation, for a binary one to some
+instance of any, or of every, ``b``."""
+
+
+def compile_with(tree, count: Count, universe: frozenset[str] | None = None) -> Column:
+    """A boolean Column from the numbers of instances that ``count`` gives."""
     if isinstance(tree, Node):
-        parts = [compile_query(p, universe) for p in tree.parts]
+        parts = [compile_with(p, count, universe) for p in tree.parts]
         return ~parts[0] if tree.kind == "NOT" else _all(parts) if tree.kind == "AND" else _any(parts)
     left = tree.left.members(universe)
     if tree.right is None:
-        found = [_places(tree.relation, a) for a in left]
-        tests = [_compare(F.size(x), tree.op, tree.n) if tree.op else F.size(x) > 0 for x in found]
+        found = [count(tree.relation, (a,), (), False) for a in left]
+        tests = [_compare(x, tree.op, tree.n) if tree.op else x > 0 for x in found]
         return _all(tests) if tree.left.every else _any(tests)
     right = tree.right.members(universe)
     every = tree.left.every or tree.right.every
-    key = lambda a, b: f"{a}{SEPARATOR}{b}"
-    covered = lambda a, b: _places(tree.relation, key(a, b))
-    own = lambda a: F.size(_places("acts", a))
+    own = lambda a: count("acts", (a,), (), False)
+    met = lambda a, *b, all_=False: count(tree.relation, (a,), b, all_)
     if tree.op:
         if len(right) > 1:  # how often the left activity meets any, or all, of the group
-            join = F.array_intersect if tree.right.every else F.array_union
-            return _all([_compare(F.size(reduce(join, [covered(a, b) for b in right])), tree.op, tree.n) for a in left])
-        tests = [_compare(F.size(covered(a, b)), tree.op, tree.n) for a in left for b in right]
+            return _all([_compare(met(a, *right, all_=tree.right.every), tree.op, tree.n) for a in left])
+        tests = [_compare(met(a, b), tree.op, tree.n) for a in left for b in right]
         return _all(tests) if every else _any(tests)
     if not every and len(right) > 1:  # each instance on the left meets one of the group
-        tests = [(own(a) > 0) & (F.size(reduce(F.array_union, [covered(a, b) for b in right])) == own(a)) for a in left]
-        return _any(tests)
-    tests = [(own(a) > 0) & (own(b) > 0) & (F.size(covered(a, b)) == own(a)) for a in left for b in right]
+        return _any([(own(a) > 0) & (met(a, *right) == own(a)) for a in left])
+    tests = [(own(a) > 0) & (own(b) > 0) & (met(a, b) == own(a)) for a in left for b in right]
     return _all(tests) if every else _any(tests)
 
 
+def compile_query(tree, universe: frozenset[str] | None = None) -> Column:
+    """A boolean Column over the columns of ``case_graphs``."""
+
+    def count(relation: str, a: tuple[str, ...], b: tuple[str, ...], every: bool) -> Column:
+        places = lambda key: F.coalesce(F.try_element_at(F.col(relation), F.lit(key)), F.array().cast("array<int>"))
+        if not b:
+            return F.size(places(a[0]))
+        return F.size(reduce(F.array_intersect if every else F.array_union, [places(f"{a[0]}{SEPARATOR}{x}") for x in b]))
+
+    return compile_with(tree, count, universe)
+
+
 MOST_ACTIVITIES = 10_000
 
 
@@ -244,9 +256,37 @@ def matching(graphs: DataFrame, query: str, universe: frozenset[str] | None = No
 
 
 def query_cases(log: DataFrame, query: str, granularity: str = "ms") -> DataFrame:
-    """case_id of the cases that satisfy a query."""
-    from chronoweft.operators.relations import case_graphs
+    """case_id of the cases that satisfy a query.
+
+    A query is one aggregation by case over the log's instances: of the relations and labels that it names, and
+    no others, each instance gets a mark, and the marks are counted. So a query on contained activities has
+    neither a window nor a join, and no query makes pairs of instances."""
+    from chronoweft.operators.relations import borders, follows_some
 
     tree = parse(query)
     universe = universe_of(log) if needs_universe(tree) else None
-    return case_graphs(log, granularity).where(compile_query(tree, universe)).select("case_id")
+    counts: dict[tuple, str] = {}
+
+    def count(relation: str, a: tuple[str, ...], b: tuple[str, ...], every: bool) -> Column:
+        return F.col(counts.setdefault((relation, a[0], tuple(sorted(b)), every and len(b) > 1), f"c{len(counts)}"))
+
+    test = compile_with(tree, count, universe)
+    wanted: dict[str, set[str]] = {}
+    for relation, _, b, _ in counts:
+        if b:
+            wanted.setdefault(relation, set()).update(b)
+    rows = follows_some(log, wanted, granularity) if wanted else log.select("case_id", "pos", "activity")
+    if any(relation in ("starts", "ends") for relation, *_ in counts):
+        marks = borders(log, granularity).select("case_id", "pos", "is_start", "is_end")
+        rows = rows.join(marks, ["case_id", "pos"]) if wanted else borders(log, granularity)
+    number = {x: i for i, x in enumerate(sorted(set().union(*wanted.values())))} if wanted else {}
+
+    def marked(relation: str, a: str, b: tuple[str, ...], every: bool) -> Column:
+        own = F.col("activity") == a
+        if relation in ("starts", "ends"):
+            return own & F.col({"starts": "is_start", "ends": "is_end"}[relation])
+        return own & (_all if every else _any)([F.col(f"`{relation}:{number[x]}`") for x in b]) if b else own
+
+    sums = [F.sum(F.when(marked(*key), 1).otherwise(0)).alias(name) for key, name in counts.items()]
+    grouped = rows.groupBy("case_id").agg(*sums) if sums else rows.select("case_id").distinct()
+    return grouped.where(test).select("case_id")
