@@ -211,6 +211,13 @@ def align_log(log: DataFrame, tree: P.Tree, mode: str = "full", most_states: int
     return align_sequences(counted, tree, mode, most_states)
 
 
+def distinct_alignments(aligned: DataFrame) -> DataFrame:
+    """visible (the moves that aren't silent), n_cases and n_sequences: alignments that differ in silent moves alone
+    are one."""
+    visible = F.filter("moves", lambda m: m["kind"] != TAU)
+    return aligned.where("cost IS NOT NULL").groupBy(visible.alias("visible")).agg(F.sum("n_cases").alias("n_cases"), F.count("*").alias("n_sequences"))
+
+
 def fits(cost: str = "cost"):
     return F.col(cost) < DEVIATION
 
@@ -287,10 +294,22 @@ def _silent_closure(net: Net, markings: set) -> set:
     return out
 
 
-def f_measure(log: DataFrame, tree: P.Tree) -> float:
+def given_up(aligned: DataFrame) -> int:
+    """How many cases have no alignment because the search for it was given up."""
+    return aligned.where("cost IS NULL").agg(F.sum("n_cases").alias("n")).first()["n"] or 0
+
+
+def mean_fitness(aligned: DataFrame) -> float:
+    """Fitness over cases; cases whose alignment was given up raise an error rather than count as anything."""
+    if lost := given_up(aligned):
+        raise ValueError(f"the alignments of {lost} cases were given up; allow more states")
+    return aligned.agg((F.sum(F.col("fitness") * F.col("n_cases")) / F.sum("n_cases")).alias("f")).first()["f"] or 0.0
+
+
+def f_measure(log: DataFrame, tree: P.Tree, most_states: int = MOST_STATES) -> float:
     """The harmonic mean of fitness (over cases) and precision."""
-    aligned = align_log(log, tree)
-    fit = aligned.agg((F.sum(F.col("fitness") * F.col("n_cases")) / F.sum("n_cases")).alias("f")).first()["f"] or 0.0
+    aligned = align_log(log, tree, most_states=most_states)
+    fit = mean_fitness(aligned)
     p = precision(aligned, tree)
     return 2 * fit * p / (fit + p) if fit + p else 0.0
 

@@ -23,8 +23,9 @@ FORBIDDEN = 1_000 * DEVIATION
 
 def pattern_sequences(pattern: str, most: int = 10_000) -> list[tuple[str, ...]]:
     """Sequences of a chain of patterns, with ``...`` where its parts meet; an error if there are more than ``most``."""
-    parts = [V.bounded_sequentialisations(V.parse(p), most + 1) for p in pattern.split(JOIN)]
-    if math.prod(map(len, parts)) > most:
+    made = [V.bounded_sequentialisations(V.parse(p), most) for p in pattern.split(JOIN)]
+    parts = [own for own, _ in made]
+    if not all(whole for _, whole in made) or math.prod(map(len, parts)) > most:
         raise ValueError(f"a pattern has more than {most} sequences")
     out = []
     for chosen in product(*parts):

@@ -1,9 +1,11 @@
 """Frequent patterns of variants: infixes (sub-trees whose sequences are contiguous), chains of infixes that
 eventually follow one another, and the closed and maximal ones among them.
 
-Each variant's patterns are enumerated once, on the executors, and counted by one aggregation. Labels that
-aren't frequent are left out beforehand, which by anti-monotony loses nothing. A variant that would give
-more than ``most_patterns`` is an error rather than a silent cut.
+Mining goes level by level, one job a level: the frequent patterns so far travel with the tasks, each variant
+gives the patterns of the next size that are made of those alone, and one aggregation counts them. What a
+pattern is made of (its children, and a sequence without its first or last child) is at least as frequent
+as it is under every counting strategy, so nothing is enumerated before its parts have their support. More
+frequent patterns than ``most_patterns``, which come to the driver, are an error rather than a silent cut.
 
 An infix matches a node if its operator is the same and: under a sequence its children match adjacent
 children; under a parallel or choice, any of them in order; and where a match goes on beyond a nested
@@ -12,8 +14,10 @@ sequence on the left or right, it has that sequence's first or last child.
 
 from __future__ import annotations
 
+import json
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import combinations, product
 
@@ -21,7 +25,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweft.operators.variants import label_array
 from chronoweft.plans import variant_tree as V
 
 STRATEGIES = ("TraceTransaction", "TraceOccurrence", "VariantTransaction", "VariantOccurrence")
@@ -37,43 +40,74 @@ def n_nodes(tree: V.Tree) -> int:
 
 def patterns_at(tree: V.Tree, size: int, labels: frozenset[str] | None = None, most: int = MOST_PATTERNS) -> set[V.Tree]:
     """The infixes of at most ``size`` nodes whose root matches the tree's root."""
-    return _patterns(tree, size, False, False, labels, most)
-
-
-@lru_cache(200_000)
-def _patterns(tree: V.Tree, size: int, from_first: bool, to_last: bool, labels: frozenset[str] | None, most: int) -> frozenset[V.Tree]:
-    kind, parts = tree
-    if size < 1:
-        return frozenset()
-    if kind == "leaf":
-        return frozenset([tree] if labels is None or set(parts) <= labels else [])
-    out: set[V.Tree] = set()
-    room = size - 1
-
-    def put(chosen: tuple[V.Tree, ...], flags: list[tuple[bool, bool]]) -> None:
-        options = [_patterns(c, room - len(chosen) + 1, a, b, labels, most) for c, (a, b) in zip(chosen, flags, strict=True)]
-        if not all(options):
-            return
-        for made in product(*options):
-            if sum(map(n_nodes, made)) <= room:
-                out.add((kind, made))
-                if len(out) > most:
-                    raise ValueError(f"a variant has more than {most} patterns")
-
-    n = len(parts)
-    if kind in ("follows", "loop", "skip"):
-        for i in range(n):
-            if from_first and i:
-                break
-            for j in range(i + 2, min(n, i + room) + 1):
-                if to_last and j < n:
+    return set(Patterns(size, most=most).at(tree, False, False, labels))
+
+
+class Patterns:
+    """The infixes of up to ``size`` nodes of trees; with ``frequent``, those of them that have fewer nodes, and all
+    parts of the others, must be among these."""
+
+    def __init__(self, size: int, frequent: frozenset[V.Tree] | None = None, most: int = MOST_PATTERNS):
+        self.size, self.frequent, self.most = size, frequent, most
+        self.known: dict[tuple, frozenset[V.Tree]] = {}
+
+    def of_size(self, tree: V.Tree) -> Counter:
+        """Patterns of just ``size`` nodes, and the number of nodes of the tree at which each is rooted."""
+        found: Counter = Counter()
+        todo = [tree]
+        while todo:
+            t = todo.pop()
+            found.update(p for p in self.at(t, False, False, None) if n_nodes(p) == self.size)
+            todo += t[1] if t[0] != "leaf" else ()
+        return found
+
+    def at(self, tree: V.Tree, from_first: bool, to_last: bool, labels: frozenset[str] | None, room: int | None = None) -> frozenset[V.Tree]:
+        size = self.size if room is None else room
+        key = (tree, size, from_first, to_last)
+        if key not in self.known:
+            self.known[key] = self._at(tree, size, from_first, to_last, labels)
+        return self.known[key]
+
+    def _frequent(self, p: V.Tree) -> bool:
+        return self.frequent is None or p in self.frequent
+
+    def _at(self, tree: V.Tree, size: int, from_first: bool, to_last: bool, labels: frozenset[str] | None) -> frozenset[V.Tree]:
+        kind, parts = tree
+        if size < 1:
+            return frozenset()
+        if kind == "leaf":
+            return frozenset([tree] if (labels is None or set(parts) <= labels) and (self.size == 1 or self._frequent(tree)) else [])
+        out: set[V.Tree] = set()
+        room = size - 1
+
+        def put(chosen: tuple[V.Tree, ...], flags: list[tuple[bool, bool]]) -> None:
+            options = [self.at(c, a, b, labels, room - len(chosen) + 1) for c, (a, b) in zip(chosen, flags, strict=True)]
+            if not all(options):
+                return
+            for made in product(*options):
+                n = sum(map(n_nodes, made))
+                if n > room or (n + 1 < self.size and not self._frequent((kind, made))):
                     continue
-                put(parts[i:j], [(k > i or from_first, k < j - 1 or to_last) for k in range(i, j)])
-    else:
-        for k in range(2, min(n, room) + 1):
-            for chosen in combinations(parts, k):
-                put(chosen, [(from_first, to_last)] * k)
-    return frozenset(out)
+                if n + 1 == self.size and len(made) > 2 and kind != "loop" and not all(self._frequent((kind, made[:k] + made[k + 1 :])) for k in (range(len(made)) if kind not in ("follows", "skip") else (0, len(made) - 1))):
+                    continue
+                out.add((kind, made))
+                if len(out) > self.most:
+                    raise ValueError(f"a variant has more than {self.most} patterns")
+
+        n = len(parts)
+        if kind in ("follows", "loop", "skip"):
+            for i in range(n):
+                if from_first and i:
+                    break
+                for j in range(i + 2, min(n, i + room) + 1):
+                    if to_last and j < n:
+                        continue
+                    put(parts[i:j], [(k > i or from_first, k < j - 1 or to_last) for k in range(i, j)])
+        else:
+            for k in range(2, min(n, room) + 1):
+                for chosen in combinations(parts, k):
+                    put(chosen, [(from_first, to_last)] * k)
+        return frozenset(out)
 
 
 def occurrences(tree: V.Tree, pattern: V.Tree) -> list[Occurrence]:
@@ -142,124 +176,219 @@ def _labelled(trees: DataFrame, strategy: str) -> tuple[str, str]:
     return ("n" if strategy.startswith("Trace") else "1"), ("roots" if strategy.endswith("Occurrence") else "1")
 
 
-def frequent_labels(trees: DataFrame, strategy: str, least: int) -> frozenset[str]:
-    """Labels of at least this support; there are as many as activities."""
+def _level(trees: DataFrame, strategy: str, least: int, count: Callable[[V.Tree], dict], most_patterns: int) -> dict:
+    """What ``count`` gives for variants, with its support; only what has at least ``least``."""
     weight, times = _labelled(trees, strategy)
-    rows = trees.select("variant_json", F.col("n_cases").alias("n"), F.explode(label_array()).alias("label"))
-    per = rows.groupBy("variant_json", "label").agg(F.first("n").alias("n"), F.count("*").alias("roots"))
-    return frozenset(r["label"] for r in per.groupBy("label").agg(F.sum(F.expr(f"{weight} * {times}")).alias("s")).where(F.col("s") >= least).collect())
-
-
-def frequent_patterns(trees: DataFrame, strategy: str = "TraceTransaction", least: int = 2, size: int = 6, strict: bool = False, most_patterns: int = MOST_PATTERNS) -> DataFrame:
-    """k, pattern, support of the infixes of up to ``size`` nodes with a support of at least (``strict``: of
-    more than) ``least``. ``trees``: variant_json and n_cases."""
-    floor = least + 1 if strict else least
-    weight, times = _labelled(trees, strategy)
-    labels = frequent_labels(trees, strategy, floor)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
             for raw, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found: Counter = Counter()
-
-                def walk(t: V.Tree) -> None:
-                    found.update(patterns_at(t, size, labels, most_patterns))
-                    if t[0] != "leaf":
-                        for c in t[1]:
-                            walk(c)
-
-                walk(V.canonical(V.from_json(raw)))
-                rows += [(n_nodes(p), V.text(p), n, k) for p, k in found.items()]
-                if len(rows) > 50_000:
-                    yield _batch(rows)
-                    rows = []
-            yield _batch(rows)
-            _patterns.cache_clear()
-
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], ["k", "pattern", "n", "roots"])
-
-    counted = trees.select("variant_json", "n_cases").mapInArrow(run, "k int, pattern string, n long, roots long")
-    return counted.groupBy("k", "pattern").agg(F.sum(F.expr(f"{weight} * {times}")).cast("long").alias("support")).where(F.col("support") >= floor)
-
-
-def chain_supports(tree: V.Tree, patterns: list[V.Tree], longest: int) -> dict[tuple[V.Tree, ...], int]:
-    """Chains of patterns that eventually follow one another in a tree, and the least number of distinct roots
-    that any of their parts has in whole chains."""
-    places = {p: occurrences(tree, p) for p in patterns}
-    places = {p: o for p, o in places.items() if o}
-    out: dict[tuple[V.Tree, ...], int] = {(p,): len({x[0] for x in o}) for p, o in places.items()}
-    level: dict[tuple[V.Tree, ...], list[Occurrence]] = {(p,): o for p, o in places.items()}
-    for _ in range(longest - 1):
-        new = {}
-        for chain, ends in level.items():
-            for p, o in places.items():
-                reached = [y for y in o if any(follows(tree, x, y) for x in ends)]
-                if reached:
-                    new[(*chain, p)] = reached
-        for chain, ends in new.items():
-            roots = [len({x[0] for x in ends})]
-            alive = ends
-            forward = [places[chain[0]]]
-            for p in chain[1:]:
-                forward.append([y for y in places[p] if any(follows(tree, x, y) for x in forward[-1])])
-            for k in range(len(chain) - 2, -1, -1):
-                alive = [x for x in forward[k] if any(follows(tree, x, y) for y in alive)]
-                roots.append(len({x[0] for x in alive}))
-            out[chain] = min(roots)
-        level = new
-    return out
+                found = [(encode(p), n, k) for p, k in count(V.canonical(V.from_json(raw))).items()]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["pattern", "n", "roots"])
 
+    counted = trees.select("variant_json", "n_cases").mapInArrow(run, "pattern string, n long, roots long")
+    rows = counted.groupBy("pattern").agg(F.sum(F.expr(f"{weight} * {times}")).cast("long").alias("support")).where(F.col("support") >= least).limit(most_patterns + 1).collect()
+    if len(rows) > most_patterns:
+        raise ValueError(f"more than {most_patterns} frequent patterns of one level")
+    return {decode(r["pattern"]): r["support"] for r in rows}
 
-def frequent_chains(trees: DataFrame, strategy: str = "TraceTransaction", least: int = 2, size: int = 4, longest: int = 3, most_patterns: int = 2_000) -> DataFrame:
-    """k, pattern, support of chains ``p1...p2`` of up to ``longest`` infixes of up to ``size`` nodes. The
-    frequent infixes, of which there may be at most ``most_patterns``, travel with the tasks."""
-    weight, times = _labelled(trees, strategy)
-    base = frequent_patterns(trees, strategy, least, size).select("pattern").limit(most_patterns + 1).collect()
-    if len(base) > most_patterns:
-        raise ValueError(f"more than {most_patterns} frequent infixes")
-    infixes = [V.parse(r["pattern"]) for r in base]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for raw, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for chain, roots in chain_supports(V.canonical(V.from_json(raw)), infixes, longest).items():
-                    rows.append((sum(map(n_nodes, chain)), JOIN.join(map(V.text, chain)), n, roots))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], ["k", "pattern", "n", "roots"])
+Chain = tuple[V.Tree, ...]
+
+
+def encode(pattern: V.Tree | Chain) -> str:
+    """A pattern or a chain of them as JSON, which labels of any signs survive."""
+    return V.to_json(pattern) if isinstance(pattern[0], str) else "[" + ",".join(map(V.to_json, pattern)) + "]"
+
+
+def decode(raw: str) -> V.Tree | Chain:
+    value = json.loads(raw)
+    return tuple(map(V.from_json, value)) if isinstance(value, list) else V.from_json(value)
+
+
+def chain_text(chain: Chain) -> str:
+    return JOIN.join(map(V.text, chain))
+
+
+_RESULT = "k int, pattern string, support long, pattern_json string"
+
 
-    counted = trees.select("variant_json", "n_cases").mapInArrow(run, "k int, pattern string, n long, roots long")
-    return counted.groupBy("k", "pattern").agg(F.sum(F.expr(f"{weight} * {times}")).cast("long").alias("support")).where(F.col("support") >= least)
+def _found(trees: DataFrame, found: dict) -> DataFrame:
+    rows = [(sum(map(n_nodes, c)), chain_text(c), n, encode(p)) for p, n in found.items() for c in [(p,) if isinstance(p[0], str) else p]]
+    return trees.sparkSession.createDataFrame(rows, _RESULT)
+
+
+@contextmanager
+def kept(trees: DataFrame) -> Iterator[DataFrame]:
+    """``trees`` (variant_json, n_cases), computed once for all levels."""
+    if trees.is_cached:
+        yield trees
+        return
+    own = trees.select("variant_json", "n_cases").persist()
+    try:
+        yield own
+    finally:
+        own.unpersist()
+
+
+def frequent_trees(trees: DataFrame, strategy: str, least: int, size: int, most_patterns: int = MOST_PATTERNS) -> dict[V.Tree, int]:
+    """The infixes of up to ``size`` nodes that have at least this support, with it."""
+    frequent: dict[V.Tree, int] = {}
+    with kept(trees) as trees:
+        for k in (1, *range(3, size + 1)):
+            if k > size or k > 1 and not frequent:
+                break
+            shipped = trees.sparkSession.sparkContext.broadcast(frozenset(frequent) if k > 1 else None)
+            frequent |= _level(trees, strategy, least, lambda t, k=k, shipped=shipped: Patterns(k, shipped.value, most_patterns).of_size(t), most_patterns)
+    return frequent
+
+
+def frequent_patterns(trees: DataFrame, strategy: str = "TraceTransaction", least: int = 2, size: int = 6, strict: bool = False, most_patterns: int = MOST_PATTERNS) -> DataFrame:
+    """k, pattern, support and pattern_json of the infixes of up to ``size`` nodes with a support of at least
+    (``strict``: of more than) ``least``. ``trees``: variant_json and n_cases, a table that can be read again."""
+    return _found(trees, frequent_trees(trees, strategy, least + 1 if strict else least, size, most_patterns))
+
+
+def _alive(tree: V.Tree, chain: Chain, forward: list[list[Occurrence]]) -> int:
+    """The least number of distinct roots that any part of a chain has in whole chains; ``forward``: for each
+    part, where it ends a chain of the parts before it."""
+    alive = forward[-1]
+    roots = [len({x[0] for x in alive})]
+    for k in range(len(chain) - 2, -1, -1):
+        alive = [x for x in forward[k] if any(follows(tree, x, y) for y in alive)]
+        roots.append(len({x[0] for x in alive}))
+    return min(roots)
+
+
+def chain_supports(tree: V.Tree, patterns: list[V.Tree], longest: int) -> dict[Chain, int]:
+    """All chains of patterns that eventually follow one another in a tree, and the least number of distinct
+    roots that any of their parts has in whole chains. It is what :func:`frequent_chains` counts, without levels."""
+    places = {p: o for p in patterns if (o := occurrences(tree, p))}
+    out: dict[Chain, int] = {(p,): len({x[0] for x in o}) for p, o in places.items()}
+    level: dict[Chain, list[list[Occurrence]]] = {(p,): [o] for p, o in places.items()}
+    for _ in range(longest - 1):
+        level = {(*chain, p): [*forward, reached] for chain, forward in level.items() for p, o in places.items() if (reached := [y for y in o if any(follows(tree, x, y) for x in forward[-1])])}
+        out |= {chain: _alive(tree, chain, forward) for chain, forward in level.items()}
+    return out
+
+
+class Chains:
+    """The chains of one length that a tree has, of those that frequent shorter ones leave possible: without its
+    first part and without its last, a chain is frequent; and in a chain of two, so is each label of the first
+    part followed by each of the second."""
+
+    def __init__(self, patterns: list[V.Tree], shorter: list[frozenset[Chain]], pairs: frozenset[tuple[str, str]] | None):
+        self.patterns, self.shorter, self.pairs = patterns, shorter, pairs
+        self.length = len(shorter) + 1
+
+    def _possible(self, chain: Chain) -> bool:
+        if len(chain) < self.length:
+            return chain in self.shorter[len(chain) - 1]
+        if len(chain) > 2:
+            return chain[1:] in self.shorter[-1]
+        return self.pairs is None or all((a, b) in self.pairs for a in V.labels(chain[0]) for b in V.labels(chain[1]))
+
+    def of(self, tree: V.Tree) -> dict[Chain, int]:
+        places = {p: o for p in self.patterns if (o := occurrences(tree, p))}
+        level: dict[Chain, list[list[Occurrence]]] = {(p,): [o] for p, o in places.items()}
+        for _ in range(self.length - 1):
+            level = {
+                (*chain, p): [*forward, reached]
+                for chain, forward in level.items()
+                for p, o in places.items()
+                if self._possible((*chain, p)) and (reached := [y for y in o if any(follows(tree, x, y) for x in forward[-1])])
+            }
+        return {chain: _alive(tree, chain, forward) for chain, forward in level.items()}
+
+
+def frequent_chains(trees: DataFrame, strategy: str = "TraceTransaction", least: int = 2, size: int = 4, longest: int = 3, most_patterns: int = 20_000) -> DataFrame:
+    """k, pattern, support and pattern_json of chains ``p1...p2`` of up to ``longest`` infixes of up to ``size`` nodes.
+
+    First the infixes; then pairs of labels, pairs of infixes whose labels make such pairs, and so on, each
+    length in a job of its own over what the lengths before leave possible."""
+    with kept(trees) as trees:
+        infixes = frequent_trees(trees, strategy, least, size, most_patterns)
+        found: dict[Chain, int] = {(p,): n for p, n in infixes.items()}
+        shorter = [frozenset(found)]
+        pairs = None
+        if longest > 1 and size > 1:
+            leaves = [p for p in infixes if p[0] == "leaf"]
+            of_labels = Chains(leaves, [frozenset((p,) for p in leaves)], None)
+            pairs = frozenset((a, b) for x, y in _level(trees, strategy, least, of_labels.of, most_patterns) for a in V.labels(x) for b in V.labels(y))
+        for _ in range(longest - 1):
+            shipped = trees.sparkSession.sparkContext.broadcast(Chains(list(infixes), list(shorter), pairs))
+            new = _level(trees, strategy, least, lambda t, shipped=shipped: shipped.value.of(t), most_patterns)
+            if not new:
+                break
+            found |= new
+            shorter.append(frozenset(new))
+        return _found(trees, found)
 
 
 def contains(larger: V.Tree, smaller: V.Tree) -> bool:
     return bool(occurrences(larger, smaller))
 
 
-def closed_and_maximal(patterns: DataFrame, most_patterns: int = 5_000) -> DataFrame:
-    """``patterns`` (k, pattern, support) with closed: no larger one with the same support contains it, and
-    maximal: no larger one contains it."""
-    rows = patterns.limit(most_patterns + 1).collect()
+_GAP: V.Tree = ("leaf", ("\0",))
+
+
+def contains_chain(larger: Chain, smaller: Chain) -> bool:
+    """Whether a chain stands in another: matched in the sequence of the other's parts, with something between
+    that nothing matches."""
+    if len(larger) == len(smaller) == 1:
+        return contains(larger[0], smaller[0])
+    tree = larger[0] if len(larger) == 1 else ("follows", tuple(x for p in larger for x in (_GAP, p))[1:])
+    reached = occurrences(tree, smaller[0])
+    for p in smaller[1:]:
+        reached = [y for y in occurrences(tree, p) if any(follows(tree, x, y) for x in reached)]
+    return bool(reached)
+
+
+def closed_and_maximal(patterns: DataFrame, most_patterns: int = 50_000) -> DataFrame:
+    """``patterns`` (infixes or chains: k, support, pattern_json) with closed: no larger one with the same support
+    contains it, and maximal: no larger one contains it.
+
+    All patterns travel with the tasks, by the labels that they have; each pattern is only held against larger
+    ones with its rarest label and no fewer of any."""
+    rows = patterns.select("k", "support", "pattern_json").limit(most_patterns + 1).collect()
     if len(rows) > most_patterns:
         raise ValueError(f"more than {most_patterns} patterns")
-    trees = [(r["k"], r["support"], V.parse(r["pattern"]), Counter(V.labels(V.parse(r["pattern"])))) for r in rows]
-    out = []
-    for r, (k, s, t, own) in zip(rows, trees, strict=True):
-        above = [x for x in trees if x[0] > k and own <= x[3] and contains(x[2], t)]
-        out.append((r["k"], r["pattern"], r["support"], not any(x[1] == s for x in above), not above))
-    return patterns.sparkSession.createDataFrame(out, "k int, pattern string, support long, closed boolean, maximal boolean")
+    made = [(r["k"], r["support"], decode(r["pattern_json"])) for r in rows]
+    chains = [(k, s, (p,) if isinstance(p[0], str) else p) for k, s, p in made]
+    counts = [Counter(x for p in c for x in V.labels(p)) for _, _, c in chains]
+    by_label: dict[str, list[int]] = {}
+    for i, own in enumerate(counts):
+        for x in own:
+            by_label.setdefault(x, []).append(i)
+    shipped = patterns.sparkSession.sparkContext.broadcast((chains, counts, by_label))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chains, counts, by_label = shipped.value
+        for b in batches:
+            out = []
+            for k, s, raw in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                p = decode(raw)
+                own = (p,) if isinstance(p[0], str) else p
+                labels = Counter(x for q in own for x in V.labels(q))
+                near = min((by_label[x] for x in labels), key=len)
+                above = [chains[i] for i in near if chains[i][0] > k and labels <= counts[i]]
+                same = any(x[1] == s and contains_chain(x[2], own) for x in above)
+                out.append((not same, not same and not any(x[1] != s and contains_chain(x[2], own) for x in above)))
+            flags = list(zip(*out, strict=True)) if out else [[], []]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(flags[0], pa.bool_()), pa.array(flags[1], pa.bool_())], [*b.schema.names, "closed", "maximal"])
+
+    return patterns.select("k", "pattern", "support", "pattern_json").mapInArrow(run, _RESULT + ", closed boolean, maximal boolean")
 
 
 def confidences(patterns: DataFrame) -> DataFrame:
     """``patterns`` of chains with confidence: support as a share of the largest support of any of its parts,
     rounded to two places; null for patterns of one part."""
-    alone = patterns.select(F.col("pattern").alias("part"), F.col("support").alias("part_support"))
-    parts = patterns.select("pattern", F.explode(F.split("pattern", r"\.\.\.")).alias("part"))
-    best = parts.where("part <> pattern").join(alone, "part").groupBy("pattern").agg(F.max("part_support").alias("best"))
-    return patterns.join(best, "pattern", "left").withColumn("confidence", F.round(F.col("support") / F.col("best"), 2)).drop("best")
+    parts = patterns.where(F.json_array_length("pattern_json") > 1)
+    parts = parts.select("pattern_json", F.explode(F.from_json("pattern_json", "array<string>")).alias("part")).withColumn("part", F.concat(F.lit("["), "part", F.lit("]")))
+    alone = patterns.select(F.col("pattern_json").alias("part"), F.col("support").alias("part_support"))
+    best = parts.join(alone, "part").groupBy("pattern_json").agg(F.max("part_support").alias("best"))
+    return patterns.join(best, "pattern_json", "left").withColumn("confidence", F.round(F.col("support") / F.col("best"), 2)).drop("best")
 
 
 def repetitions(tree: V.Tree, size: int = 20) -> list[tuple[str, tuple[int, ...], tuple[int, ...]]]:
@@ -267,9 +396,10 @@ def repetitions(tree: V.Tree, size: int = 20) -> list[tuple[str, tuple[int, ...]
     paths to both."""
     tree = V.canonical(tree)
     found: set[V.Tree] = set()
+    patterns = Patterns(size)
 
     def walk(t: V.Tree) -> None:
-        found.update(patterns_at(t, size))
+        found.update(patterns.at(t, False, False, None))
         if t[0] != "leaf":
             for c in t[1]:
                 walk(c)
@@ -332,10 +462,20 @@ def matched_nodes(tree: V.Tree, pattern: V.Tree) -> list[set[int]]:
 
 
 def growth_confidences(patterns: DataFrame) -> DataFrame:
-    """``patterns`` (k, pattern, support) with parent (the pattern without its last label, if that is one of
-    them) and confidence: support as a share of the parent's, to two places."""
-    cutter = F.regexp_replace("pattern", r", [^,()]+\)$", ")")
-    with_parent = patterns.withColumn("parent", F.when(cutter != F.col("pattern"), cutter))
-    parents = patterns.select(F.col("pattern").alias("parent"), F.col("support").alias("parent_support"))
-    joined = with_parent.join(parents, "parent", "left")
-    return joined.select("k", "pattern", "support", F.when(F.col("parent_support").isNotNull(), F.col("parent")).alias("parent"), F.round(F.col("support") / F.col("parent_support"), 2).alias("confidence"))
+    """``patterns`` (k, pattern, support, pattern_json) of infixes with parent_json (the pattern without its last
+    child, if that is one activity and what is left is one of them) and confidence: support as a share of the
+    parent's, to two places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            for raw in b.column(0).to_pylist():
+                kind, parts = V.from_json(raw)
+                cut = kind != "leaf" and len(parts) > 2 and parts[-1][0] == "leaf"
+                made.append(V.to_json((kind, parts[:-1])) if cut else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string())], ["pattern_json", "maybe"])
+
+    parents = patterns.select("pattern_json").mapInArrow(run, "pattern_json string, maybe string")
+    known = patterns.select(F.col("pattern_json").alias("parent_json"), F.col("support").alias("parent_support"))
+    joined = patterns.join(parents, "pattern_json").join(known, F.col("maybe") == F.col("parent_json"), "left")
+    return joined.select("k", "pattern", "support", "pattern_json", "parent_json", F.round(F.col("support") / F.col("parent_support"), 2).alias("confidence"))

@@ -27,40 +27,44 @@ def _placed(tree: V.Tree, names: list[str]) -> tuple[str, V.Tree]:
 
 
 def _nodes(acts: list[str], s: list[int], t: list[int]) -> tuple[str, list[tuple]]:
-    """A case's variant, and (node, parent, kind, place among its siblings, label, instances) of its nodes."""
+    """A case's variant, and (node, parent, the parent's kind, left neighbour, kind, place among its siblings,
+    label, instances) of its nodes."""
     ef, par = V.relations(s, t)
     name, tree = _placed(V.cut(list(range(len(acts))), [str(i) for i in range(len(acts))], ef, par), acts)
     out: list[tuple] = []
 
-    def walk(tr: V.Tree, parent: int, place: int) -> list[int]:
+    def walk(tr: V.Tree, parent: int, above: str | None, left: int, place: int) -> tuple[int, list[int]]:
         me = len(out)
         out.append(())
         kind, parts = tr
-        if kind == "leaf":
-            at = [int(i) for i in parts]
-            out[me] = (me, parent, kind, place, ", ".join(acts[i] for i in at), at)
-        else:
-            at = [i for k, c in enumerate(parts) for i in walk(c, me, k)]
-            out[me] = (me, parent, kind, place, V.SIGNS[kind], at)
-        return at
-
-    walk(tree, -1, 0)
+        at, before = [int(i) for i in parts] if kind == "leaf" else [], -1
+        for k, c in enumerate(parts if kind != "leaf" else ()):
+            before, own = walk(c, me, kind, before, k)
+            at += own
+        label = ", ".join(acts[i] for i in at) if kind == "leaf" else V.SIGNS[kind]
+        out[me] = (me, parent, above, left, kind, place, label, at)
+        return me, at
+
+    walk(tree, -1, None, -1, 0)
     return name, out
 
 
-NODE = "array<struct<node: int, parent: int, kind: string, place: int, label: string, at: array<int>>>"
+_NODE = {"node": pa.int32(), "parent": pa.int32(), "parent_kind": pa.string(), "left": pa.int32(), "kind": pa.string(), "place": pa.int32(), "label": pa.string(), "at": pa.list_(pa.int32())}
+NODE = "array<struct<node: int, parent: int, parent_kind: string, left: int, kind: string, place: int, label: string, at: array<int>>>"
 
 
 def node_times(log: DataFrame, granularity: str = "ms") -> DataFrame:
-    """case_id, variant, node, parent, kind, place, label, start_ts, end_ts of each node of each case's variant."""
-    item = F.struct("pos", "start_ts", "end_ts")
-    times = log.groupBy("case_id").agg(F.array_sort(F.collect_list(item)).alias("x"))
-    rows = signatures(log, granularity).join(times, "case_id")
+    """case_id, variant, node, parent, parent_kind, kind, place, label, start_ts, end_ts of each node of each case's
+    variant; parent_start, parent_end, and before_ts, the end of its left neighbour.
+
+    One exchange, on the case: Python gets the ranks of the times alone, and what nodes need of each other is
+    looked up in their case's arrays."""
+    rows = signatures(log, granularity, times=True)
     kind = dict(rows.dtypes)["case_id"]
+    times = "starts array<timestamp_ntz>, ends array<timestamp_ntz>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, tuple[str, list[tuple]]] = {}
-        names = ("node", "parent", "kind", "place", "label", "at")
+        known: dict[tuple, tuple[str, list[dict]]] = {}
         for b in batches:
             made = []
             for acts, s, t in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
@@ -68,16 +72,21 @@ def node_times(log: DataFrame, granularity: str = "ms") -> DataFrame:
                 if key not in known:
                     if len(known) > CACHED:
                         known.clear()
-                    known[key] = _nodes(acts, s, t)
+                    name, nodes = _nodes(acts, s, t)
+                    known[key] = name, [dict(zip(_NODE, r, strict=True)) for r in nodes]
                 made.append(known[key])
-            nodes = [[dict(zip(names, r, strict=True)) for r in m[1]] for m in made]
-            inner = pa.list_(pa.struct([("node", pa.int32()), ("parent", pa.int32()), ("kind", pa.string()), ("place", pa.int32()), ("label", pa.string()), ("at", pa.list_(pa.int32()))]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.string()), pa.array(nodes, inner), b.column(4)], ["case_id", "variant", "nodes", "x"])
+            inner = pa.list_(pa.struct(list(_NODE.items())))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], inner), b.column(4), b.column(5)], ["case_id", "variant", "nodes", "starts", "ends"])
 
-    shaped = rows.select("case_id", "acts", "s", "t", "x").mapInArrow(run, f"case_id {kind}, variant string, nodes {NODE}, x array<struct<pos: int, start_ts: timestamp_ntz, end_ts: timestamp_ntz>>")
-    flat = shaped.select("case_id", "variant", F.explode("nodes").alias("n"), "x")
-    pick = lambda f: F.transform("n.at", lambda i: F.get("x", i)[f])
-    return flat.select("case_id", "variant", "n.node", "n.parent", "n.kind", "n.place", "n.label", F.array_min(pick("start_ts")).alias("start_ts"), F.array_max(pick("end_ts")).alias("end_ts"))
+    shaped = rows.mapInArrow(run, f"case_id {kind}, variant string, nodes {NODE}, {times}")
+    of = lambda name, least, n: least(F.transform(n["at"], lambda i: F.get(name, i)))
+    spans = F.transform("nodes", lambda n: F.struct(of("starts", F.array_min, n).alias("a"), of("ends", F.array_max, n).alias("b")))
+    flat = shaped.withColumn("spans", spans).select("case_id", "variant", "spans", F.explode("nodes").alias("n"))
+    at = lambda k, part: F.get("spans", F.col(f"n.{k}"))[part]
+    return flat.select(
+        "case_id", "variant", "n.node", "n.parent", "n.parent_kind", "n.kind", "n.place", "n.label", at("node", "a").alias("start_ts"), at("node", "b").alias("end_ts"),
+        at("parent", "a").alias("parent_start"), at("parent", "b").alias("parent_end"), at("left", "b").alias("before_ts"),
+    )
 
 
 def service_times(nodes: DataFrame, digits: int | None = None) -> DataFrame:
@@ -87,17 +96,15 @@ def service_times(nodes: DataFrame, digits: int | None = None) -> DataFrame:
 
 def sequence_waits(nodes: DataFrame) -> DataFrame:
     """case_id, variant, node, wait: from the end of a node's left neighbour in a sequence to its start."""
-    parents = nodes.select("case_id", F.col("node").alias("parent"), F.col("kind").alias("parent_kind"))
-    inside = nodes.join(parents, ["case_id", "parent"]).where("parent_kind = 'follows'")
-    before = F.lag("end_ts").over(Window.partitionBy("case_id", "parent").orderBy("place"))
-    return inside.withColumn("before", before).where("before IS NOT NULL").select("case_id", "variant", "node", seconds_between("before", "start_ts").alias("wait"))
+    inside = nodes.where("parent_kind = 'follows' AND before_ts IS NOT NULL")
+    return inside.select("case_id", "variant", "node", seconds_between("before_ts", "start_ts").alias("wait"))
 
 
 def parallel_waits(nodes: DataFrame) -> DataFrame:
     """case_id, variant, node, wait_start, wait_end: from a parallel's start to a child's, and from the child's
     end to the parallel's."""
-    parents = nodes.where("kind = 'parallel'").select("case_id", F.col("node").alias("parent"), F.col("start_ts").alias("from_ts"), F.col("end_ts").alias("to_ts"))
-    return nodes.join(parents, ["case_id", "parent"]).select("case_id", "variant", "node", seconds_between("from_ts", "start_ts").alias("wait_start"), seconds_between("end_ts", "to_ts").alias("wait_end"))
+    inside = nodes.where("parent_kind = 'parallel'")
+    return inside.select("case_id", "variant", "node", seconds_between("parent_start", "start_ts").alias("wait_start"), seconds_between("end_ts", "parent_end").alias("wait_end"))
 
 
 def merged_service(log: DataFrame) -> DataFrame:

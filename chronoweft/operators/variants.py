@@ -18,13 +18,15 @@ from chronoweft.sources.logs import truncated
 CACHED = 100_000
 
 
-def signatures(log: DataFrame, granularity: str = "ms") -> DataFrame:
-    """case_id, acts, s, t: activities in order, and the ranks of their starts and ends in the case."""
-    item = F.struct("pos", F.col("activity").alias("a"), truncated("start_ts", granularity).alias("s"), truncated("end_ts", granularity).alias("t"))
+def signatures(log: DataFrame, granularity: str = "ms", times: bool = False) -> DataFrame:
+    """case_id, acts, s, t: activities in order, and the ranks of their starts and ends in the case; ``times``
+    adds the arrays starts and ends, of the times as they are."""
+    raw = [F.col("start_ts").alias("from"), F.col("end_ts").alias("to")] if times else []
+    item = F.struct("pos", F.col("activity").alias("a"), truncated("start_ts", granularity).alias("s"), truncated("end_ts", granularity).alias("t"), *raw)
     c = log.groupBy("case_id").agg(F.array_sort(F.collect_list(item)).alias("x"))
     c = c.withColumn("times", F.array_sort(F.array_distinct(F.concat(F.col("x.s"), F.col("x.t")))))
     rank = lambda times: F.transform(times, lambda v: F.array_position("times", v).cast("int"))
-    return c.select("case_id", F.col("x.a").alias("acts"), rank(F.col("x.s")).alias("s"), rank(F.col("x.t")).alias("t"))
+    return c.select("case_id", F.col("x.a").alias("acts"), rank(F.col("x.s")).alias("s"), rank(F.col("x.t")).alias("t"), *([F.col("x.from").alias("starts"), F.col("x.to").alias("ends")] if times else []))
 
 
 def _cut(df: DataFrame, keep: list[str], change: Callable[[V.Tree], V.Tree] | None = None) -> DataFrame:
@@ -120,18 +122,19 @@ def subvariants(log: DataFrame, granularity: str = "ms") -> DataFrame:
     return case_subvariants(log, granularity).groupBy("steps", "subvariant").agg(F.count("*").alias("n_cases"))
 
 
-def with_sequentialisations(trees: DataFrame, most: int = V.MOST_SEQUENTIALISATIONS) -> DataFrame:
-    """``trees`` (variant_json) with one row for each of a variant's linear extensions, at most ``most``."""
+def with_sequentialisations(trees: DataFrame, most: int = V.MOST_SEQUENTIALISATIONS, seed: int = 0) -> DataFrame:
+    """``trees`` (variant_json) with one row for each of a variant's linear extensions, or for a random sample of
+    ``most`` where there are more; ``whole`` says whether a variant's rows are all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for raw in b.column(0).to_pylist():
-                made = V.bounded_sequentialisations(V.from_json(raw), most)
+                made, whole = V.bounded_sequentialisations(V.from_json(raw), most, seed)
                 for i in range(0, len(made), 10_000):
                     part = made[i : i + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([raw] * len(part), pa.string()), pa.array(part, pa.list_(pa.string()))], ["variant_json", "sequence"])
+                    yield pa.RecordBatch.from_arrays([pa.array([raw] * len(part), pa.string()), pa.array(part, pa.list_(pa.string())), pa.array([whole] * len(part))], ["variant_json", "sequence", "whole"])
 
-    return trees.select("variant_json").mapInArrow(run, "variant_json string, sequence array<string>")
+    return trees.select("variant_json").mapInArrow(run, "variant_json string, sequence array<string>, whole boolean")
 
 
 def add_borders(log: DataFrame, start: str = "▶", end: str = "■") -> DataFrame:

@@ -6,6 +6,9 @@ Lifecycle log: case_id, event_idx, activity, lifecycle ('start' or 'complete', a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,9 +90,28 @@ def read_xes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+PNML_SCHEMA = "path string, n_places int, initial array<int>, final array<int>, transitions array<struct<label: string, pre: array<int>, post: array<int>>>"
+
+
 def read_pnml(spark: SparkSession, folder: str) -> DataFrame:
-    """path and content of the PNML files in a folder."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pnml").load(folder).select("path", F.col("content").cast("string").alias("content"))
+    """The nets of the PNML files in a folder, one a row: path, n_places, the places marked first and last, and
+    transitions (label, null if silent; places before and after). ``petri_net.from_row`` makes a net of a row."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pnml").load(folder).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from chronoweft.plans.petri_net import from_pnml
+
+        ints, text = pa.list_(pa.int32()), pa.string()
+        kinds = [text, pa.int32(), ints, ints, pa.list_(pa.struct([("label", text), ("pre", ints), ("post", ints)]))]
+        for b in batches:
+            rows = []
+            for path, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                net = from_pnml(raw.decode())
+                rows.append((path, net.n_places, sorted(net.initial), sorted(net.final), [{"label": t.label, "pre": sorted(t.pre), "post": sorted(t.post)} for t in net.transitions]))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "n_places", "initial", "final", "transitions"])
+
+    return files.mapInArrow(run, PNML_SCHEMA)
 
 
 def combine(one: DataFrame, other: DataFrame) -> DataFrame:

@@ -28,14 +28,14 @@ def instant(labels):
     return [(a, i, i) for i, a in enumerate(labels)]
 
 
-def random_cases(n=60, seed=4, labels="uvw", most=7, width=12):
+def random_cases(n=60, seed=4, labels="uvw", most=7, width=12, longest=None):
     rng = random.Random(seed)
     out = {}
     for case in range(n):
         events = []
         for _ in range(rng.randrange(1, most + 1)):
             s = rng.randrange(width)
-            events.append((rng.choice(labels), s, s + rng.randrange(width // 2)))
+            events.append((rng.choice(labels), s, s + rng.randrange(longest or width // 2)))
         out[case] = events
     return out
 
