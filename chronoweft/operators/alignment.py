@@ -62,6 +62,7 @@ class Aligner:
     def __init__(self, tree: P.Tree, mode: str = "full", most_states: int = MOST_STATES, most_markings: int = MOST_MARKINGS, log_cost: int = DEVIATION, model_cost: int = DEVIATION):
         if mode not in MODES:
             raise ValueError(f"unknown mode {mode}")
+        self.tree = tree
         self.net: Net = net_of(tree)
         self.mode, self.most_states = mode, most_states
         self.log_cost, self.model_cost = log_cost, model_cost

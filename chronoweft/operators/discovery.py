@@ -12,7 +12,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweft.operators.alignment import LOG, MODEL, SYNC, Aligner, runs_of_node
+from chronoweft.operators.alignment import FRAGMENT_MODES, LOG, MODEL, SYNC, TAU, Aligner, runs_of_node, shortest_run
 from chronoweft.operators.projection import sequences
 from chronoweft.plans import process_tree as P
 
@@ -183,36 +183,69 @@ def discover(log: DataFrame, most_variants: int = MOST_VARIANTS) -> P.Tree:
 # Incremental discovery
 
 
-def add_trace(tree: P.Tree, added: list[tuple[str, ...]], trace: tuple[str, ...], most_rounds: int = 50) -> P.Tree:
+def _aligned(aligner: Aligner, trace: tuple[str, ...]):
+    found = aligner.align(trace)
+    if found is None:
+        raise ValueError("the alignment of a trace was given up; allow more states")
+    return found
+
+
+def _all_fit(tree: P.Tree, traces: list[tuple[str, ...]]) -> bool:
+    aligner = Aligner(tree)
+    return all(_aligned(aligner, t).fits for t in traces)
+
+
+def add_trace(tree: P.Tree, added: list[tuple[str, ...]], trace: tuple[str, ...], pull_down: bool = False, borders: bool = True) -> P.Tree:
     """A tree in whose language are the trace and all those added before.
 
     While the trace deviates: the lowest node that holds the synchronous moves on both sides of the first
     deviation is discovered anew, from what the earlier traces do in it and from the trace's own part. A
-    node that can't be changed to any effect gives way to its parent; the root holds everything."""
+    node that can't be changed to any effect gives way to its parent; the root holds everything, and
+    what is mined from all traces fits them all, so this ends. ``borders`` puts artificial activities around
+    the tree and all traces meanwhile: then no deviation is without moves on both sides. With ``pull_down``, of a
+    sequence or parallel only the children that the two moves span are discovered anew."""
     tree = P.reduced(tree)
-    for _ in range(most_rounds):
-        aligner = Aligner(tree)
-        own = aligner.align(trace)
-        if own.fits:
-            return tree
-        number = around_deviation(tree, own)
-        new = tree
-        while True:
-            sub = _sub_log(tree, added, number)
-            part = _part_of(tree, own, trace, number)
-            new = P.reduced(P.replaced(tree, number, mine(sub + Counter([part]))))
-            fits_more = Aligner(new).align(trace).cost < own.cost
-            if fits_more and all(Aligner(new).align(t).fits for t in added) or number == 0:
-                break
-            number = P.parents(tree)[number]
-        tree = new if number or Aligner(new).align(trace).fits else mine(Counter(added + [trace]))
-    return mine(Counter(added + [trace]))
+    if borders:
+        around = lambda t: (START, *t, END)
+        tree, added, trace = P.with_borders(tree), [around(t) for t in added], around(trace)
+    while not (own := _aligned(Aligner(tree), trace)).fits:
+        tree = _solved(tree, added, trace, own, pull_down)
+    return P.without_borders(tree) if borders else tree
+
+
+START, END = "▶", "■"
+
+
+def _solved(tree: P.Tree, added: list[tuple[str, ...]], trace: tuple[str, ...], own, pull_down: bool) -> P.Tree:
+    """The tree after the first deviation is dealt with: the trace costs less, and all others fit."""
+    number = around_deviation(tree, own)
+    if pull_down and number >= 0:
+        grouped, lower = _pulled_down(tree, number, _enclosing(own))
+        if lower != number:
+            tree, number, own = grouped, lower, _aligned(Aligner(grouped), trace)
+            if _enclosing_node(tree, own) != number:  # another alignment of the same cost: then at the node above
+                number = P.parents(tree)[number]
+    while number > 0:
+        part = _part_of(tree, own, trace, number)
+        new = P.reduced(P.replaced(tree, number, mine(_sub_log(tree, added, number) + Counter([part]))))
+        if _aligned(Aligner(new), trace).cost < own.cost and _all_fit(new, added):
+            return new
+        number = P.parents(tree)[number]
+    return mine(Counter([*added, trace]))
+
+
+def _enclosing(own) -> tuple[int | None, int | None]:
+    """The leaves of the synchronous moves before and after the first deviation."""
+    at = own.first_deviation()
+    left = next((m.node for m in reversed(own.moves[:at]) if m.kind == SYNC), None)
+    right = next((m.node for m in own.moves[at:] if m.kind == SYNC), None)
+    return left, right
 
 
 def around_deviation(tree: P.Tree, own) -> int:
+    """The node that is discovered anew for the first deviation: the lowest operator above both moves around it."""
     at = own.first_deviation()
-    left = next((m.node for m in reversed(own.moves[:at]) if m.kind == SYNC), None)
-    right = next((m.node for m in own.moves[at:] if m.kind == SYNC), None)
+    left, right = _enclosing(own)
     here = own.moves[at].node if own.moves[at].kind == MODEL else None
     known = [n for n in (left, right, here) if n is not None]
     if left is None or right is None:
@@ -221,9 +254,34 @@ def around_deviation(tree: P.Tree, own) -> int:
     return number if P.children(P.nodes(tree)[number]) else max(P.parents(tree)[number], 0)
 
 
+def _enclosing_node(tree: P.Tree, own) -> int:
+    left, right = _enclosing(own)
+    return P.common_ancestor(tree, [left, right]) if left is not None and right is not None else 0
+
+
+def _pulled_down(tree: P.Tree, number: int, leaves: tuple[int | None, int | None]) -> tuple[P.Tree, int]:
+    """The tree with those children of a sequence or parallel that lie from one leaf's to the other's in a node of
+    their own, and its number. The language is the same."""
+    kind, parts = P.nodes(tree)[number]
+    if None in leaves or kind not in ("seq", "and"):
+        return tree, number
+    starts = [number + 1 + sum(map(P.size, parts[:k])) for k in range(len(parts))]
+    own = sorted(max(k for k in range(len(parts)) if starts[k] <= leaf) for leaf in leaves if leaf > number)
+    if len(own) < 2 or own[0] == own[1]:
+        return tree, number
+    chosen = range(own[0], own[1] + 1) if kind == "seq" else own
+    if len(chosen) == len(parts):
+        return tree, number
+    inner = (kind, tuple(parts[k] for k in chosen))
+    rest = [k for k in range(len(parts)) if k not in chosen]
+    made = [*(parts[k] for k in rest if k < own[0]), inner, *(parts[k] for k in rest if k > own[0])]
+    lower = number + 1 + sum(P.size(parts[k]) for k in rest if k < own[0])
+    return P.replaced(tree, number, (kind, tuple(made))), lower
+
+
 def _sub_log(tree: P.Tree, added: list[tuple[str, ...]], number: int) -> Log:
     aligner = Aligner(tree)
-    return Counter(r for t in added for r in runs_of_node(aligner.align(t), tree, number))
+    return Counter(r for t in added for r in runs_of_node(_aligned(aligner, t), tree, number))
 
 
 def _part_of(tree: P.Tree, own, trace: tuple[str, ...], number: int) -> tuple[str, ...]:
@@ -241,9 +299,32 @@ def _part_of(tree: P.Tree, own, trace: tuple[str, ...], number: int) -> tuple[st
     return tuple(m.activity for m in own.moves[start : stop + 1] if m.kind == LOG or m.kind == SYNC and m.node in inside)
 
 
+Typed = tuple[str, tuple[str, ...]]
+"""A tag of FRAGMENT_MODES, and a trace or a fragment of one."""
+
+
+def _whole(tree: P.Tree, typed: Typed) -> tuple[str, ...]:
+    """A whole trace with a fragment where its tag says it stands, with as few deviations from the tree as it can:
+    the fragment itself, between shortest runs to where its alignment begins and from where it ends."""
+    tag, fragment = typed
+    if tag == "NOT_AN_INFIX":
+        return fragment
+    aligner = Aligner(tree, FRAGMENT_MODES[tag])
+    found = _aligned(aligner, fragment)
+    before = shortest_run(aligner.net, aligner.net.initial, found.start) if tag != "PREFIX" else ()
+    after = shortest_run(aligner.net, found.end, aligner.net.final) if tag != "POSTFIX" else ()
+    return (*before, *fragment, *after)
+
+
+def add_typed(tree: P.Tree, added: list[Typed], new: Typed, pull_down: bool = False) -> P.Tree:
+    """As :func:`add_trace` for traces of which only a prefix, an infix or a suffix was seen: each is completed to
+    a whole trace of the tree, the new one to one that deviates where the fragment does, and these are kept."""
+    return add_trace(tree, [_whole(tree, x) for x in added], _whole(tree, new), pull_down)
+
+
 def repair_naively(tree: P.Tree, trace: tuple[str, ...]) -> P.Tree:
     """The tree after making each model move optional, and each log move possible after the node before it."""
-    own = Aligner(tree).align(trace)
+    own = _aligned(Aligner(tree), trace)
     optional = {m.node for m in own.moves if m.kind == MODEL}
     inserted: dict[int, list[str]] = defaultdict(list)
     last = None
@@ -272,60 +353,113 @@ def repair_naively(tree: P.Tree, trace: tuple[str, ...]) -> P.Tree:
     return P.reduced(made)
 
 
-def rebuild(log: DataFrame, most_variants: int = MOST_VARIANTS) -> P.Tree:
+def rebuild(log: DataFrame, most_variants: int = MOST_VARIANTS, pull_down: bool = False) -> P.Tree:
     """Incremental discovery over a log's sequences, the most frequent first."""
     order = sorted(counted(log, most_variants).items(), key=lambda x: (-x[1], x[0]))
+    if not order:
+        return P.TAU
     tree, added = mine(Counter([order[0][0]])), [order[0][0]]
     for trace, _ in order[1:]:
-        tree = add_trace(tree, added, trace)
+        tree = add_trace(tree, added, trace, pull_down)
         added.append(trace)
     return tree
 
 
+# Freezing
 
 
-# Freezing
+def by_cardinality(part: P.Tree, runs: Counter | list[int]) -> P.Tree:
+    """A part that runs once, at most once, or any number of times, as its numbers of runs ask."""
+    least, most = min(runs, default=0), max(runs, default=0)
+    repeated = P.op("loop", part, P.TAU) if most > 1 else part
+    return P.op("xor", P.TAU, repeated) if least == 0 else repeated
 
 
-def _frozen_label(number: int) -> str:
-    return f"⟨frozen {number}⟩"
+def _marks(number: int) -> tuple[str, str, str]:
+    """Labels that stand for the begin and the end of a frozen part's runs, and for the part itself."""
+    return f"⟨{number}+⟩", f"⟨{number}-⟩", f"⟨{number}⟩"
 
 
-def add_trace_frozen(tree: P.Tree, added: list[tuple[str, ...]], trace: tuple[str, ...], frozen: list[int]) -> P.Tree:
+def add_trace_frozen(tree: P.Tree, added: list[tuple[str, ...]], trace: tuple[str, ...], frozen: list[int], pull_down: bool = False) -> P.Tree:
     """As :func:`add_trace`, with the subtrees at the numbers ``frozen`` (none inside another) left as they are:
-    they and what traces do in them become one activity each, which is replaced again at the end."""
-    subtrees = {n: P.nodes(tree)[n] for n in frozen}
+    each stands in the result once.
+
+    A frozen part becomes a begin and an end, in the tree and in the traces; what a trace does between them
+    without the part stays between them. After discovery, where just the end follows the begin, the part takes
+    their place. Elsewhere the lowest node above all its begins and ends goes on without them, in parallel to the
+    part, which may run there as often as it did."""
+    parts = [P.nodes(tree)[n] for n in frozen]
     plain = tree
     for n in sorted(frozen, reverse=True):
-        plain = P.replaced(plain, n, P.act(_frozen_label(n)))
+        begin, end, _ = _marks(frozen.index(n))
+        plain = P.replaced(plain, n, P.op("seq", P.act(begin), P.act(end)))
     aligner = Aligner(tree)
-    project = lambda t: _projected(aligner.align(t), tree, frozen)
-    done = add_trace(plain, [project(t) for t in added], project(trace))
-
-    def put_back(t: P.Tree) -> P.Tree:
-        if t[0] == "act":
-            return next((s for n, s in subtrees.items() if t[1] == _frozen_label(n)), t)
-        return (t[0], tuple(map(put_back, t[1]))) if P.children(t) else t
-
-    return put_back(done)
+    traces = [_projected(_aligned(aligner, t), tree, frozen) for t in [*added, trace]]
+    now = add_trace(plain, traces[:-1], traces[-1], pull_down)
+    for k in range(len(frozen)):
+        now = _put_back(now, k, traces)
+        traces = [tuple(x for x in t if x not in _marks(k)) for t in traces]
+    now = P.reduced(now)
+    return _with_leaves(now, {P.act(_marks(k)[2]): part for k, part in enumerate(parts)})
+
+
+def _with_leaves(tree: P.Tree, new: dict[P.Tree, P.Tree]) -> P.Tree:
+    return (tree[0], tuple(_with_leaves(c, new) for c in tree[1])) if P.children(tree) else new.get(tree, tree)
+
+
+def _put_back(tree: P.Tree, k: int, traces: list[tuple[str, ...]]) -> P.Tree:
+    """The tree with the k-th frozen part's own mark in place of the begins and ends of its runs."""
+    begin, end, mark = map(P.act, _marks(k))
+    nodes = P.nodes(tree)
+    at = [n for n, t in enumerate(nodes) if t in (begin, end)]
+    if not at:  # no trace runs it
+        return P.op("and", tree, P.op("xor", P.TAU, mark))
+    lowest = P.common_ancestor(tree, at)
+    above = nodes[lowest]
+    if len(at) == 2 and above[0] == "seq":
+        parts = above[1]
+        i = parts.index(begin) if begin in parts else -1
+        if i >= 0 and parts[i + 1 : i + 2] == (end,):
+            made = (*parts[:i], mark, *parts[i + 2 :])
+            return P.replaced(tree, lowest, made[0] if len(made) == 1 else ("seq", made))
+    if not P.children(above):
+        lowest = max(P.parents(tree)[lowest], 0)
+        above = nodes[lowest]
+    # parts that were put back before take no part in the traces any more
+    aligner = Aligner(_with_leaves(tree, {P.act(_marks(j)[2]): P.TAU for j in range(k)}))
+    runs = [r.count(begin[1]) for t in traces for r in runs_of_node(_aligned(aligner, t), aligner.tree, lowest)]
+    rest = _with_leaves(above, {begin: P.TAU, end: P.TAU})
+    return P.replaced(tree, lowest, P.op("and", rest, by_cardinality(mark, runs)))
 
 
 def _projected(own, tree: P.Tree, frozen: list[int]) -> tuple[str, ...]:
+    """A trace with begins and ends of whole runs of frozen parts in place of what it does in them. Where it leaves
+    out something that a run would need, it doesn't run the part, and what it does stays."""
     inside = {k: n for n in frozen for k in range(n, n + P.size(P.nodes(tree)[n]))}
-    out = []
-    for i, m in enumerate(own.moves):
-        owner = inside.get(m.node)
-        if owner is None:
-            if m.kind in (SYNC, LOG):
-                out.append(m.activity)
-        elif m.node == owner and m.phase == "active":
-            end = next(k for k, x in enumerate(own.moves) if k > i and x.node == owner and x.phase == "closed")
-            visible = [x.kind for x in own.moves[i:end] if inside.get(x.node) == owner and x.activity is not None]
-            if SYNC in visible or not visible:  # else the trace did nothing here
-                out.append(_frozen_label(owner))
-        elif m.node == owner and m.phase == "leaf" and m.kind == SYNC:
-            out.append(_frozen_label(owner))
-    return tuple(out)
+    out: dict[int, str] = {i: m.activity for i, m in enumerate(own.moves) if m.kind in (SYNC, LOG)}
+    for n in frozen:
+        begin, end, _ = _marks(frozen.index(n))
+        if not P.children(P.nodes(tree)[n]):
+            for i, m in enumerate(own.moves):
+                if m.node == n and m.kind == SYNC:
+                    out[i] = (begin, end)
+                elif m.node == n and m.kind == TAU:
+                    out[i] = (begin, end)
+            continue
+        opened = None
+        for i, m in enumerate(own.moves):
+            if m.node != n:
+                continue
+            if m.phase == "active":
+                opened = i
+            elif m.phase == "closed" and opened is not None:
+                run = [j for j in range(opened, i + 1) if inside.get(own.moves[j].node) == n]
+                if not any(own.moves[j].kind == MODEL for j in run):
+                    for j in run:
+                        out.pop(j, None)
+                    out[opened], out[i] = begin, end
+                opened = None
+    return tuple(x for i in sorted(out) for x in (out[i] if isinstance(out[i], tuple) else (out[i],)))
 
 
 # Repair by sub-processes
@@ -337,7 +471,7 @@ def sub_traces(tree: P.Tree, log: Log) -> dict[int, Log]:
     out: dict[int, Log] = defaultdict(Counter)
     for trace, n in log.items():
         place, now = -1, []
-        for m in [*aligner.align(trace).moves, None]:
+        for m in [*_aligned(aligner, trace).moves, None]:
             if m is not None and m.kind == LOG:
                 now.append(m.activity)
                 continue
@@ -370,7 +504,7 @@ def repair(tree: P.Tree, log: Log, drop_at_most: int = 0, least: float = 0.5) ->
     aligner = Aligner(tree)
     done, left_out = Counter(), set()
     for trace, n in log.items():
-        for m in aligner.align(trace).moves:
+        for m in _aligned(aligner, trace).moves:
             if m.kind == SYNC:
                 done[m.node] += n
             elif m.kind == MODEL:
