@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NAMES = ("min", "max", "mean", "median", "n", "n_not_none", "p50", "p95", "stdev", "percentage_variance")
@@ -19,6 +21,27 @@ def statistics(value: Column | str, digits: int | None = None) -> list[Column]:
     return [cut(c, name).alias(name) for c, name in zip(parts, NAMES, strict=True)]
 
 
+def statistics_of(rows: DataFrame, by: list[str], names: tuple[str, ...] = NAMES, digits: int | None = None) -> DataFrame:
+    """Statistics of statistics: for each of the columns ``names`` of ``rows``, a row ``key`` with the statistics of
+    its values in each group of ``by`` (all rows where there are none); nulls count as missing."""
+    pairs = ", ".join(f"'{n}', CAST(`{n}` AS DOUBLE)" for n in names)
+    long = rows.select(*by, F.expr(f"stack({len(names)}, {pairs}) AS (key, value)"))
+    return long.groupBy(*by, "key").agg(*statistics("value", digits))
+
+
+#: Aggregates by name: the mean and the sum that skip nulls (null without a value), values by their place, and
+#: the values as they are. Each takes a value and the column that orders it.
+AGGREGATES: dict[str, Callable[[str, str], Column]] = {
+    "avg": lambda x, at: F.avg(x),
+    "sum": lambda x, at: F.sum(x),
+    "min": lambda x, at: F.min(x),
+    "max": lambda x, at: F.max(x),
+    "count": lambda x, at: F.count(F.lit(1)),
+    "index": lambda x, at: F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct(at, x))), lambda v, i: F.struct(i, v[x]))),
+    "noop": lambda x, at: F.transform(F.array_sort(F.collect_list(F.struct(at, x))), lambda v: v[x]),
+}
+
+
 def seconds_between(start: Column | str, end: Column | str) -> Column:
     """Seconds from one timestamp to another as a double; null if either is."""
     col = lambda c: F.col(c) if isinstance(c, str) else c

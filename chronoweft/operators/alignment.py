@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -135,6 +135,40 @@ class Aligner:
         return self._least_empty
 
 
+class InfixAligner:
+    """Aligns infixes each with the part of the tree that it can lie in: the lowest node above all leaves with its
+    labels, or the highest loop around that. Searches then begin in the markings of that part alone."""
+
+    def __init__(self, tree: P.Tree, most_states: int = MOST_STATES, most_markings: int = MOST_MARKINGS):
+        self.tree, self.how = tree, (most_states, most_markings)
+        self.nodes, self.up = P.nodes(tree), P.parents(tree)
+        self.by_label: dict[str, list[int]] = {}
+        for n, t in enumerate(self.nodes):
+            if t[0] == "act":
+                self.by_label.setdefault(t[1], []).append(n)
+        self.parts: dict[int, Aligner] = {}
+
+    def scope(self, labels: set[str]) -> int:
+        """The number of the node that an infix with these labels can lie in."""
+        leaves = [n for x in labels for n in self.by_label.get(x, ())]
+        if not leaves:
+            return max(range(len(self.nodes)), key=lambda n: (not P.children(self.nodes[n]), -n))  # no move is synchronous
+        number = at = P.common_ancestor(self.tree, leaves)
+        while at >= 0:
+            number = at if self.nodes[at][0] == "loop" else number
+            at = self.up[at]
+        return number
+
+    def align(self, trace: list[str] | tuple[str, ...]) -> Alignment | None:
+        number = self.scope(set(trace))
+        if number not in self.parts:
+            self.parts[number] = Aligner(self.nodes[number], "infix", *self.how)
+        found = self.parts[number].align(trace)
+        if found is None or number == 0:
+            return found
+        return replace(found, moves=tuple(replace(m, node=m.node + number) if m.node >= 0 else m for m in found.moves))
+
+
 def shortest_run(net: Net, start: frozenset, end: frozenset) -> tuple[str, ...] | None:
     """The labels of a shortest run from one marking to another."""
     queue: list[tuple] = [(0, 0, start, ())]
@@ -179,7 +213,7 @@ def align_sequences(rows: DataFrame, tree: P.Tree, mode: str = "full", most_stat
     at = rows.columns.index("acts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(tree, mode, most_states)
+        aligner = InfixAligner(tree, most_states) if mode == "infix" else Aligner(tree, mode, most_states)
         known: dict[tuple, Alignment | None] = {}
         for b in batches:
             out = []
@@ -314,3 +348,22 @@ def f_measure(log: DataFrame, tree: P.Tree, most_states: int = MOST_STATES) -> f
     p = precision(aligned, tree)
     return 2 * fit * p / (fit + p) if fit + p else 0.0
 
+
+
+def f_measure_of(counts: dict[tuple[str, ...], int], tree: P.Tree, most_states: int = MOST_STATES) -> float:
+    """:func:`f_measure` of counted sequences that are at hand, as within a task."""
+    aligner, total = Aligner(tree, most_states=most_states), sum(counts.values())
+    fit, done, n_states = 0.0, {}, {}
+    for acts, n in counts.items():
+        found = aligner.align(acts)
+        if found is None:
+            raise ValueError("an alignment was given up; allow more states")
+        fit += found.fitness * n
+        for k in range(len(acts) + 1) if found.fits else ():
+            done.setdefault(acts[:k], set()).update(acts[k : k + 1])
+            n_states[acts[:k]] = n_states.get(acts[:k], 0) + n
+    allowed = {p: len(_next_labels(aligner.net, p)) for p in done}
+    a = sum(allowed[p] * n_states[p] for p in done)
+    d = sum(min(len(done[p]), allowed[p]) * n_states[p] for p in done)
+    fit, exact = fit / total if total else 0.0, d / a if a else 1.0
+    return 2 * fit * exact / (fit + exact) if fit + exact else 0.0

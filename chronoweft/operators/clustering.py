@@ -7,6 +7,7 @@ Distances between all pairs are what agglomerative clustering and medoids need,
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
@@ -27,6 +28,16 @@ def distance_matrix(trees: list[V.Tree]) -> np.ndarray:
     return out
 
 
+def chain_distance(one: tuple[V.Tree, ...], other: tuple[V.Tree, ...]) -> int:
+    """Of two chains of patterns: the sum, over the parts of both, of a part's least distance to a part of the
+    other chain that is no nearer to its beginning. It depends on the order of two chains of one length."""
+    n, m = len(one), len(other)
+    if n > m:
+        return chain_distance(other, one)
+    d = {(i, j): V.edit_distance(one[i], other[j]) for i in range(n) for j in range(i, m)}
+    return sum(min(d[i, j] for j in range(i, m)) for i in range(n)) + sum(min(d[i, j] for i in range(min(j + 1, n))) for j in range(m))
+
+
 def agglomerative(distances: np.ndarray, most_distance: float) -> list[int]:
     """Complete linkage until the closest clusters are further apart than ``most_distance``."""
     n = len(distances)
@@ -77,6 +88,23 @@ def cluster_by_distance(variants: DataFrame, most_distance: float | None = None,
     return variants.sparkSession.createDataFrame(list(zip(raw, map(int, found), strict=True)), "variant_json string, cluster int")
 
 
+def cluster_in_groups(groups: DataFrame, most_distance: float, most: int = MOST) -> DataFrame:
+    """variant_json, cluster, by agglomerative clustering within each ``cluster`` of ``groups`` (variant_json,
+    cluster), as :func:`cluster_by_start` or :func:`cluster_by_labels` make them. Groups are clustered apart, each in
+    a task; one of more than ``most`` variants is an error."""
+    kind = dict(groups.dtypes)["cluster"]
+
+    def run(pdf):
+        raw = sorted(pdf["variant_json"])
+        if len(raw) > most:
+            raise ValueError(f"a group has more than {most} variants")
+        found = agglomerative(distance_matrix([V.from_json(r) for r in raw]), most_distance)
+        return pd.DataFrame({"variant_json": raw, "within": pdf["cluster"].iloc[0], "part": found})
+
+    made = groups.groupBy("cluster").applyInPandas(run, f"variant_json string, within {kind}, part int")
+    return made.select("variant_json", F.concat_ws("/", F.col("within").cast("string"), F.col("part").cast("string")).alias("cluster"))
+
+
 def label_counts(variants: DataFrame) -> DataFrame:
     """variant_json, label, n."""
     return variants.select("variant_json", F.explode(label_array()).alias("label")).groupBy("variant_json", "label").agg(F.count("*").alias("n"))

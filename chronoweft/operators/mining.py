@@ -157,8 +157,9 @@ def _kinds(tree: V.Tree, path: tuple[int, ...]) -> list[str]:
     return out
 
 
-def follows(tree: V.Tree, one: Occurrence, other: Occurrence) -> bool:
-    """Whether a sequence has one match before the other, with something of its own between."""
+def follows(tree: V.Tree, one: Occurrence, other: Occurrence, soft: bool = False) -> bool:
+    """Whether a sequence has one match before the other, with something of its own between; ``soft``: or next
+    to each other."""
     (p, _, end), (q, start, _) = one, other
     for depth, kind in enumerate(_kinds(tree, p if len(p) < len(q) else q)):
         if p[:depth] != q[:depth]:
@@ -166,7 +167,7 @@ def follows(tree: V.Tree, one: Occurrence, other: Occurrence) -> bool:
         a = p[depth] if depth < len(p) else end
         b = q[depth] if depth < len(q) else start
         if kind == "follows" and a >= 0 and b >= 0 and a != b:
-            return b - a >= 2
+            return b - a >= (1 if soft else 2)
     return False
 
 

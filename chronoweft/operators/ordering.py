@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweft.operators.alignment import Aligner
-from chronoweft.operators.discovery import around_deviation
+from chronoweft.operators.alignment import Aligner, f_measure_of
+from chronoweft.operators.discovery import add_trace, around_deviation
 from chronoweft.plans import process_tree as P
 
 
@@ -138,3 +138,17 @@ def duplicate_scores(variants: DataFrame, tree: P.Tree) -> DataFrame:
         return math.inf if found is None else 0 if found.fits else len(P.duplicate_labels(P.nodes(tree)[around_deviation(tree, found)]))
 
     return _scored(variants, score)
+
+
+def brute_force_scores(variants: DataFrame, tree: P.Tree, added: list[tuple[str, ...]], log: dict[tuple[str, ...], int], pull_down: bool = False) -> DataFrame:
+    """The F-measure, on a log's counted sequences, of the model that has each variant added: highest is best.
+    The sequences travel with the tasks; more than MOST_COMPARED of them raise an error."""
+    if len(log) > MOST_COMPARED:
+        raise ValueError(f"more than {MOST_COMPARED} sequences to score on")
+    shipped = variants.sparkSession.sparkContext.broadcast((tree, added, log))
+
+    def score(acts: tuple[str, ...]) -> float:
+        tree, added, log = shipped.value
+        return f_measure_of(log, add_trace(tree, added, acts, pull_down))
+
+    return _scored(variants, score)

@@ -176,6 +176,11 @@ def relation_counts(log: DataFrame, relation: str, granularity: str = "ms", occu
     return rows.groupBy("a", "b").agg(F.sum(weight).cast("long").alias("support"))
 
 
+def frequent_pairs(log: DataFrame, relation: str, least: int, granularity: str = "ms", occurrences: bool = False) -> DataFrame:
+    """a, b, support of the activity pairs that are in a relation in at least ``least`` cases (or so often)."""
+    return relation_counts(log, relation, granularity, occurrences).where(F.col("support") >= least)
+
+
 def case_graphs(log: DataFrame, granularity: str = "ms") -> DataFrame:
     """One row a case for queries: maps from activity to its places (acts, starts, ends), and from
     ``a``, U+0001, ``b`` to the places of those ``a`` that are related to some ``b`` (df, ef, par; par both

@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweft.operators.alignment import MODEL, SYNC, Aligner, Alignment
+from chronoweft.functions.stats import AGGREGATES
+from chronoweft.operators.alignment import MODEL, MOST_STATES, SYNC, Aligner, Alignment
 from chronoweft.plans import process_tree as P
 from chronoweft.sources.logs import to_lifecycle
 
@@ -111,9 +112,10 @@ def replay(alignment: Alignment, times: list[int], tree: P.Tree, numbers: dict[i
     return out
 
 
-def tree_intervals(log: DataFrame, tree: P.Tree) -> DataFrame:
+def tree_intervals(log: DataFrame, tree: P.Tree, most_states: int = MOST_STATES) -> DataFrame:
     """case_id, node, run, kind, start_ts, end_ts for an interval log; a side is null where the model did
-    something that the log didn't."""
+    something that the log didn't. A case whose alignment is given up has one row of kind ``given up``, without
+    a node."""
     fine, numbers = refined(tree)
     name = F.concat("activity", F.when(F.lower("lifecycle") == "start", START).otherwise(COMPLETE))
     events = to_lifecycle(log).select("case_id", F.struct("event_idx", name.alias("a"), F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")).alias("us")).alias("e"))
@@ -121,7 +123,7 @@ def tree_intervals(log: DataFrame, tree: P.Tree) -> DataFrame:
     kind = dict(cases.dtypes)["case_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(fine)
+        aligner = Aligner(fine, most_states=most_states)
         known: dict[tuple, Alignment | None] = {}
         for b in batches:
             index, rows = [], []
@@ -131,10 +133,9 @@ def tree_intervals(log: DataFrame, tree: P.Tree) -> DataFrame:
                     if len(known) > 20_000:
                         known.clear()
                     known[key] = aligner.align(key)
-                if known[key] is not None:
-                    found = replay(known[key], us, tree, numbers)
-                    index += [i] * len(found)
-                    rows += found
+                found = [(None, None, "given up", None, None)] if known[key] is None else replay(known[key], us, tree, numbers)
+                index += [i] * len(found)
+                rows += found
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = [pa.int32(), pa.int32(), pa.string(), pa.timestamp("us"), pa.timestamp("us")]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(index, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["case_id", "node", "run", "kind", "start_ts", "end_ts"])
@@ -142,10 +143,18 @@ def tree_intervals(log: DataFrame, tree: P.Tree) -> DataFrame:
     return cases.mapInArrow(run, f"case_id {kind}, node int, run int, kind string, start_ts timestamp_ntz, end_ts timestamp_ntz")
 
 
-def node_totals(intervals: DataFrame) -> DataFrame:
-    """node, kind and, over cases, the mean, least and greatest of a case's mean over runs of a run's total
-    seconds: three aggregations, one inside the other."""
+def overlap(one: Span, other: Span) -> int:
+    """How long both of two whole spans go on."""
+    return max(0, min(one[1], other[1]) - max(one[0], other[0]))
+
+
+def node_totals(intervals: DataFrame, of_run: str = "sum", of_case: str = "avg", of_node: tuple[str, ...] = ("avg", "min", "max", "count")) -> DataFrame:
+    """node, kind and aggregates over cases of an aggregate over a case's runs of an aggregate over a run's
+    seconds: three aggregations, one inside the other, by the names in ``stats.AGGREGATES``. Columns are named for
+    the last (avg: mean, count: n_cases)."""
+    names = {"avg": "mean", "count": "n_cases"}
     seconds = F.timestamp_diff("MICROSECOND", F.col("start_ts"), F.col("end_ts")) / 1e6
-    per_run = intervals.groupBy("node", "kind", "case_id", "run").agg(F.sum(seconds).alias("x"))
-    per_case = per_run.groupBy("node", "kind", "case_id").agg(F.avg("x").alias("x"))
-    return per_case.groupBy("node", "kind").agg(F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"), F.count("*").alias("n_cases"))
+    flat = intervals.select("node", "kind", "case_id", "run", "start_ts", seconds.alias("x"))
+    per_run = flat.groupBy("node", "kind", "case_id", "run").agg(AGGREGATES[of_run]("x", "start_ts").alias("x"))
+    per_case = per_run.groupBy("node", "kind", "case_id").agg(AGGREGATES[of_case]("x", "run").alias("x"))
+    return per_case.groupBy("node", "kind").agg(*(AGGREGATES[f]("x", "case_id").alias(names.get(f, f)) for f in of_node))

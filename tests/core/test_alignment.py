@@ -27,6 +27,20 @@ def test_fits_by_enumeration(raw, mode):
             assert aligner.align(trace).fits == part_of(trace), trace
 
 
+@pytest.mark.parametrize("raw", [*MODELS, "->('m', *(->('k', X('l', tau)), tau), +('m', 'l'))"])
+def test_infixes_in_their_part_of_the_tree(raw):
+    """What an infix costs in its part of the tree is what it costs in the whole; moves name the whole's nodes."""
+    tree = P.parse(raw)
+    scoped, whole = A.InfixAligner(tree), A.Aligner(tree, "infix")
+    for n in range(5):
+        for trace in map("".join, itertools.product("klmx", repeat=n)):
+            found = scoped.align(trace)
+            assert found.cost // A.DEVIATION == whole.align(trace).cost // A.DEVIATION, trace
+            assert all(P.nodes(tree)[m.node] == P.act(m.activity) for m in found.moves if m.kind in (A.SYNC, A.MODEL))
+    tree = P.parse("->('a', +('b', 'c'), *('d', X('e', 'f')), 'g')")
+    assert [P.text(P.nodes(tree)[A.InfixAligner(tree).scope(set(x))]) for x in ("b", "bc", "e", "cg")] == ["'b'", "+('b', 'c')", "*('d', X('e', 'f'))", P.text(tree)]
+
+
 def least_changes(tree, trace):
     """Least number of insertions and deletions to a trace of the language."""
 
