@@ -29,6 +29,12 @@ def statistics_of(rows: DataFrame, by: list[str], names: tuple[str, ...] = NAMES
     return long.groupBy(*by, "key").agg(*statistics("value", digits))
 
 
+def _in_order(x: str, at: str) -> Column:
+    """The values of a group by what orders them; the values themselves need no order."""
+    less = lambda a, b: F.when(a[at] < b[at], -1).when(a[at] > b[at], 1).otherwise(0)
+    return F.array_sort(F.collect_list(F.struct(F.col(at).alias(at), F.col(x).alias(x))), less)
+
+
 #: Aggregates by name: the mean and the sum that skip nulls (null without a value), values by their place, and
 #: the values as they are. Each takes a value and the column that orders it.
 AGGREGATES: dict[str, Callable[[str, str], Column]] = {
@@ -37,8 +43,8 @@ AGGREGATES: dict[str, Callable[[str, str], Column]] = {
     "min": lambda x, at: F.min(x),
     "max": lambda x, at: F.max(x),
     "count": lambda x, at: F.count(F.lit(1)),
-    "index": lambda x, at: F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct(at, x))), lambda v, i: F.struct(i, v[x]))),
-    "noop": lambda x, at: F.transform(F.array_sort(F.collect_list(F.struct(at, x))), lambda v: v[x]),
+    "index": lambda x, at: F.map_from_entries(F.transform(_in_order(x, at), lambda v, i: F.struct(i, v[x]))),
+    "noop": lambda x, at: F.transform(_in_order(x, at), lambda v: v[x]),
 }
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
@@ -73,6 +74,24 @@ def medoids(distances: np.ndarray, k: int, rounds: int = 100) -> list[int]:
     return distances[:, centres].argmin(axis=1).tolist()
 
 
+def distances(variants: DataFrame, most: int = MOST) -> DataFrame:
+    """a, b, distance of all pairs of different variants (variant_json), a before b: the trees, of which there may be
+    at most ``most``, travel with the tasks, and each task holds its own against them."""
+    raw = _collected(variants, most)
+    shipped = variants.sparkSession.sparkContext.broadcast(raw)
+
+    def run(batches):
+        trees = [V.from_json(r) for r in shipped.value]
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                later = range(i + 1, len(trees))
+                found = [V.edit_distance(trees[i], trees[j]) for j in later]
+                yield pa.RecordBatch.from_arrays([pa.array([shipped.value[i]] * len(found), pa.string()), pa.array([shipped.value[j] for j in later], pa.string()), pa.array(found, pa.int32())], ["a", "b", "distance"])
+
+    spark = variants.sparkSession
+    return spark.range(0, len(raw), 1, max(1, min(len(raw), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(run, "a string, b string, distance int")
+
+
 def _collected(variants: DataFrame, most: int) -> list[str]:
     rows = [r["variant_json"] for r in variants.select("variant_json").orderBy("variant_json").limit(most + 1).collect()]
     if len(rows) > most:
@@ -83,7 +102,10 @@ def _collected(variants: DataFrame, most: int) -> list[str]:
 def cluster_by_distance(variants: DataFrame, most_distance: float | None = None, k: int | None = None, most: int = MOST) -> DataFrame:
     """variant_json, cluster: agglomerative with ``most_distance``, or k-medoids with ``k``."""
     raw = _collected(variants, most)
-    d = distance_matrix([V.from_json(r) for r in raw])
+    number = {r: i for i, r in enumerate(raw)}
+    d = np.zeros((len(raw), len(raw)))
+    for r in distances(variants, most).collect():  # most * most / 2 rows at most
+        d[number[r["a"]], number[r["b"]]] = d[number[r["b"]], number[r["a"]]] = r["distance"]
     found = agglomerative(d, most_distance) if k is None else medoids(d, k)
     return variants.sparkSession.createDataFrame(list(zip(raw, map(int, found), strict=True)), "variant_json string, cluster int")
 

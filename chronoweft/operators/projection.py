@@ -32,7 +32,8 @@ def project_with_time_skips(log: DataFrame, labels: list[str]) -> DataFrame:
     case = Window.partitionBy("case_id").orderBy("pos")
     e = log.select("case_id", "pos", "activity", "start_ts", "end_ts", F.col("activity").isin(labels).alias("kept"))
     last_kept = F.last(F.when(F.col("kept"), F.col("end_ts")), ignorenulls=True).over(case.rowsBetween(Window.unboundedPreceding, -1))
-    next_kept = F.first(F.when(F.col("kept"), F.col("start_ts")), ignorenulls=True).over(case.rowsBetween(1, Window.unboundedFollowing))
+    backwards = Window.partitionBy("case_id").orderBy(F.desc("pos"))
+    next_kept = F.last(F.when(F.col("kept"), F.col("start_ts")), ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, -1))
     e = e.withColumn("between", ~F.col("kept") & (F.col("start_ts") > last_kept) & (F.col("end_ts") < next_kept))
     e = e.withColumn("group", F.sum(F.col("kept").cast("int")).over(case))
     gap = e.groupBy("case_id", "group").agg(F.max(F.coalesce("between", F.lit(False))).alias("skip"), F.first(F.when(F.col("kept"), F.col("activity")), ignorenulls=True).alias("activity")).where("activity IS NOT NULL")

@@ -137,6 +137,49 @@ def with_sequentialisations(trees: DataFrame, most: int = V.MOST_SEQUENTIALISATI
     return trees.select("variant_json").mapInArrow(run, "variant_json string, sequence array<string>, whole boolean")
 
 
+def _mapped(trees: DataFrame, what: Callable[[V.Tree], list[tuple]], fields: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
+    """``trees`` (variant_json, and others that stay) with the rows that a function of the tree gives."""
+    kept = trees.columns
+    at = kept.index("variant_json")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            index, rows = [], []
+            for i, raw in enumerate(b.column(at).to_pylist()):
+                found = what(V.from_json(raw))
+                index += [i] * len(found)
+                rows += found
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(fields)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(index, pa.int64())) for c in b.columns), *(pa.array(c, kind) for c, (_, kind) in zip(columns, fields.values(), strict=True))], [*kept, *fields])
+
+    return trees.mapInArrow(run, ", ".join([*(f"`{n}` {k}" for n, k in trees.dtypes), *(f"{n} {k}" for n, (k, _) in fields.items())]))
+
+
+def extension_counts(trees: DataFrame) -> DataFrame:
+    """``trees`` with n_extensions, the number of linear extensions, as a decimal."""
+    found = _mapped(trees, lambda t: [(str(V.n_sequentialisations(t)),)], {"n_extensions": ("string", pa.string())})
+    return found.withColumn("n_extensions", F.col("n_extensions").cast("decimal(38,0)"))
+
+
+def fragment_counts(trees: DataFrame, fragment: V.Tree, where: str = "PROPER_INFIX") -> DataFrame:
+    """``trees`` with n_found: how often a fragment stands in a variant."""
+    return _mapped(trees, lambda t: [(V.count_fragment(t, fragment, where),)], {"n_found": ("int", pa.int32())})
+
+
+def parts(trees: DataFrame) -> DataFrame:
+    """``trees`` with a row for each part of what a variant is a sequence of (the variant itself, if it is none), and
+    for each child of a parallel part: part (from 1), kind and labels, in order."""
+
+    def rows(tree: V.Tree) -> list[tuple]:
+        out = []
+        for k, part in enumerate(tree[1] if tree[0] == "follows" else (tree,), 1):
+            inside = part[1] if part[0] == "parallel" else (part,)
+            out += [(k, "unknown" if part[0] == "leaf" and len(part[1]) > 1 else part[0], sorted(V.labels(c))) for c in inside]
+        return out
+
+    return _mapped(trees, rows, {"part": ("int", pa.int32()), "kind": ("string", pa.string()), "labels": ("array<string>", pa.list_(pa.string()))})
+
+
 def add_borders(log: DataFrame, start: str = "▶", end: str = "■") -> DataFrame:
     """An artificial first and last activity in each case, at its first and last times."""
     edge = log.groupBy("case_id").agg(F.min("start_ts").alias("a"), F.max("end_ts").alias("b"), F.max("pos").alias("n"))

@@ -90,6 +90,16 @@ def read_xes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_xes(lifecycle: DataFrame, path: str) -> None:
+    """XES files with a lifecycle log's traces, as Spark's XML writer spreads them."""
+    pair = lambda key, value: F.struct(F.lit(key).alias("_key"), value.alias("_value"))
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    event = F.struct(F.array(pair("concept:name", F.col("activity")), pair("lifecycle:transition", F.col("lifecycle"))).alias("string"), F.array(pair("time:timestamp", stamp)).alias("date"))
+    events = F.transform(F.array_sort(F.collect_list(F.struct("event_idx", event.alias("e")))), lambda x: x["e"])
+    traces = lifecycle.groupBy("case_id").agg(events.alias("event")).select(F.array(pair("concept:name", F.col("case_id").cast("string"))).alias("string"), "event")
+    traces.write.format("xml").option("rootTag", "log").option("rowTag", "trace").mode("overwrite").save(path)
+
+
 PNML_SCHEMA = "path string, n_places int, initial array<int>, final array<int>, transitions array<struct<label: string, pre: array<int>, post: array<int>>>"
 
 
