@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from chronoweft.session import shared_dir
+
 BLOCK_BYTES = 1 << 19
 """Texts go through the numpy kernels in blocks of about this many bytes."""
 
@@ -158,23 +159,6 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all executors share. Only where the whole of Spark runs
-    on this machine, as in tests, may it be unset: a folder of this machine's is taken then."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _own_dirs:
-            _own_dirs[app] = f"file://{tempfile.mkdtemp(prefix='chronoweft-shared-')}"
-        found = _own_dirs[app]
-    return found.rstrip("/")
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/chronoweft/{name}-{uuid.uuid4().hex}"
 
@@ -188,9 +172,29 @@ def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Data
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._chronoweft_path = path
+    for made in _scratch:
+        made.append((name, out))
     return out
 
 
+_scratch: list[list[tuple[str, DataFrame]]] = []
+
+
+@contextmanager
+def scratch(keep: tuple[str, ...] = ()) -> Iterator[None]:
+    """Tables that :func:`cut` writes in this block are deleted when it ends well, but for those named in ``keep``:
+    what the block returns may be read from these alone."""
+    made: list[tuple[str, DataFrame]] = []
+    _scratch.append(made)
+    try:
+        yield
+        for name, table in made:
+            if name not in keep:
+                drop_cut(table)
+    finally:
+        _scratch.remove(made)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete a table written by :func:`cut` that nothing reads any more."""
     path = getattr(df, "_chronoweft_path", None)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from chronoweft.llm import packed_index
-from chronoweft.llm.common import BATCH_BYTES, U64, arrow_slices, bounded_batches, cut, expand, hash_runs, hash_words, maybe_in, mix, release, row_blocks, signed, text_view, texts, tidy
+from chronoweft.llm.common import BATCH_BYTES, U64, arrow_slices, bounded_batches, cut, expand, hash_runs, hash_words, maybe_in, mix, release, row_blocks, scratch, signed, text_view, texts, tidy
 from chronoweft.llm.components import components
 
 SHINGLE = 5
@@ -377,6 +377,11 @@ def similar_classes(docs: DataFrame, percent: int = 80, bits: int = 64, most_coa
     are named."""
     if percent != 80:
         raise ValueError("bands and allocations are made for a similarity of 0.8")
+    with scratch(keep=("sets", "roots")):
+        return _similar_classes(docs, percent, bits, most_coarse)
+
+
+def _similar_classes(docs: DataFrame, percent: int, bits: int, most_coarse: int) -> tuple[DataFrame, DataFrame, Nodes]:
     measured, classes, names = named_sets(docs, bits)
     total = classes.agg(F.sum("n").alias("n")).first()["n"] or 0
     coarse, fine = packed_index.layout(max(LEAST_BLOCKS, total // (2 * BLOCK_HASHES)), most_coarse)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweft.llm import packed_index
-from chronoweft.llm.common import BATCH_BYTES, BLOCK_BYTES, BYTE_VALUES, U64, arrow_slices, cut, expand, maybe_in, mix, powers, release, row_blocks, signed, text_view, texts, tidy
+from chronoweft.llm.common import BATCH_BYTES, BLOCK_BYTES, BYTE_VALUES, U64, arrow_slices, cut, expand, maybe_in, mix, powers, release, row_blocks, scratch, signed, text_view, texts, tidy
 
 LEAST = 50
 ANCHOR = 20
@@ -538,13 +538,19 @@ def removal_spans(rows: DataFrame, least: int = LEAST, most_coarse: int = packed
     return decided.unionByName(local).unionByName(late)
 
 
-def deduplicate(docs: DataFrame, least: int = LEAST, **how) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document."""
-    rows = with_ids(docs)
+def _changed(rows: DataFrame, least: int, **how) -> DataFrame:
+    """What is left of the rows of which something is removed, by rid."""
     spans = removal_spans(rows, least, **how).groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     spans = cut(spans, "spans-by-document")
     some = maybe_in(rows.where(F.col("doc_id").isNotNull()).select(F.col("rid").alias("key"), "text"), spans.select(F.col("rid").alias("key"))).withColumnRenamed("key", "rid")
-    changed = cut(some.join(spans, "rid").select("rid", "text", "spans").mapInArrow(tidy(remove), "rid long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["rid"]), "changed")
+    return cut(some.join(spans, "rid").select("rid", "text", "spans").mapInArrow(tidy(remove), "rid long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["rid"]), "changed")
+
+
+def deduplicate(docs: DataFrame, least: int = LEAST, **how) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document."""
+    rows = with_ids(docs)
+    with scratch(keep=("changed",)):
+        changed = _changed(rows, least, **how)
     raw = F.col("text").cast("binary")
     whole = rows.select("doc_id", "rid", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("sha"), F.col("doc_id").isNull().alias("alone"))
     joined = whole.join(changed, "rid", "left")

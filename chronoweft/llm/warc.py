@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import bounded_batches, cut, shared_path, tidy
+from chronoweft.llm.common import bounded_batches, cut, drop_cut, shared_path, tidy
 
 ROLL_BYTES = 64 << 20
 SHARD_BYTES = 128 << 20
@@ -181,6 +181,7 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = 0, roll_b
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], [x.split()[0] for x in MANIFEST.split(", ")])
 
     sorted_rows.mapInArrow(tidy(run), MANIFEST).write.mode("overwrite").json(f"{folder}/manifest")
+    drop_cut(light)
     return read_manifest(spark, folder)
 
 
