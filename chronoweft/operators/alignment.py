@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweft.operators.projection import sequences
@@ -264,9 +264,22 @@ def node_counts(aligned: DataFrame) -> DataFrame:
 
 
 def deviation_costs(aligned: DataFrame) -> DataFrame:
-    """activity, kind, n: log and model moves by label."""
+    """activity, kind, n and cost: log and model moves by label, and what such a move costs where frequent ones
+    are to be cheap, the number of the most frequent one's as a share of this one's and one more."""
     m = aligned.select("n_cases", F.explode("moves").alias("m")).where(F.col("m.kind").isin(LOG, MODEL))
-    return m.groupBy("m.activity", "m.kind").agg(F.sum("n_cases").alias("n"))
+    counted = m.groupBy("m.activity", "m.kind").agg(F.sum("n_cases").alias("n"))
+    most = F.max("n").over(Window.partitionBy(F.lit(1)))  # a row a label and kind
+    return counted.select("activity", "kind", "n", (most / (F.col("n") + 1)).alias("cost"))
+
+
+def moves_of_kind(*kinds: str, moves: str = "moves") -> Column:
+    """The moves of these kinds, of a column of moves."""
+    return F.filter(moves, lambda m: m["kind"].isin(*kinds))
+
+
+def first_deviation(moves: str = "moves") -> Column:
+    """The place, from 1, of the first move of the log or the model alone; 0 without any."""
+    return F.array_position(F.transform(moves, lambda m: m["kind"].isin(LOG, MODEL)), F.lit(True)).cast("int")
 
 
 def runs_of_node(alignment: Alignment, tree: P.Tree, number: int) -> list[tuple[str, ...]]:

@@ -156,26 +156,26 @@ def replaced(tree: Tree, number: int, new: Tree) -> Tree:
     return (tree[0], tuple(made))
 
 
-def reduced(tree: Tree) -> Tree:
+def reduced(tree: Tree, excluded: frozenset[Tree] = frozenset()) -> Tree:
     """The same language with fewer nodes: flat sequences, choices and parallels, no silent leaves where they
-    do nothing, loops of exactly two children."""
-    if tree[0] in ("act", "tau"):
+    do nothing, loops of exactly two children. Subtrees equal to one of ``excluded`` stay as they are."""
+    if tree[0] in ("act", "tau") or tree in excluded:
         return tree
     kind = tree[0]
-    made = [reduced(c) for c in tree[1]]
+    made = [reduced(c, excluded) for c in tree[1]]
     if kind == "loop":
         body = made[0]
-        back = made[1] if len(made) == 2 else reduced(("xor", tuple(made[1:]))) if len(made) > 2 else TAU
+        back = made[1] if len(made) == 2 else reduced(("xor", tuple(made[1:])), excluded) if len(made) > 2 else TAU
         if body == TAU == back:
             return TAU
         if body[0] == "loop" and back == TAU and body[1][1] == TAU:
             return body
-        if body == TAU and back[0] == "loop" and back[1][1] == TAU:  # a silent body around a loop
+        if body == TAU and back[0] == "loop" and back[1][1] == TAU and back not in excluded:  # a silent body around a loop
             back = back[1][0]
         return ("loop", (body, back))
     flat: list[Tree] = []
     for c in made:
-        flat += c[1] if c[0] == kind else [c]
+        flat += c[1] if c[0] == kind and c not in excluded else [c]
     if kind in ("seq", "and"):
         flat = [c for c in flat if c != TAU]
         if not flat:

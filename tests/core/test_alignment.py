@@ -3,6 +3,7 @@
 import itertools
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronoweft.operators import alignment as A
 from chronoweft.plans import process_tree as P
@@ -82,6 +83,17 @@ def test_table(spark):
     assert abs(A.mean_fitness(A.align_log(log, P.parse("->('p','q')"))) - (2 + 2 / 3) / 3) < 1e-9
 
 
+def test_moves_on_tables(spark):
+    rows = [(["k", "m"], 3), (["x", "k", "l", "m"], 2), (["k", "l"], 1)]
+    aligned = A.align_sequences(spark.createDataFrame(rows, "acts array<string>, n_cases long"), P.parse("->('k', 'l', 'm')")).select("*", A.first_deviation().alias("at"), F.transform(A.moves_of_kind(A.SYNC), lambda m: m["activity"]).alias("sync"))
+    visible = {"".join(r.acts): [m.kind for m in r.moves] for r in aligned.collect()}
+    for r in aligned.collect():
+        kinds = visible["".join(r.acts)]
+        assert r["at"] == 1 + min(i for i, k in enumerate(kinds) if k in (A.LOG, A.MODEL))
+        assert r.sync == [a for a in "klm" if a in r.acts]
+    assert {(r.activity, r.kind): (r.n, r.cost) for r in A.deviation_costs(aligned).collect()} == {("l", "model"): (3, 3 / 4), ("x", "log"): (2, 1.0), ("m", "model"): (1, 3 / 2)}
+
+
 def test_searches_given_up_are_reported(spark):
     log = log_of(spark, {0: instant("pq"), 1: instant("qpqpqp"), 2: instant("qpqpqp")})
     tree = P.parse("+(*('p', tau), *('q', tau))")
@@ -98,6 +110,8 @@ def test_reduction_keeps_the_language():
         assert set(P.language(P.reduced(t), 4)) >= set(P.language(t, 1))
         assert P.size(P.reduced(t)) <= P.size(t)
         assert P.parse(P.text(t)) == t
+    kept = P.parse("->('l', 'm')")
+    assert P.reduced(P.parse("->('k', ->('l', 'm'), ->('n', tau))"), frozenset([kept])) == P.parse("->('k', ->('l', 'm'), 'n')")
     assert P.reduced(P.parse("->('k', ->('l', 'm'))")) == P.parse("->('k', 'l', 'm')")
     assert P.common_ancestor(P.parse("->('k', +('l', 'm'), 'n')"), [3, 4]) == 2
 
