@@ -6,10 +6,10 @@ segment's guesses, plus log10(2) for each segment after the first. A value that
 and costs at least ``min_log10`` is a secret that its owner didn't choose from habit, and becomes a span of
 kind ``guess``.
 
-The dictionary ranks the ``max_words`` most frequent words of the corpus itself, counted over all rows but not
-inside the values under test, so that a secret doesn't make itself a word; the whole words of a public
-tokeniser's vocabulary, in its order; and a short list of words that guessing begins with. A word's rank is
-its best of the three. It has a fixed bound and is broadcast.
+The dictionary has the whole words of public tokenisers' vocabularies and a short list of words that guessing
+begins with. They are ranked by their number in the corpus, counted over all rows but not inside the values
+under test, so that a secret doesn't raise its own rank; and by their place in the vocabularies, whichever is
+better. It has a fixed size, is counted in fixed memory and is broadcast.
 
 Texts are scanned as UTF-8 bytes (all patterns are ASCII); positions are given in code points. Each row is
 scanned by itself; only the counts of words, summed in the tasks first, are shuffled.
@@ -20,6 +20,7 @@ each give a row; an empty table gives an empty result; columns other than doc_id
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import math
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import arrow_slices, bounded_batches, row_blocks, text_view, texts, tidy
+from chronoweft.llm.common import BLOCK_BYTES, arrow_slices, bounded_batches, row_blocks, text_view, texts, tidy
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(rb"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -65,22 +66,35 @@ DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[
 
 SEGMENT = math.log10(2)
 LEAST_WORD, LONGEST_WORD = 3, 16
-MAX_WORDS = 20_000
-COUNTER_WORDS = 200_000
 WORD_BYTES = bytes(c if chr(c).isalnum() and c < 128 or c == 95 or c >= 128 else 32 for c in range(256))
+VOCABULARIES = ("word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken")
 
 
-@cache
-def listed_words(vocabulary: str | None = None) -> dict[str, int]:
-    """Ranks of the short list and of a vocabulary's whole words; None: the public word tokeniser's."""
-    if vocabulary is None:
-        import public_tokenizers
+def vocabularies() -> tuple[str, ...]:
+    import public_tokenizers
+
+    return tuple(public_tokenizers.path(name) for name in VOCABULARIES)
+
+
+def whole_words(path: str) -> list[str]:
+    """The words that are tokens of their own, in the vocabulary's order: with the sign of a word's end, or with
+    a blank before them in a list of byte tokens."""
+    if path.endswith(".tiktoken"):
+        with open(path, "rb") as f:
+            tokens = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
+        found = [t[1:].decode() for t in tokens if t[:1] == b" " and t.isascii()]
+    else:
+        with open(path, encoding="utf-8") as f:
+            ids = json.load(f)["model"]["vocab"]
+        found = [t.removesuffix("</w>") for t, _ in sorted(ids.items(), key=lambda x: x[1]) if t.endswith("</w>")]
+    low = dict.fromkeys(w.lower() for w in found)
+    return [w for w in low if w.isascii() and w.isalpha() and LEAST_WORD <= len(w) <= LONGEST_WORD]
 
-        vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    with open(vocabulary, encoding="utf-8") as f:
-        ids = json.load(f)["model"]["vocab"]
-    whole = [t.removesuffix("</w>") for t, _ in sorted(ids.items(), key=lambda x: x[1]) if t.endswith("</w>")]
-    return ranked(list(COMMON_WORDS), [w for w in whole if w.isascii() and w.isalpha() and LEAST_WORD <= len(w) <= LONGEST_WORD])
+
+@cache
+def listed_words(paths: tuple[str, ...] | None = None) -> dict[str, int]:
+    """Ranks of the short list's words and of the vocabularies' whole words; None: the public ones."""
+    return ranked(list(COMMON_WORDS), *map(whole_words, vocabularies() if paths is None else paths))
 
 
 def ranked(*lists: list[str]) -> dict[str, int]:
@@ -92,37 +106,25 @@ def ranked(*lists: list[str]) -> dict[str, int]:
     return out
 
 
-def learn_words(docs: DataFrame, max_words: int = MAX_WORDS, vocabulary: str | None = None) -> dict[str, int]:
-    """The dictionary: the most frequent words of ``docs`` (ties by word) merged with the listed ones."""
+def learn_words(docs: DataFrame, paths: tuple[str, ...] | None = None) -> dict[str, int]:
+    """The dictionary, ranked by the numbers of its words in ``docs`` (ties by word) where that is better."""
+    listed = listed_words(paths)
+    shipped = docs.sparkSession.sparkContext.broadcast(frozenset(w.encode() for w in listed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: Counter[bytes] = Counter()
-
-        def give() -> pa.RecordBatch:
-            own = [(w.decode(), n) for w, n in sums.items() if LEAST_WORD <= len(w) <= LONGEST_WORD and w.isalpha() and w.isascii()]
-            sums.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in own], pa.string()), pa.array([n for _, n in own], pa.int64())], ["word", "n"])
-
-        for batch in arrow_slices(batches):
+        for batch in arrow_slices(batches, limit=BLOCK_BYTES):
             data, offsets = text_view(batch.column(0))
             raw = data.tobytes().lower()
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                own = raw[a:b]
-                if any(raw.find(k, a, b) >= 0 for k in KEY_PARTS):
-                    own = without_values(own)
-                sums.update(own.translate(WORD_BYTES).split())
-                if len(sums) > COUNTER_WORDS:
-                    yield give()
-        yield give()
+            rows = (raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
+            own = Counter(b" ".join(without_values(x) if any(k in x for k in KEY_PARTS) else x for x in rows).translate(WORD_BYTES).split())
+            for w in own.keys() & shipped.value:
+                sums[w] += own[w]
+        yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in sums], pa.string()), pa.array(list(sums.values()), pa.int64())], ["word", "n"])
 
     counted = texts(docs).select("text").mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    own = [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(max_words).collect()]
-    return merged_ranks(own, listed_words(vocabulary))
-
-
-def merged_ranks(words: list[str], listed: dict[str, int]) -> dict[str, int]:
-    out = ranked(words)
-    return {**listed, **{w: min(i, listed.get(w, i)) for w, i in out.items()}}
+    own = ranked([r["word"] for r in sorted(counted.collect(), key=lambda r: (-r["n"], r["word"]))])  # as many as the dictionary at most
+    return {w: min(i, own.get(w, i)) for w, i in listed.items()}
 
 
 def without_values(text: bytes) -> bytes:

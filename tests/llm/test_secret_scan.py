@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import json
 import random
 import re
 
@@ -130,15 +131,18 @@ def test_words_are_no_secrets(habit):
     assert [text[a:b].decode() for a, _, b, _ in S.guess_spans(text, RANKS, 10.0, 8)] == [STRONG]
 
 
-def test_words_of_the_corpus(spark):
+def test_words_of_the_corpus(spark, tmp_path):
     """Words are ranked by their number over all rows, copies and letters of either case included, and the
     values under test don't count."""
+    (tmp_path / "v.json").write_text(json.dumps({"model": {"vocab": {f"{w}</w>": i for i, w in enumerate([*(f"{a}{b}zzz" for a in "abcdefghij" for b in "abcdefghij"), "zorblatt", "fnordicle", "qwvxkzjbnm", "ab", "x1y"])} | {"part": 999}}}))
+    paths = (str(tmp_path / "v.json"),)
+    before = S.listed_words(paths)
+    assert before["zorblatt"] == 101 and not {"ab", "x1y", "part"} & before.keys()
     texts = [*ODD_TEXTS, "Zorblatt fnordicle zorblatt", "fnordicle zorblatt ab abc9 x_y", "pwd: qwvxkzjbnm and pwd: qwvxkzjbnm zorblatt", "mülz zork\nzork," + "y" * 17]
-    words = S.learn_words(with_clashes(docs_of(spark, texts)), max_words=1000)
-    assert words["zorblatt"] == 1 and {"fnordicle", "zork", "short"} <= words.keys()
-    assert not {"qwvxkzjbnm", "abc", "ab", "x_y", "lz", "y" * 17, "x" * 70_000} & (words.keys() - RANKS.keys())
-    assert set(S.learn_words(docs_of(spark, texts), max_words=1)) - set(RANKS) == {"zorblatt"}
-    assert S.learn_words(docs_of(spark, [])) == RANKS
+    words = S.learn_words(with_clashes(docs_of(spark, texts)), paths)
+    assert words.keys() == before.keys() and (words["zorblatt"], words["fnordicle"]) == (1, 2)
+    assert {w for w in words if words[w] != before[w]} <= {"zorblatt", "fnordicle", "and"} and words["qwvxkzjbnm"] == 103
+    assert S.learn_words(docs_of(spark, []), paths) == before
     (row,) = S.scan_secrets(docs_of(spark, ["pwd=zorblattFnordicle auth=xorblqttFmordizle"]), dictionary=words).collect()
     assert row.spans == "guess:27:44"
 
