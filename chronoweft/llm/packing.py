@@ -33,7 +33,7 @@ from chronoweft.llm.common import arrow_slices, cut, texts, tidy
 
 CAPACITY = 4096
 END_ID = 1
-BUCKET_PIECES = 4096
+BUCKET_PIECES = 256
 CACHE_WORDS = 400_000
 
 #: Characters for which the pre-tokeniser's classes are plain: ASCII, and Latin-1's letters.
