@@ -4,7 +4,7 @@ import zlib
 import corpus_pipeline
 from chronoweft.llm import secret_scan
 from chronoweft.llm.packing import Encoder, vocabulary
-from tests.llm.helpers import ODD_TEXTS, docs_of, prose
+from tests.llm.helpers import ODD_TEXTS, docs_of, prose, with_clashes
 from tests.llm.test_decontaminate import tiles_by_hand, words_of
 from tests.llm.test_language_id import DE, EN
 from tests.llm.test_ngram_join import brute
@@ -83,3 +83,25 @@ def test_empty_documents(spark, tmp_path):
     docs_of(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(0, "a b c d e f")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_and_ids(spark, tmp_path):
+    """Columns that operators use themselves stay; rows without a doc_id stay; of a doc_id with several texts each is
+    judged by itself, and of equal rows one stays."""
+    rng = random.Random(5)
+    long = [prose(rng, 60, EN + [f"k{i}_{k}" for k in range(30)]) for i in range(6)]
+    rows = [(1, long[0]), (1, long[0]), (1, long[1]), (2, long[1]), (3, long[2]), (0, long[2]), (None, long[3]), (None, long[3]), (4, None), (5, ""), (6, long[4] + " token = " + "ab12" * 8), (7, "x" * 50_000 + " " + long[5])]
+    docs = with_clashes(spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    bench = with_clashes(spark.createDataFrame([(0, prose(rng, 20, [f"zz{k}" for k in range(99)]))], "item_id long, text string"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns and now.dtypes == docs.dtypes, name
+    got = sorted(((r.doc_id, r.text) for r in now.collect()), key=str)
+    kept = [(0, long[2]), (1, long[0]), (1, long[1]), (None, long[3]), (None, long[3]), (6, long[4] + " [secret]"), (7, rows[-1][1])]
+    assert got == sorted(kept, key=str)
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted({str(r.doc_id) for r in pieces}) == ["0", "1", "6", "7", "None"] and sum(r.piece == 0 for r in pieces) == len(kept)
+    check_places(pieces)
