@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweft.functions.stats import seconds_between, sql_statistics, statistics
+from chronoweft.functions.stats import exact_percentiles, seconds_between, sql_statistics, statistics
 from chronoweft.operators import alignment, clustering, discovery, local_models, mining, ordering, performance, projection, relations, tree_performance, variants
 from chronoweft.plans import process_tree, sequentializer, variant_tree, vql
 from chronoweft.session import shared_dir
@@ -158,6 +158,15 @@ def service_time_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.groupBy("activity").agg(*statistics(seconds_between("start_ts", "end_ts"), 3))
 
 
+@query(f"WITH {SQL_VIEWS['li']}, d AS (SELECT activity, epoch(t - s)::DOUBLE AS x FROM e) SELECT activity, count(*) AS n, {', '.join(f'round(quantile_cont(x, {p}), 3) AS p{int(1000 * p)}' for p in (0.05, 0.5, 0.95, 0.999))} FROM d GROUP BY activity")
+def service_time_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of each activity's durations, without a task that holds an activity's."""
+    points = [0.05, 0.5, 0.95, 0.999]
+    rows = logs.lineitem_log(spark, sf_dir).select("activity", seconds_between("start_ts", "end_ts").alias("x"))
+    found = exact_percentiles(rows, ["activity"], "x", points)
+    return found.select("activity", "n", *(F.round(F.get("p", F.lit(i)), 3).alias(f"p{int(1000 * p)}") for i, p in enumerate(points)))
+
+
 @query(f"WITH {SQL_VIEWS['li']}, d AS (SELECT case_id, epoch(max(t) - min(s)) AS x FROM e GROUP BY case_id) SELECT {sql_statistics("x", 3)} FROM d")
 def case_duration_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the first start to the last end of each case."""

@@ -74,6 +74,37 @@ def test_statistics_of_statistics(spark):
     assert set(got) == {(g, k) for g in "xy" for k in ("mean", "max")}
 
 
+def test_percentiles_of_large_groups(spark):
+    """Against numpy: a large group, one with few values, one of one, one of nulls, a null key, and no key at all."""
+    rng = np.random.default_rng(4)
+    rows = [("large", float(x)) for x in rng.lognormal(3, 2, 6000)] + [("few", float(x)) for x in rng.integers(0, 3, 500)] + [("one", 7.0), ("none", None), ("none", None), (None, 1.0), (None, 2.0)]
+    table = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    points = [0.0, 0.1, 0.5, 0.95, 0.9995, 1.0]
+    for accuracy in (100, 10_000):
+        got = {r.g: r for r in stats.exact_percentiles(table, ["g"], "x", points, accuracy).collect()}
+        assert set(got) == {"large", "few", "one", "none", None}
+        for g, r in got.items():
+            own = [x for k, x in rows if k == g and x is not None]
+            assert r.n == len(own) and (np.allclose(r.p, np.percentile(own, [100 * p for p in points])) if own else r.p == [None] * len(points)), g
+    (every,) = stats.exact_percentiles(table, [], "x", points).collect()
+    assert np.allclose(every.p, np.percentile([x for _, x in rows if x is not None], [100 * p for p in points]))
+
+
+def test_scores_of_sequences_for_their_variants(spark):
+    rows = spark.createDataFrame([("v", 1.0), ("v", 4.0), ("w", 2.0)], "candidate string, score double")
+    assert {r.candidate: r.score for r in O.adapted(rows).collect()} == {"v": 2.5, "w": 2.0}
+    from pyspark.sql import functions as F
+
+    assert {r.candidate: r.score for r in O.adapted(rows, F.max).collect()} == {"v": 4.0, "w": 2.0}
+
+
+def test_borders_and_numbers_of_leaves():
+    tree = P.parse("->('k', X('l', tau))")
+    assert P.labels(P.with_borders(tree)) == ["▶", "k", "l", "■"] and P.without_borders(P.with_borders(tree)) == tree
+    assert P.without_borders(P.with_borders(P.parse("+('k', 'l')"))) == P.parse("+('k', 'l')")
+    assert V.labels(V.number_labels(V.parse("→(k, ∧(l, k), k)"))) == ["k0", "l0", "k1", "k2"]
+
+
 def after_and_before(tree, loops):
     """Links of a footprint from enumerated words."""
     traces = set(P.language(tree, loops))
