@@ -265,10 +265,14 @@ def arrow_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
 FILTER_BITS_A_ROW, LEAST_FILTER_BITS, MOST_FILTER_BITS = 8, 1 << 20, 1 << 29
 
 
-def maybe_in(df: DataFrame, wanted: DataFrame, most_bits: int = MOST_FILTER_BITS) -> DataFrame:
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def maybe_in(df: DataFrame, wanted: DataFrame, then: tuple[Step, str] | None = None, most_bits: int = MOST_FILTER_BITS) -> DataFrame:
     """The rows of ``df`` whose long column ``key`` may be among those of ``wanted`` (a table that can be read
     again): all that are, and a few others. It keeps rows out of a shuffle; a join must follow. Their ``text``
-    comes back squeezed.
+    comes back squeezed. ``then``: what the rows go through in the same Python workers, and its schema; as a step
+    of its own it would have workers of its own beside these.
 
     The filter is a bitmap of some bits for each wanted row. Where that is more than ``most_bits`` (64 MB), no
     bitmap that may be broadcast would hold back much, and all rows go on to the join."""
@@ -279,7 +283,8 @@ def maybe_in(df: DataFrame, wanted: DataFrame, most_bits: int = MOST_FILTER_BITS
     while bits < FILTER_BITS_A_ROW * rows:
         bits *= 2
     at, text = df.columns.index("key"), df.columns.index("text")
-    schema = ", ".join(f"{n} {'binary' if n == 'text' else k}" for n, k in df.dtypes)
+    schema = then[1] if then else ", ".join(f"{n} {'binary' if n == 'text' else k}" for n, k in df.dtypes)
+    finish: Step = then[0] if then else lambda batches: batches
 
     def squeezed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in arrow_slices(iter([batch])):
@@ -288,7 +293,7 @@ def maybe_in(df: DataFrame, wanted: DataFrame, most_bits: int = MOST_FILTER_BITS
             yield pa.RecordBatch.from_arrays(arrays, batch.schema.names)
 
     if bits > most_bits:
-        return df.mapInArrow(tidy(lambda batches: (x for batch in batches for x in squeezed(batch))), schema)
+        return df.mapInArrow(tidy(lambda batches: finish(x for batch in batches for x in squeezed(batch))), schema)
     slot = F.pmod(F.col("key"), F.lit(bits))
     got = wanted.select(slot.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
     size = 32768 // 8  # bytes of one of Spark's bitmaps; positions above zero start in bucket 1
@@ -306,7 +311,7 @@ def maybe_in(df: DataFrame, wanted: DataFrame, most_bits: int = MOST_FILTER_BITS
             if len(hit):
                 yield from squeezed(batch.take(pa.array(hit)))
 
-    return df.mapInArrow(tidy(run), schema)
+    return df.mapInArrow(tidy(lambda batches: finish(run(batches))), schema)
 
 
 def squeeze(column: pa.Array) -> pa.Array:

@@ -260,15 +260,15 @@ class Verifier:
         asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
         wanted = cut(asked.join(self.classes, "node").select("node", "doc_id"), "wanted")
         rows = texts(self.docs).where(F.col("doc_id").isNotNull())
-        some = maybe_in(rows.withColumn("key", F.xxhash64("doc_id")), wanted.select(F.xxhash64("doc_id").alias("key"))).drop("key")
         names = self.names
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in batches:  # doc_id, text, key
                 nodes = names.signed_of(own for i in range(0, batch.num_rows, AT_ONCE) for own in shingle_sets(*text_view(expand(batch.column(1).slice(i, AT_ONCE)))))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), batch.column(1)], ["doc_id", "node", "text"])
 
-        found = some.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, node long, text binary")
+        then = run, f"doc_id {dict(rows.dtypes)['doc_id']}, node long, text binary"
+        found = maybe_in(rows.withColumn("key", F.xxhash64("doc_id")), wanted.select(F.xxhash64("doc_id").alias("key")), then)
         return found.join(wanted, ["doc_id", "node"]).dropDuplicates(["doc_id", "node"]).select("node", "text")
 
     def links(self, pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:

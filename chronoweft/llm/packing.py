@@ -34,7 +34,7 @@ from chronoweft.llm.common import arrow_slices, cut, texts, tidy
 CAPACITY = 4096
 END_ID = 1
 BUCKET_PIECES = 256
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 #: Characters for which the pre-tokeniser's classes are plain: ASCII, and Latin-1's letters.
 PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
@@ -137,16 +137,19 @@ def to_pieces(docs: DataFrame, vocabulary_path: str | None = None, capacity: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
-        for batch in arrow_slices(batches):
-            index, out = [], []
-            for i, ids in enumerate(encoder.encode(batch.column(1).to_pylist())):
-                ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                for k, start in enumerate(range(0, len(ids), capacity)):
-                    own = ids[start : start + capacity]
-                    index.append(i)
-                    out.append((k, start, len(own), zlib.crc32(own.tobytes())))
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names)
+        try:
+            for batch in arrow_slices(batches):
+                index, out = [], []
+                for i, ids in enumerate(encoder.encode(batch.column(1).to_pylist())):
+                    ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
+                    for k, start in enumerate(range(0, len(ids), capacity)):
+                        own = ids[start : start + capacity]
+                        index.append(i)
+                        out.append((k, start, len(own), zlib.crc32(own.tobytes())))
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names)
+        finally:
+            encoder.clear()  # the worker may go on to other tasks
 
     return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
 
