@@ -262,6 +262,27 @@ def arrow_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             yield batch.slice(i, j - i)
 
 
+HOT_SHARE = 50_000
+"""A key with more than this part of all rows, and more than LEAST_HOT, is hot: there are at most so many such keys."""
+LEAST_HOT = 100_000
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, n: int) -> DataFrame:
+    """``rows`` (about n of them) joined with ``table``, which has one row a key. The rows of hot keys, such as the
+    copies of one text, don't go through the shuffle: those keys' rows of the table are broadcast."""
+    from pyspark.sql import functions as F
+
+    limit = max(LEAST_HOT, n // HOT_SHARE)
+    if n <= limit:
+        return rows.join(table, key)
+    others = [c for c in table.columns if c != key]
+    many = rows.groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("__n")).where(F.col("__n") > limit).select("__hot")
+    known = many.join(table, many["__hot"] == table[key]).select("__hot", *(F.col(c).alias(f"__{c}") for c in others))
+    split = rows.join(F.broadcast(known), rows[key] == F.col("__hot"), "left")
+    cold = split.where("__hot IS NULL").select(*rows.columns).join(table, key)
+    return cold.unionByName(split.where("__hot IS NOT NULL").select(*rows.columns, *(F.col(f"__{c}").alias(c) for c in others)))
+
+
 FILTER_BITS_A_ROW, LEAST_FILTER_BITS, MOST_FILTER_BITS = 8, 1 << 20, 1 << 29
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from chronoweft.llm import packed_index
-from chronoweft.llm.common import BATCH_BYTES, U64, arrow_slices, bounded_batches, cut, expand, hash_runs, hash_words, maybe_in, mix, release, row_blocks, scratch, signed, text_view, texts, tidy
+from chronoweft.llm.common import BATCH_BYTES, U64, arrow_slices, bounded_batches, cut, expand, hash_runs, hash_words, hot_join, maybe_in, mix, release, row_blocks, scratch, signed, text_view, texts, tidy
 from chronoweft.llm.components import components
 
 SHINGLE = 5
@@ -522,8 +522,9 @@ def join_documents(docs: DataFrame, percent: int = 80, **how) -> DataFrame:
     nodes = measured.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     own = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(own.join(least, "root").select("node", "component_id"), "components")
-    with_set = measured.where("node IS NOT NULL").join(named, "node").select("doc_id", "n_shingles", "component_id")
+    n = measured.count()
+    named = cut(hot_join(own, least, "root", n).select("node", "component_id"), "components")
+    with_set = hot_join(measured.where("node IS NOT NULL"), named, "node", n).select("doc_id", "n_shingles", "component_id")
     return with_set.unionByName(measured.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
@@ -536,7 +537,7 @@ def keep_one_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     own = measured.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id", "node").agg(F.count("*").alias("rows"))
     own = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = own.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("first"))
-    judged = own.join(least, "root").withColumn("leads", F.struct("doc_id", "node") == F.col("first"))
+    judged = hot_join(own, least, "root", measured.count()).withColumn("leads", F.struct("doc_id", "node") == F.col("first"))
     by_id = judged.groupBy("doc_id").agg(F.max("leads").alias("leads"), F.sum("rows").alias("rows"))
     # doc_ids whose only row leads need nothing; those without a leading row go; the others are judged by row
     judged = cut(by_id.where("NOT leads OR rows > 1").select(F.col("doc_id").alias("__judged"), "leads"), "judged")

@@ -94,6 +94,20 @@ def test_components_of_a_hub(spark, monkeypatch):
     assert K.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_hot_keys(spark, monkeypatch):
+    """Keys with many rows, with few, without a row in the table, and null: as an inner join has them."""
+    from chronoweft.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 3)
+    rows = [(k, i) for i, k in enumerate([7] * 50 + [8] * 20 + [1, 2, 3, None, 9, 9, 9, 9, 9])]
+    left, table = spark.createDataFrame(rows, "k long, i int"), spark.createDataFrame([(7, "a", 1), (8, "b", 2), (1, "c", None), (2, None, 4), (5, "e", 5)], "k long, x string, y int")
+    got = common.hot_join(left, table, "k", len(rows))
+    assert sorted(map(str, got.select("k", "i", "x", "y").collect())) == sorted(map(str, left.join(table, "k").select("k", "i", "x", "y").collect()))
+    texts = ["one two three four five six"] * 9 + ["seven eight nine ten eleven twelve"] * 5 + ["other words than those before here", None]
+    check(spark, texts)
+    assert sorted(r.doc_id for r in N.keep_one_each(docs_of(spark, texts)).collect()) == [0, 9, 14, 15]
+
+
 def test_families_near_the_threshold(spark):
     rng = random.Random(5)
     texts = []
