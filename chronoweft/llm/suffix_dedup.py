@@ -399,15 +399,22 @@ def repeated_intervals(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.nda
     divided = np.ones(n, bool)
     divided[1:] = symbol[1:] != symbol[:-1]  # the intervals of one symbol
     open_ = np.flatnonzero(~divided)
+    low, high = last[open_ - 1], last[open_]
+    fresh = np.flatnonzero(divided)  # what the step before divided: earlier divisions have had their effect
     for _ in range(depth - 1):
-        if not len(open_):
+        if not len(open_) or not len(fresh):
             break
-        ends = np.cumsum(divided)
-        now = ends[last[open_]] != ends[last[open_ - 1]]  # an interval ends between the two places
-        if not now.any():
-            continue
-        divided[open_[now]] = True
-        open_ = open_[~now]
+        if len(open_) > n // 16:
+            ends = np.zeros(n, np.int32)
+            ends[fresh] = 1
+            np.cumsum(ends, out=ends)
+            now = ends[low] != ends[high]  # an interval ends between the two places
+        else:
+            now = np.searchsorted(fresh, low, side="right") != np.searchsorted(fresh, high, side="right")
+        fresh = open_[now]
+        divided[fresh] = True
+        left = ~now
+        open_, low, high = open_[left], low[left], high[left]
     return order, divided
 
 
