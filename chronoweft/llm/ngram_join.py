@@ -40,12 +40,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from chronoweft.llm import packed_index
-from chronoweft.llm.common import BATCH_BYTES, U64, arrow_slices, bounded_batches, cut, expand, hash_runs, hash_words, hot_join, maybe_in, mix, release, row_blocks, scratch, signed, text_view, texts, tidy
+from chronoweft.llm.common import U64, arrow_slices, bounded_batches, cut, expand, hash_runs, hash_words, hot_join, maybe_in, mix, release, row_blocks, scratch, signed, text_view, texts, tidy
 from chronoweft.llm.components import components
 
 SHINGLE = 5
+SLICE_BYTES = 4 << 20
 BLOCK_HASHES = 1 << 20
-LEAST_BLOCKS = 64
+LEAST_BLOCKS = 128
 CHANCE_COST = 20.0
 SLACK = 0.1
 AT_ONCE = 256
@@ -210,7 +211,7 @@ def pack_hashes(docs: DataFrame, coarse: int, names: Nodes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
-        for batch in arrow_slices(batches, "text", BATCH_BYTES):
+        for batch in arrow_slices(batches, "text", SLICE_BYTES):
             for start in range(0, batch.num_rows, packed_index.SLICE_NODES):
                 turn += 1
                 yield from packed_index.batches_of(_pack_slice(batch.slice(start, packed_index.SLICE_NODES), coarse, turn, names))
@@ -384,7 +385,7 @@ def similar_classes(docs: DataFrame, percent: int = 80, bits: int = 64, most_coa
 def _similar_classes(docs: DataFrame, percent: int, bits: int, most_coarse: int) -> tuple[DataFrame, DataFrame, Nodes]:
     measured, classes, names = named_sets(docs, bits)
     total = classes.agg(F.sum("n").alias("n")).first()["n"] or 0
-    coarse, fine = packed_index.layout(max(LEAST_BLOCKS, total // (2 * BLOCK_HASHES)), most_coarse)
+    coarse, fine = packed_index.layout(max(LEAST_BLOCKS, total // BLOCK_HASHES), most_coarse)
     both = cut(packed_index.members(pack_hashes(docs, coarse, names), coarse, fine), "members")
     members = both.where("flag >= 0")
     verifier = Verifier(docs, classes, percent, names)
@@ -424,7 +425,7 @@ def _similar_classes(docs: DataFrame, percent: int, bits: int, most_coarse: int)
     left = cut(spared.join(_sized(live), "hash").select("node").distinct(), "left")
     known = cut(verifier.texts_of(left.select(F.col("node").alias("u"), F.col("node").alias("v"))), "node-texts")
     held = left.join(classes.select("node", "n"), "node").agg(F.sum("n").alias("n")).first()["n"] or 0
-    rare = rare_shingles(known, max(LEAST_BLOCKS, held // (10 * BLOCK_HASHES)), percent)
+    rare = rare_shingles(known, max(LEAST_BLOCKS, held // (5 * BLOCK_HASHES)), percent)
     active = cut(rare.select("hash", "node").distinct().join(classes.select("node", "n"), "node"), "rare")
     crossing, pairs = _crossing(active, roots)
     if pairs > MANY_PAIRS * max(left.count(), 1):  # other hubs join most of what the first didn't

@@ -153,12 +153,12 @@ def notes(table: np.ndarray, one: np.ndarray, two: np.ndarray, p: int) -> tuple:
 def unpack(pdf: pd.DataFrame, coarse: int, fine: int = 1) -> pd.DataFrame:
     """The members of the hashes of one block that more than one node has."""
     out = []
-    sigs, nodes, flags, many = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    sigs, nodes, flags, many = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int8)], [np.zeros(0, np.int32)]
     block, p = divmod(int(pdf["p"].iloc[0]), coarse)
     for kind, high, low, who, table, extra in zip(*(pdf[c] for c in ("kind", "high", "low", "who", "nodes", "many")), strict=True):
         if kind == 2:
             one, two = (np.frombuffer(x, np.int32).astype(np.int64) for x in (who, extra))
-            out.append((np.zeros(len(one), np.uint64), np.frombuffer(table, np.uint64), one.view(np.uint64), np.full(len(one), -1), two))
+            out.append((np.zeros(len(one), np.uint64), np.frombuffer(table, np.uint64), one.view(np.uint64), np.full(len(one), -1, np.int8), two))
             continue
         rest = _rest_of(high, low)
         own = np.frombuffer(who, np.uint16).astype(np.int64)
@@ -166,13 +166,14 @@ def unpack(pdf: pd.DataFrame, coarse: int, fine: int = 1) -> pd.DataFrame:
         if kind == 0:
             sigs.append(rest)
             nodes.append(node)
-            flags.append(own >> 14)
-            many.append(np.frombuffer(extra, np.uint16).astype(np.int64))
+            flags.append((own >> 14).astype(np.int8))
+            many.append(np.frombuffer(extra, np.uint16).astype(np.int32))
         else:
             n = len(rest)
             home = np.frombuffer(extra, np.uint64, 1)[0]
-            out.append((rest * U64(coarse) + home, node, np.frombuffer(extra, np.uint64, n, 8), own >> 14, np.frombuffer(extra, np.uint32, n, 8 + 8 * n).astype(np.int64)))
+            out.append((rest * U64(coarse) + home, node, np.frombuffer(extra, np.uint64, n, 8), (own >> 14).astype(np.int8), np.frombuffer(extra, np.uint32, n, 8 + 8 * n).astype(np.int64)))
     sig, node, flag, times = np.concatenate(sigs), np.concatenate(nodes), np.concatenate(flags), np.concatenate(many)
+    del sigs, nodes, flags, many
     if len(sig):
         order = np.lexsort((node, sig))
         sig, node, flag, times = sig[order], node[order], flag[order], times[order]
@@ -183,7 +184,7 @@ def unpack(pdf: pd.DataFrame, coarse: int, fine: int = 1) -> pd.DataFrame:
         again = np.zeros(len(sig), bool)
         again[1:] = ~new[1:] & (node[1:] == node[:-1])
         distinct = np.add.reduceat((~again).astype(np.int64), first)
-        df = np.add.reduceat(times, first)
+        df = np.add.reduceat(times, first, dtype=np.int64)
         more = np.maximum.reduceat(times, first)
         keep = np.repeat((distinct > 1) | (more > 1), size) & ~again
         out.append(((sig[keep] * U64(fine) + U64(block)) * U64(coarse) + U64(p), node[keep], np.repeat(node[first], size)[keep], flag[keep], np.repeat(df, size)[keep]))
