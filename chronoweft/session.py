@@ -49,6 +49,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+PART_BYTES = 2 << 20
+"""The share of a partition in the estimated size of a table that is dealt by :func:`dealt`."""
+MOST_PARTS = 20_000
+_UNKNOWN = 1 << 60
+
+
+def n_parts(df: DataFrame) -> int | None:
+    """Over how many partitions to deal ``df``, so that a task's share, and the memory of its sorts, stays as it is
+    when tables grow. None where Spark's own number will do: without an estimate of the size, or for few partitions.
+
+    Spark would put partitions together up to a size in the shuffle, and a task with several sorts takes many times
+    that. The estimate is Spark's, or what the tables below take if that is less: joins multiply estimates."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    bytes_of = lambda p: int(str(p.stats().sizeInBytes()))
+    size = min(bytes_of(plan), sum(bytes_of(leaves.apply(i)) for i in range(leaves.size())))
+    n = min(-(-size // PART_BYTES), MOST_PARTS)
+    return n if size < _UNKNOWN and n > df.sparkSession.sparkContext.defaultParallelism else None
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` in :func:`n_parts` partitions by columns, or as it is."""
+    n = n_parts(df)
+    return df.repartition(n, *by) if n else df
+
+
 def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
     """A session for tests and the benchmark on one machine."""
     return (

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronoweft.session import dealt
+
 UNITS = ("ms", "second", "minute", "hour", "day", "month")
 """Granularities, finest first. ``ms`` leaves timestamps as they are."""
 
@@ -138,7 +140,7 @@ def instance_names(log: DataFrame) -> DataFrame:
 
 def _placed(df: DataFrame, *order: str) -> DataFrame:
     place = Window.partitionBy("case_id").orderBy(*order)
-    return df.withColumn("pos", F.row_number().over(place)).select("case_id", "pos", "activity", "start_ts", "end_ts")
+    return dealt(df, "case_id").withColumn("pos", F.row_number().over(place)).select("case_id", "pos", "activity", "start_ts", "end_ts")
 
 
 def lineitem_log(spark: SparkSession, sf_dir: str) -> DataFrame:
