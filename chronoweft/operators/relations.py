@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from chronoweft.session import n_parts
 from chronoweft.sources.logs import truncated
 
 RELATIONS = ("EF", "DF", "P")
@@ -79,6 +80,8 @@ def _partners(log: DataFrame, found: DataFrame, first: Column, last: Column, *ot
     a = found.where(first <= last).select("case_id", F.col("pos").alias("a_pos"), F.col("activity").alias("a"), *others, first.alias("__first"), last.alias("__last"))
     a = a.select("case_id", "a_pos", "a", *others, F.explode(F.sequence("__first", "__last")).alias("b_pos"))
     b = log.select("case_id", F.col("pos").cast("long").alias("b_pos"), F.col("activity").alias("b"))
+    if n := n_parts(log):
+        a, b = (x.repartition(n, "case_id", "b_pos") for x in (a, b))
     return a.join(b, ["case_id", "b_pos"]).withColumn("b_pos", F.col("b_pos").cast("int"))
 
 
@@ -163,14 +166,26 @@ def borders(log: DataFrame, granularity: str = "ms", strict_start: bool = False,
     return e.select("case_id", "pos", "activity", is_start.alias("is_start"), "is_end")
 
 
+def _following_labels(log: DataFrame, granularity: str) -> DataFrame:
+    """case_id, a, b: the labels of which some instance of ``a`` is eventually followed by some of ``b``, each pair once
+    a case. That is so if the last ``b`` stands after the least ``low`` of an ``a``, so no pairs of instances are made."""
+    own = bounds(log, granularity, False).groupBy("case_id", "activity").agg(F.min("low").alias("low"), F.max("pos").alias("place"))
+    case = own.groupBy("case_id").agg(F.collect_list(F.struct("activity", "low", "place")).alias("labels"))
+    first = case.select("case_id", "labels", F.explode("labels").alias("x"))
+    after = F.filter("labels", lambda y: y["place"] > F.col("x.low"))
+    return first.select("case_id", F.col("x.activity").alias("a"), F.explode(after).alias("y")).select("case_id", "a", F.col("y.activity").alias("b"))
+
+
 def relation_counts(log: DataFrame, relation: str, granularity: str = "ms", occurrences: bool = True, weights: DataFrame | None = None) -> DataFrame:
     """a, b, support of a relation's activity pairs: the sum over cases of how often they occur, or of
     whether they do. ``weights`` (case_id, weight): how many cases a case stands for."""
-    rows = related(log, relation, granularity)
+    rows = _following_labels(log, granularity) if relation == "EF" and not occurrences else related(log, relation, granularity)
     if weights is not None:
         rows = rows.join(weights, "case_id")
     weight = F.col("weight") if weights is not None else F.lit(1)
     if not occurrences:
+        if relation != "EF" and (n := n_parts(log)):
+            rows = rows.repartition(n, "case_id", "a", "b")
         rows = rows.groupBy("case_id", "a", "b").agg(F.first(weight).alias("weight"))
         weight = F.col("weight")
     return rows.groupBy("a", "b").agg(F.sum(weight).cast("long").alias("support"))
