@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweft.functions.stats import seconds_between, statistics
-from chronoweft.operators.variants import CACHED, case_subvariants, signatures
+from chronoweft.operators.variants import Known, case_subvariants, in_slices, signatures
 from chronoweft.plans import variant_tree as V
 from chronoweft.sources.logs import truncated
 
@@ -18,31 +19,35 @@ def _placed(tree: V.Tree, names: list[str]) -> tuple[str, V.Tree]:
     """The text of a tree whose leaves are instance numbers, and the tree in canonical order."""
     kind, parts = tree
     if kind == "leaf":
-        own = sorted(parts, key=lambda i: (names[int(i)], int(i)))
-        return V.text(V.leaf(*(names[int(i)] for i in own))), ("leaf", tuple(own))
+        if len(parts) == 1:
+            return names[parts[0]], tree
+        own = sorted(parts, key=lambda i: (names[i], i))
+        return V.text(("leaf", tuple([names[i] for i in own]))), ("leaf", tuple(own))
     made = [_placed(c, names) for c in parts]
     if kind in V.UNORDERED:
         made.sort(key=lambda x: x[0])
-    return f"{V.SIGNS[kind]}({', '.join(x[0] for x in made)})", (kind, tuple(x[1] for x in made))
+    return f"{V.SIGNS[kind]}({', '.join([x[0] for x in made])})", (kind, tuple([x[1] for x in made]))
 
 
 def _nodes(acts: list[str], s: list[int], t: list[int]) -> tuple[str, list[tuple]]:
     """A case's variant, and (node, parent, the parent's kind, left neighbour, kind, place among its siblings,
     label, instances) of its nodes."""
-    ef, par = V.relations(s, t)
-    name, tree = _placed(V.cut(list(range(len(acts))), [str(i) for i in range(len(acts))], ef, par), acts)
+    name, tree = _placed(V.cut_times(s, t), acts)
     out: list[tuple] = []
 
     def walk(tr: V.Tree, parent: int, above: str | None, left: int, place: int) -> tuple[int, list[int]]:
         me = len(out)
-        out.append(())
         kind, parts = tr
-        at, before = [int(i) for i in parts] if kind == "leaf" else [], -1
-        for k, c in enumerate(parts if kind != "leaf" else ()):
+        if kind == "leaf":
+            at = list(parts)
+            out.append((me, parent, above, left, kind, place, acts[at[0]] if len(at) == 1 else ", ".join([acts[i] for i in at]), at))
+            return me, at
+        out.append(())
+        at, before = [], -1
+        for k, c in enumerate(parts):
             before, own = walk(c, me, kind, before, k)
             at += own
-        label = ", ".join(acts[i] for i in at) if kind == "leaf" else V.SIGNS[kind]
-        out[me] = (me, parent, above, left, kind, place, label, at)
+        out[me] = (me, parent, above, left, kind, place, V.SIGNS[kind], at)
         return me, at
 
     walk(tree, -1, None, -1, 0)
@@ -63,20 +68,18 @@ def node_times(log: DataFrame, granularity: str = "ms") -> DataFrame:
     kind = dict(rows.dtypes)["case_id"]
     times = "starts array<timestamp_ntz>, ends array<timestamp_ntz>"
 
+    def make(acts: list[str], s: list[int], t: list[int]) -> tuple[tuple[str, list[tuple]], int]:
+        name, nodes = _nodes(acts, s, t)
+        return (name, nodes), sum(1 + len(n[-1]) for n in nodes)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, tuple[str, list[dict]]] = {}
-        for b in batches:
-            made = []
-            for acts, s, t in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                key = (tuple(acts), tuple(s), tuple(t))
-                if key not in known:
-                    if len(known) > CACHED:
-                        known.clear()
-                    name, nodes = _nodes(acts, s, t)
-                    known[key] = name, [dict(zip(_NODE, r, strict=True)) for r in nodes]
-                made.append(known[key])
-            inner = pa.list_(pa.struct(list(_NODE.items())))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], inner), b.column(4), b.column(5)], ["case_id", "variant", "nodes", "starts", "ends"])
+        known = Known(make)
+        for b in in_slices(batches):
+            made = [known.get(*x) for x in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
+            upto = pa.array([0, *accumulate(len(nodes) for _, nodes in made)], pa.int32())
+            columns = zip(*(n for _, nodes in made for n in nodes), strict=True)
+            nodes = pa.StructArray.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _NODE.values(), strict=True)], list(_NODE))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.string()), pa.ListArray.from_arrays(upto, nodes), b.column(4), b.column(5)], ["case_id", "variant", "nodes", "starts", "ends"])
 
     shaped = rows.mapInArrow(run, f"case_id {kind}, variant string, nodes {NODE}, {times}")
     of = lambda name, least, n: least(F.transform(n["at"], lambda i: F.get(name, i)))

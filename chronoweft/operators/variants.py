@@ -15,7 +15,37 @@ from pyspark.sql import functions as F
 from chronoweft.plans import variant_tree as V
 from chronoweft.sources.logs import truncated
 
-CACHED = 100_000
+CACHED = 200_000
+"""What a task keeps of signatures it has met, as a number of instances and nodes."""
+AT_ONCE = 1_000
+"""So many cases are Python objects at a time."""
+
+
+class Known:
+    """What a function gives for signatures (acts, s, t), with its size. When more than CACHED is held, all is
+    forgotten: memory depends neither on how many distinct signatures a task meets nor on how long they are."""
+
+    def __init__(self, make: Callable[[list[str], list[int], list[int]], tuple[object, int]]):
+        self.make, self.of, self.held = make, {}, 0
+
+    def get(self, acts: list[str], s: list[int], t: list[int]):
+        key = (tuple(acts), tuple(s), tuple(t))
+        if key in self.of:
+            return self.of[key]
+        found, size = self.make(acts, s, t)
+        if self.held + size > CACHED:
+            self.of.clear()
+            self.held = 0
+        if size <= CACHED:
+            self.of[key] = found
+            self.held += size
+        return found
+
+
+def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most AT_ONCE rows."""
+    for b in batches:
+        yield from (b.slice(i, AT_ONCE) for i in range(0, b.num_rows, AT_ONCE))
 
 
 def signatures(log: DataFrame, granularity: str = "ms", times: bool = False) -> DataFrame:
@@ -23,8 +53,8 @@ def signatures(log: DataFrame, granularity: str = "ms", times: bool = False) ->
     adds the arrays starts and ends, of the times as they are."""
     raw = [F.col("start_ts").alias("from"), F.col("end_ts").alias("to")] if times else []
     item = F.struct("pos", F.col("activity").alias("a"), truncated("start_ts", granularity).alias("s"), truncated("end_ts", granularity).alias("t"), *raw)
-    c = log.groupBy("case_id").agg(F.array_sort(F.collect_list(item)).alias("x"))
-    c = c.withColumn("times", F.array_sort(F.array_distinct(F.concat(F.col("x.s"), F.col("x.t")))))
+    c = log.groupBy("case_id").agg(F.sort_array(F.collect_list(item)).alias("x"))
+    c = c.withColumn("times", F.sort_array(F.array_compact(F.array_distinct(F.concat(F.col("x.s"), F.col("x.t"))))))
     rank = lambda times: F.transform(times, lambda v: F.array_position("times", v).cast("int"))
     return c.select("case_id", F.col("x.a").alias("acts"), rank(F.col("x.s")).alias("s"), rank(F.col("x.t")).alias("t"), *([F.col("x.from").alias("starts"), F.col("x.to").alias("ends")] if times else []))
 
@@ -34,19 +64,15 @@ def _cut(df: DataFrame, keep: list[str], change: Callable[[V.Tree], V.Tree] | No
     types = dict(df.dtypes)
     schema = ", ".join([*(f"{k} {types[k]}" for k in keep), "variant_json string", "variant string"])
 
+    def make(acts: list[str], s: list[int], t: list[int]) -> tuple[tuple[str, str], int]:
+        tree = V.variant_of(acts, s, t)
+        tree = V.canonical(change(tree)) if change else tree
+        return (V.to_json(tree), V.text(tree)), len(acts)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, tuple[str, str]] = {}
-        for b in batches:
-            made = []
-            for acts, s, t in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("acts", "s", "t")), strict=True):
-                key = (tuple(acts), tuple(s), tuple(t))
-                if key not in known:
-                    if len(known) > CACHED:
-                        known.clear()
-                    tree = V.variant_of(acts, s, t)
-                    tree = V.canonical(change(tree)) if change else tree
-                    known[key] = (V.to_json(tree), V.text(tree))
-                made.append(known[key])
+        known = Known(make)
+        for b in in_slices(batches):
+            made = [known.get(*x) for x in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("acts", "s", "t")), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)) for k in keep), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.string())], [*keep, "variant_json", "variant"])
 
     return df.mapInArrow(run, schema)
