@@ -2,7 +2,8 @@
 eventually follow one another, and the closed and maximal ones among them.
 
 Mining goes level by level, one job a level: the frequent patterns so far travel with the tasks, each variant
-gives the patterns of the next size that are made of those alone, and one aggregation counts them. What a
+gives the patterns of the next size that are made of those alone, each task adds them up, and one aggregation counts
+them. Variants are read as JSON once; what variants share (children, and runs of them) is matched once a task. What a
 pattern is made of (its children, and a sequence without its first or last child) is at least as frequent
 as it is under every counting strategy, so nothing is enumerated before its parts have their support. More
 frequent patterns than ``most_patterns``, which come to the driver, are an error rather than a silent cut.
@@ -15,6 +16,7 @@ sequence on the left or right, it has that sequence's first or last child.
 from __future__ import annotations
 
 import json
+import pickle
 from collections import Counter
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -29,6 +31,10 @@ from chronoweft.plans import variant_tree as V
 
 STRATEGIES = ("TraceTransaction", "TraceOccurrence", "VariantTransaction", "VariantOccurrence")
 MOST_PATTERNS = 200_000
+TASKS = 3
+"""Tasks of a level for each that runs at once."""
+HELD = 100_000
+"""So many patterns a task remembers of what variants share, and so many it adds up before it passes them on."""
 JOIN = "..."
 Occurrence = tuple[tuple[int, ...], int, int]
 """Path to the root of a match (child numbers), and the first and last child of a matched run (-1: no run)."""
@@ -50,15 +56,33 @@ class Patterns:
     def __init__(self, size: int, frequent: frozenset[V.Tree] | None = None, most: int = MOST_PATTERNS):
         self.size, self.frequent, self.most = size, frequent, most
         self.known: dict[tuple, frozenset[V.Tree]] = {}
+        self.made: dict[tuple, tuple[frozenset[V.Tree], frozenset[V.Tree]]] = {}
+        self.rooted: dict[V.Tree, frozenset[V.Tree]] = {}
+        self.held = 0
 
     def of_size(self, tree: V.Tree) -> Counter:
         """Patterns of just ``size`` nodes, and the number of nodes of the tree at which each is rooted."""
+        if self.held > HELD:
+            self.known.clear()
+            self.made.clear()
+            self.rooted.clear()
+            self.held = 0
         found: Counter = Counter()
         todo = [tree]
         while todo:
             t = todo.pop()
-            found.update(p for p in self.at(t, False, False, None) if n_nodes(p) == self.size)
-            todo += t[1] if t[0] != "leaf" else ()
+            if t[0] == "leaf":
+                if self.size == 1:
+                    found[t] += 1
+                continue
+            own = self.rooted.get(t)
+            if own is None:
+                own = self._union(1, t, False, False, None, self.size - 1)
+                if t is not tree:
+                    self.rooted[t] = own
+                    self.held += len(own) + 1
+            found.update(own)
+            todo += t[1]
         return found
 
     def at(self, tree: V.Tree, from_first: bool, to_last: bool, labels: frozenset[str] | None, room: int | None = None) -> frozenset[V.Tree]:
@@ -66,6 +90,7 @@ class Patterns:
         key = (tree, size, from_first, to_last)
         if key not in self.known:
             self.known[key] = self._at(tree, size, from_first, to_last, labels)
+            self.held += len(self.known[key]) + 1
         return self.known[key]
 
     def _frequent(self, p: V.Tree) -> bool:
@@ -77,38 +102,48 @@ class Patterns:
             return frozenset()
         if kind == "leaf":
             return frozenset([tree] if (labels is None or set(parts) <= labels) and (self.size == 1 or self._frequent(tree)) else [])
-        out: set[V.Tree] = set()
-        room = size - 1
-
-        def put(chosen: tuple[V.Tree, ...], flags: list[tuple[bool, bool]]) -> None:
-            options = [self.at(c, a, b, labels, room - len(chosen) + 1) for c, (a, b) in zip(chosen, flags, strict=True)]
-            if not all(options):
-                return
-            for made in product(*options):
-                n = sum(map(n_nodes, made))
-                if n > room or (n + 1 < self.size and not self._frequent((kind, made))):
-                    continue
-                if n + 1 == self.size and len(made) > 2 and kind != "loop" and not all(self._frequent((kind, made[:k] + made[k + 1 :])) for k in (range(len(made)) if kind not in ("follows", "skip") else (0, len(made) - 1))):
-                    continue
-                out.add((kind, made))
-                if len(out) > self.most:
-                    raise ValueError(f"a variant has more than {self.most} patterns")
+        return self._union(0, tree, from_first, to_last, labels, size - 1)
 
+    def _union(self, which: int, tree: V.Tree, from_first: bool, to_last: bool, labels: frozenset[str] | None, room: int) -> frozenset[V.Tree]:
+        """Of all choices of children: patterns that fit (0), or those of them that have all ``size`` nodes (1)."""
+        kind, parts = tree
+        out: set[V.Tree] = set()
         n = len(parts)
         if kind in ("follows", "loop", "skip"):
-            for i in range(n):
-                if from_first and i:
-                    break
-                for j in range(i + 2, min(n, i + room) + 1):
-                    if to_last and j < n:
-                        continue
-                    put(parts[i:j], [(k > i or from_first, k < j - 1 or to_last) for k in range(i, j)])
+            chosen = (parts[i:j] for i in range(1 if from_first else n) for j in range(i + 2, min(n, i + room) + 1) if not to_last or j == n)
         else:
-            for k in range(2, min(n, room) + 1):
-                for chosen in combinations(parts, k):
-                    put(chosen, [(from_first, to_last)] * k)
+            chosen = (c for k in range(2, min(n, room) + 1) for c in combinations(parts, k))
+        for c in chosen:
+            out |= self._made(kind, c, from_first, to_last, labels, room)[which]
+            if len(out) > self.most:
+                raise ValueError(f"a variant has more than {self.most} patterns")
         return frozenset(out)
 
+    def _made(self, kind: str, chosen: tuple[V.Tree, ...], from_first: bool, to_last: bool, labels: frozenset[str] | None, room: int) -> tuple[frozenset[V.Tree], frozenset[V.Tree]]:
+        """Patterns whose children match these, each one of them: those of up to ``room`` nodes below the root, and
+        those of them that have all ``size`` nodes."""
+        key = (kind, chosen, from_first, to_last, room)
+        if key in self.made:
+            return self.made[key]
+        m, run = len(chosen), kind in ("follows", "loop", "skip")
+        out: set[V.Tree] = set()
+        full: set[V.Tree] = set()
+        options = [self.at(c, from_first or run and k > 0, to_last or run and k < m - 1, labels, room - m + 1) for k, c in enumerate(chosen)]
+        for made in product(*options) if all(options) else ():
+            n = sum(map(n_nodes, made))
+            if n > room or (n + 1 < self.size and not self._frequent((kind, made))):
+                continue
+            if n + 1 == self.size and len(made) > 2 and kind != "loop" and not all(self._frequent((kind, made[:k] + made[k + 1 :])) for k in (range(len(made)) if kind not in ("follows", "skip") else (0, len(made) - 1))):
+                continue
+            out.add((kind, made))
+            if n + 1 == self.size:
+                full.add((kind, made))
+            if len(out) > self.most:
+                raise ValueError(f"a variant has more than {self.most} patterns")
+        self.made[key] = frozenset(out), frozenset(full)
+        self.held += len(out) + 1
+        return self.made[key]
+
 
 def occurrences(tree: V.Tree, pattern: V.Tree) -> list[Occurrence]:
     """Where a pattern matches in a tree."""
@@ -171,25 +206,36 @@ def follows(tree: V.Tree, one: Occurrence, other: Occurrence, soft: bool = False
     return False
 
 
-def _labelled(trees: DataFrame, strategy: str) -> tuple[str, str]:
+def _level(trees: DataFrame, strategy: str, least: int, counter: Callable[[], Callable[[V.Tree], dict]], most_patterns: int) -> dict:
+    """What variants (of :func:`kept`) give to the function that ``counter`` makes for a task, with its support; only
+    what has at least ``least``. Tasks have shares of what runs at once rather than a partition of some shuffle: they
+    read variants one after another, and the larger the share, the more is added up and the less matched anew."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}")
-    return ("n" if strategy.startswith("Trace") else "1"), ("roots" if strategy.endswith("Occurrence") else "1")
+    by_case, by_root = strategy.startswith("Trace"), strategy.endswith("Occurrence")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter()
+        sums: dict = {}
 
-def _level(trees: DataFrame, strategy: str, least: int, count: Callable[[V.Tree], dict], most_patterns: int) -> dict:
-    """What ``count`` gives for variants, with its support; only what has at least ``least``."""
-    weight, times = _labelled(trees, strategy)
+        def passed_on() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([encode(p) for p in sums], pa.string()), pa.array(sums.values(), pa.int64())], ["pattern", "n"])
+            sums.clear()
+            return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for raw, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = [(encode(p), n, k) for p, k in count(V.canonical(V.from_json(raw))).items()]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["pattern", "n", "roots"])
-
-    counted = trees.select("variant_json", "n_cases").mapInArrow(run, "pattern string, n long, roots long")
-    rows = counted.groupBy("pattern").agg(F.sum(F.expr(f"{weight} * {times}")).cast("long").alias("support")).where(F.col("support") >= least).limit(most_patterns + 1).collect()
+                weight = n if by_case else 1
+                for p, k in count(pickle.loads(raw)).items():
+                    sums[p] = sums.get(p, 0) + (weight * k if by_root else weight)
+                if len(sums) > HELD:
+                    yield passed_on()
+        if sums:
+            yield passed_on()
+
+    few = TASKS * trees.sparkSession.sparkContext.defaultParallelism
+    counted = trees.select("tree", "n_cases").coalesce(few).mapInArrow(run, "pattern string, n long")
+    rows = counted.groupBy("pattern").agg(F.sum("n").alias("support")).where(F.col("support") >= least).limit(most_patterns + 1).collect()
     if len(rows) > most_patterns:
         raise ValueError(f"more than {most_patterns} frequent patterns of one level")
     return {decode(r["pattern"]): r["support"] for r in rows}
@@ -217,16 +263,21 @@ _RESULT = "k int, pattern string, support long, pattern_json string"
 
 def _found(trees: DataFrame, found: dict) -> DataFrame:
     rows = [(sum(map(n_nodes, c)), chain_text(c), n, encode(p)) for p, n in found.items() for c in [(p,) if isinstance(p[0], str) else p]]
-    return trees.sparkSession.createDataFrame(rows, _RESULT)
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    kinds = {"k": pa.int32(), "pattern": pa.string(), "support": pa.int64(), "pattern_json": pa.string()}
+    return trees.sparkSession.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds)), _RESULT)
 
 
 @contextmanager
 def kept(trees: DataFrame) -> Iterator[DataFrame]:
-    """``trees`` (variant_json, n_cases), computed once for all levels."""
-    if trees.is_cached:
-        yield trees
-        return
-    own = trees.select("variant_json", "n_cases").persist()
+    """``trees`` (variant_json, n_cases) as tree (pickled, so that no level reads JSON) and n_cases, computed once
+    for all levels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(V.canonical(V.from_json(raw)), 5) for raw in b.column(0).to_pylist()], pa.binary()), b.column(1)], ["tree", "n_cases"])
+
+    own = trees.select("variant_json", F.col("n_cases").cast("long")).mapInArrow(run, "tree binary, n_cases long").persist()
     try:
         yield own
     finally:
@@ -235,13 +286,17 @@ def kept(trees: DataFrame) -> Iterator[DataFrame]:
 
 def frequent_trees(trees: DataFrame, strategy: str, least: int, size: int, most_patterns: int = MOST_PATTERNS) -> dict[V.Tree, int]:
     """The infixes of up to ``size`` nodes that have at least this support, with it."""
+    with kept(trees) as own:
+        return _frequent_trees(own, strategy, least, size, most_patterns)
+
+
+def _frequent_trees(own: DataFrame, strategy: str, least: int, size: int, most_patterns: int) -> dict[V.Tree, int]:
     frequent: dict[V.Tree, int] = {}
-    with kept(trees) as trees:
-        for k in (1, *range(3, size + 1)):
-            if k > size or k > 1 and not frequent:
-                break
-            shipped = trees.sparkSession.sparkContext.broadcast(frozenset(frequent) if k > 1 else None)
-            frequent |= _level(trees, strategy, least, lambda t, k=k, shipped=shipped: Patterns(k, shipped.value, most_patterns).of_size(t), most_patterns)
+    for k in (1, *range(3, size + 1)):
+        if k > size or k > 1 and not frequent:
+            break
+        shipped = own.sparkSession.sparkContext.broadcast(frozenset(frequent) if k > 1 else None)
+        frequent |= _level(own, strategy, least, lambda k=k, shipped=shipped: Patterns(k, shipped.value, most_patterns).of_size, most_patterns)
     return frequent
 
 
@@ -308,18 +363,18 @@ def frequent_chains(trees: DataFrame, strategy: str = "TraceTransaction", least:
 
     First the infixes; then pairs of labels, pairs of infixes whose labels make such pairs, and so on, each
     length in a job of its own over what the lengths before leave possible."""
-    with kept(trees) as trees:
-        infixes = frequent_trees(trees, strategy, least, size, most_patterns)
+    with kept(trees) as own:
+        infixes = _frequent_trees(own, strategy, least, size, most_patterns)
         found: dict[Chain, int] = {(p,): n for p, n in infixes.items()}
         shorter = [frozenset(found)]
         pairs = None
         if longest > 1 and size > 1:
             leaves = [p for p in infixes if p[0] == "leaf"]
             of_labels = Chains(leaves, [frozenset((p,) for p in leaves)], None)
-            pairs = frozenset((a, b) for x, y in _level(trees, strategy, least, of_labels.of, most_patterns) for a in V.labels(x) for b in V.labels(y))
+            pairs = frozenset((a, b) for x, y in _level(own, strategy, least, lambda: of_labels.of, most_patterns) for a in V.labels(x) for b in V.labels(y))
         for _ in range(longest - 1):
             shipped = trees.sparkSession.sparkContext.broadcast(Chains(list(infixes), list(shorter), pairs))
-            new = _level(trees, strategy, least, lambda t, shipped=shipped: shipped.value.of(t), most_patterns)
+            new = _level(own, strategy, least, lambda shipped=shipped: shipped.value.of, most_patterns)
             if not new:
                 break
             found |= new

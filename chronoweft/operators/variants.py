@@ -7,18 +7,25 @@ case. Python only turns signatures into variants, each distinct one once.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache, lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweft.plans import variant_tree as V
+from chronoweft.session import together
 from chronoweft.sources.logs import truncated
 
 CACHED = 200_000
 """What a task keeps of signatures it has met, as a number of instances and nodes."""
 AT_ONCE = 1_000
 """So many cases are Python objects at a time."""
+TOGETHER = 50_000
+"""Instances whose cases are cut at once, if no case is longer."""
+HELD = 20_000_000
+"""Characters of variants that a task counts before it passes them on."""
 
 
 class Known:
@@ -90,6 +97,174 @@ def variants(log: DataFrame, granularity: str = "ms", change: Callable[[V.Tree],
     return _cut(counted, ["n"], change).groupBy("variant_json", "variant").agg(F.sum("n").alias("n_cases"), F.count("*").alias("n_graphs"))
 
 
+def trees(log: DataFrame, granularity: str = "ms") -> DataFrame:
+    """variant_json and n_cases, as :func:`variants` has them, of a log whose places are in the order of starts, as
+    those of all views are.
+
+    Such a case is a sequence of parts that hang together by overlaps, and its tree that of the parts': so cases are
+    cut in arrays, many at once, and Python makes trees of distinct parts alone. Neither places nor signatures are
+    made. Cases with an end before its start, where the order of equal starts counts, or with nulls go the way of
+    :func:`variants`; whether there are any is looked up first, in a job of its own."""
+    odd = log.where(~F.coalesce(F.col("start_ts") <= F.col("end_ts"), F.lit(False)) | F.col("activity").isNull())
+    if odd.select(F.lit(1)).isEmpty():
+        return _trees(_cut_at_once(log, granularity))
+    ids = odd.select(F.col("case_id").alias("odd_id")).distinct()
+    of = F.col("case_id").eqNullSafe(F.col("odd_id"))
+    other = variants(log.join(ids, of, "left_semi"), granularity).select("variant_json", F.col("n_cases").alias("n"))
+    return _trees(_cut_at_once(log.join(ids, of, "left_anti"), granularity).unionByName(other))
+
+
+def _trees(counted: DataFrame) -> DataFrame:
+    return counted.groupBy("variant_json").agg(F.sum("n").alias("n_cases"))
+
+
+def _cut_at_once(log: DataFrame, granularity: str) -> DataFrame:
+    """variant_json and n, the number of some task's cases with it."""
+    rows = log.select("case_id", "activity", truncated("start_ts", granularity).alias("s"), truncated("end_ts", granularity).alias("t"))
+
+    # whole numbers are sorted by their prefix alone, and what is sorted inside a case is sorted in arrays
+    whole = dict(rows.dtypes)["case_id"] in ("tinyint", "smallint", "int", "bigint")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = parts_known()
+        sums: dict[str, int] = {}
+        held = 0
+        for chunk in _whole_cases(_opened(batches) if whole else batches):
+            for raw, n in _cut_chunk(chunk, known):
+                if raw not in sums:
+                    held += len(raw)
+                    sums[raw] = n
+                else:
+                    sums[raw] += n
+            if held > HELD:
+                yield from _counts(sums)
+                sums, held = {}, 0
+        yield from _counts(sums)
+
+    if whole:
+        rows = together(rows, "case_id").sortWithinPartitions("case_id")
+    else:
+        rows = rows.select(F.row_number().over(Window.partitionBy("case_id").orderBy("s")).alias("k"), "activity", "s", "t")
+    return rows.mapInArrow(run, "variant_json string, n long")
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of case_id, a whole number or null, with a 1 for the first of each case in its place."""
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids, null = b.column(0).fill_null(0).to_numpy(), b.column(0).is_null().to_numpy(zero_copy_only=False)
+        opens = np.ones(b.num_rows, np.int32)
+        opens[1:] = (ids[1:] != ids[:-1]) | (null[1:] != null[:-1])
+        opens[0] = last != (ids[0], null[0])
+        last = ids[-1], null[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(opens), *b.columns[1:]], ["k", "activity", "s", "t"])
+
+
+@cache
+def parts_known() -> Known:
+    """The JSON of parts of cases (acts, none, the last that each one overlaps), which a Python worker remembers from
+    task to task."""
+    return Known(lambda acts, _, reach: (_json(V.variant_of(acts, list(range(len(acts))), reach)), len(acts)))
+
+
+def _json(tree: V.Tree) -> str:
+    """What :func:`variant_tree.to_json` gives."""
+    kind, parts = tree
+    return _leaf_json(parts) if kind == "leaf" else f'{{"{kind}":[{",".join([_json(c) for c in parts])}]}}'
+
+
+@lru_cache(10_000)
+def _leaf_json(labels: tuple[str, ...]) -> str:
+    return V.to_json(("leaf", labels))
+
+
+def _counts(sums: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    raw, n = list(sums), list(sums.values())
+    for i in range(0, len(raw), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(raw[i : i + 10_000], pa.string()), pa.array(n[i : i + 10_000], pa.int64())], ["variant_json", "n"])
+
+
+def _whole_cases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of whole cases (k, 1 in the first of each alone), TOGETHER or more at a time."""
+    waiting: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        starts = np.flatnonzero(b.column(0).to_numpy() == 1)
+        if rows + b.num_rows > TOGETHER and len(starts) and (rows or starts[-1]):
+            last = int(starts[-1])
+            yield pa.Table.from_batches([*waiting, b.slice(0, last)])
+            waiting, rows = [b.slice(last)], b.num_rows - last
+        elif b.num_rows:
+            waiting.append(b)
+            rows += b.num_rows
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
+def _numbered(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row for each distinct row of an array of small numbers, and the number of each row's."""
+    n = len(columns)
+    if n < 16:
+        return np.arange(n), np.arange(n)
+    key, size = columns[:, 0].astype(np.int64), int(columns[:, 0].max()) + 1
+    for k in range(1, columns.shape[1]):
+        base = int(columns[:, k].max()) + 1
+        if size * base >= 1 << 62:
+            found, key = np.unique(key, return_inverse=True)
+            size = len(found)
+        key, size = key * base + columns[:, k], size * base
+    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    return first, number
+
+
+def _cut_chunk(chunk: pa.Table, known: Known) -> Iterator[tuple[str, int]]:
+    """variant_json and a number of cases, of whole cases (as of :func:`_whole_cases`), none with an end before
+    its start."""
+    coded = chunk.column(1).combine_chunks().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    by_name = sorted(range(len(names)), key=names.__getitem__)
+    names = [names[i] for i in by_name]
+    act = np.argsort(by_name)[coded.indices.to_numpy(zero_copy_only=False)]
+    opens = chunk.column(0).to_numpy() == 1
+    n = len(act)
+    # times as ranks, later cases' above earlier ones'
+    found, ranks = np.unique(np.concatenate([chunk.column(2).to_numpy(), chunk.column(3).to_numpy()]), return_inverse=True)
+    above = (np.cumsum(opens) - 1) * len(found)
+    s, t = ranks[:n] + above, ranks[n:] + above
+    by_start = np.argsort(s, kind="stable")
+    s, t, act = s[by_start], t[by_start], act[by_start]
+    part_at = np.flatnonzero(np.concatenate([[True], s[1:] > np.maximum.accumulate(t)[:-1]]))
+    size = np.diff(np.append(part_at, n))
+    # of instances in the order of starts, the last that began before one's end tells which it overlaps
+    reach = np.searchsorted(s, t, side="right") - 1
+    leaves = [V.to_json(V.leaf(x)) for x in names]
+    texts: list[str] = list(leaves)
+    number = act[part_at]
+    for m in np.unique(size[size > 1]):
+        own = np.flatnonzero(size == m)
+        at = part_at[own][:, None] + np.arange(m)
+        acts = act[at]
+        if m == 2:
+            acts.sort(axis=1)
+            first, of = _numbered(acts)
+            made = ['{"parallel":[' + leaves[a] + "," + leaves[b] + "]}" for a, b in acts[first].tolist()]
+        else:
+            local = reach[at] - part_at[own][:, None]
+            first, of = _numbered(np.concatenate([acts, local], axis=1))
+            made = [known.get([names[i] for i in a], [], r) for a, r in zip(acts[first].tolist(), local[first].tolist(), strict=True)]
+        number[own] = of + len(texts)
+        texts += made
+    case_at = np.flatnonzero(opens[part_at])
+    parts = np.diff(np.append(case_at, len(part_at)))
+    for m in np.unique(parts):
+        at = case_at[parts == m][:, None] + np.arange(m)
+        first, of = _numbered(number[at])
+        for row, count in zip(number[at[first]].tolist(), np.bincount(of).tolist(), strict=True):
+            yield (texts[row[0]] if m == 1 else '{"follows":[' + ",".join([texts[i] for i in row]) + "]}"), count
+
+
 def treebank(log: DataFrame, granularity: str = "ms", borders: bool = False, by_case: bool = False) -> DataFrame:
     """Variants, those with the most cases first; ``borders`` puts artificial activities at their ends, and
     ``by_case`` gives each case a row of its own, with its case_id and an n_cases of 1."""

@@ -542,7 +542,7 @@ def frequent_infixes_conv_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def frequent_infixes_li(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mining.frequent_patterns(variants.variants(logs.lineitem_log(spark, sf_dir)), least=50, size=5).drop("pattern_json")
+    return mining.frequent_patterns(variants.trees(logs.lineitem_log(spark, sf_dir)), least=50, size=5).drop("pattern_json")
 
 
 @query(f"""WITH {SQL_VIEWS['conv']}, p AS (SELECT DISTINCT x.case_id, x.activity || '...' || y.activity AS pattern FROM e x JOIN e y ON x.case_id = y.case_id AND y.pos >= x.pos + 2)

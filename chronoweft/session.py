@@ -75,6 +75,17 @@ def dealt(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(n, *by) if n else df
 
 
+def together(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with all rows of each value in one partition: as it is if that is how it was dealt, and rows were only
+    projected since."""
+    plan = df.select(column)._jdf.queryExecution().optimizedPlan()
+    own = plan.output().apply(0).toString()
+    while plan.nodeName() == "Project":
+        plan = plan.children().apply(0)
+    by = plan.partitionExpressions() if plan.nodeName() == "RepartitionByExpression" else None
+    return df if by is not None and by.size() == 1 and by.apply(0).toString() == own else df.repartition(column)
+
+
 def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
     """A session for tests and the benchmark on one machine."""
     return (
